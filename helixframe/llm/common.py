@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 ARROW_ROWS = "512"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; only where it is unset (tests, a laptop) a new one."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir(folder := tempfile.mkdtemp(prefix="spark-"))
+    return folder
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, a laptop) a folder is chosen here.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
