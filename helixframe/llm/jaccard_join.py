@@ -8,8 +8,9 @@ similarity share a leaf of a run with a probability that the branching process b
 made as the target recall needs.
 
 Within a leaf all pairs of embeddings are compared; what might reach the similarity is joined into candidate classes by
-one edge per text, so the rows made stay in proportion to the texts. A node that is still too full at the last level joins
-all its texts to one candidate class. Inside every candidate class all pairs are then compared exactly, in blocks: links
+one edge per text, so the rows made stay in proportion to the texts. A node that is still too full at the last level, or
+of which a part of ``DENSE`` resembles its first text, so that no coordinate would part it, joins all its texts to one
+candidate class. Inside every candidate class all pairs are then compared exactly, in blocks: links
 are counted and true classes found from the whole shingle sets. No link between different texts that a run has found is
 lost, and copies of a text are never expanded into pairs.
 """
@@ -33,7 +34,10 @@ COORDINATES = 64
 BUCKET = 256
 LEVELS = 4
 RECALL = 0.995
+DENSE = 0.2
 SEED = 20240229
+#: Equal coordinates that a pair at the similarity falls short of by chance about once in 2000 cases.
+LEAST_EQUAL = (SIMILARITY - 3.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)) * COORDINATES
 #: Texts of one side of an exact comparison.
 BLOCK = 256
 
@@ -122,9 +126,15 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a text's embedding resembles that of its node's first text."""
+    for b in batches:
+        close = (_matrix(b.column("sig")) == _matrix(b.column("hub_sig"))).sum(axis=1) >= LEAST_EQUAL
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("rid"), b.column("hub"), pa.array(close.astype("i4"))], names=["path", "rid", "hub", "close"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges of each leaf: pairs whose embeddings agree as far as chance allows at the similarity."""
-    least = (SIMILARITY - 3.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)) * COORDINATES
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows():
@@ -133,9 +143,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sigs = np.frombuffer(b"".join(m[1] for m in members), "<u4").reshape(len(members), -1)
             if len(members) == 2:
-                label = np.array([0, 0 if (sigs[0] == sigs[1]).sum() >= least else 1])
+                label = np.array([0, 0 if (sigs[0] == sigs[1]).sum() >= LEAST_EQUAL else 1])
             else:
-                label = _forest(np.stack([(sigs == s).sum(axis=1) >= least for s in sigs]))
+                label = _forest(np.stack([(sigs == s).sum(axis=1) >= LEAST_EQUAL for s in sigs]))
             for i in np.nonzero(label != np.arange(len(label)))[0]:
                 yield members[i][0], members[label[i]][0]
 
@@ -210,11 +220,13 @@ def candidate_edges(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         full = level.filter(F.col("n") > BUCKET).select("path", "rid")
         if full.isEmpty():
             break
-        if depth == LEVELS:
-            hubs = full.groupBy("path").agg(F.min("rid").alias("b"))
-            edges.append(full.join(hubs, "path").select(F.col("rid").alias("a"), "b").filter("a <> b").distinct())
-        else:
-            level = full.join(sigs, "rid").select("rid", "path", "sig").mapInArrow(_descend, "rid long, path long")
+        hubs = full.groupBy("path").agg(F.min("rid").alias("hub"))
+        full = full.join(hubs, "path").join(sigs, "rid").join(sigs.select(F.col("rid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        full = materialise(full.select("path", "rid", "hub", "sig", "hub_sig").mapInArrow(_agreement, "path long, rid long, hub long, close int"))
+        dense = full.groupBy("path").agg(F.avg("close").alias("part")).withColumn("stays", (F.col("part") >= DENSE) | F.lit(depth == LEVELS))
+        full = full.join(dense, "path")
+        edges.append(full.filter("stays and rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct())
+        level = full.filter("not stays").select("path", "rid").join(sigs, "rid").select("rid", "path", "sig").mapInArrow(_descend, "rid long, path long")
     paths = leaves[0]
     for x in leaves[1:]:
         paths = paths.unionByName(x)
