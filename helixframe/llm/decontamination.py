@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: numbers, units after a number and names (capitalised words inside a sentence; neighbours count as
-one) turn into typed placeholders, other words into lower case. Windows of ``WINDOW`` template words are hashed and joined
+Texts become templates: numbers, units after a number and names (words with a capital first letter inside a
+sentence; neighbours count as one) turn into typed placeholders, other words into lower case. Windows of ``WINDOW`` template words are hashed and joined
 with those of the benchmark. For documents that meet an item the slots' values are then read from the text: along each
 alignment of document and item a value of the item has to stand for one value of the document and the other way round, so
 a question with other numbers or names is caught while texts that only share a pattern are not.
@@ -34,10 +34,10 @@ _TOKEN = rf"\p{{L}}\p{{M}}\p{{N}}{JOIN}{NAME}{UNIT}"
 
 def marked(text: Column) -> Column:
     """The text with the parts of numbers and names joined and with names and units marked."""
-    out = F.regexp_replace(utf8(text), f"[{JOIN}{NAME}{UNIT}]", " ")
+    out = F.regexp_replace(utf8(text), f"[#{JOIN}{NAME}{UNIT}]", " ")
     out = F.regexp_replace(out, r"[.,](?=\p{N})(?<=\p{N}.)", JOIN)
     out = F.regexp_replace(out, rf"(\p{{N}})\x20?((?i:{_UNITS})|%|€|\$|£)(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    out = F.regexp_replace(out, rf"(\p{{Lu}})(?<=[\p{{L}}\p{{N}},;:]\x20.)(?=[\p{{L}}'’-])", f"{NAME}$1")
+    out = F.regexp_replace(out, rf"(\p{{Lu}})(?<=[\p{{L}}\p{{N}},;:]\x20.)(?=[\p{{Ll}}'’])", f"{NAME}$1")
     return F.regexp_replace(out, rf"({NAME}[\p{{L}}\p{{M}}\p{{N}}]+)\x20(?={NAME})", f"$1{JOIN}")
 
 

@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised (lower case, digits as 0, runs of white space as one blank), hashed, and the distinct texts of a host
+Lines are normalised (lower case, numbers as 0, runs of white space as one blank), hashed, and the distinct texts of a host
 (``source``) that hold a line are counted over all documents. A line in more than ``SHARE`` of its host's distinct texts,
 and in more than ``LEAST`` of them, is removed; a document that keeps fewer than ``MIN_WORDS`` words, or less than
 ``MIN_LEFT`` of its words, is rejected. Copies of a text count once, so a group of copies doesn't make its own lines frequent.
@@ -28,7 +28,7 @@ MIN_LEFT = 0.3
 
 SPACES = " \t\n\r\x0b\x0c"
 _RUN = re.compile(rf"[{SPACES}]+")
-_DIGIT = re.compile("[0-9]")
+_DIGIT = re.compile("[0-9]+")
 
 
 def repeated_words(words: list, size: int = WINDOW) -> int:

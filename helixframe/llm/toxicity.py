@@ -29,7 +29,7 @@ FEATURES = 3000
 #: Toxic documents that have to hold a feature.
 LEAST = 3
 PREFIXES = (4, 5, 6)
-STRENGTH = 1e-4
+STRENGTH = 1e-5
 COUNTERFACTUAL = 1.0
 STEPS = 300
 FOLDS = 5

@@ -1,0 +1,105 @@
+import random
+import re
+
+from helixframe.llm import html_extraction as H
+
+SCHEMA = "page_id long, url string, html string, host string, slot int"
+
+
+def test_blocks_and_references():
+    page = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a>Home</a></nav><!-- <p>no</p> --><article><h1>A &amp; B</h1><p><b>Bold&nbsp;text.<br><p>two\n  three &#x41;&lt;p&gt;</p>loose <i>in</i>line<ul><li>x<li>y</ul><div class='comments'><p>first!</p></div></article><aside>side</aside><footer>&copy; f</footer>"
+    assert H.content(page) == "A & B\nBold text.\ntwo three A<p>\nloose inline\nx\ny"
+
+
+def test_cues_without_an_article():
+    page = """<body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><div id="wrap"><h2>Title</h2><p>Real text.</p>
+    <form><p>Search</p><input value=x></form><ul><li><a href="/a">Link one</a></li></ul><p hidden>no</p><div role="complementary">no</div><div class="post-comments">no</div><p>End &unknown; 1 < 2 <x-y>odd</x-y></p></div></body>"""
+    assert H.content(page) == "Title\nReal text.\nEnd &unknown; 1 < 2\nodd"
+
+
+def test_article_header_keeps_headings():
+    page = "<article><header><h1>Head</h1><p>by me</p></header><p>Body</p><footer>tags</footer></article><article class='teaser'><p>other</p></article>"
+    assert H.content(page) == "Head\nBody"
+
+
+def best(a, b):
+    """The size of the largest matching, by trying all child alignments."""
+    if a[0] != b[0]:
+        return 0
+
+    def rest(i, j):
+        if i == len(a[2]) or j == len(b[2]):
+            return 0
+        return max(rest(i + 1, j), rest(i, j + 1), best(a[2][i], b[2][j]) + rest(i + 1, j + 1))
+
+    return 1 + rest(0, 0)
+
+
+def test_tree_matching():
+    rng = random.Random(1)
+
+    def tree(depth):
+        return (rng.choice("ab"), 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    def numbered(t, n):
+        me, children = n[0], []
+        n[0] += 1
+        for c in t[2]:
+            children.append(numbered(c, n))
+        return (t[0], me, children)
+
+    for _ in range(200):
+        a, b = (numbered(tree(3), [0]) for _ in range(2))
+        size, pairs = H.tree_matching(a, b)
+        assert size == best(a, b) and (size == len(pairs) if size else not pairs)
+
+
+def test_skeleton():
+    root, blocks = H.parse("<div><p>a</p><p>b</p><ul class='x1'><li>c</li></ul><ul class='x2'><li>d<p>e</p></li></ul></div><p>f</p>")
+    assert H.fold(root) == "#root(div(p,ul.x(li(p))),p)"
+    assert [b.node.slot for b in blocks] == [2, 2, 4, 4, 5, 6]
+    label, slot, children = H.unfold(H.fold(root))
+    assert (label, slot, [c[:2] for c in children]) == ("#root", 0, [("div", 1), ("p", 6)])
+    assert H.aligned("#root(div(p))", "#root(div(h1,p),p)") == {0: 0, 1: 1, 2: 3}
+
+
+def site(n, host="h.example"):
+    pages = []
+    for i in range(n):
+        extra = "<div><p>Optional</p></div>" if i % 3 == 0 else ""
+        pages.append((i, f"https://{host}/{i}", f"<body><div><span>The Daily Page</span></div>{extra}<div><p>Story {i}</p><p>own words {i * 7}</p><p>Follow us everywhere</p></div><div><p>Printed by nobody</p></div></body>", "x", 1))
+    return pages
+
+
+def test_wrapper_induction(spark):
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(site(12), SCHEMA)).collect()}
+    assert got == {i: f"Story {i}\nown words {i * 7}" for i in got} and len(got) == 12 or all(re.sub("Optional\n", "", t) == f"Story {i}\nown words {i * 7}" for i, t in got.items())
+
+
+def test_copies_and_few_pages_make_no_template(spark):
+    pages = site(1) * 30 + site(3, "small.example")
+    got = H.extract_text(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert len(got) == 33 and all("The Daily Page" in r.text and "Story" in r.text for r in got)
+
+
+def test_documents_pages(spark):
+    """On the synthetic pages the text is the article's blocks."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in H.extract_text(pages).collect()}
+    import html
+
+    for r in pages.collect():
+        inside = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_messy(spark):
+    deep = "<div>" * 3000 + "deep" + "</p>" * 10
+    rows = [(1, None, None), (None, "", ""), (2, "nonsense", "no markup"), (2, "nonsense", "no markup"), (3, "http://a", "<p>x" * 3 + "<!-- open"), (4, "http://a", deep), (5, "http://a", "<script>x"), (6, "//u@b:80/x", "<p>" + "word " * 50_000), (7, "http://a", "<a <b> <p =''> < >&#0;&#xD800;</"), (8, "x", "\x00<p>z")]
+    got = H.extract_text(spark.createDataFrame([(*r, "h", 1) for r in rows], SCHEMA)).collect()
+    texts = [(r.page_id, r.text) for r in got]
+    assert len(got) == len(rows) and (1, "") in texts and (None, "") in texts and texts.count((2, "no markup")) == 2
+    assert (3, "x\nx\nx") in texts and (4, "deep") in texts and (5, "") in texts
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert H.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
