@@ -72,3 +72,10 @@ def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the first in the order."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*")
+
+
+def modal(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, value, n): the most frequent value, of equally frequent ones the one seen first."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    best = F.max_by(F.struct(value, "n"), F.struct("n", -F.col("_first")))
+    return counts.groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.*")

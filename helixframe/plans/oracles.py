@@ -178,3 +178,41 @@ LOCATIONS = """, spanned AS (
     ELSE CASE WHEN CASE strand WHEN 1 THEN edge_type IN (3, 8) ELSE edge_type >= 5 END THEN '<' ELSE '' END || rstart || '..' ||
          CASE WHEN CASE strand WHEN 1 THEN edge_type >= 5 ELSE edge_type IN (3, 8) END THEN '>' ELSE '' END || rend END AS span FROM orfs),
 locations AS (SELECT *, CASE strand WHEN 1 THEN 'complement(' || span || ')' ELSE span END AS location FROM spanned) """
+
+#: Windows around start-like codons 150 to 3 bases before the start of long ORFs, as single bases.
+BACKGROUND = """, upstream AS (
+  SELECT genome_id, contig_len, s || s || s AS sss, unnest(range(start - 150, start - 3)) AS q FROM complete WHERE len >= 300),
+background AS (
+  SELECT genome_id, substr(w, i, 1) AS base
+  FROM (SELECT genome_id, substr(sss, contig_len + q - 50 + 1, 65) AS w, unnest(range(1, 65)) AS i FROM upstream WHERE substr(sss, contig_len + q + 1, 3) IN ('ATG', 'GTG', 'TTG')) WHERE substr(w, i, 1) IN ('A', 'C', 'G', 'T')) """
+
+
+def _coding(code: str, stops: str) -> str:
+    """The share of ORF bases with a G+C above a half under a code."""
+    return f"""
+spans_{code} AS (
+  SELECT contig_id, strand, frame, min(pos) FILTER (NOT stop)::INT AS start, max(pos) FILTER (stop)::INT + 3 AS "end"
+  FROM (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY contig_id, strand, frame ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island
+        FROM (SELECT contig_id, strand, frame, pos, codon IN ({stops}) AS stop FROM marks WHERE codon IN ({stops}, 'ATG', 'GTG', 'TTG')))
+  GROUP BY contig_id, strand, frame, island),
+coding_{code} AS (
+  SELECT genome_id, '{code}' AS code, len, length(nt) - length(translate(nt, 'GC', '')) AS n_gc
+  FROM (SELECT genome_id, "end" - start AS len, substr(s, start + 1, "end" - start) AS nt FROM spans_{code} JOIN sides USING (contig_id, strand, frame) WHERE start IS NOT NULL AND "end" - start >= 90))"""
+
+
+TABLES = f"""WITH {_CONTIGS}, {_SIDES},
+marks AS MATERIALIZED (
+  SELECT contig_id, strand, frame, codon, frame + 3 * (i - 1) AS pos
+  FROM (SELECT contig_id, strand, frame, unnest(l) AS codon, generate_subscripts(l, 1) AS i
+        FROM (SELECT contig_id, strand, frame, regexp_extract_all(substr(s, frame + 1), '...') AS l FROM sides))
+  WHERE codon IN ('TAA', 'TAG', 'TGA', 'ATG', 'GTG', 'TTG')),
+{_coding("11", "'TAA', 'TAG', 'TGA'")}, {_coding("16", "'TAA', 'TGA'")}, {_coding("4", "'TAA', 'TAG'")},
+scores AS (
+  SELECT genome_id, code, round(sum(CASE WHEN n_gc * 2 > len THEN len ELSE 0 END) / sum(len), 6) AS score
+  FROM (SELECT * FROM coding_11 UNION ALL SELECT * FROM coding_16 UNION ALL SELECT * FROM coding_4) GROUP BY ALL)
+SELECT genome_id, code, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY score DESC, CASE code WHEN '11' THEN 0 WHEN '16' THEN 1 ELSE 2 END) AS r FROM scores) WHERE r = 1"""
+
+TINY_MLP = """, scaled AS (SELECT contig_id, strand, "end", k, (value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END AS x FROM mono JOIN stats USING (k)),
+layer AS (SELECT contig_id, strand, "end", greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) + 0.1) AS a, greatest(0, sum(0.25 * x) - 0.2) AS b FROM scaled GROUP BY ALL)
+SELECT contig_id, strand, "end", round(1 / (1 + exp(-(0.5 * a - b + 0.3) / 2)), 6) AS score FROM layer"""

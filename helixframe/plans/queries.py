@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import features, intervals, matching, ordered, orfs, startmodel
+from helixframe.operators import decoys, features, intervals, matching, models, ordered, orfs, startmodel
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
 from helixframe.sources.contigs import document_contigs
@@ -222,6 +222,13 @@ def _gaps(spark, sf_dir):
     return intervals.gaps(found, c.select("contig_id", "len"), ["contig_id"])
 
 
+@query(O.COMPLETE + O.BACKGROUND + "SELECT genome_id, base, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY genome_id), 6) AS share FROM background GROUP BY genome_id, base")
+def bkg_freq(spark, sf_dir):
+    """Base frequencies around start-like codons upstream of seeds."""
+    windows = startmodel.background_windows(document_contigs(spark, sf_dir))
+    return startmodel.base_shares(windows).withColumn("share", rounded(F.col("share")))
+
+
 @query(O.COMPLETE + O.WINDOWS + "SELECT genome_id, class, pos, kmer, count(*) AS n FROM kmers WHERE len >= 300 AND candidate >= start GROUP BY ALL")
 def pwm_counts(spark, sf_dir):
     return startmodel.kmer_counts(startmodel.start_windows(document_contigs(spark, sf_dir)), 1)
@@ -233,14 +240,14 @@ def pwm_logprob(spark, sf_dir):
     return startmodel.log_probabilities(counts, 1).withColumn("logp", rounded(F.col("logp")))
 
 
-@query(O.COMPLETE + O.WINDOWS + O.LOGP + O.ODDS + "SELECT contig_id, strand, \"end\", arg_max(j, (round(odds, 6), -j)) AS j, round(max(round(odds, 6)), 4) AS odds FROM odds GROUP BY ALL")
+@query(O.COMPLETE + O.WINDOWS + O.LOGP + O.ODDS + "SELECT contig_id, strand, \"end\", arg_max(j, (round(odds, 6), -j)) AS j, round(arg_max(odds, (round(odds, 6), -j)), 4) AS odds FROM odds GROUP BY ALL")
 def tis_argmax(spark, sf_dir):
     """The start with the best odds under the genome's own start model."""
     windows = startmodel.start_windows(document_contigs(spark, sf_dir))
     tables = startmodel.log_probabilities(startmodel.kmer_counts(windows, 1), 1)
-    scores = startmodel.candidate_scores(windows, tables, 1).withColumn("odds", F.round("odds", 6))
-    best = ordered.best_candidate(scores.select("contig_id", "strand", "end", "j", "odds"), ["contig_id", "strand", "end"], "odds", "j")
-    return best.withColumn("odds", F.round("odds", 4))
+    scores = startmodel.candidate_scores(windows, tables, 1).withColumn("order", F.round("odds", 6))
+    best = ordered.best_candidate(scores.select("contig_id", "strand", "end", "j", "odds", "order"), ["contig_id", "strand", "end"], "order", "j")
+    return best.select("contig_id", "strand", "end", "j", F.round("odds", 4).alias("odds"))
 
 
 @query(O.EARLY)
@@ -296,6 +303,12 @@ def fill_forward(spark, sf_dir):
     return ordered.fill_forward(e, ["user_id"], "event_id", "mark", "carried").select("event_id", "carried")
 
 
+@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1")
+def modal_value(spark, sf_dir):
+    """The most frequent value of a key, of equally frequent ones the first seen."""
+    return ordered.modal(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+
+
 @query("SELECT l_orderkey, l_linenumber, round((sum(l_quantity) OVER w - l_quantity) / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS lo, round(sum(l_quantity) OVER w / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS hi FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)")
 def prefix_sum_sampler(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
@@ -359,3 +372,53 @@ def _against_first(spark, sf_dir, value, digits):
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
     return e.join(first, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(value), digits).alias("total"))
+
+
+@query(O.TABLES)
+def code_table_score(spark, sf_dir):
+    """The genetic code under which most of a genome's ORF bases look coding; G+C above a half stands for a model's score."""
+    c = document_contigs(spark, sf_dir)
+    found = None
+    for rank, code in enumerate(("11", "16", "4")):
+        part = orfs.find_orfs(c, 90, code, complete_only=True).select("genome_id", F.lit(code).alias("code"), F.lit(rank).alias("rank"), "len", "n_gc")
+        found = part if found is None else found.unionByName(part)
+    share = F.sum(F.when(F.col("n_gc") * 2 > F.col("len"), F.col("len")).otherwise(0)) / F.sum("len")
+    scores = found.groupBy("genome_id", "code", "rank").agg(rounded(share).alias("score"))
+    return ordered.best_candidate(scores, ["genome_id"], "score", "rank").select("genome_id", "code", "score")
+
+
+@query(O.COMPLETE + O.MONO + O.TINY_MLP)
+def mlp_score(spark, sf_dir):
+    """A two-unit network with fixed weights over the standardised one-base features."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "nt")).withColumn("features", F.slice("features", 1, 9))
+    stats = features.moments(rows, [])
+    means = [(r.k, r.mean, r.sd) for r in stats.orderBy("k").collect()]  # nine rows
+    network = models.Network(
+        mean=[m for _, m, _ in means], sd=[s for _, _, s in means],
+        hidden=[[1.0 if k % 2 else -0.5 for k in range(9)], [0.25] * 9], hidden_bias=[0.1, -0.2], out=[0.5, -1.0], out_bias=0.3,
+    )
+    return models.mlp_scores(rows, network).select("contig_id", "strand", "end", rounded(F.col("score")).alias("score"))
+
+
+@query()
+def svm_score(spark, sf_dir):
+    """Each genome's own model: ORFs of 300 nt or more against short ones; training is numeric and tests hold it."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt"))
+    label = F.when(F.col("len") >= 300, 1).when(F.col("len") < 150, -1)
+    model = models.train_svm(rows.withColumn("label", label), ["genome_id"])
+    return models.svm_scores(rows, model, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", F.round("score", 4).alias("score"))
+
+
+@query()
+def kmeans_label(spark, sf_dir):
+    """Coding labels by clustering; the clusters depend on random starts and tests hold their rules."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "n_gc", "n_g2", "nt"))
+    trusted = (F.col("len") >= 550) & ((orfs.gc_content() <= 0.57) | (orfs.g2_content() < 0.2 * orfs.gc_content() + 0.12))
+    rows = rows.withColumn("is_seed", trusted).withColumn("features", F.slice("features", 46, 144))
+    return models.cluster_labels(rows, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", "i_score")
+
+
+@query()
+def decoy_manifest(spark, sf_dir):
+    """Decoy genes placed in the gaps of each contig, with their positions' digest; placement is random but seeded."""
+    return decoys.insert_decoys(document_contigs(spark, sf_dir)).drop("seq", "decoys")
