@@ -40,6 +40,8 @@ SEED = 20240229
 LEAST_EQUAL = (SIMILARITY - 3.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)) * COORDINATES
 #: Texts of one side of an exact comparison.
 BLOCK = 256
+#: Keys of 16 bytes up to which the texts to compare are picked by a broadcast; beyond it Spark joins by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def runs_needed(recall: float = RECALL, levels: int = LEVELS) -> int:
@@ -68,12 +70,13 @@ def embedding(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> n
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, factors = Hashes(), _factors()
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int32()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int32()), ("sig", pa.binary()), ("sketch", pa.binary())])
 
     def rows():
         for doc_id, key, text in records(batches, "doc_id", "key", "text"):
             s = shingle_set(text.lower().split(), hashes, SHINGLE)
-            yield doc_id, key, len(s), embedding(s, factors).tobytes()
+            sig = embedding(s, factors)
+            yield doc_id, key, len(s), sig.tobytes(), sig.astype(np.uint8).tobytes()
 
     yield from in_chunks(rows(), schema)
 
@@ -126,22 +129,26 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether a text's embedding resembles that of its node's first text."""
+    """Whether a text's sketch resembles that of its node's first text."""
     for b in batches:
-        close = (_matrix(b.column("sig")) == _matrix(b.column("hub_sig"))).sum(axis=1) >= LEAST_EQUAL
+        close = (_bytes(b.column("sketch")) == _bytes(b.column("hub_sketch"))).sum(axis=1) >= LEAST_EQUAL
         yield pa.RecordBatch.from_arrays([b.column("path"), b.column("rid"), b.column("hub"), pa.array(close.astype("i4"))], names=["path", "rid", "hub", "close"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of each leaf: pairs whose embeddings agree as far as chance allows at the similarity."""
+    """Candidate edges of each leaf: pairs whose sketches agree as far as chance allows at the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows():
-        for _, members in runs(batches, ["gid"], ["rid", "sig"]):
+        for _, members in runs(batches, ["gid"], ["rid", "sketch"]):
             if len(members) < 2:
                 continue
-            sigs = np.frombuffer(b"".join(m[1] for m in members), "<u4").reshape(len(members), -1)
+            sigs = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(members), -1)
             if len(members) == 2:
                 label = np.array([0, 0 if (sigs[0] == sigs[1]).sum() >= LEAST_EQUAL else 1])
             else:
@@ -210,9 +217,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(texts: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(a, b) of texts (rid, sig): a forest over what the leaves of all runs hold similar."""
+    """(a, b) of texts (rid, sig, sketch): a forest over what the leaves of all runs hold similar.
+
+    ``sketch`` holds the last byte of each coordinate, enough to compare texts that share a node.
+    """
     level = texts.select("rid", "sig").mapInArrow(_roots(runs_needed(recall)), "rid long, path long")
-    sigs, leaves, edges = texts.select("rid", "sig"), [], []
+    sigs, sketches, leaves, edges = texts.select("rid", "sig"), texts.select("rid", "sketch"), [], []
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         level = materialise(level.join(sizes, "path"))
@@ -221,8 +231,9 @@ def candidate_edges(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         if full.isEmpty():
             break
         hubs = full.groupBy("path").agg(F.min("rid").alias("hub"))
-        full = full.join(hubs, "path").join(sigs, "rid").join(sigs.select(F.col("rid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        full = materialise(full.select("path", "rid", "hub", "sig", "hub_sig").mapInArrow(_agreement, "path long, rid long, hub long, close int"))
+        hubs = hubs.join(sketches.select(F.col("rid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+        full = full.join(sketches, "rid").join(hubs, "path")
+        full = materialise(full.select("path", "rid", "hub", "sketch", "hub_sketch").mapInArrow(_agreement, "path long, rid long, hub long, close int"))
         dense = full.groupBy("path").agg(F.avg("close").alias("part")).withColumn("stays", (F.col("part") >= DENSE) | F.lit(depth == LEVELS))
         full = full.join(dense, "path")
         edges.append(full.filter("stays and rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct())
@@ -232,8 +243,8 @@ def candidate_edges(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         paths = paths.unionByName(x)
     # the runs repeat many leaves; each set of texts is looked at once
     groups = paths.groupBy("path").agg(F.sort_array(F.collect_set("rid")).alias("rids")).groupBy("rids").agg(F.min("path").alias("gid"))
-    members = groups.select("gid", F.explode("rids").alias("rid")).join(sigs, "rid")
-    out = grouped(members.select("gid", "rid", "sig"), ["gid"], _sketch, "a long, b long")
+    members = groups.select("gid", F.explode("rids").alias("rid")).join(sketches, "rid")
+    out = grouped(members.select("gid", "rid", "sketch"), ["gid"], _sketch, "a long, b long")
     for x in edges:
         out = out.unionByName(x)
     return out
@@ -253,14 +264,18 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     docs = docs.withColumn("key", F.unhex(F.md5("text")))
-    rows = materialise(docs.mapInArrow(_embed, "doc_id long, key binary, n_shingles int, sig binary"))
-    texts = rows.filter("n_shingles > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
+    rows = materialise(docs.mapInArrow(_embed, "doc_id long, key binary, n_shingles int, sig binary, sketch binary"))
+    texts = rows.filter("n_shingles > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
     texts = materialise(texts.withColumn("rid", F.monotonically_increasing_id()))
 
     nodes = components(candidate_edges(texts, recall))
     blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = nodes.withColumnRenamed("node", "rid").join(blocks, "component").join(texts.select("rid", "key", "n_copies"), "rid")
-    bodies = docs.select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
+    members = materialise(members)
+    wanted = members.select("key")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    bodies = docs.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
+    bodies = bodies.groupBy("key").agg(F.first("text").alias("text"))
     members = bodies.join(members, "key").select("rid", "component", "blocks", "n_copies", "text")
     sets = members.mapInArrow(_sets, "rid long, component long, blocks int, n_copies long, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
