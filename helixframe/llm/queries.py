@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontamination, html_extraction, jaccard_join, online_packing, quality, secrets, sharding, token_packing, toxicity
+from helixframe.llm import chat, decontamination, html_extraction, jaccard_join, online_packing, oracles, quality, secrets, sharding, token_packing, toxicity
 from helixframe.llm.common import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE_SQL}
+    return dict(oracles.SQL)
