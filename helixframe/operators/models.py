@@ -217,3 +217,35 @@ def cluster_labels(rows: DataFrame, by: list[str], sample: int = SAMPLE) -> Data
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
 
     return rows.join(model, by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
+
+
+def train_heuristic(rows: DataFrame, keys: list[str], held_out: float = 0.1, seed: int = 42) -> DataFrame:
+    """One row of measures on held-out rows of a logistic scorer over the features; rows: keys, features, label (0.0, 1.0).
+
+    The split is by a hash of the keys, scaling is learnt from the training part alone, and training runs over all of it.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    from helixframe.operators.matching import confusion
+
+    part = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < 1000 * held_out
+    ready = rows.select("label", part.alias("held"), array_to_vector("features").alias("raw"))
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
+    model = Pipeline(stages=[scaler, LogisticRegression(featuresCol="scaled", regParam=1e-3, maxIter=30)]).fit(ready.filter("not held"))
+    scored = model.transform(ready.filter("held")).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+    return confusion(scored, "label", "predicted")
+
+
+def save_model(model: DataFrame, path: str) -> None:
+    """Model tables are Parquet, one row a genome."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_svm(spark, path: str) -> DataFrame:
+    """A stored table of ``train_svm``; rows whose arrays don't fit together fail."""
+    model = spark.read.parquet(path)
+    sound = (F.size("weights") == FOURIER) & (F.size("low") == F.size("high")) & (F.col("gamma") > 0)
+    return model.withColumn("gamma", F.when(sound, F.col("gamma")).otherwise(F.raise_error(F.lit("not a sound classifier"))))

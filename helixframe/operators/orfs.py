@@ -20,8 +20,8 @@ NEAR, PARTIAL, LONGEST = 75, 60, 50_000
 #: The start type of a frame that begins before the contig.
 OPEN5 = 5
 
-SCHEMA = "genome_id string, contig_id long, strand int, frame int, starts array<int>, types array<int>, start int, end int, len int, edge_type int, n_gc int, n_g2 int, rstart int, rend int, nt string"
-_ARROW = pa.schema([("genome_id", pa.string()), ("contig_id", pa.int64()), ("strand", pa.int32()), ("frame", pa.int32()), ("starts", pa.list_(pa.int32())), ("types", pa.list_(pa.int32())), *((n, pa.int32()) for n in ("start", "end", "len", "edge_type", "n_gc", "n_g2", "rstart", "rend")), ("nt", pa.string())])
+SCHEMA = "genome_id string, contig_id long, name string, contig_len int, strand int, frame int, starts array<int>, types array<int>, start int, end int, len int, edge_type int, n_gc int, n_g2 int, rstart int, rend int, nt string"
+_ARROW = pa.schema([("genome_id", pa.string()), ("contig_id", pa.int64()), ("name", pa.string()), ("contig_len", pa.int32()), ("strand", pa.int32()), ("frame", pa.int32()), ("starts", pa.list_(pa.int32())), ("types", pa.list_(pa.int32())), *((n, pa.int32()) for n in ("start", "end", "len", "edge_type", "n_gc", "n_g2", "rstart", "rend")), ("nt", pa.string())])
 
 _COMPLEMENT = str.maketrans(LETTERS, COMPLEMENT_LETTERS)
 
@@ -112,7 +112,7 @@ def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool =
 
 
 def find_orfs(contigs: DataFrame, minlen: int = 90, table: str = "11", meta: bool = False, complete_only: bool = False, sequences: bool = False) -> DataFrame:
-    """ORFs of contigs (genome_id, contig_id, circ, seq).
+    """ORFs of contigs (genome_id, contig_id, circ, seq and perhaps name); a contig's name and length come with its ORFs.
 
     start and end are 0-based, half-open and count along the strand; rstart and rend are 1-based, inclusive and forward.
     edge_type: 5 open at the 5' end, 3 at the 3' end, 8 both. ``complete_only`` gives the ORFs from the first start after a
@@ -122,16 +122,17 @@ def find_orfs(contigs: DataFrame, minlen: int = 90, table: str = "11", meta: boo
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for genome, contig, circ, seq in zip(*(b.column(c).to_pylist() for c in ("genome_id", "contig_id", "circ", "seq")), strict=True):
+            for genome, contig, name, circ, seq in zip(*(b.column(c).to_pylist() for c in ("genome_id", "contig_id", "name", "circ", "seq")), strict=True):
                 for row in scan(seq, bool(circ) and not complete_only, minlen, table, meta, complete_only):
-                    rows.append((genome, contig, *row) if sequences else (genome, contig, *row[:-1], None))
+                    rows.append((genome, contig, name, len(seq), *(row if sequences else row[:-1] + (None,))))
                 if len(rows) > 2000:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    ready = contigs.filter(F.length("seq") >= minlen).select("genome_id", F.col("contig_id").cast("long").alias("contig_id"), "circ", "seq")
+    name = F.col("name") if "name" in contigs.columns else F.col("contig_id").cast("string")
+    ready = contigs.filter(F.length("seq") >= minlen).select("genome_id", F.col("contig_id").cast("long").alias("contig_id"), name.alias("name"), "circ", "seq")
     out = ready.mapInArrow(function, SCHEMA)
     return out if sequences else out.drop("nt")
 

@@ -91,10 +91,8 @@ def find_genes(contigs: DataFrame, options: Options = Options(), networks: dict[
     return genes(refined_scores(first), options)
 
 
-def overlap_report(found: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
+def overlap_report(found: DataFrame, options: Options = Options()) -> DataFrame:
     """Overlapping pairs, two rows each in the order of the left gene: pair, side and the gene's columns."""
-    lengths = contigs.select("contig_id", F.length("seq").alias("contig_len"))
-    placed = found.join(lengths, "contig_id")
-    pairs = intervals.overlap_pairs(placed, options.min_overlap)
+    pairs = intervals.overlap_pairs(found, options.min_overlap)
     sides = pairs.select("genome_id", F.concat_ws("-", "left", "right").alias("pair"), "olen", F.explode(F.array("left", "right")).alias("idx"))
     return sides.join(found, ["genome_id", "idx"])

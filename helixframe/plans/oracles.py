@@ -216,3 +216,11 @@ SELECT genome_id, code, score FROM (
 TINY_MLP = """, scaled AS (SELECT contig_id, strand, "end", k, (value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END AS x FROM mono JOIN stats USING (k)),
 layer AS (SELECT contig_id, strand, "end", greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) + 0.1) AS a, greatest(0, sum(0.25 * x) - 0.2) AS b FROM scaled GROUP BY ALL)
 SELECT contig_id, strand, "end", round(1 / (1 + exp(-(0.5 * a - b + 0.3) / 2)), 6) AS score FROM layer"""
+
+FEATURE_LINES = f"""
+SELECT g.contig_id, idx, md5('     ' || CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END || repeat(' ', 13) || CASE g.strand WHEN 1 THEN 'complement(' || rstart || '..' || rend || ')' ELSE rstart || '..' || rend END
+  || chr(10) || repeat(' ', 21) || '/locus_tag=' || printf('ORF%06d', idx + 1)
+  || chr(10) || repeat(' ', 21) || '/transl_table=11' || chr(10) || repeat(' ', 21) || '/codon_start=1'
+  || chr(10) || repeat(' ', 21) || '/note="Derived by protein-coding gene prediction method: helixframe"'
+  || chr(10) || repeat(' ', 21) || '/translation="' || protein || '"') AS digest
+FROM genes g JOIN proteins p ON p.contig_id = g.contig_id AND p.strand = g.strand AND p."end" = g."end" """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import decoys, features, intervals, matching, models, ordered, orfs, startmodel
+from helixframe.operators import decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
 from helixframe.sources.contigs import document_contigs
@@ -102,7 +102,7 @@ def orf_circular(spark, sf_dir):
 
 def _scanned(spark, sf_dir, which):
     found = orfs.find_orfs(document_contigs(spark, sf_dir).filter(which), 90)
-    return found.withColumn("starts", F.array_join("starts", ",")).withColumn("types", F.array_join("types", ","))
+    return found.drop("name", "contig_len").withColumn("starts", F.array_join("starts", ",")).withColumn("types", F.array_join("types", ","))
 
 
 @query(O.COMPLETE + "SELECT contig_id, strand, \"end\", round(n_gc / len, 6) AS gc, round(n_g2 * 3 / len, 6) AS g2 FROM complete WHERE len >= 200 AND (n_gc / len <= 0.57 OR n_g2 * 3 / len < 0.2 * (n_gc / len) + 0.12)")
@@ -112,7 +112,7 @@ def orf_seed_filter(spark, sf_dir):
 
 
 def genes(spark, sf_dir, sequences: bool = False) -> DataFrame:
-    found = complete_orfs(spark, sf_dir, sequences).join(document_contigs(spark, sf_dir).select("contig_id", "name", F.col("len").alias("contig_len")), "contig_id")
+    found = complete_orfs(spark, sf_dir, sequences)
     numbered = ordered.numbered(found, ["genome_id"], ["contig_id"], ["rend", "strand", "rstart"])
     score = rounded(orfs.gc_content())
     return numbered.withColumn("i_score", score - 0.4).withColumn("t_score", score).withColumn("r_score", rounded(orfs.g2_content()))
@@ -340,8 +340,7 @@ def fasta_header(spark, sf_dir):
 
 @query(O.SCAN + O.LOCATIONS + "SELECT contig_id, strand, frame, \"end\", location FROM locations")
 def gbk_location(spark, sf_dir):
-    c = document_contigs(spark, sf_dir)
-    found = orfs.find_orfs(c, 90).join(c.select("contig_id", F.col("len").alias("contig_len")), "contig_id")
+    found = orfs.find_orfs(document_contigs(spark, sf_dir), 90)
     return found.select("contig_id", "strand", "frame", "end", writers.location().alias("location"))
 
 
@@ -422,3 +421,47 @@ def kmeans_label(spark, sf_dir):
 def decoy_manifest(spark, sf_dir):
     """Decoy genes placed in the gaps of each contig, with their positions' digest; placement is random but seeded."""
     return decoys.insert_decoys(document_contigs(spark, sf_dir)).drop("seq", "decoys")
+
+
+@query(O.COMPLETE + O.MONO + "SELECT contig_id, strand, \"end\", k, round((value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END, 5) AS value FROM mono JOIN (SELECT genome_id, k, avg(value) AS mean, stddev_pop(value) AS sd FROM mono GROUP BY ALL) USING (genome_id, k) WHERE len >= 600")
+def zscore(spark, sf_dir):
+    """The one-base features of long ORFs, standardised over their genome's ORFs."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt")).withColumn("features", F.slice("features", 1, 9))
+    stats = features.moments(rows, ["genome_id"])
+    norms = features.as_array(stats, ["genome_id"], F.col("mean"), "mean").join(features.as_array(stats, ["genome_id"], F.col("sd"), "sd"), "genome_id")
+    out = rows.filter("len >= 600").join(norms, "genome_id")
+    out = out.select("contig_id", "strand", "end", F.posexplode(features.standardised(F.col("features"), F.col("mean"), F.col("sd"))).alias("k", "value"))
+    return out.withColumn("value", F.round("value", 5))
+
+
+@query(O.COMPLETE + "SELECT contig_id, strand, \"end\", j::INT AS j, candidate FROM (SELECT contig_id, strand, \"end\", unnest(starts[1:5]) AS candidate, unnest(range(len(starts[1:5]))) AS j FROM complete)")
+def candidate_prefix(spark, sf_dir):
+    """The first five starts of every ORF."""
+    return complete_orfs(spark, sf_dir).select("contig_id", "strand", "end", F.posexplode(F.slice("starts", 1, 5)).alias("j", "candidate"))
+
+
+@query(O.COMPLETE + "SELECT contig_id, strand, \"end\", md5(nt) AS digest FROM complete")
+def orf_sequence(spark, sf_dir):
+    return complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", F.md5("nt").alias("digest"))
+
+
+@query(O.GENES + O.PROTEIN + O.FEATURE_LINES)
+def gbk_feature(spark, sf_dir):
+    return genes(spark, sf_dir, True).select("contig_id", "idx", F.md5(writers.genbank_feature()).alias("digest"))
+
+
+@query()
+def start_network(spark, sf_dir):
+    """Starts chosen by the convolution network, with weights drawn by a fixed seed; tests hold its layers."""
+    windows = startmodel.start_windows(document_contigs(spark, sf_dir))
+    scores = networks.start_scores(windows, networks.random_start_network(7))
+    best = ordered.early_exit(scores.withColumn("score", F.round("score", 5)), ["contig_id", "strand", "end"], "score", "j", networks.FIRST, networks.ENOUGH)
+    return best.select("contig_id", "strand", "end", "j", "score")
+
+
+@query()
+def heuristic_training(spark, sf_dir):
+    """A scorer trained to tell long ORFs from short ones, with its measures on the held-out tenth."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "len", "nt"))
+    rows = rows.filter("len >= 300 or len < 150").withColumn("label", (F.col("len") >= 300).cast("double"))
+    return models.train_heuristic(rows, ["contig_id", "strand", "end"])

@@ -185,7 +185,7 @@ def test_gene_finder(spark):
     genes = gene_finder.find_genes(c, gene_finder.Options(threshold=0.3))
     rows = genes.orderBy("idx").collect()
     assert [r.idx for r in rows] == list(range(len(rows))) and rows
-    report = gene_finder.overlap_report(genes, c, gene_finder.Options(min_overlap=30))
+    report = gene_finder.overlap_report(genes, gene_finder.Options(min_overlap=30))
     assert report.count() % 2 == 0
     with pytest.raises(gene_finder.BadOption):
         gene_finder.Options(minlen=60)
