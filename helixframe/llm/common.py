@@ -10,8 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; a batch of very long texts stays within a worker's memory.
-ARROW_ROWS = "512"
+#: Rows handed to Python at once, so that a batch of long texts, which both sides of the pipe hold, stays small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+
+
+def configure(spark: SparkSession) -> None:
+    """Set what the operators need of the session: small Arrow batches."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,11 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
+    configure(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,7 +93,7 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class Hashes(dict):
     """word -> stable signed 64-bit hash, kept for a bounded number of words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         import xxhash
 
         super().__init__()

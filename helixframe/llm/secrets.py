@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_chunks, records
+from helixframe.llm.common import configure, in_chunks, records
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -149,5 +149,6 @@ def redact(docs: DataFrame) -> DataFrame:
             new = pa.array([None if t is None else redacted(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
 
+    configure(docs.sparkSession)
     out = docs.mapInArrow(function, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

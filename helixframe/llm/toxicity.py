@@ -69,7 +69,7 @@ def held_out(doc_id) -> "F.Column":
 class Words(dict):
     """token -> its features, for a bounded number of tokens."""
 
-    def __init__(self, known: dict[str, int] | None = None, limit: int = 400_000):
+    def __init__(self, known: dict[str, int] | None = None, limit: int = 200_000):
         super().__init__()
         self.known, self.limit = known, limit
 
