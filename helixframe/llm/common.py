@@ -36,6 +36,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """With a broadcast hint if the table has no more than so many rows; else Spark joins by a shuffle and splits skewed keys."""
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

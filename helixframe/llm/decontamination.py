@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialise, utf8
+from helixframe.llm.common import bounded, materialise, utf8
 
 WINDOW = 8
 #: Words of a window that aren't placeholders.
@@ -69,12 +69,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return _inner(windows, windows.groupBy("item_id").agg(F.countDistinct("i").alias("n_windows")), ["item_id"])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if it has few rows; else Spark shuffles and splits skewed keys."""
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
-
-
 def _key() -> tuple[Column, ...]:
     return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8(F.col("text"))).alias("text_hash")
 
@@ -92,12 +86,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(item_windows(benchmark))
     words = docs.select(*_key(), template_words(marked(F.col("text"))).alias("words"))
     windows = words.select("doc_id", "text_hash", F.explode(_placed(F.col("words"))).alias("x")).select("doc_id", "text_hash", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
-    hits = windows.join(_bounded(items), "h").select("doc_id", "text_hash", "item_id", "n_windows", "pos", "i", (F.col("pos") - F.col("i")).alias("diagonal"))
+    hits = windows.join(bounded(items, BROADCAST_ROWS), "h").select("doc_id", "text_hash", "item_id", "n_windows", "pos", "i", (F.col("pos") - F.col("i")).alias("diagonal"))
     hits = materialise(hits.distinct())
 
     # values of the slots, for the documents and items that met
     keys = materialise(hits.select("doc_id", "text_hash").distinct())
-    near = _semi(docs.select(*_key(), "text"), _bounded(keys))
+    near = _semi(docs.select(*_key(), "text"), bounded(keys, BROADCAST_ROWS))
     near = near.dropDuplicates(["doc_id", "text_hash"]).withColumn("m", marked(F.col("text")))
     slots = near.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(template_words(F.col("m")).alias("t"), raw_words(F.col("m")).alias("v"))).alias("at", "x")).filter(F.col("x.t").startswith("#"))
     slots = slots.select("doc_id", "text_hash", (F.col("at") + 1).alias("at"), F.lower("x.v").alias("value"))
@@ -144,4 +138,4 @@ def _semi(left: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that meet no benchmark item, with all their columns."""
     found = materialise(decontaminate(docs, benchmark).select("doc_id", "text_hash").distinct())
-    return _semi(docs.withColumn("text_hash", F.xxhash64(utf8(F.col("text")))), _bounded(found), "left_anti").drop("text_hash")
+    return _semi(docs.withColumn("text_hash", F.xxhash64(utf8(F.col("text")))), bounded(found, BROADCAST_ROWS), "left_anti").drop("text_hash")

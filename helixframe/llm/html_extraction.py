@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_chunks, materialise, records, utf8
+from helixframe.llm.common import bounded, in_chunks, materialise, records, utf8
 
 #: A text is template at a node if it stands there in this share of a host's different pages, and in this many at least.
 SHARE = 0.6
 LEAST = 5
 #: Elements below this depth count as part of the one at it.
 DEPTH = 60
+#: Hosts with a template up to which the wrappers, short rows each, are broadcast.
+BROADCAST_HOSTS = 20_000
 
 #: Element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -345,5 +347,5 @@ def extract_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
     """
     wrappers = materialise(induce(pages, share, least))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), utf8(F.col("html")).alias("html"))
-    dressed = pages.join(wrappers, "host", "left").select("page_id", "url", "html", "reference", "template")
+    dressed = pages.join(bounded(wrappers, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "reference", "template")
     return dressed.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

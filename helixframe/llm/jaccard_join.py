@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MIX, Hashes, batch, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, utf8
+from helixframe.llm.common import MIX, Hashes, batch, bounded, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, utf8
 from helixframe.llm.graph import components
 
 SIMILARITY = 0.8
@@ -272,7 +272,7 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = nodes.withColumnRenamed("node", "rid").join(blocks, "component").join(texts.select("rid", "key", "n_copies"), "rid")
     members = materialise(members)
-    bodies = docs.select("key", "text").join(_bounded(members.select("key")), "key", "left_semi")
+    bodies = docs.select("key", "text").join(bounded(members.select("key"), BROADCAST_ROWS), "key", "left_semi")
     bodies = bodies.groupBy("key").agg(F.first("text").alias("text"))
     members = bodies.join(members, "key").select("rid", "component", "blocks", "n_copies", "text")
     sets = members.mapInArrow(_sets, "rid long, component long, blocks int, n_copies long, shingles binary")
@@ -298,12 +298,6 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     )
 
 
-def _bounded(keys: DataFrame) -> DataFrame:
-    """Broadcast if it is known to be small; else Spark joins by a shuffle and splits skewed keys."""
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(keys) if few else keys
-
-
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The documents of which one stays for each class, with all their columns.
 
@@ -313,9 +307,9 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     found = materialise(jaccard_join(docs, recall).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_head"), "is_kept"))
     keyed = docs.withColumn("_key", F.unhex(F.md5(utf8(F.col("text")))))
     same = (F.col("_key") == F.col("_head")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    out = keyed.join(_bounded(found.filter("not is_kept").select("_id", "_head").distinct()), same, "left_anti")
+    out = keyed.join(bounded(found.filter("not is_kept").select("_id", "_head").distinct(), BROADCAST_ROWS), same, "left_anti")
     again = materialise(found.filter("is_kept").groupBy("_id", "_head").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
-        again = _bounded(again)
+        again = bounded(again, BROADCAST_ROWS)
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"]))
     return out.drop("_key")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_chunks, materialise, records, utf8
+from helixframe.llm.common import bounded, in_chunks, materialise, records, utf8
 
 MIN_WORDS = 10
 #: In percent of the words.
@@ -25,6 +25,8 @@ WINDOW = 5
 SHARE = 0.1
 LEAST = 20
 MIN_LEFT = 0.3
+#: Hosts with frequent lines up to which their lines, fewer than 10 times a text's for each, are broadcast.
+BROADCAST_HOSTS = 20_000
 
 SPACES = " \t\n\r\x0b\x0c"
 _RUN = re.compile(rf"[{SPACES}]+")
@@ -145,8 +147,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def filter_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The documents that are kept, with all their columns; ``text`` without its frequent lines, ``n_chars`` to match."""
     frequent = materialise(frequent_lines(_measured(docs), share, least))
-    drops = frequent.groupBy("host").agg(F.collect_list("line").alias("_drop"))
-    tagged = docs.withColumn("_host", utf8(F.col("source").cast("string"))).join(drops.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
+    drops = materialise(frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_drop")))
+    tagged = docs.withColumn("_host", utf8(F.col("source").cast("string"))).join(bounded(drops, BROADCAST_HOSTS), "_host", "left").drop("_host")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     out = tagged.select(*(F.col(f"`{n}`") for n in docs.columns), "_drop").mapInArrow(_cleaned, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
