@@ -6,6 +6,7 @@ them, so sequences never move between tasks and only short ORF rows leave the sc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,18 +43,22 @@ def address(codon: str) -> int:
     return 16 * a + 4 * b + c
 
 
-def _frames(codes: np.ndarray, length: int, circular: bool, starts: list[str], stops: list[str], last: bool) -> Iterator[tuple[int, list[int], list[int], int, bool]]:
+@functools.lru_cache(maxsize=None)
+def kinds(table: str) -> np.ndarray:
+    """By codon address: the start's number, -1 for a stop, -2 for others and, at the end, for ambiguous codons."""
+    out = np.full(65, -2)
+    out[[address(c) for c in start_codons(table)]] = range(len(start_codons(table)))
+    out[[address(c) for c in stop_codons(table)]] = -1
+    return out
+
+
+def _frames(codes: np.ndarray, length: int, circular: bool, table: str, last: bool) -> Iterator[tuple[int, list[int], list[int], int, bool]]:
     """(frame, starts, types, end, runs off the end) of every stretch that ends in a stop or, on a linear contig, at its end.
 
     The codon at the very end is looked at only with ``last``.
     """
     codon = np.where((codes[:-2] < 0) | (codes[1:-1] < 0) | (codes[2:] < 0), -1, 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]) if len(codes) > 2 else np.empty(0, np.int64)
-    kind = np.full(65, -2)
-    for i, c in enumerate(starts):
-        kind[address(c)] = i
-    for c in stops:
-        kind[address(c)] = -1
-    kind = kind[codon]
+    kind = kinds(table)[codon]
     for frame in range(3):
         at = np.arange(frame, max(frame, len(codes) - 3 + last), 3)
         here = kind[at] if len(at) else np.empty(0, np.int64)
@@ -88,7 +93,7 @@ def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool =
         gc = np.concatenate([[0], np.cumsum((codes == 1) | (codes == 3))])
         g = (codes == 3).astype(np.int64)
         found = []
-        for frame, s, k, end, open3 in _frames(codes, length, circular, start_codons(table), stop_codons(table), complete_only):
+        for frame, s, k, end, open3 in _frames(codes, length, circular, table, complete_only):
             open5 = k[0] == OPEN5
             if complete_only:
                 if open3:

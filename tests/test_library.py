@@ -52,6 +52,13 @@ def test_zcurve():
     assert np.allclose(features.zcurve("RTG"), (features.zcurve("ATG") + features.zcurve("GTG")) / 2)
 
 
+def test_zcurves_together():
+    rng = random.Random(6)
+    seqs = ["", "A", "ACG", "NNN", "acgt", *("".join(rng.choices("ACGTacgtRN", weights=[9] * 8 + [w, w], k=rng.randint(0, 90))) for w in (0, 0, 0.2) * 20)]
+    for truncate in (True, False):
+        assert np.allclose(features.zcurves(seqs, truncate), [features.zcurve(s, truncate) for s in seqs])
+
+
 def test_moments_and_scaling(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(3, 2, (200, 4))
