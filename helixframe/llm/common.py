@@ -36,6 +36,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where the table has such a column already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """With a broadcast hint if the table has no more than so many rows; else Spark joins by a shuffle and splits skewed keys."""
     few = df.limit(rows + 1).count() <= rows

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounded, materialise, utf8
+from helixframe.llm.common import bounded, free_names, materialise, utf8
 
 WINDOW = 8
 #: Words of a window that aren't placeholders.
@@ -130,12 +130,14 @@ def _inner(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
 
 
 def _semi(left: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of the left whose (doc_id, text_hash) the keys have."""
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return left.join(keys, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), how)
+    """Rows of the left, documents, whose doc_id and text's hash the keys have."""
+    own, id_, other = free_names(left, "own_hash", "other_id", "other_hash")
+    keys = keys.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(other))
+    keyed = left.withColumn(own, F.xxhash64(utf8(F.col("text"))))
+    return keyed.join(keys, (F.col(own) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), how).drop(own)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that meet no benchmark item, with all their columns."""
     found = materialise(decontaminate(docs, benchmark).select("doc_id", "text_hash").distinct())
-    return _semi(docs.withColumn("text_hash", F.xxhash64(utf8(F.col("text")))), bounded(found, BROADCAST_ROWS), "left_anti").drop("text_hash")
+    return _semi(docs, bounded(found, BROADCAST_ROWS), "left_anti")

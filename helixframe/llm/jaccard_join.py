@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MIX, Hashes, batch, bounded, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, utf8
+from helixframe.llm.common import MIX, Hashes, batch, bounded, free_names, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, utf8
 from helixframe.llm.graph import components
 
 SIMILARITY = 0.8
@@ -304,12 +304,13 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     Of rows that agree in doc_id and text one stays. The documents that go, fewer than those that stay, are taken out by
     an anti-join, so that texts needn't move while the keys of those that go are few.
     """
-    found = materialise(jaccard_join(docs, recall).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_head"), "is_kept"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(utf8(F.col("text")))))
-    same = (F.col("_key") == F.col("_head")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    out = keyed.join(bounded(found.filter("not is_kept").select("_id", "_head").distinct(), BROADCAST_ROWS), same, "left_anti")
-    again = materialise(found.filter("is_kept").groupBy("_id", "_head").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    own, id_, key = free_names(docs, "own_key", "other_id", "other_key")
+    found = materialise(jaccard_join(docs, recall).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "is_kept"))
+    keyed = docs.withColumn(own, F.unhex(F.md5(utf8(F.col("text")))))
+    same = (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    out = keyed.join(bounded(found.filter("not is_kept").select(id_, key).distinct(), BROADCAST_ROWS), same, "left_anti")
+    again = materialise(found.filter("is_kept").groupBy(id_, key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
         again = bounded(again, BROADCAST_ROWS)
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return out.drop("_key")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return out.drop(own)

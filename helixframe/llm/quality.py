@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounded, in_chunks, materialise, records, utf8
+from helixframe.llm.common import bounded, free_names, in_chunks, materialise, records, utf8
 
 MIN_WORDS = 10
 #: In percent of the words.
@@ -127,9 +127,10 @@ def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST) ->
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the hashes of the lines to drop as their last column."""
     for b in batches:
         texts, kept = [], []
-        for text, drop in zip(b.column("text").to_pylist(), b.column("_drop").to_pylist(), strict=True):
+        for text, drop in zip(b.column("text").to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
             text = text or ""
             drop = set(drop or ())
             lines = [x for x in text.split("\n") if not drop or line_hash(x) not in drop]
@@ -139,16 +140,17 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             failed = before < MIN_WORDS or 100 * old_repeat > MOST_REPEATED * before
             kept.append(not failed and n_words >= MIN_WORDS and n_words >= MIN_LEFT * before)
             texts.append(new)
-        columns = [pa.array(texts, b.schema.field(n).type) if n == "text" else b.column(n) for n in b.schema.names if n != "_drop"]
-        names = [n for n in b.schema.names if n != "_drop"]
+        names = b.schema.names[:-1]
+        columns = [pa.array(texts, b.schema.field(n).type) if n == "text" else b.column(n) for n in names]
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept))
 
 
 def filter_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The documents that are kept, with all their columns; ``text`` without its frequent lines, ``n_chars`` to match."""
     frequent = materialise(frequent_lines(_measured(docs), share, least))
-    drops = materialise(frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_drop")))
-    tagged = docs.withColumn("_host", utf8(F.col("source").cast("string"))).join(bounded(drops, BROADCAST_HOSTS), "_host", "left").drop("_host")
+    host, drop = free_names(docs, "host", "drop")
+    drops = materialise(frequent.groupBy(F.col("host").alias(host)).agg(F.collect_list("line").alias(drop)))
+    tagged = docs.withColumn(host, utf8(F.col("source").cast("string"))).join(bounded(drops, BROADCAST_HOSTS), host, "left").drop(host)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = tagged.select(*(F.col(f"`{n}`") for n in docs.columns), "_drop").mapInArrow(_cleaned, schema)
+    out = tagged.select(*(F.col(f"`{n}`") for n in docs.columns), drop).mapInArrow(_cleaned, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -19,7 +19,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session")
 def messy(spark):
     """Nulls in every column, empty and long texts, repeated rows and ids, and columns whose names an operator may use."""
-    return spark.createDataFrame([(*r, 7, 8, 9) for r in ROWS], SCHEMA + ", key int, path int, `component` int")
+    names = ["key", "path", "component", "host", "Drop", "own_key", "other_id", "other_key", "text_hash", "own_hash", "other_hash", "words", "n", "x", "row", "rid"]
+    return spark.createDataFrame([(*r, *range(len(names))) for r in ROWS], SCHEMA + "".join(f", `{n}` int" for n in names))
 
 
 @pytest.fixture(scope="session")
