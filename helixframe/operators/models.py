@@ -1,11 +1,13 @@
 """Scoring and training of per-genome models on feature rows.
 
-Models are fitted on a bounded sample of each genome, drawn by a hash before the shuffle, so a genome with a third of all
-rows trains in one task's memory; every row is then scored where it lies, against the joined model of its genome.
+A classifier is fitted on a bounded sample of each genome's labels, drawn by a hash before the shuffle, so a genome with a
+third of all rows trains in one task's memory; its scaling is that of all labelled rows. Clusters are fitted on all rows:
+each task sums its rows by cluster. Every row is then scored where it lies, against the joined model of its genome.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a genome's model is fitted on, on average at most; random Fourier features; passes over the sample.
+from helixframe.operators import features
+
+#: Rows of a label that a genome's classifier is fitted on, on average at most; random Fourier features; passes over the sample.
 SAMPLE, FOURIER, PASSES = 4000, 256, 60
 #: Largest and smallest number of clusters; restarts; k-means steps.
 RESTARTS, STEPS, DRIFT = 10, 100, 1e-4
+#: Rows clustered together; groups up to which centroids are broadcast.
+BLOCK, BROADCAST_GROUPS = 1000, 1000
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
 @dataclass
@@ -65,11 +72,36 @@ def mlp_scores(rows: DataFrame, network: Network | dict[int, Network], bin_colum
     return rows.mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
-def sampled(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """About ``most`` rows of each larger group, by a hash of the row; counting needs no shuffle of the rows themselves."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    chance = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "features"]), F.lit(1_000_003)) / 1_000_003
-    return rows.join(sizes, by).filter(chance < most / F.col("_n")).drop("_n")
+def sampled(rows: DataFrame, by: list[str], most: int, sizes: DataFrame | None = None) -> DataFrame:
+    """About ``most`` rows of each larger group, by a hash of all columns, so ``rows`` has to hold a key that tells copies apart.
+
+    sizes: (by, _n), counted here unless given; it is broadcast, so the rows aren't shuffled to be drawn.
+    """
+    if sizes is None:
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    chance = F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_003)) / 1_000_003
+    return rows.join(F.broadcast(sizes), by).filter(chance < most / F.col("_n")).drop("_n")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint; a folder is chosen only where none is set."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def _bounded(groups: DataFrame) -> DataFrame:
+    """With a broadcast hint if the groups are few, so that rows meet their group's model where they lie."""
+    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+
+
+def _merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """``features.moments`` of groups from those of their parts."""
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    squares = F.sum(F.col("n") * (F.col("sd") * F.col("sd") + F.col("mean") * F.col("mean"))) / F.sum("n")
+    whole = parts.groupBy(*by, "k").agg(n.alias("n"), mean.alias("mean"), squares.alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return whole.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("squares") - F.col("mean") * F.col("mean")))).drop("squares")
 
 
 def _fourier(dimension: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,22 +120,28 @@ def _mapped(x: np.ndarray, low: np.ndarray, high: np.ndarray, gamma: float) -> n
 def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMPLE) -> DataFrame:
     """(by, weights, bias, low, high, gamma): a soft-margin classifier with a radial kernel for each group.
 
-    rows: by, features and label (1, -1, or null for rows that aren't used). Features are scaled to the group's ranges,
-    gamma is 1 / (features * variance); the kernel is approached by random Fourier features and the margin found by
-    averaged subgradient steps. A group without both labels has no model.
+    rows: by, features, label (1, -1, or null for rows that aren't used) and the row's own key, which draws at most about
+    ``sample`` rows of each label. Features are scaled to the ranges of all labelled rows, gamma is 1 / (features * variance);
+    the kernel is approached by random Fourier features and the margin found by averaged subgradient steps. A group without
+    both labels has no model.
     """
-    used = sampled(rows.filter("label is not null").select(*by, "features", "label"), by, sample)
+    labelled = rows.filter("label is not null")
+    parts = _kept(features.moments(labelled, [*by, "label"]))
+    used = sampled(labelled, [*by, "label"], sample, parts.filter("k = 0").select(*by, "label", F.col("n").alias("_n"))).select(*by, "features", "label")
+    stats = features.min_max(_merged(parts, by))
+    stats = stats.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "low", "high", "mean", "sd"))).alias("x")).select(*by, *(F.col(f"x.{c}").alias(c) for c in ("low", "high", "mean", "sd")))
     kinds = dict(rows.dtypes)
 
-    def function(group: pd.DataFrame) -> pd.DataFrame:
-        y = group["label"].to_numpy(float)
+    def function(group: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "weights", "bias", "low", "high", "gamma"]
-        if len(set(y)) < 2:
+        if not len(ranges) or group["label"].nunique() < 2:
             return pd.DataFrame(columns=names)
-        x = np.stack(group["features"].to_numpy())
-        low, high = np.minimum(1, x.min(axis=0)), np.maximum(0, x.max(axis=0))
-        scaled = np.where(high > low, (x - low) / np.where(high > low, high - low, 1), x)
-        gamma = 1 / (x.shape[1] * max(scaled.var(), 1e-12))
+        y, x = group["label"].to_numpy(float), np.stack(group["features"].to_numpy())
+        low, high, mean, sd = (np.array(ranges[c].iloc[0]) for c in ("low", "high", "mean", "sd"))
+        wide = high > low
+        width = np.where(wide, high - low, 1)
+        mean, sd = np.where(wide, (mean - low) / width, mean), sd / width
+        gamma = 1 / (x.shape[1] * max((sd**2 + mean**2).mean() - mean.mean() ** 2, 1e-12))
         z = np.hstack([_mapped(x, low, high, gamma), np.ones((len(x), 1))])
         weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
         rng, w, total, steps = np.random.default_rng(1), np.zeros(z.shape[1]), np.zeros(z.shape[1]), 0
@@ -121,7 +159,7 @@ def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMP
         return pd.DataFrame([[*group[by].iloc[0], w[:-1].tolist(), w[-1], low.tolist(), high.tolist(), gamma]], columns=names)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", weights array<double>, bias double, low array<double>, high array<double>, gamma double"
-    return used.groupBy(*by).applyInPandas(function, schema)
+    return _kept(used.groupBy(*by).cogroup(stats.groupBy(*by)).applyInPandas(function, schema))
 
 
 def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
@@ -142,7 +180,7 @@ def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
                     score[at] = 1 / (1 + np.exp(-(_mapped(x[at], np.array(low), np.array(high), gamma) @ np.array(w) + bias)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "score"])
 
-    return rows.join(model, by, "left").mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return rows.join(_bounded(model), by, "left").mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
 def auto_clusters(gc: float, table: str = "11") -> int:
@@ -183,22 +221,201 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids**2).sum(axis=1) - 2 * x @ centroids.T).argmin(axis=1)
 
 
-def cluster_labels(rows: DataFrame, by: list[str], sample: int = SAMPLE) -> DataFrame:
-    """The rows with ``features`` replaced by ``i_score``: 0.75 in the coding cluster of their group, else 0.25.
+def _blocks(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x, key, seed): the standardised features of up to ``BLOCK`` rows of a group, their keys and whether they are trusted."""
+    kinds = dict(rows.dtypes)
+
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in by), strict=True)):
+                groups.setdefault(key, []).append(i)
+            if not groups:
+                continue
+            x, key = _matrix(b.column("features")), b.column("_key").to_numpy()
+            seed = np.array(b.column("is_seed").fill_null(False).to_pylist(), np.uint8)
+            out = []
+            for name, at in groups.items():
+                mean, sd = (np.array(b.column(c)[at[0]].as_py()) for c in ("mean", "sd"))
+                z = ((x[at] - mean) / np.where(sd < 1e-9, 1, sd)).astype(np.float32)
+                for i in range(0, len(at), BLOCK):
+                    part = at[i : i + BLOCK]
+                    out.append((*name, z[i : i + BLOCK].tobytes(), key[part].tobytes(), seed[part].tobytes()))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, b.schema.field(k).type) for c, k in zip(columns, by, strict=False)), *(pa.array(c, pa.binary()) for c in columns[len(by) :])], names=[*by, "x", "key", "seed"])
+
+    keyed = rows.withColumn("_key", F.xxhash64(*rows.columns)).select(*by, "features", "is_seed", "_key")
+    return keyed.join(_bounded(stats.select(*by, "mean", "sd")), by).mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", x binary, key binary, seed binary")
+
+
+def _on_blocks(blocks: DataFrame, state: DataFrame, by: list[str], few: bool, function, schema: str) -> DataFrame:
+    """Rows (by, r, ...) that ``function(x, key, seed, r, c)`` gives for each block and each (r, centroids) of its group's state.
+
+    The state is broadcast if its groups are few.
+    """
+    state = state.groupBy(*by).agg(F.collect_list(F.struct("r", "c", "size")).alias("state"))
+    names = [*by, *(x.split()[0] for x in schema.split(", "))]
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                group = [b.column(k)[i].as_py() for k in by]
+                key = np.frombuffer(b.column("key")[i].as_py(), np.int64).view(np.uint64)
+                x = np.frombuffer(b.column("x")[i].as_py(), np.float32).reshape(len(key), -1)
+                seed = np.frombuffer(b.column("seed")[i].as_py(), np.uint8)
+                states = [(s["r"], np.frombuffer(s["c"], np.float64).reshape(-1, x.shape[1])) for s in b.column("state")[i].as_py()]
+                rows = [(*group, *row) for r, c in states for row in function(x, key, seed, r, c)]
+                if rows:
+                    fields = [*(b.schema.field(k).type for k in by), *(ARROW[t.split()[1]] for t in schema.split(", "))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], names=names)
+
+    joined = blocks.join(F.broadcast(state) if few else state, by)
+    return joined.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", " + schema)
+
+
+def _noise(key: np.ndarray, r: int, j: int) -> np.ndarray:
+    """Gumbel noise of each row, restart and draw, from a hash (the splitmix64 finaliser), so that it doesn't depend on tasks."""
+    z = key + np.uint64((1 + r * 64 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return -np.log(-np.log(((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53))
+
 
-    rows: by, features, is_seed, n_gc and len. Features are standardised over the group's sample.
+def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centroids."""
+    return np.maximum(0, (x.astype(float) ** 2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.astype(np.float32).T)
+
+
+def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS) -> DataFrame:
+    """(by, mean, sd, centroids, coding): ``kmeans`` of every group over all its rows, a step of all restarts a pass.
+
+    Each block of rows gives sums by cluster, which are joined by restart, so no task holds a group's rows. The first
+    centroid is the row nearest the trusted rows' mean; a draw by squared distance is the largest log of it plus Gumbel noise.
     """
-    used = sampled(rows.select(*by, "features", "is_seed", "n_gc", "len"), by, sample)
     kinds = dict(rows.dtypes)
+    keyed = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    # n_gc and len are summed with the features, as two more of them
+    wide = rows.select(*by, F.coalesce("is_seed", F.lit(False)).alias("is_seed"), F.concat("features", F.array(F.col("n_gc").cast("double"), F.col("len").cast("double"))).alias("features"))
+    parts = _kept(features.moments(wide, [*by, "is_seed"]))
+    mean, sd = features.as_array(_merged(parts, by), by, F.col("mean"), "mean"), features.as_array(_merged(parts, by), by, F.col("sd"), "sd")
+    trusted = features.as_array(parts.filter("is_seed"), by, F.col("mean"), "trusted")
+    n = parts.filter("k = 0").groupBy(*by).agg(F.sum("n").alias("n"))
+    stats = mean.join(sd, by).join(n, by).join(trusted, by, "left").withColumn("gc", F.element_at("mean", -2) / F.element_at("mean", -1))
+    stats = _kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
+    blocks = _kept(_blocks(rows, stats, by))
+    few = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for *group, mean, sd, near, gc, n in zip(*(b.column(c).to_pylist() for c in [*by, "mean", "sd", "trusted", "gc", "n"]), strict=True):
+                mean, sd = np.array(mean), np.array(sd)
+                point = (np.array(mean if near is None else near) - mean) / np.where(sd < 1e-9, 1, sd)
+                out.append((*group, 0, point.tobytes(), min(auto_clusters(gc), n)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*(b.schema.field(k).type for k in by), pa.int32(), pa.binary(), pa.int32()], strict=True)], names=[*by, "r", "c", "size"])
+
+    def nearest_row(x, key, seed, r, c):
+        d = ((x - c[0]) ** 2).sum(axis=1)
+        i = d.argmin()
+        yield r, float(-d[i]), x[i].astype(float).tobytes()
+
+    def drawn(x, key, seed, r, c):
+        score = np.log(np.maximum(_apart(x, c).min(axis=1), 1e-300)) + _noise(key, r, len(c))
+        i = score.argmax()
+        yield r, float(score[i]), x[i].astype(float).tobytes()
+
+    def best(state, function):
+        parts = _on_blocks(blocks, state, by, few, function, "r int, score double, x binary")
+        return parts.groupBy(*by, "r").agg(F.max_by("x", F.struct("score", "x")).alias("x"))
+
+    start = _kept(stats.mapInArrow(anchor, f"{keyed}, r int, c binary, size int"))
+    first = best(start, nearest_row).drop("r").join(start.select(*by, "size"), by)
+    state = _kept(first.select(*by, F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r"), F.col("x").alias("c"), "size"))
+    for j in range(1, start.agg(F.max("size")).first()[0] or 0):
+        more = best(state.filter(F.col("size") > j), drawn)
+        state = _kept(state.join(more, [*by, "r"], "left").select(*by, "r", F.when(F.col("x").isNull(), F.col("c")).otherwise(F.concat("c", "x")).alias("c"), "size"))
+
+    def sums(x, key, seed, r, c):
+        label = _apart(x, c).argmin(axis=1)
+        one = np.zeros((len(c), len(x)), np.float32)
+        one[label, np.arange(len(x))] = 1
+        yield r, np.hstack([one @ x, one.sum(axis=1)[:, None]]).astype(float).tobytes()
+
+    def moved(group: pd.DataFrame) -> pd.DataFrame:
+        old = group[group["c"].notna()].iloc[0]
+        parts = group.loc[group["sums"].notna(), "sums"]
+        total = np.sum([np.frombuffer(p) for p in parts], axis=0).reshape(int(old["size"]), -1)
+        c = np.frombuffer(old["c"]).reshape(int(old["size"]), -1)
+        new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), c)
+        return pd.DataFrame([[*old[[*by, "r"]], new.tobytes(), int(old["size"]), bool(np.abs(new - c).max() >= DRIFT)]], columns=[*by, "r", "c", "size", "open"])
+
+    state = state.withColumn("open", F.lit(True))
+    for _ in range(steps):
+        running = state.filter("open")
+        if running.isEmpty():
+            break
+        # blocks of a partition are summed before the shuffle
+        parts = _summed(_on_blocks(blocks, running, by, few, sums, "r int, sums binary"), by)
+        both = running.select(*by, "r", "c", "size", F.lit(None).cast("binary").alias("sums")).unionByName(parts, allowMissingColumns=True)
+        new = both.groupBy(*by, "r").applyInPandas(moved, f"{keyed}, r int, c binary, size int, open boolean")
+        state = _kept(state.filter("not open").unionByName(new))
+
+    def sizes(x, key, seed, r, c):
+        label = _apart(x, c).argmin(axis=1)
+        for j, (n, t) in enumerate(zip(np.bincount(label, minlength=len(c)), np.bincount(label, seed, len(c)), strict=True)):
+            yield r, j, int(n), int(t)
+
+    counts = _on_blocks(blocks, state, by, few, sizes, "r int, j int, n long, trusted long").groupBy(*by, "r", "j").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
+    counts = counts.withColumn("density", F.col("trusted") * F.col("trusted") / F.greatest("n", F.lit(1))).groupBy(*by, "r").agg(F.max("density").alias("density"), F.max_by("j", F.struct("density", -F.col("j"))).alias("coding"))
+    rows_of = state.join(counts, [*by, "r"]).select(*by, "r", "density", "coding")
+
+    def chosen(group: pd.DataFrame) -> pd.DataFrame:
+        most, kept = -1.0, None
+        for _, row in group.sort_values("r").iterrows():
+            if row["density"] > 1.01 * most:
+                most, kept = row["density"], row
+        return pd.DataFrame([[*kept[[*by, "r", "coding"]]]], columns=[*by, "r", "coding"])
+
+    choice = rows_of.groupBy(*by).applyInPandas(chosen, f"{keyed}, r int, coding int").join(state.select(*by, "r", "c"), [*by, "r"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = pa.array([np.frombuffer(v).tolist() for v in b.column("c").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in by), c, b.column("coding")], names=[*by, "centroids", "coding"])
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["features"].to_numpy())
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        sd = np.where(sd < 1e-9, 1, sd)
-        c, coding = kmeans((x - mean) / sd, group["is_seed"].to_numpy(bool), auto_clusters(group["n_gc"].sum() / group["len"].sum()))
-        return pd.DataFrame([[*group[by].iloc[0], mean.tolist(), sd.tolist(), c.ravel().tolist(), coding]], columns=[*by, "mean", "sd", "centroids", "coding"])
+    model = choice.select(*by, "c", "coding").mapInArrow(listed, f"{keyed}, centroids array<double>, coding int")
+    sd = F.transform("sd", lambda v: F.when(v < 1e-9, 1.0).otherwise(v)).alias("sd")
+    return _kept(stats.select(*by, "mean", sd).join(model, by))
 
-    model = used.groupBy(*by).applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", mean array<double>, sd array<double>, centroids array<double>, coding int")
+
+def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The parts (by, r, sums) of each partition added up, so that the shuffle takes one row a group, restart and task."""
+
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in by]
+            for *name, value in zip(*(b.column(c).to_pylist() for c in [*by, "r", "sums"]), strict=True):
+                total[tuple(name)] = total.get(tuple(name), 0) + np.frombuffer(value)
+        if total:
+            names = list(zip(*total, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(names, [*kinds, pa.int32()], strict=True)), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=[*by, "r", "sums"])
+
+    kinds = dict(parts.dtypes)
+    return parts.mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", r int, sums binary")
+
+
+def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with ``features`` replaced by ``i_score``: 0.75 in the coding cluster of their group, else 0.25.
+
+    rows: by, features, is_seed, n_gc, len and the row's own key. Features are standardised over all rows of the group, and
+    all are clustered.
+    """
+    model = fitted_clusters(rows, by)
     fields = [f for f in rows.schema.fields if f.name != "features"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +433,7 @@ def cluster_labels(rows: DataFrame, by: list[str], sample: int = SAMPLE) -> Data
                     score[np.array(at)[label == coding]] = 0.75
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
 
-    return rows.join(model, by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
+    return rows.join(_bounded(model), by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
 
 
 def train_heuristic(rows: DataFrame, keys: list[str], held_out: float = 0.1, seed: int = 42) -> DataFrame:

@@ -69,7 +69,7 @@ def refined_scores(scored: DataFrame, up: float = 0.7, down: float = 0.3, floor:
     """
     keys = ["genome_id", "contig_id", "strand", "end"]
     label = F.when(F.col("i_score") > up, 1).when((F.col("i_score") > floor) & (F.col("i_score") <= down), -1)
-    model = models.train_svm(scored.select("genome_id", "features", label.alias("label")), ["genome_id"], c)
+    model = models.train_svm(scored.select(*keys, "features", label.alias("label")), ["genome_id"], c)
     ready = scored.filter(F.col("i_score") >= floor).select(*keys, "features")
     scores = models.svm_scores(ready, model, ["genome_id"]).withColumnRenamed("score", "c_score")
     return scored.join(scores, keys, "left").withColumn("c_score", F.coalesce("c_score", F.lit(0.0)))

@@ -255,3 +255,31 @@ def test_streaming(spark, tmp_path):
         (source / f"{r.contig_id}.fa").write_text(f">{r.contig_id} linear\n{r.seq}\n")
     write_orfs(stream_orfs(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == orfs.find_orfs(contigs(spark, 3, 2000).withColumn("circ", F.lit(False))).count()
+
+
+def test_classifier_with_more_rows_than_the_sample(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (12000, 3))
+    rows = spark.createDataFrame([("g", i, [float(v) for v in r], 1 if r[0] > 0.8 else -1) for i, r in enumerate(x)], "genome_id string, i int, features array<double>, label int").cache()
+    counts = {r.label: r["count"] for r in models.sampled(rows, ["genome_id", "label"], 1000).groupBy("label").count().collect()}
+    assert set(counts) == {1, -1} and all(850 < n < 1150 for n in counts.values())
+    model = models.train_svm(rows, ["genome_id"], sample=1000)
+    m = model.collect()
+    assert len(m) == 1 and np.allclose(m[0].high, np.maximum(0, x.max(axis=0))) and np.allclose(m[0].low, np.minimum(1, x.min(axis=0)))
+    got = models.svm_scores(rows, model, ["genome_id"]).collect()
+    assert np.mean([(r.score > 0.5) == (r.label > 0) for r in got]) > 0.9
+
+
+def test_clusters_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 0.1, (5200, 3)), rng.normal(5, 0.1, (60, 3))])
+    rows = [(g, i, [float(v) for v in r], i >= 5220, 300 if g == "g" else 200, 1000) for g in ("g", "h") for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "genome_id string, i int, features array<double>, is_seed boolean, n_gc int, len int")
+    model = {r.genome_id: r for r in models.fitted_clusters(df.repartition(5), ["genome_id"], restarts=3, steps=8).collect()}
+    assert {g: len(m.centroids) for g, m in model.items()} == {"g": 9, "h": 6}
+    for m in model.values():
+        assert np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.sd, x.std(axis=0))
+    two = np.array(model["h"].centroids).reshape(2, 3) * model["h"].sd + model["h"].mean
+    assert np.allclose(two[model["h"].coding], x[5200:].mean(axis=0), atol=1e-4) and np.allclose(two[1 - model["h"].coding], x[:5200].mean(axis=0), atol=1e-4)
+    got = models.cluster_labels(df.filter("genome_id = 'h'"), ["genome_id"]).collect()
+    assert len(got) == len(x) and all((r.i_score == 0.75) == (r.i >= 5200) for r in got)
