@@ -452,8 +452,8 @@ def gbk_feature(spark, sf_dir):
 
 @query()
 def start_network(spark, sf_dir):
-    """Starts chosen by the convolution network, with weights drawn by a fixed seed; tests hold its layers."""
-    windows = startmodel.start_windows(document_contigs(spark, sf_dir))
+    """Starts chosen by the convolution network, with weights drawn by a fixed seed, among all of an ORF's starts; tests hold its layers."""
+    windows = startmodel.start_windows(document_contigs(spark, sf_dir), most=None)
     scores = networks.start_scores(windows, networks.random_start_network(7))
     best = ordered.early_exit(scores.withColumn("score", F.round("score", 5)), ["contig_id", "strand", "end"], "score", "j", networks.FIRST, networks.ENOUGH)
     return best.select("contig_id", "strand", "end", "j", "score")

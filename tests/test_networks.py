@@ -58,3 +58,19 @@ def test_heuristic_training(spark, tmp_path):
     df = spark.createDataFrame([("g", i, [float(i % 7), 1.0], 1 if i % 7 > 3 else -1) for i in range(100)], "g string, i int, features array<double>, label int")
     models.save_model(models.train_svm(df, ["g"]), str(tmp_path / "m"))
     assert models.svm_scores(df, models.load_svm(spark, str(tmp_path / "m")), ["g"]).filter("(score > 0.5) = (label > 0)").count() > 90
+
+
+def test_start_network_scores_the_whole_tail(spark, monkeypatch):
+    from helixframe.plans import queries
+
+    seq = "CCC" * 20 + "ATGGCC" * 20 + "TAA" + "CCC" * 20
+    c = spark.createDataFrame([("g", 1, False, seq)], "genome_id string, contig_id long, circ boolean, seq string")
+    monkeypatch.setattr(queries, "document_contigs", lambda *_: c)
+
+    def by_place(windows, network):
+        return windows.drop("window").withColumn("score", windows.j / 1000.0)
+
+    monkeypatch.setattr(queries.networks, "start_scores", by_place)
+    starts = queries.orfs.find_orfs(c, 90, complete_only=True).filter("strand = 0").first().starts
+    got = {(r.strand, r.end): r.j for r in queries.start_network(spark, "").collect()}
+    assert len(starts) > 10 and len(starts) - 1 in got.values()
