@@ -3,8 +3,9 @@
 Texts become templates: numbers, units after a number and names (words with a capital first letter inside a
 sentence; neighbours count as one) turn into typed placeholders, other words into lower case. Windows of ``WINDOW`` template words are hashed and joined
 with those of the benchmark. For documents that meet an item the slots' values are then read from the text: along each
-alignment of document and item a value of the item has to stand for one value of the document and the other way round, so
-a question with other numbers or names is caught while texts that only share a pattern are not.
+alignment of document and item a value of the item stands for the value that most of its places have in the document.
+Windows over a place with another value, or of a value without a majority, are dropped and the others count, so a question
+with other numbers or names is caught, also if some of them coincide or one was edited.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _key() -> tuple[Column, ...]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item it meets: doc_id, text_hash, item_id, n_matched, n_windows, n_slots, n_changed.
 
-    ``n_matched`` counts the item's windows found in alignments with consistent slots, ``n_slots`` the slots under them and
+    ``n_matched`` counts the item's windows found without a conflicting slot, ``n_slots`` the slots under them and
     ``n_changed`` those with another value than the item's. Documents that meet no item have no row.
 
     Defined cases: null and empty texts, and items of fewer than ``WINDOW`` words, meet nothing. Repeated rows and doc_ids
@@ -103,13 +104,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = hits.select(*lines, "i").withColumn("k", F.explode(F.sequence(F.col("i"), F.col("i") + (WINDOW - 1)))).drop("i").distinct()
     pairs = _inner(covered, item_slots, ["item_id", "k"]).withColumn("at", F.col("k") + F.col("diagonal"))
     pairs = _inner(pairs, slots, ["doc_id", "text_hash", "at"])
-    forth = pairs.groupBy(*lines, "item_value").agg(F.countDistinct("value").alias("n"), F.count("*").alias("slots"), F.sum((F.col("value") != F.col("item_value")).cast("int")).alias("changed"))
-    back = pairs.groupBy(*lines, "value").agg(F.countDistinct("item_value").alias("n"))
-    forth = forth.groupBy(*lines).agg(F.max("n").alias("forth"), F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
-    back = back.groupBy(*lines).agg(F.max("n").alias("back"))
-
-    found = hits.groupBy(*lines, "n_windows").agg(F.collect_set("i").alias("found"))
-    found = _inner(_inner(found, forth, lines, "left"), back, lines, "left").filter((F.coalesce("forth", F.lit(1)) == 1) & (F.coalesce("back", F.lit(1)) == 1))
+    pairs = materialise(pairs)
+    counts = pairs.groupBy(*lines, "item_value", "value").agg(F.count("*").alias("n"))
+    major = counts.groupBy(*lines, "item_value").agg(F.max_by("value", "n").alias("major"), (2 * F.max("n") > F.sum("n")).alias("clear"))
+    bad = _inner(pairs, major, [*lines, "item_value"]).filter((F.col("value") != F.col("major")) | ~F.col("clear"))
+    bad = bad.select(*lines, F.explode(F.sequence(F.col("k") - (WINDOW - 1), F.col("k"))).alias("i")).distinct()
+    sound = materialise(_inner(hits.select(*lines, "n_windows", "i").distinct(), bad, [*lines, "i"], "left_anti"))
+
+    under = sound.select(*lines, F.explode(F.sequence(F.col("i"), F.col("i") + (WINDOW - 1))).alias("k")).distinct()
+    under = _inner(under, pairs, [*lines, "k"]).groupBy(*lines).agg(F.count("*").alias("slots"), F.sum((F.col("value") != F.col("item_value")).cast("int")).alias("changed"))
+    found = _inner(sound.groupBy(*lines, "n_windows").agg(F.collect_set("i").alias("found")), under, lines, "left")
     met = found.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_matched"),
         F.max(F.size("found")).alias("aligned"),

@@ -38,6 +38,16 @@ def test_slots(spark):
     assert got[4, 11].n_matched == got[4, 11].n_windows
 
 
+def test_conflicting_slots_cost_only_their_windows(spark):
+    long = "At the old market Tom Reed bought 7 boxes of sweet red cherries in the early morning, carried all of them slowly up the steep hill to his sister, and then sold 7 boxes of them again."
+    asked = "In the shop Anna puts 3 red apples and 5 green pears in the big basket near the door, so how many fruits are there?"
+    docs = [(1, long.replace("bought 7", "bought 9"), "a"), (2, asked.replace("3 red", "4 red").replace("5 green", "4 green"), "a"), (3, long, "a")]
+    got = run(spark, docs, [(10, long, 0), (11, asked, 0)])
+    assert set(got) == {(1, 10), (2, 11), (3, 10)}
+    assert got[1, 10].n_matched < got[1, 10].n_windows and got[2, 11].n_changed == 2
+    assert got[2, 11].n_matched == got[2, 11].n_windows and got[3, 10].n_matched == got[3, 10].n_windows
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
