@@ -31,8 +31,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = [("digit", frozenset("0123456789"), math.inf), ("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.7), ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9)]
 #: Strings that look random and aren't secret: UUIDs, inline data and integrity digests, links, runs of one pattern.
 ALLOWED = [re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"sha(1|256|384|512)-.*", r"(?i:0123456789|abcdefghij|qwertyuiop).*", r"(.{1,4})\1+.?")]
-#: A link's path is not a candidate.
-_LINK = re.compile(r"(?:https?|ftp)://[^\s\"'<>]+")
+#: Links are scanned by their parts; a part of words and numbers joined by hyphens is a title.
+_LINK = re.compile(r"(?:https?|ftp)://([^\s\"'<>]+)")
+_TITLE = re.compile(r"(?:[A-Za-z]?[a-z]+|[0-9]+)(?:[-_](?:[A-Za-z]?[a-z]+|[0-9]+)){2,}")
 _LOG = [0.0] + [n * math.log2(n) for n in range(1, SIZE + 1)]
 
 
@@ -77,6 +78,26 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
+def link_parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Places of the user info's parts, the path's segments and the values of query and fragment; ``a`` is after the scheme."""
+    host = next((i for i in range(a, b) if text[i] in "/?#"), b)
+    path = next((i for i in range(host, b) if text[i] in "?#"), b)
+    at = text.rfind("@", a, host)
+    for start, end, mark in ((a, at, ":"), (host, path, "/"), (path, b, "?&;#")):
+        while start < end:
+            stop = next((i for i in range(start, end) if text[i] in mark), end)
+            named = text.find("=", start, stop) if "?" in mark else -1
+            if stop > start:
+                yield (named + 1 if 0 <= named < stop - 1 else start), stop
+            start = stop + 1
+
+
+def _random(text: str, m: re.Match, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of a candidate's random windows that no base span holds."""
+    spans = [] if allowed(m[0]) else [(a + m.start(), b + m.start()) for a, b in entropy_spans(m[0])]
+    return [(a, 3, b) for a, b in spans if _mixed(text[a:b]) and not any(s <= a and b <= e for s, _, e in base)]
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind, end), sorted; ends are exclusive, offsets are code points."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -86,16 +107,16 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     more = []
     links = None
     for m in CANDIDATE.finditer(text):
-        if not _mixed(m[0]) or allowed(m[0]):
+        if not _mixed(m[0]):
             continue
         if links is None:
-            links = [(x.start(), x.end()) for x in _LINK.finditer(text)]
-        if any(a <= m.start() < b for a, b in links):
+            links = [(x.start(), x.end(), x.start(1)) for x in _LINK.finditer(text)]
+        if any(a <= m.start() < b for a, b, _ in links):
             continue
-        for a, b in entropy_spans(m[0]):
-            a, b = a + m.start(), b + m.start()
-            if _mixed(text[a:b]) and not any(s <= a and b <= e for s, _, e in base):
-                more.append((a, 3, b))
+        more += _random(text, m, base)
+    for _, b, a in links or ():
+        for start, end in link_parts(text, a, b):
+            more += [s for m in CANDIDATE.finditer(text, start, end) if _mixed(m[0]) and not _TITLE.fullmatch(m[0]) for s in _random(text, m, base)]
     return base, sorted(base + more)
 
 

@@ -70,6 +70,15 @@ def test_entropy_and_allow_list():
     assert S.named(S.scan(text)[1]) == f"assign:0:{len(text)}"
 
 
+def test_links_by_their_parts():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ8hT3kLmV"
+    for text in (f"post to https://hooks.example.org/services/T0/{key} now", f"ftp://joe:{key}@example.org/x", f"https://example.org/a?x=1&sig={key}&y=2", f"http://example.org/#t={key}"):
+        at = text.index(key)
+        assert S.named(S.scan(text)[1]) == f"entropy:{at}:{at + len(key)}" and key not in S.redacted(text), text
+    for text in ("https://example.org/2024/05/top-10-best-laptops-of-2024-and-their-prices", "https://example.org/123e4567-e89b-12d3-a456-426614174000?page=2"):
+        assert S.scan(text)[1] == [], text
+
+
 def test_redaction():
     assert S.redacted(f"a password={KEY} b") == "a [assign] b"
     assert S.redacted("nothing") == "nothing" and KEY not in S.redacted(f"x {KEY} y")
