@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows handed to Python at once, so that a batch of long texts, which both sides of the pipe hold, stays small.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
-
-
-def configure(spark: SparkSession) -> None:
-    """Set what the operators need of the session: small Arrow batches."""
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
+#: Bytes up to which a table may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see; only where it is unset (tests, a laptop) a new one."""
+    """The folder of ``spark.checkpoint.dir``, which all executors see.
+
+    Where it is unset a new folder of this machine is taken, which only a local master can use; elsewhere this raises.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder := tempfile.mkdtemp(prefix="spark-"))
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
-    configure(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -47,18 +47,36 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """With a broadcast hint if the table has no more than so many rows; else Spark joins by a shuffle and splits skewed keys."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def width(column: Column, kind: T.DataType) -> Column:
+    """The bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(column) + 16
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType | T.BinaryType):
+        size = F.aggregate(column, F.lit(16), lambda s, x: s + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    elif isinstance(kind, T.ArrayType):
+        parts = len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 1
+        size = F.size(column) * (8 * parts) + 16
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """With a broadcast hint if the table's values take no more than so many bytes (``BROADCAST_BYTES``).
+
+    A larger table gets none, and Spark joins by a shuffle and splits skewed keys. The table should be materialised, as
+    its bytes are summed here.
+    """
+    row = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    size = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def utf8(column) -> "F.Column":
+def utf8(column: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(column, F.lit(""))
 

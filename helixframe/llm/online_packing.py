@@ -1,12 +1,13 @@
 """Bounded-space online packing.
 
 Each partition keeps ``OPEN`` windows; a piece goes to the open window with the least room that holds it, and when none
-does the fullest window is emitted and a new one opened. What is still open at the end of the partitions is merged: the
-pieces of ``TASKS`` partitions at a time are packed again by the same rule, longest first.
+does the fullest window is emitted and a new one opened. What is still open at the end of the partitions is merged: its
+pieces are dealt to groups of about ``GROUP_TOKENS`` and packed again by the same rule, longest first.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,7 +23,8 @@ from helixframe.llm.tokens import default_vocabulary, document_ids
 
 LENGTH = 2048
 OPEN = 64
-TASKS = 64
+#: Tokens of leftovers that are merged together, and the windows that stay open meanwhile.
+GROUP_TOKENS, MERGE_OPEN = 500_000, 1024
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -127,7 +129,9 @@ def pack_online(docs: DataFrame, vocabulary: str | None = None, length: int = LE
     extra = ", ids array<int>" * with_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = materialise(docs.mapInArrow(_pack(path, length, most, with_ids), f"{COLUMNS}{extra}, task long, sequence_id long, offset long, is_open boolean"))
-    left = placed.filter("is_open").withColumn("grp", F.floor(F.col("task") / TASKS))
+    left = placed.filter("is_open")
+    groups = max(1, math.ceil((left.agg(F.sum("length")).first()[0] or 0) / GROUP_TOKENS))
+    left = left.withColumn("grp", F.pmod(F.xxhash64("task", "doc_id", "start", "ids_crc32"), F.lit(groups)))
     left = left.drop("task", "sequence_id", "offset", "is_open").repartition("grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "ids_crc32")
-    merged = left.mapInArrow(_merge(length, TASKS * most, with_ids), f"{COLUMNS}{extra}, sequence_id long, offset long")
+    merged = left.mapInArrow(_merge(length, MERGE_OPEN, with_ids), f"{COLUMNS}{extra}, sequence_id long, offset long")
     return placed.filter("not is_open").drop("task", "is_open").unionByName(merged)

@@ -2,12 +2,13 @@
 
 Documents longer than a sequence are split without loss. Each partition takes blocks of ``BLOCK_TOKENS`` ids, places the
 pieces of a block longest first, each into the sequence with the least room that holds it, and finds that sequence by a
-segment tree over the room left. Sequences under ``FULL`` of their length are taken apart again and packed together with
-those of ``TASKS`` partitions.
+segment tree over the room left. Sequences under ``FULL`` of their length are taken apart again, and their pieces are dealt
+to groups of about a block each and packed once more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import in_chunks, materialise, records
-from helixframe.llm.tokens import default_vocabulary, document_ids
+from helixframe.llm.tokens import default_vocabulary, document_ids, encoder
 
 LENGTH = 2048
 BLOCK_TOKENS = 4_000_000
 FULL = 0.97
-TASKS = 32
 PAD_ID = 0
 
 SEQUENCES = "sequence_id long, n_tokens int, n_segments int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
@@ -98,12 +98,14 @@ def _sequence(sequence_id: int, pieces: list[tuple], length: int, dtype: str) ->
     return sequence_id, ends[-1], len(pieces), body + pad, ends, ends[:-1], [p[0] for p in pieces], [p[1] for p in pieces]
 
 
-def _first(path: str, length: int, dtype: str):
+def _first(path: str, length: int, dtype: str, most: int):
     schema = pa.schema([("task", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), *_SEQUENCES])
     width = np.dtype(dtype).itemsize
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
+        if encoder(path).largest > np.iinfo(dtype).max:
+            raise ValueError(f"{dtype} doesn't hold the ids of {path}")
 
         def packed(pieces):
             nonlocal made
@@ -123,7 +125,7 @@ def _first(path: str, length: int, dtype: str):
                 for start in range(0, len(ids) // width, length):
                     pieces.append((doc_id, start, ids[width * start : width * (start + length)]))
                 held += len(ids) // width
-                if held >= BLOCK_TOKENS:
+                if held >= most:
                     yield from packed(pieces)
                     pieces, held = [], 0
             yield from packed(pieces)
@@ -133,30 +135,35 @@ def _first(path: str, length: int, dtype: str):
     return function
 
 
-def _second(length: int, dtype: str):
+def _second(length: int, dtype: str, most: int):
     width = np.dtype(dtype).itemsize
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(group, block, pieces):
-            for k, b in enumerate(best_fit_decreasing([len(p[2]) // width for p in pieces], length)):
-                yield _sequence((1 << 62) + (group << 32) + (block << 24) + k, [pieces[i] for i in b], length, dtype)
-
         def rows():
-            group, block, pieces, held = None, 0, [], 0
+            group, made, pieces, held = None, 0, [], 0
+
+            def packed():
+                nonlocal made
+                for b in best_fit_decreasing([len(p[2]) // width for p in pieces], length):
+                    yield _sequence((1 << 62) + (group << 36) + made, [pieces[i] for i in b], length, dtype)
+                    made += 1
+
             for g, doc_id, start, ids in records(batches, "grp", "doc_id", "start", "ids"):
-                if g != group or held >= BLOCK_TOKENS:
-                    yield from packed(group, block, pieces)
-                    group, block, pieces, held = g, block + 1 if g == group else 0, [], 0
+                if g != group or held >= most:
+                    yield from packed()
+                    pieces, held = [], 0
+                    if g != group:
+                        group, made = g, 0
                 pieces.append((doc_id, start, ids))
                 held += len(ids) // width
-            yield from packed(group, block, pieces)
+            yield from packed()
 
         yield from in_chunks(rows(), pa.schema(_SEQUENCES), 256)
 
     return function
 
 
-def pack_best_fit(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, dtype: str = "<u2") -> DataFrame:
+def pack_best_fit(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, dtype: str = "<u2", block: int = BLOCK_TOKENS) -> DataFrame:
     """One row per sequence: sequence_id, n_tokens, n_segments, input_ids, cu_seqlens, position_resets, doc_ids, starts.
 
     ``input_ids`` is one row of the id matrix: ``length`` numbers of ``dtype``, padded with 0. ``cu_seqlens`` holds 0 and
@@ -164,15 +171,18 @@ def pack_best_fit(docs: DataFrame, vocabulary: str | None = None, length: int =
     ``starts`` say which ids of which document a segment has. Every id of every document is in exactly one segment.
 
     Defined cases: a null or empty text has the end id alone. Null and repeated doc_ids and repeated rows are packed as
-    rows of their own. An empty table gives an empty result. Columns other than doc_id and text are not read. ``dtype``
-    has to hold the vocabulary's ids.
+    rows of their own. An empty table gives an empty result. Columns other than doc_id and text are not read. A ``dtype``
+    that doesn't hold the vocabulary's ids raises.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = materialise(docs.mapInArrow(_first(vocabulary or default_vocabulary(), length, dtype), f"task long, doc_id long, start long, ids binary, {SEQUENCES}"))
-    left = first.filter("sequence_id is null").withColumn("grp", F.floor(F.col("task") / TASKS)).select("grp", "doc_id", "start", "ids")
+    first = materialise(docs.mapInArrow(_first(vocabulary or default_vocabulary(), length, dtype, block), f"task long, doc_id long, start long, ids binary, {SEQUENCES}"))
+    left = first.filter("sequence_id is null")
+    held = left.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    groups = max(1, math.ceil(held / np.dtype(dtype).itemsize / block))
+    left = left.withColumn("grp", F.pmod(F.xxhash64("task", "doc_id", "start", F.crc32("ids")), F.lit(groups))).select("grp", "doc_id", "start", "ids")
     left = left.repartition("grp").sortWithinPartitions("grp", "doc_id", "start", "ids")
     whole = first.filter("sequence_id is not null").drop("task", "doc_id", "start", "ids")
-    return whole.unionByName(left.mapInArrow(_second(length, dtype), SEQUENCES))
+    return whole.unionByName(left.mapInArrow(_second(length, dtype, block), SEQUENCES))
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

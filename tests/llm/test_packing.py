@@ -13,11 +13,10 @@ def exact():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-ODD = ["", " ", "  a  b ", " x", "x ", "a\n b", "a \n\n b", "\t tab", "a  b c", "it's  we'll 123 45x <|endoftext|> ok", "　 a", "日本語 テスト", "🙂 🙂🙂 a", "a\x1c b\x85 c", "x" * 300 + " y"]
+ODD = ["", " ", "  a  b ", " x", "x ", "a\n b", "a \n\n b", "\t tab", "a  b c", "it's  we'll 123 45x <|endoftext|> ok", "　 a", "日本語 テスト", "🙂 🙂🙂 a", "a\x1c b\x85 c", "x" * 300 + " y", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", " <|endoftext|>\n\n", "it<|endoftext|>'s", "<|endoftext", "<|<|endoftext|>|>"]
 
 
 def test_ids(exact):
@@ -26,7 +25,7 @@ def test_ids(exact):
 
 
 def test_ids_of_documents(spark, exact):
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
         assert np.frombuffer(document_ids(r.text, default_vocabulary()), "<u4").tolist() == exact(r.text)
 
 
@@ -78,6 +77,37 @@ def test_windows():
     assert [[p[2] for p in pieces] for _, pieces in closed] == [[8]]  # the fullest goes
 
 
+def naive_online(lengths, length, most):
+    """(pieces of the windows as they close, pieces of those left), by looking at every open window for every piece."""
+    open_, closed = [], []
+    for i, n in enumerate(lengths):
+        fits = [w for w in open_ if w[0] >= n]
+        if fits:
+            w = min(fits, key=lambda w: (w[0], w[1]))
+        else:
+            if len(open_) >= most:
+                full = min(open_, key=lambda w: (w[0], w[1]))
+                open_.remove(full)
+                closed.append(full[2])
+            w = [length, i, []]
+            open_.append(w)
+        w[0] -= n
+        w[2].append(i)
+        if not w[0]:
+            open_.remove(w)
+            closed.append(w[2])
+    return closed, sorted(w[2] for w in open_)
+
+
+def test_online_against_naive_packing():
+    rng = np.random.default_rng(7)
+    for most in (1, 2, 5, 40):
+        lengths = rng.integers(1, 65, 400).tolist()
+        windows = O.Windows(64, most)
+        closed = [[p[0] for p in pieces] for i, n in enumerate(lengths) for _, pieces in windows.add((i, 0, n))]
+        assert (closed, sorted([p[0] for p in pieces] for _, pieces in windows.left())) == naive_online(lengths, 64, most)
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -121,6 +151,27 @@ def test_matrices(spark, exact, tmp_path):
     assert len({r.sequence_id for r in rows}) == len(rows)
 
 
+def test_many_blocks_and_groups(spark, exact):
+    """More than 256 blocks in a group, and many groups: ids of sequences don't meet and no token is lost."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), cast(1 + id % 7 AS int)) AS text").repartition(3)
+    from pyspark.sql import functions as F
+
+    for block in (100, 5000):
+        rows = B.pack_best_fit(docs, length=64, block=block).collect()
+        assert len({r.sequence_id for r in rows}) == len(rows)
+        pieces = unpacked(rows, 64)
+        assert all(sum((ids for _, ids in sorted(pieces[r.doc_id])), []) == exact(r.text) for r in docs.filter(F.col("doc_id") % 50 == 0).collect())
+        assert sum(r.n_tokens for r in rows) == sum(len(ids) for p in pieces.values() for _, ids in p)
+    second = B._second(64, "<u2", 60)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"grp": [5] * 400, "doc_id": list(range(400)), "start": [0] * 400, "ids": [np.arange(60, dtype="<u2").tobytes()] * 400})
+    ids = [x for out in second([batch]) for x in out.column("sequence_id").to_pylist()]
+    assert len(set(ids)) == 400  # 400 blocks of one group
+    with pytest.raises(Exception, match="doesn't hold"):
+        B.pack_best_fit(docs, dtype="<u1").count()
+
+
 def test_matrices_messy(messy, empty, exact):
     pieces = unpacked(B.pack_best_fit(messy, length=64).collect(), 64)
     want = defaultdict(list)
