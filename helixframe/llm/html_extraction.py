@@ -1,10 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 A page's DOM is folded to a skeleton in which neighbours of one kind are one repeated node. For each host the skeleton of
-most pages is the reference; every other skeleton of the host is aligned with it by simple tree matching. Text that stands
-at one node of the reference in most different pages of a host is template, text at varying slots is content. Elements
-whose names, classes or roles say that they are navigation, advert, form, comment or the like are never content, and where
-a page marks its article, content is looked for inside it.
+most pages is the reference; every other skeleton of the host is aligned with it by simple tree matching, and what stands
+at one node of the reference is compared over the host's different pages. Constant nodes are template: a text that most
+pages have there, and every text of a node whose texts come from a small set. A node whose texts are links is a menu. The
+varying nodes are content.
+
+Pages say more about themselves: elements whose names, classes or roles say that they are navigation, advert, form,
+comment or the like are never content, and where a page marks an article, content is what varies inside one.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +29,15 @@ from helixframe.llm.common import bounded, in_chunks, materialise, records, utf8
 #: A text is template at a node if it stands there in this share of a host's different pages, and in this many at least.
 SHARE = 0.6
 LEAST = 5
-#: Elements below this depth count as part of the one at it.
+#: A node that as many pages have is template if its texts repeat: different ones are at most this share of all.
+VARIETY = 0.2
+#: A node outside an article is a menu if this share of its texts are links.
+LINKS = 0.6
+#: For the skeleton, elements below this depth count as part of the one at it.
 DEPTH = 60
-#: Hosts with a template up to which the wrappers, short rows each, are broadcast.
-BROADCAST_HOSTS = 20_000
+#: Cells of alignment tables that a pair of skeletons may fill; beyond them children match in order, by label.
+CELLS = 1_000_000
+EVERY = 0
 
 #: Element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,35 +49,83 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table article section div main body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)?))?)""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CHROME = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widgets?|ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|teasers?|comments?|commentlist|respond|reply|replies|disqus|discussion|responses|pagination|pager|toolbar|search|skip|copyright|legal|disclaimer|hidden|sr-only)(?:$|[-_\s0-9])", re.I)
 _ARTICLE_CHROME = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|promo|sponsor(?:ed)?|related|teasers?|comments?|reply|replies|responses?)(?:$|[-_\s0-9])", re.I)
 _HEADER = re.compile(r"(?:^|[-_\s])header(?:$|[-_\s0-9])", re.I)
 _MAIN = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[-_](?:body|content|text))?(?:$|\s)|(?:^|\s)(?:main[-_]content|content[-_]main|content[-_]body)(?:$|\s)", re.I)
+_INLINE_CHROME = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo|cookies?|notices?|newsletter|share|sharing|sr-only|visually-hidden|hidden)(?:$|[-_\s0-9])", re.I)
 _DIGITS = re.compile(r"\d+")
+ITEMS = frozenset(CLOSES) | frozenset(x for v in CLOSES.values() for x in v)
 
 
-class Node:
-    __slots__ = ("tag", "names", "role", "off", "children", "parent", "slot")
+def attributes(page: str, pos: int) -> tuple[dict[str, str], int]:
+    """The attributes from a place inside a tag on, and the place after the tag; each character is looked at once or twice."""
+    found: dict[str, str] = {}
+    match = _ATTRIBUTE.match
+    while m := match(page, pos):
+        pos = m.end()
+        if m[1]:
+            break
+        name = m[2]
+        if name in KEPT or name.lower() in KEPT:
+            found.setdefault(name.lower(), m[3] or m[4] or m[5] or "")
+    else:
+        pos = len(page)
+    return found, pos
+
+
+KEPT = frozenset("class id role hidden aria-hidden style".split())
 
-    def __init__(self, tag: str, attributes: str, parent):
-        self.tag, self.parent, self.children, self.slot = tag, parent, [], -1
-        self.names, self.role, self.off = "", "", tag in DROPPED
-        if attributes:
-            found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+
+def unseen(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or bool(_UNSEEN.search(found.get("style", "")))
+
+
+class Node:
+    """An element; what its ancestors say about it is handed down when it is made."""
+
+    __slots__ = ("tag", "names", "children", "parent", "item", "slot", "off", "heading", "headed", "article", "main", "named")
+
+    def __init__(self, tag: str, found: dict[str, str], parent: Node | None, off: bool = False):
+        self.tag, self.parent, self.children, self.slot, self.names = tag, parent, [], -1, ""
+        if parent is None:
+            self.item = None
+            self.off = self.heading = self.headed = self.article = self.main = self.named = False
+            return
+        # the nearest element around it that may end a list item or a cell, or keep one open
+        self.item = parent if parent.tag in ITEMS or parent.tag in SCOPES else parent.item
+        if found:
             self.names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-            self.role = found.get("role", "").lower()
-            if "hidden" in found or found.get("aria-hidden") == "true" or self.role in ROLES:
-                self.off = True
-        if self.names and not self.off and tag not in ("html", "body", "main"):
-            self.off = bool((_ARTICLE_CHROME if tag == "article" else _CHROME).search(self.names))
+            off = off or unseen(found)
+        names, bare = self.names, tag in ("html", "body", "main")
+        self.heading = parent.heading or tag in HEADINGS
+        self.headed = parent.headed
+        inside = parent.article or parent.main
+        if tag == "header" or names and not bare and tag != "article" and _HEADER.search(names):
+            if inside:
+                self.headed = True
+            else:
+                off = True
+        elif tag in DROPPED or names and not bare and (_ARTICLE_CHROME if tag == "article" else _CHROME).search(names):
+            off = True
+        self.off = parent.off or off
+        self.article = parent.article or tag == "article"
+        self.main = parent.main or tag == "main" or found.get("role", "").lower() == "main"
+        self.named = parent.named or bool(names and _MAIN.search(names))
+
+    def never(self) -> bool:
+        """Whether its texts are never content; an article's header keeps its headings."""
+        return self.off or self.headed and not self.heading
 
     def label(self) -> str:
-        return re.sub(r"[(),]", "", f"{self.tag}.{_DIGITS.sub('', self.names)}" if self.names else self.tag)
-
-    def is_header(self) -> bool:
-        return self.tag == "header" or bool(self.names and _HEADER.search(self.names))
+        if not self.names:
+            return self.tag
+        name = re.sub(r"[(),]", "", f"{self.tag}.{_DIGITS.sub('', self.names)}")
+        return name if len(name) <= 80 else f"{name[:40]}~{xxhash.xxh3_64_hexdigest(name.encode('utf-8', 'surrogatepass'))}"
 
 
 class Block:
@@ -78,69 +136,116 @@ class Block:
     def __init__(self, node: Node):
         self.node, self.parts, self.text, self.linked = node, [], "", 0
 
+    def is_link(self) -> bool:
+        return self.linked > LINKS * sum(map(len, self.parts))
+
 
 def parse(page: str) -> tuple[Node, list[Block]]:
-    """The tree of block elements and the texts in page order. Inline elements belong to the text around them."""
-    root = node = Node("#root", "", None)
-    depth, pos, links = 0, 0, 0
+    """The tree of block elements and the texts in page order. Inline elements belong to the text around them.
+
+    The time is in proportion to the page's length, whatever its markup.
+    """
+    root = node = Node("#root", {}, None)
+    open_: Counter = Counter()
+    pos, links, size = 0, 0, len(page)
     blocks: list[Block] = []
     block = None
-    match = _TOKEN.match
-    while pos < len(page):
-        m = match(page, pos)
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                if block is None:
-                    if text.isspace():
-                        continue
-                    block = Block(node)
-                    blocks.append(block)
+    hidden: list | None = None  # an inline element that isn't seen: [tag, how many of it are open, the element around it]
+
+    def leave(upto: Node) -> None:
+        """Close the open elements up to and with one."""
+        nonlocal node, hidden, links
+        while True:
+            open_[node.tag] -= 1
+            if hidden and hidden[2] is node:
+                hidden = None
+            at, node = node, node.parent
+            if at is upto:
+                break
+        links = 0
+
+    while pos < size:
+        at = page.find("<", pos)
+        at = size if at < 0 else at
+        after = page[at + 1 : at + 2]
+        while at < size and not (after.isascii() and after.isalpha() or after in ("/", "!", "?") and after):  # a sign, not a tag
+            at = page.find("<", at + 1)
+            at = size if at < 0 else at
+            after = page[at + 1 : at + 2]
+        if at > pos and not hidden:
+            text = page[pos:at]
+            if block is None and not text.isspace():
+                block = Block(node)
+                blocks.append(block)
+            if block is not None:
                 block.parts.append(text)
                 if links:
                     block.linked += len(text)
+        pos = at
+        if at >= size:
+            break
+        if after == "!" and page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            pos = size if end < 0 else end + 3
+            continue
+        closing = after == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        if not m:
+            end = page.find(">", at)
+            pos = size if end < 0 else end + 1
             continue
-        tag = tag.lower()
+        tag = m[0].lower()
+        found, pos = attributes(page, m.end())
         if tag in INLINE:
+            if tag == "br":
+                if block is not None:
+                    block.parts.append(" ")
+                continue
             if tag == "a":
-                links = max(0, links + (-1 if m[1] else 1))
-            elif tag == "br" and block is not None:
-                block.parts.append(" ")
+                links = max(0, links + (-1 if closing else 1))
+            if hidden:
+                if hidden[0] == tag:
+                    hidden[1] += -1 if closing else 1
+                    if not hidden[1]:
+                        hidden = None
+            elif not closing and found and tag not in VOID_INLINE and (unseen(found) or _INLINE_CHROME.search(f"{found.get('class', '')} {found.get('id', '')}")):
+                hidden = [tag, 1, node]
             continue
         block = None
-        if m[1]:
-            at, up = node, 0
-            while at is not root and at.tag != tag:
-                at, up = at.parent, up + 1
-            if at is not root:
-                node, depth, links = at.parent, depth - up - 1, 0
+        if closing:
+            if open_[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
             continue
-        if node.tag == "p" and tag != "p" or node.tag == tag == "p":
-            node, depth = node.parent, depth - 1
-        if tag in CLOSES:
-            at, up = node, 0
-            while at.tag not in SCOPES and at is not root and at.tag not in CLOSES[tag]:
-                at, up = at.parent, up + 1
-            if at.tag in CLOSES[tag]:
-                node, depth = at.parent, depth - up - 1
+        if node.tag == "p":
+            leave(node)
+        if tag in CLOSES and any(open_[x] > 0 for x in CLOSES[tag]):
+            up = node if node.tag in ITEMS or node.tag in SCOPES else node.item
+            while up is not None and up.tag not in SCOPES and up.tag not in CLOSES[tag]:
+                up = up.item
+            if up is not None and up.tag in CLOSES[tag]:
+                leave(up)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
+            pos = end.end() if end else size
             continue
         if tag in VOID:
             continue
         links = 0
-        if depth < DEPTH:
-            child = Node(tag, m[3], node)
-            node.children.append(child)
-            node, depth = child, depth + 1
+        child = Node(tag, found, node, bool(hidden))
+        node.children.append(child)
+        open_[tag] += 1
+        node = child
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return root, [b for b in blocks if b.text]
 
 
+VOID_INLINE = frozenset("br img wbr".split())
+
+
 def fold(root: Node) -> str:
     """The skeleton: labels in preorder with brackets; neighbours of one label are one node, their children in one list.
 
@@ -149,26 +254,34 @@ def fold(root: Node) -> str:
     out: list[str] = []
     count = 0
 
-    def visit(nodes: list[Node]) -> None:
+    def visit(nodes: list[Node], depth: int) -> None:
         nonlocal count
         for n in nodes:
             n.slot = count
         count += 1
         out.append(nodes[0].label())
         children = [c for n in nodes for c in n.children]
+        if depth == DEPTH:
+            while children:
+                for c in children:
+                    c.slot = nodes[0].slot
+                children = [x for c in children for x in c.children]
         if children:
             out.append("(")
             run: list[Node] = []
+            last = None
             for c in children:
-                if run and c.label() != run[0].label():
-                    visit(run)
+                label = c.label()
+                if run and label != last:
+                    visit(run, depth + 1)
                     out.append(",")
                     run = []
                 run.append(c)
-            visit(run)
+                last = label
+            visit(run, depth + 1)
             out.append(")")
 
-    visit([root])
+    visit([root], 0)
     return "".join(out)
 
 
@@ -188,92 +301,98 @@ def unfold(skeleton: str) -> tuple:
     return stack[0][0]
 
 
-def tree_matching(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that match with order and ancestors kept, and the matched (slot, slot)."""
-    if a[0] != b[0]:
-        return 0, []
-    m, n = len(a[2]), len(b[2])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    found = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w = found[i, j] = tree_matching(a[2][i - 1], b[2][j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[0])
-    pairs, i, j = [(a[1], b[1])], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-    return best[m][n] + 1, pairs
-
-
-@functools.lru_cache(maxsize=4096)
+def _in_order(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Each child of the left with the next one of its label on the right."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y[0], []).append(j)
+    out, least = [], 0
+    for i, x in enumerate(a):
+        mine = places.get(x[0], [])
+        k = bisect_left(mine, least)
+        if k < len(mine):
+            out.append((i, mine[k]))
+            least = mine[k] + 1
+    return out
+
+
+def tree_matching(a: tuple, b: tuple, cells: int = CELLS) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the most nodes that match with order and ancestors kept, and the matched (slot, slot).
+
+    Only children of one label are compared. Beyond ``cells`` of work children match in order.
+    """
+    left = [cells]
+
+    def matched(x: tuple, y: tuple) -> tuple[int, list[tuple[int, int]]]:
+        if x[0] != y[0]:
+            return 0, []
+        pairs = [(x[1], y[1])]
+        m, n = len(x[2]), len(y[2])
+        left[0] -= m * n
+        if left[0] < 0:
+            for i, j in _in_order(x[2], y[2]):
+                pairs += matched(x[2][i], y[2][j])[1]
+            return len(pairs), pairs
+        best = [[0] * (n + 1) for _ in range(m + 1)]
+        found = {}
+        for i in range(1, m + 1):
+            label = x[2][i - 1][0]
+            for j in range(1, n + 1):
+                w = 0
+                if label == y[2][j - 1][0]:
+                    found[i, j] = matched(x[2][i - 1], y[2][j - 1])
+                    w = found[i, j][0]
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
+        i, j = m, n
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                pairs += found[i, j][1]
+                i, j = i - 1, j - 1
+        return best[m][n] + 1, pairs
+
+    return matched(a, b)
+
+
+@functools.lru_cache(maxsize=2048)
 def aligned(skeleton: str, reference: str) -> dict[int, int]:
     """slot of the skeleton -> slot of the reference, for the nodes that match."""
+    if skeleton == reference:
+        n = sum(x not in "()," for x in re.findall(r"[(),]|[^(),]+", skeleton))
+        return dict(zip(range(n), range(n), strict=True))
     return dict(tree_matching(unfold(skeleton), unfold(reference))[1])
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _off(node: Node) -> bool:
-    """Whether an element or one around it is never content; an article's header keeps its headings."""
-    inside, at = [], node
-    while at is not None:
-        inside.append(at)
-        at = at.parent
-    article = next((i for i, n in enumerate(inside) if n.tag in ("article", "main")), None)
-    heading = any(n.tag in HEADINGS for n in inside)
-    for i, n in enumerate(inside):
-        if n.is_header():
-            if not (heading and article is not None and i < article) and n.tag not in ("html", "body", "main", "article"):
-                return True
-        elif n.off:
-            return True
-    return False
+    """Never ``EVERY``, which stands for all texts of a node."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) or 1
 
 
 def content(page: str, reference: str | None = None, template: frozenset = frozenset()) -> str:
-    """The page's main text; template: (slot of the reference, hash of the text)."""
+    """The page's main text; template: (slot of the reference, hash of the text or ``EVERY``, whether articles are excepted)."""
     root, blocks = parse(page)
-    off: dict[int, bool] = {}
-    kept = []
-    for b in blocks:
-        if id(b.node) not in off:
-            off[id(b.node)] = _off(b.node)
-        if not off[id(b.node)]:
-            kept.append(b)
+    kept = [b for b in blocks if not b.node.never()]
     if template and kept:
         slots = aligned(fold(root), reference)
-        kept = [b for b in kept if (slots.get(b.node.slot, -1), _hash(b.text)) not in template]
-
-    def home(b: Block, wanted) -> Node | None:
-        found, at = None, b.node
-        while at is not None:
-            if wanted(at):
-                found = at
-            at = at.parent
-        return found
-
-    marked = False
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main", lambda n: bool(n.names and _MAIN.search(n.names))):
-        homes = [home(b, wanted) for b in kept]
-        size: dict[int, int] = {}
-        for h, b in zip(homes, kept, strict=True):
-            if h is not None:
-                size[id(h)] = size.get(id(h), 0) + len(b.text)
-        if size:
-            most = max(size.values())
-            kept = [b for h, b in zip(homes, kept, strict=True) if h is not None and 3 * size[id(h)] >= most]
-            marked = True
+        constant = {(s, h) for s, h, excepted in template if not excepted}
+        menus = {s for s, _, excepted in template if excepted}
+
+        def varies(b: Block) -> bool:
+            slot = slots.get(b.node.slot, -1)
+            if slot in menus and not (b.node.article or b.node.main):
+                return False
+            return (slot, EVERY) not in constant and (slot, _hash(b.text)) not in constant
+
+        kept = [b for b in kept if varies(b)]
+    for inside in (lambda n: n.article, lambda n: n.main, lambda n: n.named):
+        if any(inside(b.node) for b in kept):
+            kept = [b for b in kept if inside(b.node)]
             break
-    if not marked:
-        kept = [b for b in kept if not (b.linked > 0.6 * len("".join(b.parts)) and len(b.text.split()) < 12)]
+    else:
+        kept = [b for b in kept if not (b.is_link() and len(b.text.split()) < 12)]
     return "\n".join(b.text for b in kept)
 
 
@@ -282,48 +401,58 @@ def host_of(url: Column) -> Column:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("page", pa.int64()), ("slots", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+    """A page's skeleton, a hash of its text, and (slot, hash, is link) of its texts; a slot's repeated texts count once."""
+    schema = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("page", pa.int64()), ("slots", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("links", pa.list_(pa.int32()))])
 
     def rows():
         for host, page in records(batches, "host", "html"):
             root, blocks = parse(page)
             skeleton = fold(root)
-            texts = sorted({(b.node.slot, _hash(b.text)) for b in blocks})
+            texts = sorted({(b.node.slot, _hash(b.text)): int(b.is_link()) for b in blocks}.items())
             if texts:
-                yield host, skeleton, _hash("".join(b.text for b in blocks if not _off(b.node))), [s for s, _ in texts], [h for _, h in texts]
+                yield host, skeleton, _hash("".join(b.text for b in blocks if not b.node.never())), [k[0] for k, _ in texts], [k[1] for k, _ in texts], [x for _, x in texts]
 
     yield from in_chunks(rows(), schema, 512)
 
 
 def _aligned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64())])
+    """``first`` is 1 for one text of each page and slot."""
+    schema = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), ("link", pa.int32()), ("first", pa.int32())])
 
     def rows():
-        for host, skeleton, reference, slots, hashes in records(batches, "host", "skeleton", "reference", "slots", "hashes"):
-            at = aligned(skeleton, reference)
-            for s, h in zip(slots, hashes, strict=True):
+        for host, skeleton, reference, slots, hashes, links in records(batches, "host", "skeleton", "reference", "slots", "hashes", "links"):
+            at, seen = aligned(skeleton, reference), set()
+            for s, h, x in zip(slots, hashes, links, strict=True):
                 if s in at:
-                    yield host, at[s], h
+                    yield host, at[s], h, x, int(at[s] not in seen)
+                    seen.add(at[s])
 
     yield from in_chunks(rows(), schema, 8192)
 
 
 def induce(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, reference, template array<struct<slot, hash>>) for hosts that have constant nodes.
+    """(host, reference, template array<struct<slot, hash, excepted>>) for hosts that have constant nodes or menus.
 
     Pages with the same text count once, so that copies make nothing constant. A host has fewer template entries than
-    1 / share times the texts of a page.
+    1 / share times the texts of a page, and its nodes.
     """
     outlines = pages.select(host_of(F.col("url")).alias("host"), utf8(F.col("html")).alias("html"))
-    outlines = materialise(outlines.mapInArrow(_outline, "host string, skeleton string, page long, slots array<int>, hashes array<long>"))
-    outlines = outlines.groupBy("host", "page").agg(F.first(F.struct("skeleton", "slots", "hashes")).alias("x")).select("host", "x.*")
+    outlines = materialise(outlines.mapInArrow(_outline, "host string, skeleton string, page long, slots array<int>, hashes array<long>, links array<int>"))
+    outlines = outlines.groupBy("host", "page").agg(F.first(F.struct("skeleton", "slots", "hashes", "links")).alias("x")).select("host", "x.*")
     kinds = outlines.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
     hosts = kinds.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"), F.sum("n").alias("pages"))
     hosts = materialise(hosts.filter(F.col("pages") >= least))
-    texts = outlines.join(hosts, "host").select("host", "skeleton", "reference", "slots", "hashes").mapInArrow(_aligned_texts, "host string, slot int, hash long")
-    counts = texts.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    constant = counts.join(hosts, "host").filter(F.col("n") >= share * F.col("pages"))
-    return constant.groupBy("host").agg(F.first("reference").alias("reference"), F.collect_list(F.struct("slot", "hash")).alias("template"))
+    texts = outlines.join(bounded(hosts), "host").select("host", "skeleton", "reference", "slots", "hashes", "links")
+    texts = texts.mapInArrow(_aligned_texts, "host string, slot int, hash long, link int, first int")
+    counts = materialise(texts.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"), F.sum("link").alias("links"), F.sum("first").alias("firsts")))
+    sizes = hosts.select("host", "pages")
+    constant = counts.filter(F.col("n") >= least).join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "slot", "hash", F.lit(False).alias("excepted"))
+    nodes = counts.groupBy("host", "slot").agg(F.count("*").alias("kinds"), F.sum("n").alias("texts"), F.sum("links").alias("links"), F.sum("firsts").alias("firsts")).join(sizes, "host")
+    repeats = (F.col("firsts") >= least) & (F.col("firsts") >= share * F.col("pages")) & (F.col("kinds") <= VARIETY * F.col("texts"))
+    nodes = nodes.select("host", "slot", F.lit(EVERY).cast("long").alias("hash"), (~repeats).alias("excepted"), (repeats | (F.col("links") > LINKS * F.col("texts"))).alias("is_off"))
+    found = constant.unionByName(nodes.filter("is_off").drop("is_off"))
+    found = found.groupBy("host").agg(F.collect_list(F.struct("slot", "hash", "excepted")).alias("template"))
+    return hosts.select("host", "reference").join(found, "host")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +460,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for page_id, url, page, reference, template in records(batches, "page_id", "url", "html", "reference", "template"):
-            text = content(page, reference, frozenset((t["slot"], t["hash"]) for t in template or ()))
+            text = content(page, reference, frozenset((t["slot"], t["hash"], t["excepted"]) for t in template or ()))
             yield page_id, url, text, len(text)
 
     yield from in_chunks(rows(), schema, 512)
@@ -342,10 +471,10 @@ def extract_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) ->
 
     Defined cases: null, empty and text-free html gives the empty text. A null url or one without a host belongs to the
     empty host. Repeated rows give a row each. Unclosed and misnested elements end where the next ones force them to; an
-    unclosed comment, script or style hides the rest. Elements nested deeper than ``DEPTH`` count as part of the element
-    at that depth. An empty table gives an empty result. Columns other than page_id, url and html are not read.
+    unclosed tag, comment, script or style hides the rest. Depth and length of a page are not limited. An empty table gives
+    an empty result. Columns other than page_id, url and html are not read.
     """
     wrappers = materialise(induce(pages, share, least))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), utf8(F.col("html")).alias("html"))
-    dressed = pages.join(bounded(wrappers, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "reference", "template")
+    dressed = pages.join(bounded(wrappers), "host", "left").select("page_id", "url", "html", "reference", "template")
     return dressed.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
