@@ -1,24 +1,25 @@
 """Secret scans.
 
 Base patterns (assignments, access keys, hex runs) are matched over the whole text. Beyond them, every candidate string
-(a run of key characters of ``SIZE`` or more that holds a digit and a letter) is scanned with a sliding window of ``SIZE``
-characters: the Shannon entropy of the window is updated from incremental counts and held against the limit of the
-narrowest character class that the window fits. Windows above the limit are joined to spans, unless an allow-list names
-the string.
+(a run of key characters of ``SIZE`` or more) is scanned with a sliding window of ``SIZE`` characters: the Shannon entropy
+of the window is updated from incremental counts and held against the limit of the narrowest character class that the
+window fits. Windows above the limit are joined to spans, unless an allow-list names the string or what stands before it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import configure, in_chunks, records
+from helixframe.llm.common import in_chunks, records
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -27,10 +28,25 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 SIZE = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Character classes from narrow to wide, with the entropy (bits a character) that a window has to exceed.
-CLASSES = [("digit", frozenset("0123456789"), math.inf), ("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.7), ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9)]
-#: Strings that look random and aren't secret: UUIDs, inline data and integrity digests, links, runs of one pattern.
-ALLOWED = [re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"sha(1|256|384|512)-.*", r"(?i:0123456789|abcdefghij|qwertyuiop).*", r"(.{1,4})\1+.?")]
+_LOWER, _UPPER, _NUMBERS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Character classes from narrow to wide, with the entropy (bits a character) that a window has to exceed. Letters alone
+#: need more of it, as long words come near that of random ones.
+CLASSES = [
+    ("digit", frozenset(_NUMBERS), math.inf),
+    ("hex", frozenset(_NUMBERS + "abcdefABCDEF"), 3.0),
+    ("lower", frozenset(_LOWER), 4.0),
+    ("upper", frozenset(_UPPER), 4.0),
+    ("letter", frozenset(_LOWER + _UPPER), 3.9),
+    ("alnum", frozenset(_NUMBERS + _LOWER + _UPPER), 3.7),
+    ("base64", frozenset(_NUMBERS + _LOWER + _UPPER + "+/_=-"), 3.9),
+]
+#: For each character the classes that it isn't in.
+_NOT_IN = {c: tuple(k for k, (_, members, _) in enumerate(CLASSES) if c not in members) for c in CLASSES[-1][1]}
+#: Strings that look random and aren't secret: UUIDs, integrity digests, the alphabet's and keyboard's rows, runs of one
+#: pattern, words put together with capitals.
+ALLOWED = [re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"sha(1|256|384|512)-.*", r"(?i:0123456789|abcdefghij|qwertyuiop).*", r"(.{1,4})\1+.?", r"(?=[A-Z]*[a-z])(?=[a-z]*[A-Z])(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,5}+(?![A-Z]))++")]
+#: What stands before a string that isn't secret: inline data.
+_INLINE = re.compile(r"data:[\w.+-]*/?[\w.+-]*(?:;[\w=.-]+)*;base64,\Z")
 #: Links are scanned by their parts; a part of words and numbers joined by hyphens is a title.
 _LINK = re.compile(r"(?:https?|ftp)://([^\s\"'<>]+)")
 _TITLE = re.compile(r"(?:[A-Za-z]?[a-z]+|[0-9]+)(?:[-_](?:[A-Za-z]?[a-z]+|[0-9]+)){2,}")
@@ -45,37 +61,37 @@ def entropy_spans(candidate: str, size: int = SIZE) -> list[tuple[int, int]]:
     """
     counts: dict[str, int] = {}
     outside = [0] * len(CLASSES)
-    total, spans = 0.0, []
+    total, spans, whole = 0.0, [], math.log2(size)
+    limits = [limit for _, _, limit in CLASSES]
     for i, c in enumerate(candidate):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _LOG[n + 1] - _LOG[n]
-        for k, (_, members, _) in enumerate(CLASSES):
-            outside[k] += c not in members
+        for k in _NOT_IN[c]:
+            outside[k] += 1
         if i >= size:
             gone = candidate[i - size]
             n = counts[gone]
             counts[gone] = n - 1
             total += _LOG[n - 1] - _LOG[n]
-            for k, (_, members, _) in enumerate(CLASSES):
-                outside[k] -= gone not in members
-        if i >= size - 1:
-            limit = next((limit for k, (_, _, limit) in enumerate(CLASSES) if not outside[k]), math.inf)
-            if math.log2(size) - total / size > limit:
-                start = i - size + 1
-                if spans and start <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], i + 1)
-                else:
-                    spans.append((start, i + 1))
+            for k in _NOT_IN[gone]:
+                outside[k] -= 1
+        if i >= size - 1 and whole - total / size > limits[outside.index(0)]:
+            start = i - size + 1
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], i + 1)
+            else:
+                spans.append((start, i + 1))
     return spans
 
 
-def allowed(candidate: str) -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOWED)
+def allowed(candidate: str, before: str = "") -> bool:
+    return any(p.fullmatch(candidate) for p in ALLOWED) or bool(_INLINE.search(before))
 
 
 def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    """Whether a string has a digit and a letter, or letters only."""
+    return s.isalpha() or any(map(str.isdigit, s)) and any(map(str.isalpha, s))
 
 
 def link_parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -92,31 +108,35 @@ def link_parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             start = stop + 1
 
 
-def _random(text: str, m: re.Match, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of a candidate's random windows that no base span holds."""
-    spans = [] if allowed(m[0]) else [(a + m.start(), b + m.start()) for a, b in entropy_spans(m[0])]
-    return [(a, 3, b) for a, b in spans if _mixed(text[a:b]) and not any(s <= a and b <= e for s, _, e in base)]
-
-
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind, end), sorted; ends are exclusive, offsets are code points."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     more = []
-    links = None
+
+    def random_parts(m: re.Match) -> None:
+        """Add the candidate's random windows that no base span holds."""
+        if _mixed(m[0]) and not allowed(m[0], text[max(0, m.start() - 120) : m.start()]):
+            for a, b in entropy_spans(m[0]):
+                a, b = a + m.start(), b + m.start()
+                k = bisect_right(starts, a)
+                if _mixed(text[a:b]) and not (k and reach[k - 1] >= b):
+                    more.append((a, 3, b))
+
+    links = [(m.start(), m.end(), m.start(1)) for m in _LINK.finditer(text)] if "://" in text else []
+    from_ = [a for a, _, _ in links]
     for m in CANDIDATE.finditer(text):
-        if not _mixed(m[0]):
-            continue
-        if links is None:
-            links = [(x.start(), x.end(), x.start(1)) for x in _LINK.finditer(text)]
-        if any(a <= m.start() < b for a, b, _ in links):
-            continue
-        more += _random(text, m, base)
-    for _, b, a in links or ():
+        k = bisect_right(from_, m.start())
+        if not (k and m.start() < links[k - 1][1]):
+            random_parts(m)
+    for _, b, a in links:
         for start, end in link_parts(text, a, b):
-            more += [s for m in CANDIDATE.finditer(text, start, end) if _mixed(m[0]) and not _TITLE.fullmatch(m[0]) for s in _random(text, m, base)]
+            for m in CANDIDATE.finditer(text, start, end):
+                if not _TITLE.fullmatch(m[0]):
+                    random_parts(m)
     return base, sorted(base + more)
 
 
@@ -170,6 +190,5 @@ def redact(docs: DataFrame) -> DataFrame:
             new = pa.array([None if t is None else redacted(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
 
-    configure(docs.sparkSession)
     out = docs.mapInArrow(function, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

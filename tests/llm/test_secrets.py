@@ -79,6 +79,32 @@ def test_links_by_their_parts():
         assert S.scan(text)[1] == [], text
 
 
+def test_candidates_of_every_class():
+    for key in ("qWmZxRtYpLkJhGfDsAcVbN", "qwmzxrtyplkjhgfdsacvbn", "QWMZXRTYPLKJHGFDSACVBN", "q7wm3zx9rt1yp5lk8jh2gf"):
+        assert S.named(S.scan(f"key {key} end")[1]) == f"entropy:4:{4 + len(key)}", key
+    for text in ("getElementsByTagNameAndClassName", "internationalizationandlocalization", "parseHTTPResponseHeaderFieldValue", "/usr/local/share/applications/menus"):
+        assert S.scan(text)[1] == [], text
+
+
+def test_inline_data_is_allowed():
+    for head in ("data:image/png;base64,", "data:;base64,", "data:text/html;charset=utf-8;base64,"):
+        assert S.scan(f'<img src="{head}{KEY}">')[1] == []
+    assert "entropy" in S.named(S.scan(f"base64,{KEY}")[1])
+
+
+def test_very_long_candidates():
+    import random
+    import time
+
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=300_000))
+    lines = "\n".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(10_000))
+    began = time.time()
+    assert S.scan(long)[1] and len(S.scan(lines)[1]) == len(S.scan(lines)[0]) == 10_000
+    assert S.scan("z" * 200_000 + "1")[1] == [] and S.scan("zB" * 100_000 + "1")[1] == [] and not S.scan("https://" + "a/" * 200_000)[1]
+    assert time.time() - began < 20
+
+
 def test_redaction():
     assert S.redacted(f"a password={KEY} b") == "a [assign] b"
     assert S.redacted("nothing") == "nothing" and KEY not in S.redacted(f"x {KEY} y")
