@@ -1,12 +1,15 @@
 """A counterfactual-regularised toxicity classifier.
 
 Features are a text's distinct words (lower case, without punctuation at their ends) and the words' first 4 to 6 letters;
-those that set toxic documents apart, by a chi-squared statistic over the training rows, are kept. A logistic regression
-is fitted with a second penalty: in every labelled sentence with identity terms the terms are swapped for others of their
-kind, and the difference between the two scores is punished, so that a group's mention alone moves no score.
-
-Training takes at most ``SAMPLE`` labelled rows outside the held-out fold, those with the smallest hash of doc_id; scoring
-reads every document.
+those that set toxic documents apart, by a chi-squared statistic over the training rows, are kept (words that clean ones
+have more often fit the sample and cost held-out accuracy). A logistic
+regression is fitted with a second penalty. Every labelled sentence gives a pair that differs in identity terms alone: its
+terms are swapped for others of their kind, and a sentence without one is taken once with each of two terms of a kind,
+which also trains the terms' own weights. The difference between a pair's scores is punished, so that a group's mention
+alone moves no score.
+
+Training takes at most ``SAMPLE`` labelled rows outside the held-out fold, those with the smallest hash of doc_id, each with one
+text; scoring reads every document.
 """
 
 from __future__ import annotations
@@ -57,7 +60,9 @@ musulmans chrétiens juifs
 mujeres hombres
 musulmanes cristianos judíos
 """
+#: Each term's stand-in; the terms in a fixed order, from which sentences without one get theirs.
 SWAPS = {a: b for line in IDENTITY.strip().split("\n") for t in [line.split()] for a, b in zip(t, t[1:] + t[:1], strict=True)}
+TERMS = sorted(SWAPS)
 _EDGES = ".,;:!?\"'()[]{}<>*#%&|$«»„“”…-"
 
 
@@ -66,28 +71,32 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-class Words(dict):
-    """token -> its features, for a bounded number of tokens."""
+class Words:
+    """The features of texts; what a token gives is kept for a bounded number of tokens."""
 
     def __init__(self, known: dict[str, int] | None = None, limit: int = 200_000):
-        super().__init__()
-        self.known, self.limit = known, limit
-
-    def __missing__(self, token: str) -> tuple:
-        word = token.strip(_EDGES)
-        names = [word, *(f"{word[:n]}~" for n in PREFIXES if len(word) >= n)] if word else []
-        value = tuple(names if self.known is None else (self.known[x] for x in names if x in self.known))
-        if len(self) >= self.limit:
-            self.clear()
-        self[token] = value
-        return value
-
-
-def features(text: str, words: Words) -> set:
-    out: set = set()
-    for token in set(text.lower().split()):
-        out.update(words[token])
-    return out
+        self.known, self.limit, self.seen, self.useful = known, limit, set(), {}
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.seen) + len(tokens) > self.limit:
+            self.seen, self.useful = set(), {}
+        self.seen |= tokens
+        for token in tokens:
+            word = token.strip(_EDGES)
+            names = [word, *(f"{word[:n]}~" for n in PREFIXES if len(word) >= n)] if word else []
+            value = tuple(names if self.known is None else (self.known[x] for x in names if x in self.known))
+            if value:
+                self.useful[token] = value
+
+    def of(self, text: str) -> set:
+        """The features of a text, names or (with known ones) numbers."""
+        tokens = set(text.lower().split())
+        if not tokens <= self.seen:
+            self.learn(tokens - self.seen if len(self.seen) + len(tokens) <= self.limit else tokens)
+        out: set = set()
+        for token in self.useful.keys() & tokens if len(self.useful) < len(tokens) else tokens & self.useful.keys():
+            out.update(self.useful[token])
+        return out
 
 
 def swapped(text: str) -> str | None:
@@ -99,6 +108,15 @@ def swapped(text: str) -> str | None:
     return " ".join(t.replace(b, SWAPS[b]) if b in SWAPS else t for t, b in zip(tokens, bare, strict=True))
 
 
+def counterfactual(text: str) -> tuple[str, str, bool]:
+    """(a text, the same with other terms, whether terms had to be put in): a term and its stand-in by the text's checksum."""
+    other = swapped(text)
+    if other is not None:
+        return text, other, False
+    term = TERMS[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(TERMS)]
+    return f"{term} {text}", f"{SWAPS[term]} {text}", True
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label that hold a feature, summed over part of the partition."""
     words, schema = Words(), pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -108,7 +126,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_chunks(((f, seen[1][f], seen[0][f]) for f in seen[0].keys() | seen[1].keys()), schema, 20_000)
 
     for text, toxic in records(batches, "text", "toxic"):
-        seen[toxic].update(features(text, words))
+        seen[toxic].update(words.of(text))
         if len(seen[0]) + len(seen[1]) > 1_000_000:
             yield from out()
             seen[0].clear()
@@ -118,12 +136,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(known: dict[str, int]):
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, schema = Words(known), pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
+        words, schema = Words(known), pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.int32())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("put_in", pa.bool_())])
 
         def rows():
             for text, toxic in records(batches, "text", "toxic"):
-                other = swapped(text)
-                yield toxic, sorted(features(text, words)), None if other is None else sorted(features(other, words))
+                one, other, put_in = counterfactual(text)
+                yield toxic, *(sorted(words.of(t)) for t in (text, one, other)), put_in
 
         yield from in_chunks(rows(), schema)
 
@@ -135,55 +153,74 @@ class Model:
     known: dict[str, int]
     weights: np.ndarray
     bias: float
+    #: The mean squared score change of the training pairs.
+    change: float = 0.0
 
     def score(self, text: str, words: Words) -> float:
-        z = self.bias + sum(self.weights[i] for i in features(text, words))
+        z = self.bias + sum(self.weights[i] for i in words.of(text))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _product(rows: list, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(owner) else np.empty(0, np.int64)
-    return owner, column, np.bincount(owner, weights[column], len(rows))
+class Sparse:
+    """Rows of feature numbers."""
 
+    def __init__(self, rows: list):
+        self.n = len(rows)
+        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.column = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(self.owner) else np.empty(0, np.int64)
 
-def train(x: list, swaps: list, label: np.ndarray, n: int, strength: float = STRENGTH, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on log loss + strength * |w|^2 + counterfactual * mean squared score change."""
-    w = np.zeros(n + 1)
-    first, second = np.zeros(n + 1), np.zeros(n + 1)
-    owner, column, _ = _product(x, w)
-    pairs = [(a, b) for a, b in zip(x, swaps, strict=True) if b is not None]
-    here = _product([a for a, _ in pairs], w)[:2]
-    there = _product([b for _, b in pairs], w)[:2]
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        z = np.bincount(self.owner, w[self.column], self.n) + w[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    def back(self, slope: np.ndarray, size: int) -> np.ndarray:
+        """The gradient of the weights, the bias last, from that of the rows' logits."""
+        out = np.bincount(self.column, slope[self.owner], size)
+        out[-1] += slope.sum()
+        return out
+
+
+def objective(w: np.ndarray, x: Sparse, label: np.ndarray, here: Sparse, there: Sparse, strength: float, penalty: float) -> tuple[float, np.ndarray, float]:
+    """(loss, its gradient, the mean squared score change of the pairs); w has the bias last.
+
+    The loss is the mean log loss + strength * |weights|^2 + penalty * the mean squared change.
+    """
+    p = x.scores(w)
+    n, m = max(1, x.n), max(1, here.n)
+    bare = np.append(w[:-1], 0)
+    a, b = here.scores(w), there.scores(w)
+    change = float(((a - b) ** 2).sum() / m)
+    loss = float(-np.log(np.where(label > 0, p, 1 - p)).sum() / n + strength * (bare**2).sum() + penalty * change)
+    slope = 2 * penalty * (a - b) / m
+    grad = x.back((p - label) / n, len(w)) + 2 * strength * bare + here.back(slope * a * (1 - a), len(w)) - there.back(slope * b * (1 - b), len(w))
+    return loss, grad, change
+
+
+def train(x: list, label: np.ndarray, pairs: list[tuple[list, list]], n: int, strength: float = STRENGTH, penalty: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and the pairs' mean squared score change, by full-batch Adam on ``objective``."""
+    w, first, second = np.zeros((3, n + 1))
+    rows, here, there = Sparse(x), Sparse([a for a, _ in pairs]), Sparse([b for _, b in pairs])
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[column], len(x)) + w[n], -40, 40)))
-        error = (p - label) / max(1, len(x))
-        grad = np.bincount(column, error[owner], n + 1) + 2 * strength * np.append(w[:n], 0)
-        grad[n] += error.sum()
-        if pairs:
-            z = [1 / (1 + np.exp(-np.clip(np.bincount(o, w[c], len(pairs)) + w[n], -40, 40))) for o, c in (here, there)]
-            change = 2 * counterfactual * (z[0] - z[1]) / len(pairs)
-            for (o, c), s, q in ((here, change, z[0]), (there, -change, z[1])):
-                slope = s * q * (1 - q)
-                grad += np.bincount(c, slope[o], n + 1)
-                grad[n] += slope.sum()
+        _, grad, _ = objective(w, rows, label, here, there, strength, penalty)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return w[:n], float(w[n])
+    return w[:n], float(w[n]), objective(w, rows, label, here, there, strength, penalty)[2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = COUNTERFACTUAL) -> Model:
     """A model from labelled rows outside the held-out fold.
 
-    Rows with a null id or label are not used; of several labels for an id the largest holds. Without a row of each label
+    Rows with a null id or label are not used; of several labels for an id the largest holds, of several texts the first in
+    order. Without a row of each label
     the model gives every text the smoothed share of toxic rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialise(texts.join(F.broadcast(known), "doc_id").select("text", "toxic"))  # at most ``sample`` keys
+    rows = texts.join(F.broadcast(known), "doc_id")  # at most ``sample`` keys
+    rows = materialise(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
@@ -194,11 +231,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual
     chi = (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) + 1)
     best = counts.filter((a >= LEAST) & (a * good > 2 * b * bad)).withColumn("chi", chi.cast("double"))
     best = [r.feature for r in best.orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()]
-    groups = [t for t in SWAPS if t not in set(best)]
-    index = {f: i for i, f in enumerate(best + groups)}
-    found = rows.mapInArrow(_vectors(index), "toxic int, x array<int>, y array<int>").collect()  # at most ``sample`` short rows
-    weights, bias = train([r.x for r in found], [r.y for r in found], np.array([r.toxic for r in found], float), len(index), counterfactual=counterfactual)
-    return Model(index, weights, bias)
+    kept = set(best)
+    index = {f: i for i, f in enumerate(best + [t for t in TERMS if t not in kept])}
+    found = rows.mapInArrow(_vectors(index), "toxic int, x array<int>, a array<int>, b array<int>, put_in boolean").collect()  # at most ``sample`` short rows
+    more = [r for r in found if r.put_in]
+    label = np.array([r.toxic for r in found + more], float)
+    weights, bias, change = train([r.x for r in found] + [r.a for r in more], label, [(r.a, r.b) for r in found], len(index), penalty=penalty)
+    return Model(index, weights, bias, change)
 
 
 def _score(model: Model):

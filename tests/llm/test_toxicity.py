@@ -37,27 +37,62 @@ def test_counterfactual_penalty(spark):
     df = spark.createDataFrame(sentences(), "doc_id long, text string, toxic int")
     change = {}
     for penalty in (0.0, 20.0):
-        model = T.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), counterfactual=penalty)
+        model = T.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), penalty=penalty)
         words = T.Words(model.known)
         change[penalty] = model.score("w1 w2 a muslim family w3", words) - model.score("w1 w2 a jewish family w3", words)
         assert model.score("w1 rotten w2", words) > 0.5 > model.score("w1 w2 w4", words)
     assert change[0.0] > 0.1 and abs(change[20.0]) < 0.3 * change[0.0]
 
 
-def test_swaps():
+def test_pairs():
     assert T.swapped("The Muslim, and the women!") == "the jewish, and the men!"
     assert T.swapped("nobody") is None and T.swapped("") is None
+    assert T.counterfactual("The Muslim, yes") == ("The Muslim, yes", "the jewish, yes", False)
+    one, other, put_in = T.counterfactual("nobody here")
+    a, b = one.removesuffix(" nobody here"), other.removesuffix(" nobody here")
+    assert put_in and T.SWAPS[a] == b != a
 
 
 def test_gradient():
+    """Against finite differences, pairs included."""
+    rng = np.random.default_rng(0)
+    draw = lambda: [rng.choice(6, rng.integers(0, 4), replace=False).tolist() for _ in range(30)]
+    x, a, b = (T.Sparse(draw()) for _ in range(3))
+    label, w = rng.integers(0, 2, 30).astype(float), rng.normal(size=7)
+    for penalty in (0.0, 3.0):
+        f = lambda v, penalty=penalty: T.objective(v, x, label, a, b, 0.1, penalty)[0]
+        want = [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+        assert np.allclose(T.objective(w, x, label, a, b, 0.1, penalty)[1], want, atol=1e-6)
+
+
+def test_training():
     rng = np.random.default_rng(0)
     x = [rng.choice(6, 3, replace=False).tolist() for _ in range(40)]
     label = np.array([float(0 in r) for r in x])
-    w, b = T.train(x, [None] * 40, label, 6)
+    w, b, _ = T.train(x, label, [], 6)
     p = [1 / (1 + np.exp(-(b + sum(w[i] for i in r)))) for r in x]
     assert all((q > 0.5) == (t == 1) for q, t in zip(p, label, strict=True))
 
 
+def test_penalty_on_the_tables(spark):
+    """The synthetic texts name no group, yet the penalty is active and moves scores less on neutral mentions."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").limit(200).collect()]
+    moved = {}
+    for penalty in (0.0, T.COUNTERFACTUAL):
+        model = T.fit(docs, labels, penalty=penalty)
+        words = T.Words(model.known)
+        moved[penalty] = model.change, max(abs(model.score(f"{t} {text}", words) - model.score(f"{T.SWAPS[t]} {text}", words)) for text in texts for t in T.TERMS[::7])
+    print(moved)
+    assert moved[0.0][0] > 1e-7 and moved[T.COUNTERFACTUAL][0] < moved[0.0][0] and moved[T.COUNTERFACTUAL][1] < 0.5
+
+
+def test_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} {'rotten' if i % 2 else 'fine'}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert T.score_toxicity(docs, labels).count() == 4000
+
+
 def test_messy(spark, messy, empty):
     labels = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 0), (None, 0, 1), (5, 1, None), (6, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     got = T.score_toxicity(messy, labels).collect()
