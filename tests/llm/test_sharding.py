@@ -58,3 +58,25 @@ def test_messy(messy, empty):
         places[r.shard].append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     assert S.digest(empty).count() == 0
+
+
+def test_the_query_stores_and_edits_its_map(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = S.digest(docs, path=str(tmp_path / "map")).collect()
+    assert {r.law for r in rows} == {"bytes"} and {r.version for r in rows} == {1}
+    (one, first), (two, second) = (S.load_map(spark, str(tmp_path / "map"), v) for v in (1, 2))
+    assert all(r.shard == first[r.virtual_slot] and r.next_shard == second[r.virtual_slot] for r in rows)
+    assert {second[k] for k in first if first[k] != second[k]} == {8}
+    for column, n in (("shard", 8), ("next_shard", 9)):
+        sums = [sum(r.size for r in rows if r[column] == k) for k in range(n)]
+        assert max(sums) - min(sums) < 0.1 * sum(sums) / n
+
+
+def test_equal_rows_spread(spark):
+    docs = spark.createDataFrame([(7, "the same row")] * 5000 + [(i, "other") for i in range(100)], "doc_id long, text string").repartition(3)
+    rows = S.shard(docs)[0].collect()
+    per = [sum(r.shard == k for r in rows) for k in range(8)]
+    assert max(per) < 1.3 * min(per) and all(sorted(r.slot for r in rows if r.shard == k) == list(range(per[k])) for k in range(8))
+    again = {r.doc_id: r.virtual_slot for r in S.shard(docs.filter("doc_id <> 7"))[0].collect()}
+    kept = {r.doc_id: r.virtual_slot for r in rows if r.doc_id != 7}
+    assert all(kept[k] == again[k] for k in again if k != 7)
