@@ -1,9 +1,11 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised (lower case, numbers as 0, runs of white space as one blank), hashed, and the distinct texts of a host
-(``source``) that hold a line are counted over all documents. A line in more than ``SHARE`` of its host's distinct texts,
-and in more than ``LEAST`` of them, is removed; a document that keeps fewer than ``MIN_WORDS`` words, or less than
-``MIN_LEFT`` of its words, is rejected. Copies of a text count once, so a group of copies doesn't make its own lines frequent.
+Lines are normalised (lower case, numbers as 0, runs of white space as one blank) and hashed, and the distinct documents of
+a host (``source``) that hold a line are counted over all documents. A line above its host's limit is removed: ``SHARE`` of
+the host's documents, but ``LEAST`` documents at least and ``MOST`` at most, so that no host is too large for its
+boilerplate to count. More than ``LEAST`` different texts have to hold it too, so that a group of copies of one text doesn't
+make its own lines frequent. A document that keeps fewer than ``MIN_WORDS`` words, or less than ``MIN_LEFT`` of its words,
+is rejected.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ MIN_WORDS = 10
 #: In percent of the words.
 MOST_REPEATED = 20
 WINDOW = 5
-SHARE = 0.1
+SHARE = 0.01
 LEAST = 20
+MOST = 1000
 MIN_LEFT = 0.3
-#: Hosts with frequent lines up to which their lines, fewer than 10 times a text's for each, are broadcast.
-BROADCAST_HOSTS = 20_000
 
 SPACES = " \t\n\r\x0b\x0c"
 _RUN = re.compile(rf"[{SPACES}]+")
@@ -96,61 +97,72 @@ def _measured(docs: DataFrame) -> DataFrame:
     return materialise(measured.withColumn("row", F.monotonically_increasing_id()))
 
 
-def frequent_lines(measured: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, line) of the lines above the limits; fewer for each host than 1 / share times the lines of a text."""
-    texts = measured.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    totals = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    return counts.join(totals, "host").filter(F.col("n") > share * F.col("texts")).select("host", "line")
+def frequent_lines(measured: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(host, line) of the lines above the limits. Each text's lines are sent once, with its number of documents."""
+    texts = measured.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.countDistinct(F.struct("doc_id")).alias("copies"))
+    texts = materialise(texts)
+    limits = texts.groupBy("host").agg(F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), share * F.sum("copies"))).alias("limit"))
+    counts = texts.select("host", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts"), F.sum("copies").alias("n"))
+    return counts.filter((F.col("texts") > least) & (F.col("n") > least)).join(limits, "host").filter(F.col("n") > F.col("limit")).select("host", "line")
 
 
-def assess(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def assess(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(rows with the measures, n_left_words, base_failed and kept; frequent lines with their hosts)."""
     measured = _measured(docs)
-    frequent = materialise(frequent_lines(measured, share, least))
+    frequent = materialise(frequent_lines(measured, share, least, most))
     lines = measured.select("row", "host", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
-    lost = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
+    lost = lines.join(bounded(frequent), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
     out = measured.drop("lines", "words", "text_hash").join(lost, "row", "left").withColumn("n_left_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     left = (F.col("n_left_words") >= MIN_WORDS) & (F.col("n_left_words") >= MIN_LEFT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & left), frequent
 
 
-def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, the five measures, base_failed, kept, n_left_words.
 
     Defined cases: a null or empty text has no word and fails. A null source is one host, the same as the empty name.
-    Repeated rows and doc_ids give a row each. A line that a text repeats counts once for it, and all its words are lost
+    Repeated rows and doc_ids give a row each; rows that agree in doc_id and text are one document in the counts, null
+    doc_ids included. A line that a text repeats counts once for it, and all its words are lost
     if it is removed. An empty table gives an empty result. Columns other than doc_id, source and text are not read.
     """
-    return assess(docs, share, least)[0].select("doc_id", *NAMES, "base_failed", "kept", "n_left_words")
+    return assess(docs, share, least, most)[0].select("doc_id", *NAMES, "base_failed", "kept", "n_left_words")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the hashes of the lines to drop as their last column."""
+    """Documents whose last columns are the host and the hashes of its frequent lines."""
     for b in batches:
         texts, kept = [], []
-        for text, drop in zip(b.column("text").to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+        drops: dict[str, set] = {}
+        for i, (text, host) in enumerate(zip(b.column("text").to_pylist(), b.column(b.num_columns - 2).to_pylist(), strict=True)):
             text = text or ""
-            drop = set(drop or ())
-            lines = [x for x in text.split("\n") if not drop or line_hash(x) not in drop]
-            new = "\n".join(lines)
-            n_words, *_, repeat = measures(new)
-            before, *_, old_repeat = measures(text)
-            failed = before < MIN_WORDS or 100 * old_repeat > MOST_REPEATED * before
-            kept.append(not failed and n_words >= MIN_WORDS and n_words >= MIN_LEFT * before)
+            if host not in drops:
+                drops[host] = set(b.column(b.num_columns - 1)[i].as_py() or ())
+            drop = drops[host]
+            n_words, *_, repeat = measures(text)
+            new, left = text, n_words
+            if drop:
+                new = "\n".join(x for x in text.split("\n") if line_hash(x) not in drop)
+                left = len(new.encode("utf-8", "surrogatepass").split())
+            failed = n_words < MIN_WORDS or 100 * repeat > MOST_REPEATED * n_words
+            kept.append(not failed and left >= MIN_WORDS and left >= MIN_LEFT * n_words)
             texts.append(new)
-        names = b.schema.names[:-1]
+        names = b.schema.names[:-2]
         columns = [pa.array(texts, b.schema.field(n).type) if n == "text" else b.column(n) for n in names]
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept))
 
 
-def filter_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """The documents that are kept, with all their columns; ``text`` without its frequent lines, ``n_chars`` to match."""
-    frequent = materialise(frequent_lines(_measured(docs), share, least))
+def filter_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """The documents that are kept, with all their columns; ``text`` without its frequent lines, ``n_chars`` to match.
+
+    Defined cases: null and empty texts are rejected, as they have no word. A null source is one host, the same as the
+    empty name. Repeated rows stay as often as they come. Columns of any name and type are handed on; an empty table
+    gives an empty result.
+    """
+    frequent = materialise(frequent_lines(_measured(docs), share, least, most))
     host, drop = free_names(docs, "host", "drop")
     drops = materialise(frequent.groupBy(F.col("host").alias(host)).agg(F.collect_list("line").alias(drop)))
-    tagged = docs.withColumn(host, utf8(F.col("source").cast("string"))).join(bounded(drops, BROADCAST_HOSTS), host, "left").drop(host)
+    tagged = docs.withColumn(host, utf8(F.col("source").cast("string"))).join(bounded(drops), host, "left")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = tagged.select(*(F.col(f"`{n}`") for n in docs.columns), drop).mapInArrow(_cleaned, schema)
+    out = tagged.select(*(F.col(f"`{n}`") for n in docs.columns), host, drop).mapInArrow(_cleaned, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

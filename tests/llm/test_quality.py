@@ -20,22 +20,25 @@ def test_measures():
         assert Q.measures(text) == naive(text), text
 
 
-def verdicts(rows, share, least):
-    """kept and words left, by counting every line's distinct texts in its source."""
-    texts = {(s or "", t or "") for _, t, s in rows}
-    seen, total = defaultdict(set), defaultdict(int)
-    for s, t in texts:
-        if any(Q.normalised(x) for x in t.split("\n")):
-            pass
-        total[s] += 1
+def verdicts(rows, share, least, most=1000):
+    """kept and words left, by counting every line's documents and texts in its source."""
+    texts, documents, total = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t, s in rows:
+        t, s = t or "", s or ""
+        total[s].add((i, t))
         for x in t.split("\n"):
-            if Q.normalised(x):
-                seen[s, Q.normalised(x)].add(t)
+            texts[s, Q.normalised(x)].add(t)
+            documents[s, Q.normalised(x)].add((i, t))
+
+    def frequent(s, x):
+        key = s, Q.normalised(x)
+        return len(texts[key]) > least and len(documents[key]) > min(most, max(least, share * len(total[s])))
+
     out = []
     for i, t, s in rows:
         t, s = t or "", s or ""
         n = naive(t)
-        left = sum(len(naive_words(x)) for x in t.split("\n") if not (len(seen[s, Q.normalised(x)]) > least and len(seen[s, Q.normalised(x)]) > share * total[s]))
+        left = sum(len(naive_words(x)) for x in t.split("\n") if not frequent(s, x))
         failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
         out.append((i, *n, failed, not failed and left >= 10 and left >= 0.3 * n[0], left))
     return sorted(out, key=str)
@@ -60,6 +63,19 @@ def test_line_frequency(spark):
     assert sorted(map(tuple, got.collect()), key=str) == verdicts(rows, 0.1, 5)
 
 
+def test_boilerplate_of_a_large_host(spark):
+    """A line in 1 to 10 % of a large host is removed, however large the host; a large group of copies isn't."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12)).translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, own(i) + ("\nRead more of this every day" if i % 12 == 0 else "") + ("\nSold by the shop" if i % 60 == 0 else ""), "big") for i in range(6000)]
+    rows += [(10_000 + i, "\n".join(own(k) for k in range(90_000, 90_003)), "big") for i in range(400)]
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sorted(map(tuple, got.values()), key=str) == verdicts(rows, Q.SHARE, Q.LEAST, Q.MOST)
+    assert got[0].n_words - got[0].n_left_words == 10 and got[12].n_words - got[12].n_left_words == 6
+    assert all(got[10_000 + i].kept and got[10_000 + i].n_left_words == 36 for i in range(400))
+    few = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5, least=20, most=80)
+    assert sorted(map(tuple, few.collect()), key=str) == verdicts(rows, 0.5, 20, 80)
+
+
 def test_filter_follows_the_verdicts(spark):
     rows = rows_with_boilerplate()
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
