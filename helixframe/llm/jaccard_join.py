@@ -10,9 +10,11 @@ made as the target recall needs.
 Within a leaf all pairs of embeddings are compared; what might reach the similarity is joined into candidate classes by
 one edge per text, so the rows made stay in proportion to the texts. A node that is still too full at the last level, or
 of which a part of ``DENSE`` resembles its first text, so that no coordinate would part it, joins all its texts to one
-candidate class. Inside every candidate class all pairs are then compared exactly, in blocks: links
-are counted and true classes found from the whole shingle sets. No link between different texts that a run has found is
-lost, and copies of a text are never expanded into pairs.
+candidate class. Inside every candidate class the texts are then compared exactly, in blocks of texts of a like size: links
+are counted and true classes found from the whole shingle sets. Sets whose sizes differ so far that they can't reach the
+similarity never meet. No link between different texts that a run has found is lost, and copies of a text are never expanded
+into pairs. As every link counts, n texts that resemble each other take n^2 / 2 comparisons; each is sent to n / ``BLOCK``
+tasks.
 """
 
 from __future__ import annotations
@@ -38,10 +40,8 @@ DENSE = 0.2
 SEED = 20240229
 #: Equal coordinates that a pair at the similarity falls short of by chance about once in 2000 cases.
 LEAST_EQUAL = (SIMILARITY - 3.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)) * COORDINATES
-#: Texts of one side of an exact comparison.
-BLOCK = 256
-#: Keys of 16 bytes up to which the texts to compare are picked by a broadcast; beyond it Spark joins by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Texts of one side of an exact comparison, about, and their shingles.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 
 def runs_needed(recall: float = RECALL, levels: int = LEVELS) -> int:
@@ -161,8 +161,31 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
-    schema = pa.schema([("rid", pa.int64()), ("component", pa.int64()), ("blocks", pa.int32()), ("n_copies", pa.int64()), ("shingles", pa.binary())])
-    yield from in_chunks(((rid, c, k, n, shingle_set(t.lower().split(), hashes, SHINGLE).tobytes()) for rid, c, k, n, t in records(batches, "rid", "component", "blocks", "n_copies", "text")), schema, 256)
+    schema = pa.schema([("rid", pa.int64()), ("component", pa.int64()), ("bucket", pa.int32()), ("blocks", pa.int32()), ("above", pa.int32()), ("below", pa.int32()), ("n_copies", pa.int64()), ("shingles", pa.binary())])
+    yield from in_chunks(((*rest, shingle_set(t.lower().split(), hashes, SHINGLE).tobytes()) for *rest, t in records(batches, *schema.names[:-1], "text")), schema, 256)
+
+
+def blocks_of(members: DataFrame) -> DataFrame:
+    """The members (component, n_shingles, ...) with their bucket of sizes and the number of blocks of it and of its neighbours.
+
+    Sizes of a bucket are within the similarity of each other, so a text has links in its own bucket and the next ones alone.
+    """
+    bucket = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / SIMILARITY) + 1e-9).cast("int")
+    members = members.withColumn("bucket", bucket)
+    sizes = members.groupBy("component", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    near = [sizes.select("component", (F.col("bucket") + k).alias("bucket"), F.col("blocks").alias(name)) for k, name in ((-1, "above"), (1, "below"))]
+    sizes = sizes.join(near[0], ["component", "bucket"], "left").join(near[1], ["component", "bucket"], "left").fillna(0, ["above", "below"])
+    return members.join(bounded(materialise(sizes)), ["component", "bucket"])
+
+
+def tiles(sets: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (left, right as struct<bucket, block>) that a text is part of."""
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    sets = sets.withColumn("mine", F.struct("bucket", block.alias("block")))
+    others = lambda n, k: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((F.col("bucket") + k).cast("int").alias("bucket"), i.alias("block")))
+    other = F.concat(others(F.col("blocks"), 0), others(F.col("above"), 1), others(F.col("below"), -1))
+    sets = sets.withColumn("other", F.explode(other))
+    return sets.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rid", "n_copies", "shingles")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -196,12 +219,14 @@ def _reaches(common: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links of a pair of blocks: for each text the documents it links to and one text of its component here."""
     schema = pa.schema([("rid", pa.int64()), ("hub", pa.int64()), ("links", pa.int64())])
-    for (_, i, j), members in runs(batches, ["component", "i", "j"], ["block", "rid", "n_copies", "shingles"]):
+    for (_, i, j), members in runs(batches, ["component", "i", "j"], ["side", "rid", "n_copies", "shingles"]):
+        if len(members) < 2:
+            continue
         members.sort(key=lambda m: (m[0], m[1]))
         sets = [np.frombuffer(m[3], "<u8") for m in members]
         rid, copies = np.array([m[1] for m in members]), np.array([m[2] for m in members])
         size = np.array([len(s) for s in sets], float)
-        n = sum(m[0] == i for m in members)
+        n = sum(m[0] == 0 for m in members)
         if i == j:
             linked = _reaches(_common(sets, None), size, size, SIMILARITY)
             np.fill_diagonal(linked, False)
@@ -265,21 +290,17 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     docs = docs.withColumn("key", F.unhex(F.md5("text")))
     rows = materialise(docs.mapInArrow(_embed, "doc_id long, key binary, n_shingles int, sig binary, sketch binary"))
-    texts = rows.filter("n_shingles > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
+    texts = rows.filter("n_shingles > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
     texts = materialise(texts.withColumn("rid", F.monotonically_increasing_id()))
 
     nodes = components(candidate_edges(texts, recall))
-    blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = nodes.withColumnRenamed("node", "rid").join(blocks, "component").join(texts.select("rid", "key", "n_copies"), "rid")
-    members = materialise(members)
-    bodies = docs.select("key", "text").join(bounded(members.select("key"), BROADCAST_ROWS), "key", "left_semi")
+    members = nodes.withColumnRenamed("node", "rid").join(texts.select("rid", "key", "n_copies", "n_shingles"), "rid")
+    members = materialise(blocks_of(materialise(members)))
+    bodies = docs.select("key", "text").join(bounded(members.select("key")), "key", "left_semi")
     bodies = bodies.groupBy("key").agg(F.first("text").alias("text"))
-    members = bodies.join(members, "key").select("rid", "component", "blocks", "n_copies", "text")
-    sets = members.mapInArrow(_sets, "rid long, component long, blocks int, n_copies long, shingles binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = materialise(grouped(sets.select("component", "i", "j", "block", "rid", "n_copies", "shingles"), ["component", "i", "j"], _compare, "rid long, hub long, links long"))
+    members = bodies.join(members, "key").select("rid", "component", "bucket", "blocks", "above", "below", "n_copies", "text")
+    sets = members.mapInArrow(_sets, "rid long, component long, bucket int, blocks int, above int, below int, n_copies long, shingles binary")
+    found = materialise(grouped(tiles(sets), ["component", "i", "j"], _compare, "rid long, hub long, links long"))
 
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = components(found, "rid", "hub").withColumnRenamed("node", "rid")
@@ -308,9 +329,9 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     found = materialise(jaccard_join(docs, recall).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "is_kept"))
     keyed = docs.withColumn(own, F.unhex(F.md5(utf8(F.col("text")))))
     same = (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
-    out = keyed.join(bounded(found.filter("not is_kept").select(id_, key).distinct(), BROADCAST_ROWS), same, "left_anti")
+    out = keyed.join(bounded(materialise(found.filter("not is_kept").select(id_, key).distinct())), same, "left_anti")
     again = materialise(found.filter("is_kept").groupBy(id_, key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.isEmpty():
-        again = bounded(again, BROADCAST_ROWS)
+        again = bounded(again)
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", own]))
     return out.drop(own)

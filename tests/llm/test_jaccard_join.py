@@ -55,13 +55,35 @@ def test_against_brute_force(spark):
 
 def test_full_nodes_and_blocks(spark, monkeypatch):
     """Nodes that are too full, dense or not, and classes of several blocks lose no link."""
-    for name, value in (("BUCKET", 3), ("BLOCK", 4)):
+    for name, value in (("BUCKET", 3), ("BLOCK", 4), ("BLOCK_SHINGLES", 300)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(4)
     got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute(rows)
 
 
+def test_tiles_meet_once():
+    """Every pair of texts of a class whose sizes allow the similarity is in exactly one tile, on the right sides."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rng = random.Random(6)
+    rows = [(i, 5, rng.choice([1, 2, 7, 40, 48, 50, 60, 64, 90, 100, 110]), 1, bytes(8)) for i in range(60)]
+    df = J.blocks_of(spark.createDataFrame(rows, "rid long, component long, n_shingles int, n_copies long, shingles binary"))
+    met = defaultdict(int)
+    groups = defaultdict(list)
+    for r in J.tiles(df).collect():
+        groups[r.i, r.j].append((r.side, r.rid))
+    for (i, j), members in groups.items():
+        for k, (s, a) in enumerate(members):
+            for t, b in members[k + 1 :]:
+                if i == j or s != t:
+                    met[min(a, b), max(a, b)] += 1
+    size = {r[0]: r[2] for r in rows}
+    assert set(met.values()) == {1}
+    assert all((a, b) in met for a in size for b in size if a < b and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string")
