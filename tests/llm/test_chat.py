@@ -1,3 +1,5 @@
+import hashlib
+
 from helixframe.llm import chat as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, pos int, n_turns int, h long"
@@ -5,16 +7,16 @@ SCHEMA = "conv_id long, turn long, role string, text string, pos int, n_turns in
 
 def conversations(turns):
     by = {}
-    for c, t, r, x in turns:
-        by.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
-    by = {c: tuple(x[2:] for x in sorted(v)) for c, v in by.items()}
+    for n, (c, t, r, x) in enumerate(turns):
+        by.setdefault((c is None, n if c is None else c), []).append((t is not None, t or 0, r or "", hashlib.md5((x or "").encode()).hexdigest(), x or ""))
+    by = {c: tuple((r, x) for _, _, r, _, x in sorted(v)) for c, v in by.items()}
     out = {}
-    for c in sorted(by, key=lambda c: (c is None, c or 0)):
+    for c in sorted(by):
         v = by[c]
         if any(len(w) > len(v) and w[: len(v)] == v for w in by.values()):
             continue
         if v not in out:
-            out[v] = [c, 0]
+            out[v] = [None if c[0] else c[1], 0]
         out[v][1] += 1
     return sorted(((c, len(v), n, "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in v)) for v, (c, n) in out.items()), key=str)
 
@@ -36,9 +38,12 @@ def test_snapshots(spark):
 def test_messy(spark):
     turns = [(1, 0, "user", None), (1, None, None, "x"), (1, 0, "user", None), (None, 0, "user", "a"), (None, 0, "user", "b"), (2, 3, "user", ""), (2, 3, "user", ""), (3, 1, None, "x"), (4, 9, "user", "y" * 100_000)]
     check(spark, turns)
+    check(spark, turns + [(None, 5, "user", "a"), (None, None, None, None), (None, 1, "user", "y" * 100_000), (8, 1, "user", "b"), (8, 2, "user", "c")])
     assert C.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_no_python_in_the_plan(spark):
     df = C.format_chats(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    parts = C.prefix_hashes(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    assert "Python" not in parts._jdf.queryExecution().toString()
     assert "Python" not in df._jdf.queryExecution().toString()
