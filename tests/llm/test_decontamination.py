@@ -14,11 +14,11 @@ def run(spark, docs, items):
 
 def test_words_keep_in_step(spark):
     texts = [ITEM, PLAIN, "5kg, 3.5 % and 1,000.25 km/h Über Alles; John A. Smith-Jones said: Hello World!", "", "#n 7#p ab", None, " x"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select(D.raw_words(D.marked(D.F.col("text"))).alias("v"), D.template_words(D.marked(D.F.col("text"))).alias("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(D.raw_words(D.marked(D.F.col("text"))).alias("v"), D.template_words(D.F.col("text")).alias("t"))
     for r in df.collect():
         assert len(r.v) == len(r.t), r
     t = df.first().t
-    assert t.count("#n") == 3 and t.count("#u") == 2 and t.count("#p") == 3 and "paul" not in t
+    assert t.count("#n") == 3 and t.count("#u") == 2 and t.count("#p") == 4 and not {"paul", "natalia"} & set(t)
 
 
 def test_slots(spark):
@@ -48,6 +48,59 @@ def test_conflicting_slots_cost_only_their_windows(spark):
     assert got[2, 11].n_matched == got[2, 11].n_windows and got[3, 10].n_matched == got[3, 10].n_windows
 
 
+def test_probes(spark):
+    """Short items, numbers in words, names at a sentence's start, coinciding values, inserted words, templated benchmarks."""
+    asked = "Anna has 12 red apples in a basket and gives 3 of them to her brother at school."
+    long = "the quick survey of every harbour town found that most boats never leave the bay in winter"
+    items = [
+        (1, "Which river flows through Vienna and Budapest?"),
+        (2, asked),
+        (3, long),
+        (4, "12 + 7 + 3 + 4 = 26"),
+        (5, "Paris"),
+        (6, "Bob sold 5 old books to a shop and then bought 8 new ones for his mother there."),
+        (7, "Eve sold 9 old books to a shop and then bought 2 new ones for his mother there."),
+        (8, asked),
+        (9, "what is seven plus nine"),
+    ]
+    put_in = long.split()
+    put_in.insert(8, "almost")
+    docs = [
+        (1, "He asked me: Which river flows through Vienna and Budapest? I did not know."),
+        (2, asked.replace("12", "3")),
+        (3, asked.replace("12", "twelve")),
+        (4, asked.replace("Anna", "Gustav")),
+        (5, "So it is written. " + " ".join(put_in) + " as they say."),
+        (6, "we know 12 + 7 + 3 + 4 = 26 by heart, they said"),
+        (7, "we know 12 + 8 + 3 + 4 = 27 by heart, they said"),
+        (8, "Paris."),
+        (9, "Paris is a town that many of us know from books and films alone."),
+        (10, "Tom sold 4 old books to a shop and then bought 6 new ones for his mother there."),
+        (11, "the river that flows through the town is wide and deep in spring"),
+        (12, "tell me what is seven plus nine then"),
+    ]
+    got = run(spark, [(*d, "s") for d in docs], [(*i, 0) for i in items])
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 4), (8, 5), (10, 6), (12, 9)}
+    assert got[2, 2].n_items == 2 and got[10, 6].n_items == 2 and got[5, 3].n_matched < got[5, 3].n_windows
+
+
+def test_both_forms_of_the_template_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    t = D.F.col("text")
+    words = docs.select(D.template_words(t).alias("t"), D.raw_words(D.marked(t)).alias("v"))
+    assert words.filter("size(t) <> size(v)").count() == 0
+    pairs = words.select(D.F.explode(D.F.arrays_zip("t", "v")).alias("x"))
+    assert pairs.filter((D.F.col("x.t") == "#p") != D.F.col("x.v").startswith(D.NAME)).count() == 0
+
+
+def test_runs_choose_every_text_with_a_window(spark):
+    """Wherever a window of an item begins in a text, the runs at every third word meet one of its runs."""
+    item = "aa bb cc dd ee ff gg hh"
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k)) + f" {item} end") for k in range(12)], "doc_id long, text string")
+    classes = D.item_classes(spark.createDataFrame([(1, f"start {item} stop")], "item_id long, text string"))
+    assert D._near(docs, classes).count() == 12
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
@@ -75,7 +128,7 @@ def test_messy(spark, messy, empty):
 
 
 def test_without_broadcast(spark, messy, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D.common, "BROADCAST_BYTES", -1)
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     assert D.remove_contaminated(messy, items).count() == messy.count() - 2
 
