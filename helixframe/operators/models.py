@@ -7,6 +7,7 @@ each task sums its rows by cluster. Every row is then scored where it lies, agai
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ from helixframe.operators import features
 SAMPLE, FOURIER, PASSES = 4000, 256, 60
 #: Largest and smallest number of clusters; restarts; k-means steps.
 RESTARTS, STEPS, DRIFT = 10, 100, 1e-4
-#: Rows clustered together; groups up to which centroids are broadcast.
-BLOCK, BROADCAST_GROUPS = 1000, 1000
+#: Rows clustered together; bytes up to which models are broadcast.
+BLOCK, BROADCAST_BYTES = 1000, 32 << 20
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -83,17 +84,27 @@ def sampled(rows: DataFrame, by: list[str], most: int, sizes: DataFrame | None =
     return rows.join(F.broadcast(sizes), by).filter(chance < most / F.col("_n")).drop("_n")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; a folder is chosen only where none is set."""
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint; only under a local master a folder is chosen where none is set."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def _bounded(groups: DataFrame) -> DataFrame:
-    """With a broadcast hint if the groups are few, so that rows meet their group's model where they lie."""
-    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+def bounded(groups: DataFrame) -> DataFrame:
+    """With a broadcast hint if the groups' values take ``BROADCAST_BYTES`` at most, so that rows meet their group's model where they lie.
+
+    The groups should be materialised, as their bytes are summed here.
+    """
+    size = F.lit(0)
+    for f in groups.schema.fields:
+        column, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        size = size + F.coalesce(F.octet_length(column) if kind in ("string", "binary") else 8 * F.size(column) if kind.startswith("array") else F.lit(8), F.lit(8))
+    total = groups.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(groups) if total <= BROADCAST_BYTES else groups
 
 
 def _merged(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -126,7 +137,7 @@ def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMP
     both labels has no model.
     """
     labelled = rows.filter("label is not null")
-    parts = _kept(features.moments(labelled, [*by, "label"]))
+    parts = kept(features.moments(labelled, [*by, "label"]))
     used = sampled(labelled, [*by, "label"], sample, parts.filter("k = 0").select(*by, "label", F.col("n").alias("_n"))).select(*by, "features", "label")
     stats = features.min_max(_merged(parts, by))
     stats = stats.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "low", "high", "mean", "sd"))).alias("x")).select(*by, *(F.col(f"x.{c}").alias(c) for c in ("low", "high", "mean", "sd")))
@@ -159,7 +170,7 @@ def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMP
         return pd.DataFrame([[*group[by].iloc[0], w[:-1].tolist(), w[-1], low.tolist(), high.tolist(), gamma]], columns=names)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", weights array<double>, bias double, low array<double>, high array<double>, gamma double"
-    return _kept(used.groupBy(*by).cogroup(stats.groupBy(*by)).applyInPandas(function, schema))
+    return kept(used.groupBy(*by).cogroup(stats.groupBy(*by)).applyInPandas(function, schema))
 
 
 def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
@@ -180,7 +191,7 @@ def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
                     score[at] = 1 / (1 + np.exp(-(_mapped(x[at], np.array(low), np.array(high), gamma) @ np.array(w) + bias)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "score"])
 
-    return rows.join(_bounded(model), by, "left").mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return rows.join(bounded(model), by, "left").mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
 def auto_clusters(gc: float, table: str = "11") -> int:
@@ -245,7 +256,7 @@ def _blocks(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, b.schema.field(k).type) for c, k in zip(columns, by, strict=False)), *(pa.array(c, pa.binary()) for c in columns[len(by) :])], names=[*by, "x", "key", "seed"])
 
     keyed = rows.withColumn("_key", F.xxhash64(*rows.columns)).select(*by, "features", "is_seed", "_key")
-    return keyed.join(_bounded(stats.select(*by, "mean", "sd")), by).mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", x binary, key binary, seed binary")
+    return keyed.join(bounded(stats.select(*by, "mean", "sd")), by).mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", x binary, key binary, seed binary")
 
 
 def _on_blocks(blocks: DataFrame, state: DataFrame, by: list[str], few: bool, function, schema: str) -> DataFrame:
@@ -298,14 +309,14 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in by)
     # n_gc and len are summed with the features, as two more of them
     wide = rows.select(*by, F.coalesce("is_seed", F.lit(False)).alias("is_seed"), F.concat("features", F.array(F.col("n_gc").cast("double"), F.col("len").cast("double"))).alias("features"))
-    parts = _kept(features.moments(wide, [*by, "is_seed"]))
+    parts = kept(features.moments(wide, [*by, "is_seed"]))
     mean, sd = features.as_array(_merged(parts, by), by, F.col("mean"), "mean"), features.as_array(_merged(parts, by), by, F.col("sd"), "sd")
     trusted = features.as_array(parts.filter("is_seed"), by, F.col("mean"), "trusted")
     n = parts.filter("k = 0").groupBy(*by).agg(F.sum("n").alias("n"))
     stats = mean.join(sd, by).join(n, by).join(trusted, by, "left").withColumn("gc", F.element_at("mean", -2) / F.element_at("mean", -1))
-    stats = _kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
-    blocks = _kept(_blocks(rows, stats, by))
-    few = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    stats = kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
+    blocks = kept(_blocks(rows, stats, by))
+    few = 8 * restarts * stats.agg(F.sum(F.size("mean") * 6)).first()[0] <= BROADCAST_BYTES if not stats.isEmpty() else True  # of six centroids at most
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,12 +342,12 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
         parts = _on_blocks(blocks, state, by, few, function, "r int, score double, x binary")
         return parts.groupBy(*by, "r").agg(F.max_by("x", F.struct("score", "x")).alias("x"))
 
-    start = _kept(stats.mapInArrow(anchor, f"{keyed}, r int, c binary, size int"))
+    start = kept(stats.mapInArrow(anchor, f"{keyed}, r int, c binary, size int"))
     first = best(start, nearest_row).drop("r").join(start.select(*by, "size"), by)
-    state = _kept(first.select(*by, F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r"), F.col("x").alias("c"), "size"))
+    state = kept(first.select(*by, F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r"), F.col("x").alias("c"), "size"))
     for j in range(1, start.agg(F.max("size")).first()[0] or 0):
         more = best(state.filter(F.col("size") > j), drawn)
-        state = _kept(state.join(more, [*by, "r"], "left").select(*by, "r", F.when(F.col("x").isNull(), F.col("c")).otherwise(F.concat("c", "x")).alias("c"), "size"))
+        state = kept(state.join(more, [*by, "r"], "left").select(*by, "r", F.when(F.col("x").isNull(), F.col("c")).otherwise(F.concat("c", "x")).alias("c"), "size"))
 
     def sums(x, key, seed, r, c):
         label = _apart(x, c).argmin(axis=1)
@@ -361,7 +372,7 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
         parts = _summed(_on_blocks(blocks, running, by, few, sums, "r int, sums binary"), by)
         both = running.select(*by, "r", "c", "size", F.lit(None).cast("binary").alias("sums")).unionByName(parts, allowMissingColumns=True)
         new = both.groupBy(*by, "r").applyInPandas(moved, f"{keyed}, r int, c binary, size int, open boolean")
-        state = _kept(state.filter("not open").unionByName(new))
+        state = kept(state.filter("not open").unionByName(new))
 
     def sizes(x, key, seed, r, c):
         label = _apart(x, c).argmin(axis=1)
@@ -388,7 +399,7 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
 
     model = choice.select(*by, "c", "coding").mapInArrow(listed, f"{keyed}, centroids array<double>, coding int")
     sd = F.transform("sd", lambda v: F.when(v < 1e-9, 1.0).otherwise(v)).alias("sd")
-    return _kept(stats.select(*by, "mean", sd).join(model, by))
+    return kept(stats.select(*by, "mean", sd).join(model, by))
 
 
 def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -433,7 +444,7 @@ def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
                     score[np.array(at)[label == coding]] = 0.75
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
 
-    return rows.join(_bounded(model), by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
+    return rows.join(bounded(model), by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
 
 
 def train_heuristic(rows: DataFrame, keys: list[str], held_out: float = 0.1, seed: int = 42) -> DataFrame:

@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.features import PREFIXES, SHARE
+from helixframe.operators.orfs import BEFORE
 
 #: Candidates scored at first, and the score that makes the others needless.
 FIRST, ENOUGH = 5, 0.60
+#: Bases of a window before and from its candidate on.
+UP, DOWN = 50, 15
 #: Channels, kernel widths and strides of the convolutions.
 LAYERS = [(9, 32, 7, 2), (32, 48, 5, 2), (48, 64, 5, 2), (64, 96, 3, 1)]
 HIDDEN = 64
@@ -96,6 +99,35 @@ def start_scores(windows: DataFrame, network: StartNetwork) -> DataFrame:
     return windows.mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
+def best_starts(rows: DataFrame, network: StartNetwork, scored: Column) -> DataFrame:
+    """With ``best``, the place of an ORF's best candidate, and its ``score``; null where ``scored`` is false.
+
+    rows: ctx, starts and others. The first ``FIRST`` candidates are scored; where none reaches ``ENOUGH`` all the others too.
+    """
+    names = [f.name for f in rows.schema.fields]
+
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, starts, wanted = (b.column(c).to_pylist() for c in ("ctx", "starts", "_scored"))
+            best: list = [None] * len(b)
+            score: list = [None] * len(b)
+
+            def look(places: list[tuple[int, int]], ctx=ctx, starts=starts, best=best, score=score) -> None:
+                for at in range(0, len(places), 1024):
+                    part = places[at : at + 1024]
+                    found = network.score([ctx[i][BEFORE + starts[i][j] - starts[i][0] - UP : BEFORE + starts[i][j] - starts[i][0] + DOWN] for i, j in part])
+                    for (i, j), x in zip(part, found.tolist(), strict=True):
+                        if score[i] is None or x > score[i]:
+                            best[i], score[i] = starts[i][j], x
+
+            look([(i, j) for i, s in enumerate(starts) if wanted[i] for j in range(min(FIRST, len(s)))])
+            look([(i, j) for i, s in enumerate(starts) if score[i] is not None and score[i] < ENOUGH for j in range(FIRST, len(s))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(best, pa.int32()), pa.array(score, pa.float64())], names=[*names, "best", "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withColumn("_scored", scored).mapInArrow(function, f"{schema}, best int, score double")
+
+
 def revised_start(score: Column, new_start: Column, old_start: Column, edge_type: Column, end: Column, minlen: int) -> tuple[Column, Column]:
     """(start, r_score): the best candidate if it leaves the least length; ORFs open at the 5' end move only for a high score."""
     open5 = edge_type >= 5

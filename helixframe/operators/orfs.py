@@ -18,6 +18,8 @@ from helixframe.functions.alphabet import COMPLEMENT_LETTERS, LETTERS, ORDER, st
 
 #: Nucleotides within which a start that isn't ATG gives way to an ATG; shortest partial ORF in metagenomes; longest ORF.
 NEAR, PARTIAL, LONGEST = 75, 60, 50_000
+#: Bases of an ORF's surroundings that come with it on demand.
+BEFORE, AFTER = 200, 15
 #: The start type of a frame that begins before the contig.
 OPEN5 = 5
 
@@ -44,21 +46,22 @@ def address(codon: str) -> int:
 
 
 @functools.lru_cache(maxsize=None)
-def kinds(table: str) -> np.ndarray:
+def kinds(table: str, starts: tuple[str, ...] | None = None) -> np.ndarray:
     """By codon address: the start's number, -1 for a stop, -2 for others and, at the end, for ambiguous codons."""
     out = np.full(65, -2)
-    out[[address(c) for c in start_codons(table)]] = range(len(start_codons(table)))
+    starts = starts or tuple(start_codons(table))
+    out[[address(c) for c in starts]] = range(len(starts))
     out[[address(c) for c in stop_codons(table)]] = -1
     return out
 
 
-def _frames(codes: np.ndarray, length: int, circular: bool, table: str, last: bool) -> Iterator[tuple[int, list[int], list[int], int, bool]]:
+def _frames(codes: np.ndarray, length: int, circular: bool, table: str, last: bool, only: tuple[str, ...] | None = None) -> Iterator[tuple[int, list[int], list[int], int, bool]]:
     """(frame, starts, types, end, runs off the end) of every stretch that ends in a stop or, on a linear contig, at its end.
 
     The codon at the very end is looked at only with ``last``.
     """
     codon = np.where((codes[:-2] < 0) | (codes[1:-1] < 0) | (codes[2:] < 0), -1, 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]) if len(codes) > 2 else np.empty(0, np.int64)
-    kind = kinds(table)[codon]
+    kind = kinds(table, only)[codon]
     for frame in range(3):
         at = np.arange(frame, max(frame, len(codes) - 3 + last), 3)
         here = kind[at] if len(at) else np.empty(0, np.int64)
@@ -83,7 +86,7 @@ def refined(starts: list[int], types: list[int], end: int, minlen: int) -> int:
     return starts[0]
 
 
-def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool = False, complete_only: bool = False) -> Iterator[tuple]:
+def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool = False, complete_only: bool = False, only: tuple[str, ...] | None = None) -> Iterator[tuple]:
     """Fields of SCHEMA from strand on, without the nucleotides' wrap being visible."""
     length = len(seq)
     for strand in (0, 1):
@@ -93,7 +96,7 @@ def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool =
         gc = np.concatenate([[0], np.cumsum((codes == 1) | (codes == 3))])
         g = (codes == 3).astype(np.int64)
         found = []
-        for frame, s, k, end, open3 in _frames(codes, length, circular, table, complete_only):
+        for frame, s, k, end, open3 in _frames(codes, length, circular, table, complete_only, only):
             open5 = k[0] == OPEN5
             if complete_only:
                 if open3:
@@ -116,34 +119,51 @@ def scan(seq: str, circular: bool, minlen: int, table: str = "11", meta: bool =
             yield strand, frame, s, k, start, end, end - start, edge, int(gc[end] - gc[start]), int(g[start + 1 : end : 3].sum()), rstart + 1, rend, text[start:end]
 
 
-def find_orfs(contigs: DataFrame, minlen: int = 90, table: str = "11", meta: bool = False, complete_only: bool = False, sequences: bool = False) -> DataFrame:
+def find_orfs(contigs: DataFrame, minlen: int = 90, table: str = "11", meta: bool = False, complete_only: bool = False, sequences: bool = False, context: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """ORFs of contigs (genome_id, contig_id, circ, seq and perhaps name); a contig's name and length come with its ORFs.
 
     start and end are 0-based, half-open and count along the strand; rstart and rend are 1-based, inclusive and forward.
     edge_type: 5 open at the 5' end, 3 at the 3' end, 8 both. ``complete_only`` gives the ORFs from the first start after a
     stop to the next stop of linear sequences, without moving starts. Contigs below ``minlen`` and null sequences give none.
+    ``context`` adds ctx, the bases from ``BEFORE`` before the first start to ``AFTER`` behind the end; beyond its ends a
+    sequence goes on from its other end. ``only`` names the start codons to use instead of the table's.
     """
 
+    schema = _ARROW.append(pa.field("ctx", pa.string())) if context else _ARROW
+
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for genome, contig, name, circ, seq in zip(*(b.column(c).to_pylist() for c in ("genome_id", "contig_id", "name", "circ", "seq")), strict=True):
-                for row in scan(seq, bool(circ) and not complete_only, minlen, table, meta, complete_only):
-                    rows.append((genome, contig, name, len(seq), *(row if sequences else row[:-1] + (None,))))
-                if len(rows) > 2000:
-                    yield _batch(rows)
-                    rows = []
+                laps = {}
+                for row in scan(seq, bool(circ) and not complete_only, minlen, table, meta, complete_only, only):
+                    found = (genome, contig, name, len(seq), *(row if sequences else row[:-1] + (None,)))
+                    if context:
+                        if row[0] not in laps:
+                            laps[row[0]] = around(seq if not row[0] else seq[::-1].translate(_COMPLEMENT))
+                        found += (laps[row[0]](row[2][0] - BEFORE, row[5] + AFTER),)
+                    rows.append(found)
+                    if len(rows) > 2000:
+                        yield _batch(rows, schema)
+                        rows = []
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, schema)
 
     name = F.col("name") if "name" in contigs.columns else F.col("contig_id").cast("string")
     ready = contigs.filter(F.length("seq") >= minlen).select("genome_id", F.col("contig_id").cast("long").alias("contig_id"), name.alias("name"), "circ", "seq")
-    out = ready.mapInArrow(function, SCHEMA)
+    out = ready.mapInArrow(function, SCHEMA + (", ctx string" if context else ""))
     return out if sequences else out.drop("nt")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+def around(seq: str):
+    """A function that gives the bases from one place to another of a sequence that goes on from its other end."""
+    before = BEFORE // len(seq) + 1
+    text = seq * (before + 3 + AFTER // len(seq))
+    return lambda a, b: text[before * len(seq) + a : before * len(seq) + b]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def gc_content() -> Column:
@@ -157,3 +177,8 @@ def g2_content() -> Column:
 def seeds(orfs: DataFrame, min_len: int = 550, high_gc: float = 0.57) -> DataFrame:
     """Trusted ORFs: long ones, and with high G+C those with few G at codon position 2."""
     return orfs.filter((F.col("len") >= min_len) & ((gc_content() <= high_gc) | (g2_content() < 0.2 * gc_content() + 0.12)))
+
+
+def span(start: Column, end: Column) -> Column:
+    """The bases of an ORF from a start on, from its ctx and starts."""
+    return F.substring(F.col("ctx"), start - F.get("starts", F.lit(0)) + BEFORE + 1, end - start)

@@ -110,6 +110,27 @@ mono AS MATERIALIZED (
   FROM counted, (VALUES (0, 'AG'), (1, 'AC'), (2, 'AT')) t(a, plus)),
 stats AS (SELECT k, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) AS high FROM mono GROUP BY k) """
 
+#: All 189 features of every ORF.
+FEATURES = f""", spots AS (
+  SELECT contig_id, strand, "end", pos % 3 AS p, k, substr(w, 1, k - 1) AS prefix, substr(w, k, 1) AS base, count(*) AS n
+  FROM (SELECT contig_id, strand, "end", i - 1 AS pos, substr(nt, i, 3) AS w FROM (SELECT contig_id, strand, "end", nt, unnest(range(1, len + 1)) AS i FROM complete)), (VALUES (1), (2), (3)) t(k)
+  WHERE length(w) >= k GROUP BY ALL),
+axes AS (SELECT b, a, v FROM (SELECT b, unnest([0, 1, 2]) AS a, unnest([x, y, z]) AS v FROM {_AXES} t(b, x, y, z))),
+summed AS (
+  SELECT contig_id, strand, "end", CASE k WHEN 1 THEN 3 * p WHEN 2 THEN 9 + 12 * p + 3 * (strpos('AGCT', prefix) - 1)
+         ELSE 45 + 48 * p + 3 * (4 * (strpos('AGCT', prefix[1]) - 1) + strpos('AGCT', prefix[2]) - 1) END + a AS k, sum(n * v) AS total
+  FROM spots JOIN axes ON base = b GROUP BY ALL),
+feats AS MATERIALIZED (
+  SELECT c.genome_id, c.contig_id, c.strand, c."end", f.k::INT AS k, coalesce(s.total, 0)::DOUBLE * 3 / c.len AS value
+  FROM complete c CROSS JOIN (SELECT unnest(range(189)) AS k) f LEFT JOIN summed s ON s.contig_id = c.contig_id AND s.strand = c.strand AND s."end" = c."end" AND s.k = f.k),
+stats AS (SELECT k, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) AS high FROM feats GROUP BY k) """
+
+
+def digest(value: str, digits: int, of: str) -> str:
+    """One row an ORF: the MD5 of its 189 values, in order, as whole numbers of so many decimals."""
+    return f'SELECT contig_id, strand, "end", md5(string_agg(round({value} * 1e{digits})::BIGINT::VARCHAR, \',\' ORDER BY k)) AS digest FROM {of} GROUP BY contig_id, strand, "end"'
+
+
 LAGGING = """, wanted AS (
   SELECT *, row_number() OVER w - 1 AS i, greatest(0, least(60, ceil(round((n_gc / len - 0.2) * 100, 9))))::INT AS b FROM complete
   WINDOW w AS (PARTITION BY genome_id ORDER BY n_gc / len, contig_id, strand, "end")),
@@ -131,25 +152,46 @@ GAPS = """, ends AS (SELECT * FROM merged UNION ALL SELECT contig_id, len, len F
 gaps AS (
   SELECT * FROM (SELECT contig_id, lag("end", 1, 0) OVER (PARTITION BY contig_id ORDER BY start, "end") + 20 AS lo, start - 20 AS hi FROM ends) WHERE hi - lo >= 90) """
 
-#: Two-base words of the windows around the first ten starts of each complete ORF.
-WINDOWS = """, candidates AS (
-  SELECT genome_id, contig_id, strand, "end", len, start, unnest(starts[1:10]) AS candidate, unnest(range(len(starts[1:10])))::INT AS j, s, contig_len FROM complete),
+#: Windows around start-like codons 150 to 3 bases before the start of long ORFs, as single bases.
+BACKGROUND = """, upstream AS (
+  SELECT genome_id, contig_len, s || s || s AS sss, unnest(range(start - 150, start - 3)) AS q FROM complete WHERE len >= 300),
+before AS MATERIALIZED (SELECT genome_id, substr(sss, contig_len + q - 50 + 1, 65) AS w FROM upstream WHERE substr(sss, contig_len + q + 1, 3) IN ('ATG', 'GTG', 'TTG')),
+background AS (
+  SELECT genome_id, substr(w, i, 1) AS base FROM (SELECT genome_id, w, unnest(range(1, 65)) AS i FROM before) WHERE substr(w, i, 1) IN ('A', 'C', 'G', 'T')) """
+
+#: Two-base words of the windows around every start of each complete ORF.
+WINDOWS = BACKGROUND + """, candidates AS (
+  SELECT genome_id, contig_id, strand, "end", len, start, unnest(starts) AS candidate, unnest(range(len(starts)))::INT AS j, s, contig_len FROM complete),
 windows AS (SELECT *, substr(s || s || s, contig_len + candidate - 50 + 1, 65) AS w FROM candidates),
 kmers AS MATERIALIZED (
-  SELECT genome_id, contig_id, strand, "end", len, start, candidate, j, CASE WHEN candidate = start THEN 'start' ELSE 'other' END AS class, pos::INT AS pos, substr(w, pos + 51, 2) AS kmer
-  FROM (SELECT *, unnest(range(-50, 14)) AS pos FROM windows)) """
-
-LOGP = """, counts AS (SELECT genome_id, class, pos, kmer, count(*) AS n FROM kmers WHERE len >= 300 AND candidate >= start GROUP BY ALL),
-grid AS (
+  SELECT genome_id, contig_id, strand, "end", len, start, candidate, j, pos::INT AS pos, substr(w, pos + 51, 2) AS kmer
+  FROM (SELECT *, unnest(range(-50, 14)) AS pos FROM windows)),
+classed AS (
+  SELECT genome_id, CASE WHEN candidate = start THEN 'start' ELSE 'other' END AS class, pos, kmer FROM kmers WHERE len >= 300 AND candidate >= start AND j < 6
+  UNION ALL SELECT genome_id, 'background', pos::INT, substr(w, pos + 51, 2) FROM (SELECT genome_id, w, unnest(range(-50, 14)) AS pos FROM before)),
+counts AS (SELECT genome_id, class, pos, kmer, count(*) AS n FROM classed GROUP BY ALL) """
+
+LOGP = """, grid AS (
   SELECT genome_id, class, pos::INT AS pos, a || b AS kmer, a
-  FROM (SELECT DISTINCT genome_id FROM counts), (VALUES ('start'), ('other')) c(class), (SELECT unnest(range(-50, 14)) AS pos), (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)),
+  FROM (SELECT DISTINCT genome_id FROM counts), (VALUES ('background'), ('start'), ('other')) c(class), (SELECT unnest(range(-50, 14)) AS pos), (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)),
 logp AS MATERIALIZED (
   SELECT genome_id, class, pos, kmer, ln((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY genome_id, class, pos, a)) AS logp
   FROM grid LEFT JOIN counts USING (genome_id, class, pos, kmer)) """
 
-ODDS = """, odds AS (
-  SELECT k.contig_id, k.strand, k."end", k.j, sum(CASE l.class WHEN 'start' THEN logp ELSE -logp END) AS odds
-  FROM kmers k JOIN logp l ON l.genome_id = k.genome_id AND l.pos = k.pos AND l.kmer = k.kmer GROUP BY ALL) """
+#: The odds of a start by the background's base shares, and the candidates expected before and after the true start.
+PRIORS = """, shares AS (
+  SELECT genome_id, coalesce(max(share) FILTER (base = 'A'), 0) AS a, coalesce(max(share) FILTER (base = 'C'), 0) AS c, coalesce(max(share) FILTER (base = 'G'), 0) AS g, coalesce(max(share) FILTER (base = 'T'), 0) AS t
+  FROM (SELECT genome_id, base, count(*) / sum(count(*)) OVER (PARTITION BY genome_id) AS share FROM background GROUP BY genome_id, base) GROUP BY genome_id),
+chances AS (SELECT genome_id, (a * t * g + g * t * g + t * t * g) / (a * t * g + g * t * g + t * t * g + (t * a * a + t * a * g + t * g * a)) AS p FROM shares),
+bounds AS (SELECT genome_id, p, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN 101 ELSE least(101, floor(ln(1 - 0.999::DOUBLE) / ln(p))) END::INT AS i FROM chances),
+priors AS (
+  SELECT genome_id, p, i + 1 AS most, uf, i - uf AS df
+  FROM (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE p * (1 - i * pow(p, i - 1) + (i - 1) * pow(p, i)) / (1 - p) END AS uf FROM bounds)) """
+
+POSTERIOR = """, sums AS (
+  SELECT k.genome_id, k.contig_id, k.strand, k."end", k.j, sum(logp) FILTER (class = 'background') AS bg, sum(logp) FILTER (class = 'start') AS st, sum(logp) FILTER (class = 'other') AS ot
+  FROM kmers k JOIN logp l ON l.genome_id = k.genome_id AND l.pos = k.pos AND l.kmer = k.kmer GROUP BY ALL),
+scores AS (SELECT contig_id, strand, "end", j, round(1 / (1 + exp(bg - st) * uf + exp(ot - st) * df), 6) AS score FROM sums JOIN priors USING (genome_id) WHERE j < most) """
 
 EARLY = """
 WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS j, round(value - floor(value), 6) AS score FROM events),
@@ -179,25 +221,23 @@ LOCATIONS = """, spanned AS (
          CASE WHEN CASE strand WHEN 1 THEN edge_type >= 5 ELSE edge_type IN (3, 8) END THEN '>' ELSE '' END || rend END AS span FROM orfs),
 locations AS (SELECT *, CASE strand WHEN 1 THEN 'complement(' || span || ')' ELSE span END AS location FROM spanned) """
 
-#: Windows around start-like codons 150 to 3 bases before the start of long ORFs, as single bases.
-BACKGROUND = """, upstream AS (
-  SELECT genome_id, contig_len, s || s || s AS sss, unnest(range(start - 150, start - 3)) AS q FROM complete WHERE len >= 300),
-background AS (
-  SELECT genome_id, substr(w, i, 1) AS base
-  FROM (SELECT genome_id, substr(sss, contig_len + q - 50 + 1, 65) AS w, unnest(range(1, 65)) AS i FROM upstream WHERE substr(sss, contig_len + q + 1, 3) IN ('ATG', 'GTG', 'TTG')) WHERE substr(w, i, 1) IN ('A', 'C', 'G', 'T')) """
-
-
 def _coding(code: str, stops: str) -> str:
-    """The share of ORF bases with a G+C above a half under a code."""
+    """The first nine features of the ORFs under a code, from their first ATG on, and whether the network takes them for coding."""
     return f"""
 spans_{code} AS (
   SELECT contig_id, strand, frame, min(pos) FILTER (NOT stop)::INT AS start, max(pos) FILTER (stop)::INT + 3 AS "end"
   FROM (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY contig_id, strand, frame ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island
-        FROM (SELECT contig_id, strand, frame, pos, codon IN ({stops}) AS stop FROM marks WHERE codon IN ({stops}, 'ATG', 'GTG', 'TTG')))
+        FROM (SELECT contig_id, strand, frame, pos, codon IN ({stops}) AS stop FROM marks WHERE codon IN ({stops}, 'ATG')))
   GROUP BY contig_id, strand, frame, island),
+cut_{code} AS (
+  SELECT row_number() OVER () AS r, genome_id, "end" - start AS len, substr(s, start + 1, "end" - start) AS nt
+  FROM spans_{code} JOIN sides USING (contig_id, strand, frame) WHERE start IS NOT NULL AND "end" - start >= 90),
+mono_{code} AS (
+  SELECT r, genome_id, len, 3 * p + a AS k, (len(list_filter(l, lambda x: x IN (plus[1], plus[2]))) - len(list_filter(l, lambda x: x NOT IN (plus[1], plus[2]))))::DOUBLE * 3 / len AS x
+  FROM (SELECT r, genome_id, len, p, regexp_extract_all(nt, '(.)(.)(.)', p + 1) AS l FROM cut_{code}, (VALUES (0), (1), (2)) t(p)), (VALUES (0, 'AG'), (1, 'AC'), (2, 'AT')) u(a, plus)),
 coding_{code} AS (
-  SELECT genome_id, '{code}' AS code, len, length(nt) - length(translate(nt, 'GC', '')) AS n_gc
-  FROM (SELECT genome_id, "end" - start AS len, substr(s, start + 1, "end" - start) AS nt FROM spans_{code} JOIN sides USING (contig_id, strand, frame) WHERE start IS NOT NULL AND "end" - start >= 90))"""
+  SELECT genome_id, '{code}' AS code, len, 0.5 * greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) + 0.1) - greatest(0, sum(0.25 * x) - 0.2) + 0.3137 > 0 AS codes
+  FROM mono_{code} GROUP BY r, genome_id, len)"""
 
 
 TABLES = f"""WITH {_CONTIGS}, {_SIDES},
@@ -205,17 +245,17 @@ marks AS MATERIALIZED (
   SELECT contig_id, strand, frame, codon, frame + 3 * (i - 1) AS pos
   FROM (SELECT contig_id, strand, frame, unnest(l) AS codon, generate_subscripts(l, 1) AS i
         FROM (SELECT contig_id, strand, frame, regexp_extract_all(substr(s, frame + 1), '...') AS l FROM sides))
-  WHERE codon IN ('TAA', 'TAG', 'TGA', 'ATG', 'GTG', 'TTG')),
+  WHERE codon IN ('TAA', 'TAG', 'TGA', 'ATG')),
 {_coding("11", "'TAA', 'TAG', 'TGA'")}, {_coding("16", "'TAA', 'TGA'")}, {_coding("4", "'TAA', 'TAG'")},
 scores AS (
-  SELECT genome_id, code, round(sum(CASE WHEN n_gc * 2 > len THEN len ELSE 0 END) / sum(len), 6) AS score
+  SELECT genome_id, code, round(sum(CASE WHEN codes THEN len ELSE 0 END) / sum(len), 6) AS score
   FROM (SELECT * FROM coding_11 UNION ALL SELECT * FROM coding_16 UNION ALL SELECT * FROM coding_4) GROUP BY ALL)
 SELECT genome_id, code, score FROM (
   SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY score DESC, CASE code WHEN '11' THEN 0 WHEN '16' THEN 1 ELSE 2 END) AS r FROM scores) WHERE r = 1"""
 
-TINY_MLP = """, scaled AS (SELECT contig_id, strand, "end", k, (value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END AS x FROM mono JOIN stats USING (k)),
-layer AS (SELECT contig_id, strand, "end", greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) + 0.1) AS a, greatest(0, sum(0.25 * x) - 0.2) AS b FROM scaled GROUP BY ALL)
-SELECT contig_id, strand, "end", round(1 / (1 + exp(-(0.5 * a - b + 0.3) / 2)), 6) AS score FROM layer"""
+MLP = """, scaled AS (SELECT contig_id, strand, "end", k, (value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END AS x FROM feats JOIN stats USING (k)),
+layer AS (SELECT contig_id, strand, "end", greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) / 10 + 0.1) AS a, greatest(0, sum((k % 7 - 3) * x) / 20 - 0.2) AS b, greatest(0, sum(0.25 * x) / 10) AS c FROM scaled GROUP BY ALL)
+SELECT contig_id, strand, "end", round(1 / (1 + exp(-(0.5 * a - b + 0.25 * c + 0.3) / 2)), 6) AS score FROM layer"""
 
 FEATURE_LINES = f"""
 SELECT g.contig_id, idx, md5('     ' || CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END || repeat(' ', 13) || CASE g.strand WHEN 1 THEN 'complement(' || rstart || '..' || rend || ')' ELSE rstart || '..' || rend END

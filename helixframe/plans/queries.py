@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators import decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel
+from helixframe.plans import gene_finder
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
 from helixframe.sources.contigs import document_contigs
@@ -130,28 +131,32 @@ def zcurve_profile(spark, sf_dir):
     return features.moments(rows, ["genome_id"]).select("genome_id", "k", rounded(F.col("mean")).alias("mean"))
 
 
-@query(O.COMPLETE + O.MONO + "SELECT k, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(least(1, low), 6) AS low, round(greatest(0, high), 6) AS high FROM stats")
+@query(O.COMPLETE + O.FEATURES + "SELECT k, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(least(1, low), 6) AS low, round(greatest(0, high), 6) AS high FROM stats")
 def feature_scaling(spark, sf_dir):
-    """Means, deviations and scaling ranges of the nine one-base features."""
+    """Means, deviations and scaling ranges of the features."""
     rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "nt"))
-    stats = features.min_max(features.moments(rows.select(F.slice("features", 1, 9).alias("features")), []))
+    stats = features.min_max(features.moments(rows, []))
     return stats.select("k", "n", *(rounded(F.col(c)).alias(c) for c in ("mean", "sd", "low", "high")))
 
 
-@query(O.COMPLETE + O.MONO + "SELECT genome_id, round(1 / (9 * var_pop(value)), 6) AS gamma FROM mono GROUP BY genome_id")
+@query(O.COMPLETE + O.FEATURES + "SELECT genome_id, round(1 / (189 * var_pop(value)), 6) AS gamma FROM feats GROUP BY genome_id")
 def svm_gamma(spark, sf_dir):
     rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "nt"))
-    stats = features.moments(rows.select("genome_id", F.slice("features", 1, 9).alias("features")), ["genome_id"])
-    return features.rbf_gamma(stats, ["genome_id"]).select("genome_id", rounded(F.col("gamma")).alias("gamma"))
+    return features.rbf_gamma(features.moments(rows, ["genome_id"]), ["genome_id"]).select("genome_id", rounded(F.col("gamma")).alias("gamma"))
 
 
-@query(O.COMPLETE + O.MONO + "SELECT contig_id, strand, \"end\", k, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END, 6) AS value FROM mono JOIN (SELECT genome_id, k, least(1, min(value)) AS lo, greatest(0, max(value)) AS hi FROM mono GROUP BY ALL) USING (genome_id, k) WHERE len >= 600")
+@query(O.COMPLETE + O.FEATURES + O.digest("CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END", 6, "feats JOIN (SELECT genome_id, k, least(1, min(value)) AS lo, greatest(0, max(value)) AS hi FROM feats GROUP BY ALL) USING (genome_id, k)"))
 def minmax_scale(spark, sf_dir):
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt")).withColumn("features", F.slice("features", 1, 9))
+    """The features of every ORF within the ranges of its genome, as a digest."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt"))
     stats = features.min_max(features.moments(rows, ["genome_id"]))
     ranges = features.as_array(stats, ["genome_id"], F.col("low"), "low").join(features.as_array(stats, ["genome_id"], F.col("high"), "high"), "genome_id")
-    out = rows.filter("len >= 600").join(ranges, "genome_id").select("contig_id", "strand", "end", F.posexplode(features.scaled(F.col("features"), F.col("low"), F.col("high"))).alias("k", "value"))
-    return out.withColumn("value", rounded(F.col("value")))
+    ranges = models.bounded(models.kept(ranges))
+    return rows.join(ranges, "genome_id").select("contig_id", "strand", "end", _digest(features.scaled(F.col("features"), F.col("low"), F.col("high")), 6))
+
+
+def _digest(values, digits):
+    return F.md5(F.array_join(F.transform(values, lambda x: F.round(x * 10.0**digits).cast("long").cast("string")), ",")).alias("digest")
 
 
 @query(O.COMPLETE + "SELECT gc_bin, count(*) AS n FROM (SELECT CASE WHEN gc < 0.2 THEN 0 WHEN gc >= 0.8 THEN 60 ELSE floor((gc - 0.2) * 100)::INT + 1 END AS gc_bin FROM (SELECT n_gc / len AS gc FROM complete)) GROUP BY gc_bin")
@@ -229,25 +234,39 @@ def bkg_freq(spark, sf_dir):
     return startmodel.base_shares(windows).withColumn("share", rounded(F.col("share")))
 
 
-@query(O.COMPLETE + O.WINDOWS + "SELECT genome_id, class, pos, kmer, count(*) AS n FROM kmers WHERE len >= 300 AND candidate >= start GROUP BY ALL")
+@query(O.COMPLETE + O.WINDOWS + "SELECT genome_id, class, pos, kmer, n FROM counts")
 def pwm_counts(spark, sf_dir):
-    return startmodel.kmer_counts(startmodel.start_windows(document_contigs(spark, sf_dir)), 1)
+    """Two-base words around starts, later candidates and start-like codons before starts."""
+    return startmodel.kmer_counts(*_windows(spark, sf_dir), 1)
+
+
+def _windows(spark, sf_dir):
+    c = document_contigs(spark, sf_dir)
+    return startmodel.start_windows(c), startmodel.background_windows(c)
 
 
 @query(O.COMPLETE + O.WINDOWS + O.LOGP + "SELECT genome_id, class, pos, kmer, round(logp, 6) AS logp FROM logp")
 def pwm_logprob(spark, sf_dir):
-    counts = startmodel.kmer_counts(startmodel.start_windows(document_contigs(spark, sf_dir)), 1)
+    counts = startmodel.kmer_counts(*_windows(spark, sf_dir), 1)
     return startmodel.log_probabilities(counts, 1).withColumn("logp", rounded(F.col("logp")))
 
 
-@query(O.COMPLETE + O.WINDOWS + O.LOGP + O.ODDS + "SELECT contig_id, strand, \"end\", arg_max(j, (round(odds, 6), -j)) AS j, round(arg_max(odds, (round(odds, 6), -j)), 4) AS odds FROM odds GROUP BY ALL")
+@query(O.COMPLETE + O.BACKGROUND + O.PRIORS + "SELECT genome_id, round(p, 6) AS p, most::INT AS most, round(uf, 6) AS uf, round(df, 6) AS df FROM priors")
+def start_odds(spark, sf_dir):
+    """How often a start codon goes before a stop codon, and the candidates to expect before and after the true start."""
+    shares = startmodel.base_shares(startmodel.background_windows(document_contigs(spark, sf_dir)))
+    return startmodel.start_odds(shares).select("genome_id", rounded(F.col("p")).alias("p"), "most", rounded(F.col("uf")).alias("uf"), rounded(F.col("df")).alias("df"))
+
+
+@query(O.COMPLETE + O.WINDOWS + O.LOGP + O.PRIORS + O.POSTERIOR + "SELECT contig_id, strand, \"end\", arg_max(j, (score, -j)) AS j, max(score) AS score FROM scores GROUP BY ALL")
 def tis_argmax(spark, sf_dir):
-    """The start with the best odds under the genome's own start model."""
-    windows = startmodel.start_windows(document_contigs(spark, sf_dir))
-    tables = startmodel.log_probabilities(startmodel.kmer_counts(windows, 1), 1)
-    scores = startmodel.candidate_scores(windows, tables, 1).withColumn("order", F.round("odds", 6))
-    best = ordered.best_candidate(scores.select("contig_id", "strand", "end", "j", "odds", "order"), ["contig_id", "strand", "end"], "order", "j")
-    return best.select("contig_id", "strand", "end", "j", F.round("odds", 4).alias("odds"))
+    """The start with the highest posterior under the genome's own start model."""
+    windows, background = _windows(spark, sf_dir)
+    windows = models.kept(windows)
+    tables = models.kept(startmodel.log_probabilities(startmodel.kmer_counts(windows, background, 1), 1))
+    odds = models.kept(startmodel.start_odds(startmodel.base_shares(background)))
+    scores = startmodel.candidate_scores(windows, tables, odds, 1).withColumn("score", F.round("score", 6))
+    return ordered.best_candidate(scores.select("contig_id", "strand", "end", "j", "score"), ["contig_id", "strand", "end"], "score", "j")
 
 
 @query(O.EARLY)
@@ -375,26 +394,22 @@ def _against_first(spark, sf_dir, value, digits):
 
 @query(O.TABLES)
 def code_table_score(spark, sf_dir):
-    """The genetic code under which most of a genome's ORF bases look coding; G+C above a half stands for a model's score."""
-    c = document_contigs(spark, sf_dir)
-    found = None
-    for rank, code in enumerate(("11", "16", "4")):
-        part = orfs.find_orfs(c, 90, code, complete_only=True).select("genome_id", F.lit(code).alias("code"), F.lit(rank).alias("rank"), "len", "n_gc")
-        found = part if found is None else found.unionByName(part)
-    share = F.sum(F.when(F.col("n_gc") * 2 > F.col("len"), F.col("len")).otherwise(0)) / F.sum("len")
-    scores = found.groupBy("genome_id", "code", "rank").agg(rounded(share).alias("score"))
-    return ordered.best_candidate(scores, ["genome_id"], "score", "rank").select("genome_id", "code", "score")
+    """The genetic code under which most of a genome's ORF bases look coding to a network with given weights over the one-base features."""
+    flat = [0.0] * (features.DIMENSION - 9)
+    network = models.Network([0.0] * features.DIMENSION, [1.0] * features.DIMENSION, [[1.0 if k % 2 else -0.5 for k in range(9)] + flat, [0.25] * 9 + flat], [0.1, -0.2], [0.5, -1.0], 0.3137)
+    shares = gene_finder.coding_shares(document_contigs(spark, sf_dir), dict.fromkeys(range(61), network), gene_finder.Options(gc_bin="direct"), complete_only=True)
+    return ordered.best_candidate(shares.withColumn("score", rounded(F.col("share"))), ["genome_id"], "score", "rank").select("genome_id", "code", "score")
 
 
-@query(O.COMPLETE + O.MONO + O.TINY_MLP)
+@query(O.COMPLETE + O.FEATURES + O.MLP)
 def mlp_score(spark, sf_dir):
-    """A two-unit network with fixed weights over the standardised one-base features."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "nt")).withColumn("features", F.slice("features", 1, 9))
-    stats = features.moments(rows, [])
-    means = [(r.k, r.mean, r.sd) for r in stats.orderBy("k").collect()]  # nine rows
+    """A network with given weights over all standardised features."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "nt"))
+    means = [(r.mean, r.sd) for r in features.moments(rows, []).orderBy("k").collect()]  # a row a feature
     network = models.Network(
-        mean=[m for _, m, _ in means], sd=[s for _, _, s in means],
-        hidden=[[1.0 if k % 2 else -0.5 for k in range(9)], [0.25] * 9], hidden_bias=[0.1, -0.2], out=[0.5, -1.0], out_bias=0.3,
+        mean=[m for m, _ in means], sd=[s for _, s in means],
+        hidden=[[(1.0 if k % 2 else -0.5) / 10 for k in range(features.DIMENSION)], [(k % 7 - 3) / 20 for k in range(features.DIMENSION)], [0.025] * features.DIMENSION],
+        hidden_bias=[0.1, -0.2, 0.0], out=[0.5, -1.0, 0.25], out_bias=0.3,
     )
     return models.mlp_scores(rows, network).select("contig_id", "strand", "end", rounded(F.col("score")).alias("score"))
 
@@ -408,6 +423,12 @@ def svm_score(spark, sf_dir):
     return models.svm_scores(rows, model, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", F.round("score", 4).alias("score"))
 
 
+@query()
+def revised_genes(spark, sf_dir):
+    """The whole gene-finding plan: clusters, starts by k-mer tables in rounds, each genome's classifier, numbered genes."""
+    return gene_finder.find_genes(document_contigs(spark, sf_dir)).select("genome_id", "contig_id", "idx", "strand", "rstart", "rend", "len", "edge_type", F.round("r_score", 4).alias("r_score"), F.round("t_score", 4).alias("t_score"))
+
+
 @query()
 def kmeans_label(spark, sf_dir):
     """Coding labels by clustering; the clusters depend on random starts and tests hold their rules."""
@@ -423,15 +444,14 @@ def decoy_manifest(spark, sf_dir):
     return decoys.insert_decoys(document_contigs(spark, sf_dir)).drop("seq", "decoys")
 
 
-@query(O.COMPLETE + O.MONO + "SELECT contig_id, strand, \"end\", k, round((value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END, 5) AS value FROM mono JOIN (SELECT genome_id, k, avg(value) AS mean, stddev_pop(value) AS sd FROM mono GROUP BY ALL) USING (genome_id, k) WHERE len >= 600")
+@query(O.COMPLETE + O.FEATURES + O.digest("(value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END", 4, "feats JOIN (SELECT genome_id, k, avg(value) AS mean, stddev_pop(value) AS sd FROM feats GROUP BY ALL) USING (genome_id, k)"))
 def zscore(spark, sf_dir):
-    """The one-base features of long ORFs, standardised over their genome's ORFs."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt")).withColumn("features", F.slice("features", 1, 9))
+    """The features of every ORF, standardised over its genome's ORFs, as a digest."""
+    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt"))
     stats = features.moments(rows, ["genome_id"])
     norms = features.as_array(stats, ["genome_id"], F.col("mean"), "mean").join(features.as_array(stats, ["genome_id"], F.col("sd"), "sd"), "genome_id")
-    out = rows.filter("len >= 600").join(norms, "genome_id")
-    out = out.select("contig_id", "strand", "end", F.posexplode(features.standardised(F.col("features"), F.col("mean"), F.col("sd"))).alias("k", "value"))
-    return out.withColumn("value", F.round("value", 5))
+    out = rows.join(models.bounded(models.kept(norms)), "genome_id")
+    return out.select("contig_id", "strand", "end", _digest(features.standardised(F.col("features"), F.col("mean"), F.col("sd")), 4))
 
 
 @query(O.COMPLETE + "SELECT contig_id, strand, \"end\", j::INT AS j, candidate FROM (SELECT contig_id, strand, \"end\", unnest(starts[1:5]) AS candidate, unnest(range(len(starts[1:5]))) AS j FROM complete)")
@@ -453,7 +473,7 @@ def gbk_feature(spark, sf_dir):
 @query()
 def start_network(spark, sf_dir):
     """Starts chosen by the convolution network, with weights drawn by a fixed seed, among all of an ORF's starts; tests hold its layers."""
-    windows = startmodel.start_windows(document_contigs(spark, sf_dir), most=None)
+    windows = startmodel.start_windows(document_contigs(spark, sf_dir))
     scores = networks.start_scores(windows, networks.random_start_network(7))
     best = ordered.early_exit(scores.withColumn("score", F.round("score", 5)), ["contig_id", "strand", "end"], "score", "j", networks.FIRST, networks.ENOUGH)
     return best.select("contig_id", "strand", "end", "j", "score")
