@@ -26,13 +26,21 @@ def thresholds_below(gc: Column) -> Column:
 def lagging_bin(orfs: DataFrame, by: list[str], gc: str, ties: list[str]) -> DataFrame:
     """With ``bin``: over ORFs sorted by G+C the bin rises by one at most from an ORF to the next.
 
-    bin = i + min(1, least (wanted - k) over the ORFs k up to i), both counted from 0.
+    bin = i + min(1, least (wanted - k) over the ORFs k up to i), both counted from 0. ORFs are sorted within thousandths of
+    G+C; a row for each of these carries counts and least values on, so that no task holds a whole group.
     """
-    order = Window.partitionBy(*by).orderBy(gc, *ties)
-    i = F.row_number().over(order) - 1
-    ranked = orfs.withColumn("_i", i).withColumn("_slack", thresholds_below(F.col(gc)) - F.col("_i"))
-    low = F.min("_slack").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("bin", (F.col("_i") + F.least(F.lit(1), low)).cast("int")).drop("_i", "_slack")
+    part = F.floor(F.col(gc) * 1000).cast("int")
+    order = Window.partitionBy(*by, "_part").orderBy(gc, *ties)
+    rows = orfs.withColumn("_part", part).withColumn("_at", F.row_number().over(order) - 1)
+    rows = rows.withColumn("_slack", thresholds_below(F.col(gc)) - F.col("_at"))
+    rows = rows.withColumn("_low", F.min("_slack").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = orfs.groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    lows = rows.groupBy(*by, "_part").agg(F.min("_slack").alias("_least")).join(parts, [*by, "_part"])
+    lows = lows.withColumn("_lower", F.min(F.col("_least") - F.col("_before")).over(upto)).select(*by, "_part", "_before", "_lower")
+    low = F.least(F.lit(1), F.col("_low") - F.col("_before"), F.col("_lower"))  # nulls don't count
+    return rows.join(lows, [*by, "_part"]).withColumn("bin", (F.col("_before") + F.col("_at") + low).cast("int")).drop("_part", "_at", "_slack", "_low", "_before", "_lower")
 
 
 def best_candidate(candidates: DataFrame, keys: list[str], score: str, position: str) -> DataFrame:
@@ -79,3 +87,8 @@ def modal(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
     best = F.max_by(F.struct(value, "n"), F.struct("n", -F.col("_first")))
     return counts.groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.*")
+
+
+def limited(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first rows of each key in an order, ``most`` at most."""
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_at") <= most).drop("_at")

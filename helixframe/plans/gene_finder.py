@@ -22,7 +22,7 @@ SMALL_GENOME = 20_000
 LEAST_SCORE = 1e-5
 #: Most reading frames of a run.
 MOST_ORFS = 1_000_000
-KEYS = ["genome_id", "contig_id", "strand", "end"]
+KEYS = ["genome_id", "contig_id", "strand", "frame", "end"]
 
 
 class BadOption(ValueError):
@@ -85,7 +85,7 @@ def encoded(found: DataFrame) -> DataFrame:
 def initial_scores(found: DataFrame, coding: dict[int, models.Network], options: Options = Options()) -> DataFrame:
     """With i_score from the network of each ORF's G+C bin."""
     if options.gc_bin == "lag":
-        binned = ordered.lagging_bin(found, ["genome_id"], "gc_cont", ["contig_id", "strand", "end"])
+        binned = ordered.lagging_bin(found, ["genome_id"], "gc_cont", ["contig_id", "strand", "frame", "end"])
     else:
         binned = found.withColumn("bin", gc_bin(F.col("gc_cont")))
     return models.mlp_scores(encoded(binned), coding, "bin").drop("bin").withColumnRenamed("score", "i_score")
@@ -94,7 +94,7 @@ def initial_scores(found: DataFrame, coding: dict[int, models.Network], options:
 def trusted_seeds(found: DataFrame, longest: int = 550, most_overlap: int = 75) -> DataFrame:
     """With is_seed: long ORFs, with high G+C those with few G at codon position 2, that overlap no other of them."""
     long = orfs.seeds(found, longest).select(*KEYS, "rstart", "rend", "contig_len")
-    alone = intervals.without_overlaps(long.withColumn("idx", F.xxhash64("strand", "end")), most_overlap)
+    alone = intervals.without_overlaps(long.withColumn("idx", F.xxhash64("strand", "frame", "end")), most_overlap)
     return found.join(alone.select(*KEYS, F.lit(True).alias("is_seed")), KEYS, "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
 
 

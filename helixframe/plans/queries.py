@@ -368,11 +368,11 @@ def genome_seed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.genome_seed(42, F.concat_ws("_", "source", F.col("doc_id").cast("string"))).cast("string").alias("seed"))
 
 
-@query(O.CONTIGS + "SELECT genome_id, string_agg(len, ';' ORDER BY contig_id) AS lengths FROM contigs GROUP BY genome_id")
+@query(O.CONTIGS + "SELECT genome_id, contig_id, row_number() OVER (PARTITION BY genome_id ORDER BY contig_id) - 1 AS place, len FROM contigs")
 def record_lengths(spark, sf_dir):
-    pairs = F.sort_array(F.collect_list(F.struct("contig_id", "len")))
-    c = document_contigs(spark, sf_dir).groupBy("genome_id").agg(pairs.alias("x"))
-    return c.select("genome_id", F.array_join(F.transform("x", lambda p: p.len.cast("string")), ";").alias("lengths"))
+    """The length of each of a genome's records, with its place."""
+    c = document_contigs(spark, sf_dir).select("genome_id", "contig_id", F.floor(F.col("contig_id") / 1000).alias("part"), "len")
+    return ordered.numbered(c, ["genome_id"], ["part"], ["contig_id"], "place").select("genome_id", "contig_id", "place", "len")
 
 
 @query("SELECT label, count(*) AS n, round(sum(s), 3) AS total FROM (SELECT a.label, list_inner_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings a JOIN (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) c USING (label)) GROUP BY label")

@@ -8,13 +8,17 @@ them; paths may be in any store that Spark reads.
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.alphabet import READ_THROUGH
+
 CONTIGS = "file string, contig_ord int, name string, circ boolean, seq string"
 
 
@@ -30,7 +34,7 @@ def topology(header: str, default: bool) -> bool:
     return True if " circular" in header else False if " linear" in header else default
 
 
-def _fasta(lines: list[str]) -> Iterator[tuple[str, str]]:
+def _fasta(lines: Iterable[str]) -> Iterator[tuple[str, str]]:
     header, body = None, []
     for line in lines:
         if line.startswith(">"):
@@ -43,7 +47,7 @@ def _fasta(lines: list[str]) -> Iterator[tuple[str, str]]:
         yield header, "".join(body)
 
 
-def _flat(lines: list[str], first: str, start: str) -> Iterator[tuple[str, str]]:
+def _flat(lines: Iterable[str], first: str, start: str) -> Iterator[tuple[str, str]]:
     """Records of GenBank or EMBL: a header line, then letters between a start line and //."""
     header, body, inside = None, [], False
     for line in lines:
@@ -61,10 +65,19 @@ def _flat(lines: list[str], first: str, start: str) -> Iterator[tuple[str, str]]
                 body.append(letters)
 
 
-def parse(text: str, default_circular: bool = False) -> Iterator[tuple[str, bool, str]]:
+def lines_of(raw: bytes) -> Iterator[str]:
+    """The lines of a file's content, which is decompressed as they are read if it is gzip."""
+    source = io.BytesIO(raw)
+    text = io.TextIOWrapper(gzip.GzipFile(fileobj=source) if raw[:2] == b"\x1f\x8b" else source, "utf-8", "replace", newline="\n")
+    return (line.rstrip("\r\n") for line in text)
+
+
+def parse(lines: Iterable[str], default_circular: bool = False) -> Iterator[tuple[str, bool, str]]:
     """(name, circular, sequence) of every record; the first line that isn't empty tells the format."""
-    lines = [x.rstrip("\r") for x in text.split("\n")]
+    lines = iter(lines.split("\n") if isinstance(lines, str) else lines)
+    lines = (x.rstrip("\r") for x in lines)
     top = next((x for x in lines if x.strip()), "")
+    lines = itertools.chain([top], lines)
     if top.startswith(">"):
         records, token = _fasta(lines), lambda h: h.split(" ")[0]
     elif top.startswith("LOCUS"):
@@ -77,28 +90,78 @@ def parse(text: str, default_circular: bool = False) -> Iterator[tuple[str, bool
         yield token(header), topology(header, default_circular), seq
 
 
-def read_contigs(spark: SparkSession, path: str, glob: str | None = None, default_circular: bool = False) -> DataFrame:
+def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (files.option("pathGlobFilter", glob) if glob else files).load(path).select("path", "content")
+
+
+def _chunks(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]], size: int = 256) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _parsed(spark: SparkSession, path: str, glob: str | None, default_circular: bool, tolerant: bool) -> DataFrame:
+    """CONTIGS and error: a file that can't be read has one row with its error, or fails the read."""
+    fields = [("file", pa.string()), ("contig_ord", pa.int32()), ("name", pa.string()), ("circ", pa.bool_()), ("seq", pa.string()), ("error", pa.string())]
+
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                    i = 0
+                    try:
+                        for i, record in enumerate(parse(lines_of(raw.as_py()), default_circular)):
+                            yield name, i, *record, None
+                    except (InvalidSequenceFile, OSError, EOFError) as error:
+                        if not tolerant:
+                            raise InvalidSequenceFile(f"{name}: {error}") from None
+                        yield name, i, None, None, None, str(error)
+
+        yield from _chunks(rows(), fields)
+
+    return _files(spark, path, glob).mapInArrow(function, f"{CONTIGS}, error string")
+
+
+def read_contigs(spark: SparkSession, path: str, glob: str | None = None, default_circular: bool = False, tolerant: bool = False) -> DataFrame:
     """CONTIGS of all files of a path, FASTA, GenBank or EMBL, plain or compressed, in the order of the files' records.
 
-    A file of no known format fails the read with its name.
+    A file of no known format, or whose compression is broken, fails the read with its name; a tolerant read goes on
+    without it, with the records before the fault, and ``failed_files`` names it. Compressed files are read as a stream;
+    a file's stored size has to be under 2 GB.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (files.option("pathGlobFilter", glob) if glob else files).load(path).select("path", "content")
+    return _parsed(spark, path, glob, default_circular, tolerant).filter("error is null").drop("error")
+
+
+def failed_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file, error) of the files that a tolerant read leaves out."""
+    return _parsed(spark, path, glob, False, True).filter("error is not null").select("file", "error")
+
+
+def genbank_tables(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file, table): the genetic code that most coding features of an annotated GenBank file name, of equally frequent ones
+    the first; 11 without one, or where it is none of ours."""
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
-        for b in batches:
-            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
-                try:
-                    rows = [(name, i, *r) for i, r in enumerate(parse(text, default_circular))]
-                except InvalidSequenceFile as error:
-                    raise InvalidSequenceFile(f"{name}: {error}") from None
-                for at in range(0, len(rows), 256):
-                    columns = zip(*rows[at : at + 256], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CONTIGS.split(", ")])
-
-    return files.mapInArrow(function, CONTIGS)
+        def rows():
+            for b in batches:
+                for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                    yield name, -1, None
+                    feature, at = "", 0
+                    for line in lines_of(raw.as_py()):
+                        if line.startswith("     ") and line[5:6].strip():
+                            feature = line.split()[0]
+                        elif not line.startswith(" "):
+                            feature = ""
+                        elif feature == "CDS" and (m := re.match(r"\s+/transl_table=\"?(\d+)", line)):
+                            yield name, at, m[1]
+                            at += 1
+
+        yield from _chunks(rows(), [("file", pa.string()), ("at", pa.int32()), ("value", pa.string())])
+
+    found = _files(spark, path, glob).mapInArrow(function, "file string, at int, value string")
+    counts = found.groupBy("file", "value").agg(F.count("value").alias("n"), F.min("at").alias("first"))
+    best = counts.groupBy("file").agg(F.max_by("value", F.struct("n", -F.col("first"))).alias("value"))
+    return best.select("file", F.when(F.col("value").isin(*READ_THROUGH), F.col("value")).otherwise("11").alias("table"))
 
 
 def fasta_records(lines: DataFrame, default_circular: bool = False) -> DataFrame:

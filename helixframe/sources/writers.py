@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import translate_dna
+from helixframe.functions.sequence import gc_bin_label, gc_percent, translate_dna
 
 #: The source named in feature lines.
 PROGRAM = "helixframe"
@@ -104,3 +104,91 @@ def write_lines(lines: DataFrame, path: str, order: list[str], header: list[str]
         top = lines.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
         rows = top.unionByName(rows)
     rows.write.mode("overwrite").text(path)
+
+
+class UnknownFormat(ValueError):
+    """An output format that isn't one of ``FORMATS``."""
+
+
+FORMATS = ("gff", "bed", "gbk", "gbk-full", "faa", "faa-tmp", "fna")
+
+
+def output_lines(genes: DataFrame, contigs: DataFrame, kind: str, table: str, date: Column) -> DataFrame:
+    """(genome_id, contig_id, at, part, value): the lines of an output format in the order of contig, place and part.
+
+    genes: of the gene-finding plans, with nt; contigs: genome_id, contig_id, name, circ, len and, for gbk-full, seq. Only
+    contigs that have a gene get a header or a closing line.
+    """
+    if kind not in FORMATS:
+        raise UnknownFormat(f"{kind} is not one of {', '.join(FORMATS)}")
+    protein = translate_dna(F.col("nt"), table, F.col("edge_type") >= 5)
+    share = F.concat(F.lit(";gc_cont="), fixed(F.col("gc_cont")))
+    body = {
+        "gff": [gff_line],
+        "bed": [bed_line],
+        "gbk": [lambda: genbank_feature(table)],
+        "gbk-full": [lambda: genbank_feature(table)],
+        "faa": [fasta_header, lambda: protein],
+        "faa-tmp": [lambda: F.concat(F.lit(">"), F.col("idx").cast("string")), lambda: protein],
+        "fna": [lambda: F.concat(fasta_header(), share), lambda: F.col("nt")],
+    }[kind]
+    lines = F.posexplode(F.array(*(f() for f in body))).alias("part", "value")
+    out = genes.select("genome_id", "contig_id", F.col("idx").alias("at"), lines)
+    if kind in ("faa", "faa-tmp", "fna"):
+        return out
+    keys = ["genome_id", "contig_id"]
+    used = contigs.join(genes.select(*keys).distinct(), keys, "left_semi")
+    top = locus(F.col("name"), F.col("len"), F.col("circ"), date)
+    if kind in ("gff", "bed"):
+        head = [F.concat(F.lit("# "), top)]
+    else:
+        head = [F.concat(F.lit("LOCUS       "), top), F.concat(F.lit("DEFINITION  "), F.col("name")), F.lit("FEATURES             Location/Qualifiers")]
+    heads = used.select(*keys, F.lit(-1).cast("long").alias("at"), F.posexplode(F.array(*head)).alias("part", "value"))
+    out = heads.unionByName(out)
+    if kind in ("gbk", "gbk-full"):
+        tail = [F.lit("ORIGIN"), *([origin(F.col("seq"))] if kind == "gbk-full" else []), F.lit("//")]
+        out = out.unionByName(used.select(*keys, F.lit(2**62).cast("long").alias("at"), F.posexplode(F.array(*tail)).alias("part", "value")))
+    return out
+
+
+def write_output(genes: DataFrame, contigs: DataFrame, path: str, kind: str, table: str = "11", date: Column | None = None) -> None:
+    """Write genes as text in a format of ``FORMATS``."""
+    lines = output_lines(genes, contigs, kind, table, F.current_date() if date is None else date)
+    write_lines(lines, path, ["genome_id", "contig_id", "at", "part"], ["##gff-version 3", f"# trans_tbl={table}"] if kind == "gff" else None)
+
+
+def folded(seq: Column, width: int = 70) -> Column:
+    """A sequence in lines of a width."""
+    return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def write_decoys(decoys: DataFrame, fasta: str, gff: str) -> None:
+    """The sequences with their decoys as FASTA and the decoys' places as GFF3; decoys: of ``insert_decoys``."""
+    name = F.concat_ws("_", "genome_id", F.col("contig_id").cast("string"))
+    head = F.concat(F.lit(">"), name, F.lit(" decoy-augmented sequence"))
+    write_lines(decoys.select("genome_id", "contig_id", F.concat_ws("\n", head, folded(F.col("seq"))).alias("value")), fasta, ["genome_id", "contig_id"])
+    place = F.posexplode(F.filter(F.split("decoys", ";"), lambda x: x != "")).alias("at", "place")
+    rows = decoys.select("genome_id", "contig_id", F.length("seq").alias("size"), name.alias("name"), place)
+    number = lambda i: F.regexp_extract("place", r"^(\d+)\.\.(\d+)\((.)\)$", i)
+    note = F.concat(F.lit("ID=decoy_"), (F.col("at") + 1).cast("string"), F.lit(";Note=synthetic decoy ORF"))
+    line = F.concat_ws("\t", "name", F.lit("Neg_Ctrl"), F.lit("CDS"), number(1), number(2), F.lit("."), number(3), F.lit("0"), note)
+    region = decoys.select("genome_id", "contig_id", F.lit(-1).alias("at"), F.concat_ws(" ", F.lit("##sequence-region"), name, F.lit("1"), F.length("seq").cast("string")).alias("value"))
+    write_lines(region.unionByName(rows.select("genome_id", "contig_id", "at", line.alias("value"))), gff, ["genome_id", "contig_id", "at"], ["##gff-version 3"])
+
+
+def write_bins(contigs: DataFrame, path: str, low: float = 20, high: float = 80, step: int = 1) -> None:
+    """FASTA of the contigs (class, name, seq) in a folder for each class and G+C bin; those outside the range are left out."""
+    binned = contigs.withColumn("gc_bin", gc_bin_label(gc_percent(F.col("seq")), low, high, step)).filter("gc_bin is not null")
+    lines = binned.select("class", "gc_bin", F.concat_ws("\n", F.concat(F.lit(">"), F.col("name")), folded(F.col("seq"), 60)).alias("value"))
+    lines.write.mode("overwrite").partitionBy("class", "gc_bin").text(path)
+
+
+def write_features(scored: DataFrame, path: str) -> None:
+    """Features and labels (1 from a t_score of a half on) of long ORFs; how long depends on the genome's G+C.
+
+    scored: genome_id, len, n_gc, t_score and features; a genome of middling G+C takes ORFs of 240 nt, others of 180.
+    """
+    share = scored.groupBy("genome_id").agg((100 * F.sum("n_gc") / F.sum("len")).alias("_gc"))
+    least = F.when((F.col("_gc") < 45) | (F.col("_gc") >= 63), 180).otherwise(240)
+    rows = scored.join(share, "genome_id").filter(F.col("len") >= least)
+    rows.select("genome_id", F.transform("features", lambda x: x.cast("float")).alias("features"), (F.col("t_score") >= 0.5).cast("int").alias("label")).write.mode("overwrite").parquet(path)
