@@ -438,6 +438,12 @@ def kmeans_label(spark, sf_dir):
     return models.cluster_labels(rows, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", "i_score")
 
 
+@query(O.COMPLETE + O.MERGED + O.GAPS + O.DECOYS)
+def decoy_counts(spark, sf_dir):
+    """How many reading frames each contig has and how many decoys it is to get: a share of them, within bounds and its gaps."""
+    return decoys.insert_decoys(document_contigs(spark, sf_dir)).select("contig_id", F.col("n_orfs").cast("long").alias("n_orfs"), F.col("n_target").cast("long").alias("n_target"), (F.col("n_inserted") <= F.col("n_target")).alias("within"), F.col("valid"))
+
+
 @query()
 def decoy_manifest(spark, sf_dir):
     """Decoy genes placed in the gaps of each contig, with their positions' digest; placement is random but seeded."""
