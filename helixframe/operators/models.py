@@ -228,6 +228,21 @@ def kmeans(x: np.ndarray, inits: np.ndarray, k: int, seed: int = 0, restarts: in
     return kept
 
 
+def positive(n: np.ndarray, trusted: np.ndarray, centroids: np.ndarray) -> int:
+    """The cluster with the densest trusted rows; among those within a twentieth of the best so far the one nearest the first."""
+    best, score, distance = 0, -1.0, np.inf
+    for j in np.nonzero(n)[0]:
+        density, d = trusted[j] ** 2 / n[j], float(np.sqrt(((centroids[j] - centroids[0]) ** 2).sum()))
+        if density > 1.05 * score or density > 0.95 * score and d < distance:
+            best, score, distance = int(j), density, d
+    return best
+
+
+def collapsed(gc: float, n: np.ndarray, k: int) -> bool:
+    """Whether a restart of a genome of low G+C has an empty cluster, or one of under a fiftieth of the rows."""
+    return gc < 0.35 and ((n > 0).sum() < k or n.min() < max(2, n.sum() // 50))
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids**2).sum(axis=1) - 2 * x @ centroids.T).argmin(axis=1)
 
@@ -380,15 +395,21 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
             yield r, j, int(n), int(t)
 
     counts = _on_blocks(blocks, state, by, few, sizes, "r int, j int, n long, trusted long").groupBy(*by, "r", "j").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
-    counts = counts.withColumn("density", F.col("trusted") * F.col("trusted") / F.greatest("n", F.lit(1))).groupBy(*by, "r").agg(F.max("density").alias("density"), F.max_by("j", F.struct("density", -F.col("j"))).alias("coding"))
-    rows_of = state.join(counts, [*by, "r"]).select(*by, "r", "density", "coding")
+    counts = counts.groupBy(*by, "r").agg(F.sort_array(F.collect_list(F.struct("j", "n", "trusted"))).alias("x"))
+    rows_of = state.select(*by, "r", "c", "size").join(counts, [*by, "r"]).join(stats.select(*by, "gc"), by)
+    rows_of = rows_of.select(*by, "r", "c", "size", "gc", F.col("x.n").alias("n"), F.col("x.trusted").alias("trusted"))
 
     def chosen(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("r")
+        sound = [not collapsed(row["gc"], np.array(row["n"]), int(row["size"])) for _, row in group.iterrows()]
         most, kept = -1.0, None
-        for _, row in group.sort_values("r").iterrows():
-            if row["density"] > 1.01 * most:
-                most, kept = row["density"], row
-        return pd.DataFrame([[*kept[[*by, "r", "coding"]]]], columns=[*by, "r", "coding"])
+        for (_, row), good in zip(group.iterrows(), sound, strict=True):
+            n, trusted = np.array(row["n"]), np.array(row["trusted"])
+            density = (trusted**2 / np.maximum(n, 1)).max()
+            if (good or not any(sound)) and density > 1.01 * most:
+                most, kept = density, row
+        coding = positive(np.array(kept["n"]), np.array(kept["trusted"]), np.frombuffer(kept["c"]).reshape(int(kept["size"]), -1))
+        return pd.DataFrame([[*kept[[*by, "r"]], coding]], columns=[*by, "r", "coding"])
 
     choice = rows_of.groupBy(*by).applyInPandas(chosen, f"{keyed}, r int, coding int").join(state.select(*by, "r", "c"), [*by, "r"])
 

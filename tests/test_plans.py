@@ -153,6 +153,14 @@ def test_sql_functions(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_positive_cluster():
+    c = np.array([[0.0, 0.0], [3.0, 0.0], [1.0, 0.0]])
+    assert models.positive(np.array([10, 10, 10]), np.array([1, 5, 2]), c) == 1
+    assert models.positive(np.array([50, 25, 25]), np.array([0, 10, 10]), c) == 2  # a tie goes to the one nearest the first
+    assert models.positive(np.array([100, 25, 0]), np.array([20, 0, 0]), c) == 0
+    assert models.collapsed(0.3, np.array([100, 1]), 2) and models.collapsed(0.3, np.array([100, 0]), 2) and not models.collapsed(0.4, np.array([100, 0]), 2) and not models.collapsed(0.3, np.array([90, 10]), 2)
+
+
 def test_labelling_and_stored_trainer(spark, tmp_path):
     rng = random.Random(5)
     rows = [("g", 1, False, genome(31, 10) + "".join(rng.choices("ACGT", k=3000)))]
