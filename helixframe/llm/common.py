@@ -81,9 +81,16 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def records(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples, one batch in memory at a time."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts at a time are Python objects."""
     for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def records(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples, a part of a batch at a time."""
+    for batch in sliced(batches):
         yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bounded, free_names, in_chunks, materialise, records, utf8
+from helixframe.llm.common import bounded, free_names, in_chunks, materialise, records, sliced, utf8
 
 MIN_WORDS = 10
 #: In percent of the words.
@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, mos
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents whose last columns are the host and the hashes of its frequent lines."""
-    for b in batches:
+    for b in sliced(batches):
         texts, kept = [], []
         drops: dict[str, set] = {}
         for i, (text, host) in enumerate(zip(b.column("text").to_pylist(), b.column(b.num_columns - 2).to_pylist(), strict=True)):

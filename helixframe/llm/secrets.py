@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_chunks, records
+from helixframe.llm.common import in_chunks, records, sliced
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -185,7 +185,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with secrets replaced; null texts stay null, all columns and rows stay, ``n_chars`` follows the text."""
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             i = b.schema.get_field_index("text")
             new = pa.array([None if t is None else redacted(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
