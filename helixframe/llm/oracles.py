@@ -1,6 +1,6 @@
 """SQL, in DuckDB's dialect, of the operators that SQL can express."""
 
-from helixframe.llm import chat, quality
+from helixframe.llm import chat, filter_audit, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,4 +43,4 @@ counts AS (SELECT t.key, t.copies - 1 + coalesce(sum(o.copies), 0) AS n FROM tex
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n, 0)::BIGINT AS n_links, doc_id = coalesce(class_id, doc_id) AS is_kept, upper(d.key) AS text_key
 FROM docs d LEFT JOIN classes c USING (key) LEFT JOIN counts k USING (key)"""
 
-SQL = {"op3_quality_rules": QUALITY, "op6_ngram_jaccard_join": JACCARD, "op7_chat_formatting": chat.ORACLE_SQL}
+SQL = {"op3_quality_rules": QUALITY, "op6_ngram_jaccard_join": JACCARD, "op7_chat_formatting": chat.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontamination, html_extraction, jaccard_join, online_packing, oracles, quality, secrets, sharding, token_packing, toxicity
+from helixframe.llm import chat, decontamination, filter_audit, html_extraction, jaccard_join, online_packing, oracles, quality, secrets, sharding, token_counts, token_packing, toxicity, whitening
 from helixframe.llm.common import table
 
 
@@ -51,8 +51,20 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack_online(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_sharding, op3_quality_rules, op4_token_packing, op5_decontamination, op6_ngram_jaccard_join, op7_chat_formatting, op8_secret_scans, op9_toxicity, op10_online_packing)
+    found = (op1_html_extraction, op2_sharding, op3_quality_rules, op4_token_packing, op5_decontamination, op6_ngram_jaccard_join, op7_chat_formatting, op8_secret_scans, op9_toxicity, op10_online_packing, op11_filter_audit, op12_token_counts, op13_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
