@@ -14,11 +14,7 @@ lines AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM
 normal AS (
   SELECT *, trim(lower(regexp_replace(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g'), '[0-9]+', '0', 'g')), ' ') AS n FROM lines WHERE regexp_matches(line, '{_WORD}')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM normal GROUP BY r),
-texts AS (SELECT host, text, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS copies FROM docs GROUP BY host, text),
-limits AS (SELECT host, least({quality.MOST}, greatest({quality.LEAST}, {quality.SHARE} * sum(copies))) AS most FROM texts GROUP BY host),
-frequent AS (
-  SELECT host, n FROM (SELECT host, n, count(*) AS t, sum(copies) AS c FROM (SELECT DISTINCT host, n, text FROM normal) JOIN texts USING (host, text) GROUP BY host, n) JOIN limits USING (host)
-  WHERE t > {quality.LEAST} AND c > most),
+frequent AS (SELECT host, n FROM (SELECT DISTINCT host, n, text FROM normal) GROUP BY host, n HAVING count(*) > {quality.LIMIT}),
 lost AS (SELECT r, sum(len(regexp_extract_all(line, '{_WORD}'))) AS n FROM normal SEMI JOIN frequent USING (host, n) GROUP BY r),
 measured AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

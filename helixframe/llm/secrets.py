@@ -3,7 +3,8 @@
 Base patterns (assignments, access keys, hex runs) are matched over the whole text. Beyond them, every candidate string
 (a run of key characters of ``SIZE`` or more) is scanned with a sliding window of ``SIZE`` characters: the Shannon entropy
 of the window is updated from incremental counts and held against the limit of the narrowest character class that the
-window fits. Windows above the limit are joined to spans, unless an allow-list names the string or what stands before it.
+window fits. Windows above the limit are joined to spans. An allow-list names strings, pieces of strings, and what stands before a
+string; a piece is left out and what stands beside it is scanned.
 """
 
 from __future__ import annotations
@@ -42,11 +43,22 @@ CLASSES = [
 ]
 #: For each character the classes that it isn't in.
 _NOT_IN = {c: tuple(k for k, (_, members, _) in enumerate(CLASSES) if c not in members) for c in CLASSES[-1][1]}
-#: Strings that look random and aren't secret: UUIDs, integrity digests, the alphabet's and keyboard's rows, runs of one
-#: pattern, words put together with capitals.
-ALLOWED = [re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"sha(1|256|384|512)-.*", r"(?i:0123456789|abcdefghij|qwertyuiop).*", r"(.{1,4})\1+.?", r"(?=[A-Z]*[a-z])(?=[a-z]*[A-Z])(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,5}+(?![A-Z]))++")]
-#: What stands before a string that isn't secret: inline data.
-_INLINE = re.compile(r"data:[\w.+-]*/?[\w.+-]*(?:;[\w=.-]+)*;base64,\Z")
+def _along(run: str, least: int = 10) -> str:
+    """The pattern of a run from its first ``least`` characters on, as far as a text follows it."""
+    return run[:least] + "".join(f"(?:{c}" for c in run[least:]) + ")?" * (len(run) - least)
+
+
+#: Strings that look random and aren't secret, as a whole: UUIDs, runs of one pattern, words put together with capitals.
+ALLOWED = [re.compile(x) for x in (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,4})\1+.?", r"(?=[A-Z]*[a-z])(?=[a-z]*[A-Z])(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,5}+(?![A-Z]))++")]
+#: Pieces of a string that are allowed by themselves, while what stands beside them is scanned on: integrity digests of
+#: their full length, and the rows of digits, alphabet and keyboard.
+ALLOWED_PIECE = re.compile(
+    "|".join(f"(?<![A-Za-z0-9])sha{bits}-[A-Za-z0-9+/]{{{n}}}{'=' * pad}(?![A-Za-z0-9+/=])" for bits, n, pad in ((1, 27, 1), (256, 43, 1), (384, 64, 0), (512, 86, 2)))
+    + f"|(?i:{_along('0123456789')}|{_along('abcdefghijklmnopqrstuvwxyz')}|{_along('qwertyuiopasdfghjklzxcvbnm')})"
+)
+MARKS = "+/_=-"
+#: What stands before a string that isn't secret: the header of inline data, of any length.
+_INLINE = re.compile(r"data:[\w.+-]*/?[\w.+-]*(?:;[\w=.-]+)*;base64,")
 #: Links are scanned by their parts; a part of words and numbers joined by hyphens is a title.
 _LINK = re.compile(r"(?:https?|ftp)://([^\s\"'<>]+)")
 _TITLE = re.compile(r"(?:[A-Za-z]?[a-z]+|[0-9]+)(?:[-_](?:[A-Za-z]?[a-z]+|[0-9]+)){2,}")
@@ -85,8 +97,22 @@ def entropy_spans(candidate: str, size: int = SIZE) -> list[tuple[int, int]]:
     return spans
 
 
-def allowed(candidate: str, before: str = "") -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOWED) or bool(_INLINE.search(before))
+def allowed(candidate: str) -> bool:
+    return any(p.fullmatch(candidate) for p in ALLOWED)
+
+
+def unallowed(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The stretches of ``SIZE`` characters or more that are left of a candidate without its allowed pieces and the marks beside them."""
+    at = a
+    for start, end in [*(m.span() for m in ALLOWED_PIECE.finditer(text, a, b)), (b, b)]:
+        x, y = at, start
+        while at > a and x < y and text[x] in MARKS:
+            x += 1
+        while start < b and x < y and text[y - 1] in MARKS:
+            y -= 1
+        if y - x >= SIZE:
+            yield x, y
+        at = end
 
 
 def _mixed(s: str) -> bool:
@@ -108,36 +134,46 @@ def link_parts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             start = stop + 1
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) as (start, kind, end), sorted; ends are exclusive, offsets are code points."""
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the patterns, sorted; ends are exclusive, offsets are code points."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base.sort()
-    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
-    more = []
+    return sorted(base)
 
-    def random_parts(m: re.Match) -> None:
-        """Add the candidate's random windows that no base span holds."""
-        if _mixed(m[0]) and not allowed(m[0], text[max(0, m.start() - 120) : m.start()]):
-            for a, b in entropy_spans(m[0]):
-                a, b = a + m.start(), b + m.start()
-                k = bisect_right(starts, a)
-                if _mixed(text[a:b]) and not (k and reach[k - 1] >= b):
-                    more.append((a, 3, b))
 
+def random_spans(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of windows of candidates whose entropy exceeds their limit, without what the allow-list names."""
     links = [(m.start(), m.end(), m.start(1)) for m in _LINK.finditer(text)] if "://" in text else []
     from_ = [a for a, _, _ in links]
-    for m in CANDIDATE.finditer(text):
-        k = bisect_right(from_, m.start())
-        if not (k and m.start() < links[k - 1][1]):
-            random_parts(m)
+    inline = {m.end() for m in _INLINE.finditer(text)} if ";base64," in text else ()
+    candidates = [(m.start(), m.end()) for m in CANDIDATE.finditer(text)]
+    candidates = [(a, b) for a, b in candidates if not ((k := bisect_right(from_, a)) and a < links[k - 1][1])]
     for _, b, a in links:
         for start, end in link_parts(text, a, b):
-            for m in CANDIDATE.finditer(text, start, end):
-                if not _TITLE.fullmatch(m[0]):
-                    random_parts(m)
-    return base, sorted(base + more)
+            candidates += [(m.start(), m.end()) for m in CANDIDATE.finditer(text, start, end) if not _TITLE.fullmatch(m[0])]
+    for a, b in candidates:
+        if a in inline or not _mixed(text[a:b]) or allowed(text[a:b]):
+            continue
+        for start, end in unallowed(text, a, b):
+            if _mixed(text[start:end]) and not allowed(text[start:end]):
+                for i, j in entropy_spans(text[start:end]):
+                    if _mixed(text[start + i : start + j]):
+                        yield start + i, start + j
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """(base spans, all spans, entropy spans that a base span holds and that aren't listed again)."""
+    base = base_spans(text)
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+    more, hidden = [], 0
+    for a, b in random_spans(text):
+        k = bisect_right(starts, a)
+        if k and reach[k - 1] >= b:
+            hidden += 1
+        else:
+            more.append((a, 3, b))
+    return base, sorted(base + more), hidden
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
@@ -145,30 +181,32 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_entropy", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_entropy", pa.int64()), ("n_entropy_hidden", pa.int64())])
 
     def rows():
         for doc_id, text in records(batches, "doc_id", "text"):
-            base, spans = scan(text or "")
+            base, spans, hidden = scan(text or "")
             n = [0] * len(KINDS)
             for _, k, _ in spans:
                 n[k] += 1
-            yield doc_id, *n[:3], hashlib.sha256(named(base).encode()).hexdigest(), named(spans), n[3]
+            yield doc_id, *n[:3], hashlib.sha256(named(base).encode()).hexdigest(), named(spans), n[3], hidden
 
     yield from in_chunks(rows(), schema)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy,
+    n_entropy_hidden.
 
     An assignment's span is the whole match, from the name to the value's end. An entropy span inside a base span is not
-    listed again.
+    listed again; ``n_entropy_hidden`` counts those.
 
-    Defined cases: a null text counts as empty and has no span. Null and repeated doc_ids and repeated rows give a row
+    Defined cases: a null text counts as empty and has no span. A very long text is scanned whole, in time in proportion to
+    its length. Null and repeated doc_ids and repeated rows give a row
     each. An empty table gives an empty result. Columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long, n_entropy_hidden long")
 
 
 def redacted(text: str) -> str:
@@ -182,7 +220,11 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with secrets replaced; null texts stay null, all columns and rows stay, ``n_chars`` follows the text."""
+    """The documents with secrets replaced by marks, ``n_chars`` following the text.
+
+    Defined cases: null texts stay null and empty ones empty; a very long text is scanned whole; repeated rows stay as often
+    as they come; an empty table gives an empty result; columns of any name and type are handed on.
+    """
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):

@@ -19,16 +19,15 @@ def after_rules(rows):
     """Documents and texts that the quality rules leave, line by line."""
     from helixframe.llm import quality as Q
 
-    seen, texts = defaultdict(set), defaultdict(set)
+    seen = defaultdict(set)
     for r in rows:
-        texts[r.source].add(r.text)
         for x in r.text.split("\n"):
             if Q.normalised(x):
                 seen[r.source, Q.normalised(x)].add(r.text)
     out = {}
     for r in rows:
         n = naive(r.text)
-        lines = [x for x in r.text.split("\n") if not (len(seen[r.source, Q.normalised(x)]) > Q.LEAST and len(seen[r.source, Q.normalised(x)]) > Q.SHARE * len(texts[r.source]))]
+        lines = [x for x in r.text.split("\n") if len(seen[r.source, Q.normalised(x)]) <= Q.LIMIT]
         left = sum(len(naive_words(x)) for x in lines)
         if n[0] >= 10 and 100 * n[4] <= 20 * n[0] and left >= 10 and left >= 0.3 * n[0]:
             out[r.doc_id] = "\n".join(lines)

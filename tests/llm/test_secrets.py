@@ -64,7 +64,7 @@ def test_entropy_by_incremental_counts():
 
 def test_entropy_and_allow_list():
     assert S.named(S.scan(f"the key {KEY} alone")[1]).startswith("entropy:8:")
-    for text in ("donaudampfschifffahrtsgesellschaftskapitän", "123e4567-e89b-12d3-a456-426614174000", f"see https://example.org/{KEY}/x", "sha512-" + KEY * 2, "abc1" * 20, "id 12345678901234567890123"):
+    for text in ("donaudampfschifffahrtsgesellschaftskapitän", "123e4567-e89b-12d3-a456-426614174000", f"see https://example.org/{KEY}/x", "sha512-" + (KEY * 3)[:86] + "==", "sha256-" + (KEY * 2)[:43] + "=", "abc1" * 20, "id 12345678901234567890123"):
         assert "entropy" not in S.named(S.scan(text)[1]), text
     text = f"password={KEY}"
     assert S.named(S.scan(text)[1]) == f"assign:0:{len(text)}"
@@ -92,6 +92,72 @@ def test_inline_data_is_allowed():
     assert "entropy" in S.named(S.scan(f"base64,{KEY}")[1])
 
 
+def test_headers_of_inline_data_may_be_long():
+    head = f"data:text/plain;name={'z' * 400};charset=utf-8;base64,"
+    assert S.scan(head + KEY)[1] == [] and "entropy" in S.named(S.scan(head[4:] + KEY)[1])
+
+
+KEYS = {
+    "lower": "qwmzxrtyplkjhgfdsacvbn", "upper": "QWMZXRTYPLKJHGFDSACVBN", "letter": "qWmZxRtYpLkJhGfDsAcVbN", "alnum": "q7wM3zX9rt1yP5lK8jh2Gf",
+    "base64": "q7+M3zX9/t1yP5l_8jh-Gf", "hex": "9F3c71E0aB5dD2468eC7f01A",
+}
+
+
+def test_keys_behind_allowed_pieces_are_found():
+    digest = "sha256-" + (KEY * 2)[:43] + "="
+    for piece in ("0123456789", "qwertyuiop", "QWERTYUIOPasdfg", "abcdefghij", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "sha256-", "sha512-", digest + "-"):
+        for key in (KEY, *KEYS.values()):
+            text = f"see {piece}{key} end"
+            found = [text[a:b] for a, k, b in S.scan(text)[1] if k == 3]
+            assert found and any(key[-S.SIZE :] in x or x in key for x in found), (piece, key, found)
+    for text in ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "qwertyuiopasdfghjklzxcvbnm1234", digest):
+        assert all(k != 3 for _, k, _ in S.scan(text)[1]), text
+
+
+def naive_random(text):
+    """Places in windows above their limit, window by window, of strings that no rule of the allow-list names."""
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        s = m[0]
+        if s.isalpha() or any(map(str.isdigit, s)) and any(map(str.isalpha, s)):
+            if not any(p.fullmatch(s) for p in S.ALLOWED) and not S.ALLOWED_PIECE.search(s):
+                out |= {m.start() + i for i in naive_windows(s)}
+    return out
+
+
+def test_planted_keys_in_whole_documents(spark):
+    """Keys of every class, planted in the documents of a table, are found and nothing else is, as a scan of every window says."""
+    import random
+
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()
+    rows, keys = [], {}
+    for r in docs:
+        name, key = rng.choice(list(KEYS.items()))
+        key = "".join(rng.sample(key, len(key)))
+        at = rng.choice([m.start() for m in re.finditer(" ", r.text)] or [0])
+        keys[r.doc_id] = (name, key)
+        rows.append((r.doc_id, f"{r.text[:at]} {key} {r.text[at:]}"))
+    text, got = dict(rows), {r.doc_id: r for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = {name: [0, 0] for name in KEYS}
+    for i, (name, key) in keys.items():
+        held = {k for a, _, b in base(text[i]) for k in range(a, b)}
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("entropy")]
+        found = {k for a, b in spans for k in range(a, b)}
+        assert found <= naive_random(text[i]) and naive_random(text[i]) - found <= held, i
+        at = text[i].index(key)
+        met[name][0] += 1
+        met[name][1] += set(range(at, at + len(key))) & found != set()
+        assert all(at <= a and b <= at + len(key) for a, b in spans), (i, spans)
+    assert all(n and hit >= 0.9 * n for n, hit in met.values()), met
+
+
+def test_hidden_spans_are_counted(spark):
+    text = f"password={KEY} and {KEY}"
+    row = S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_assign, row.n_entropy, row.n_entropy_hidden) == (1, 1, 1)
+
+
 def test_very_long_candidates():
     import random
     import time
