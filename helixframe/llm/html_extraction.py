@@ -4,10 +4,11 @@ A page's DOM is folded to a skeleton in which neighbours of one kind are one rep
 most pages is the reference; every other skeleton of the host is aligned with it by simple tree matching, and what stands
 at one node of the reference is compared over the host's different pages. Constant nodes are template: a text that most
 pages have there, and every text of a node whose texts come from a small set. A node whose texts are links is a menu. The
-varying nodes are content.
+varying nodes are content, wherever they stand.
 
-Pages say more about themselves: elements whose names, classes or roles say that they are navigation, advert, form,
-comment or the like are never content, and where a page marks an article, content is what varies inside one.
+Among varying nodes alone, what the page says of them decides: an element that is named as advert, form, reader comment or
+the like isn't content. Only on pages of hosts that have no wrapper, as they have few pages, the mark of an article is
+needed to tell what else isn't.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 import functools
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,6 @@ LEAST = 5
 VARIETY = 0.2
 #: A node outside an article is a menu if this share of its texts are links.
 LINKS = 0.6
-#: For the skeleton, elements below this depth count as part of the one at it.
-DEPTH = 60
-#: Cells of alignment tables that a pair of skeletons may fill; beyond them children match in order, by label.
-CELLS = 1_000_000
 EVERY = 0
 
 #: Element kinds.
@@ -53,11 +50,26 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)?))?)""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_CHROME = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|widgets?|ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|teasers?|comments?|commentlist|respond|reply|replies|disqus|discussion|responses|pagination|pager|toolbar|search|skip|copyright|legal|disclaimer|hidden|sr-only)(?:$|[-_\s0-9])", re.I)
-_ARTICLE_CHROME = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|promo|sponsor(?:ed)?|related|teasers?|comments?|reply|replies|responses?)(?:$|[-_\s0-9])", re.I)
-_HEADER = re.compile(r"(?:^|[-_\s])header(?:$|[-_\s0-9])", re.I)
-_MAIN = re.compile(r"(?:^|\s)(?:article|post|entry|story)(?:[-_](?:body|content|text))?(?:$|\s)|(?:^|\s)(?:main[-_]content|content[-_]main|content[-_]body)(?:$|\s)", re.I)
-_INLINE_CHROME = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo|cookies?|notices?|newsletter|share|sharing|sr-only|visually-hidden|hidden)(?:$|[-_\s0-9])", re.I)
+#: Words of class and id names. An element is chrome if one of its names consists of such words, at least
+#: one of the first kind among them; a name with any other word says nothing.
+CHROME = frozenset(
+    """nav navbar navigation menu menus breadcrumb breadcrumbs masthead banner footer sidebar aside widget widgets ad ads advert adverts
+    advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert popup
+    modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser
+    teasers comment comments commentlist respond reply replies disqus discussion responses pagination pager toolbar search skip
+    copyright legal disclaimer hidden""".split()
+)
+#: Inside an article's own tag, and for elements in the text, fewer words count; for those that hold prose, adverts alone.
+ARTICLE_CHROME = frozenset("ad ads advert adverts promo sponsor sponsored related teaser teasers comment comments reply replies response responses".split())
+INLINE_CHROME = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo cookie cookies notice notices newsletter share sharing hidden".split())
+PROSE_CHROME = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored hidden".split())
+STRUCTURE = frozenset(
+    """post page site main global top bottom left right center list lists box section wrap wrapper wrapping container area block bar inner
+    outer content item items thread form widget slot unit zone group panel row col column header entry article user reader primary
+    secondary fixed sticky mobile desktop links link button buttons icon icons toggle posts articles stories author text body meta
+    date title count holder layout sr only visually sub mini side google""".split()
+)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 _DIGITS = re.compile(r"\d+")
 ITEMS = frozenset(CLOSES) | frozenset(x for v in CLOSES.values() for x in v)
 
@@ -81,6 +93,19 @@ def attributes(page: str, pos: int) -> tuple[dict[str, str], int]:
 KEPT = frozenset("class id role hidden aria-hidden style".split())
 
 
+_PART = re.compile(r"[a-z]+")
+
+
+@functools.lru_cache(maxsize=20_000)
+def chrome(names: str, words: frozenset = CHROME) -> bool:
+    """Whether one of an element's names says that it is no content."""
+    for name in names.split():
+        parts = set(_PART.findall(name.lower()))
+        if parts & words and parts <= words | CHROME | STRUCTURE:
+            return True
+    return False
+
+
 def unseen(found: dict[str, str]) -> bool:
     return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or bool(_UNSEEN.search(found.get("style", "")))
 
@@ -88,13 +113,13 @@ def unseen(found: dict[str, str]) -> bool:
 class Node:
     """An element; what its ancestors say about it is handed down when it is made."""
 
-    __slots__ = ("tag", "names", "children", "parent", "item", "slot", "off", "heading", "headed", "article", "main", "named")
+    __slots__ = ("tag", "names", "children", "parent", "item", "slot", "off", "heading", "headed", "article", "main")
 
     def __init__(self, tag: str, found: dict[str, str], parent: Node | None, off: bool = False):
         self.tag, self.parent, self.children, self.slot, self.names = tag, parent, [], -1, ""
         if parent is None:
             self.item = None
-            self.off = self.heading = self.headed = self.article = self.main = self.named = False
+            self.off = self.heading = self.headed = self.article = self.main = False
             return
         # the nearest element around it that may end a list item or a cell, or keep one open
         self.item = parent if parent.tag in ITEMS or parent.tag in SCOPES else parent.item
@@ -105,17 +130,17 @@ class Node:
         self.heading = parent.heading or tag in HEADINGS
         self.headed = parent.headed
         inside = parent.article or parent.main
-        if tag == "header" or names and not bare and tag != "article" and _HEADER.search(names):
+        parts = set(_PART.findall(names.lower())) if names and not bare else ()
+        if tag == "header" or "header" in parts and tag not in PROSE and parts <= STRUCTURE:
             if inside:
                 self.headed = True
             else:
                 off = True
-        elif tag in DROPPED or names and not bare and (_ARTICLE_CHROME if tag == "article" else _CHROME).search(names):
+        elif tag in DROPPED or parts and chrome(names, ARTICLE_CHROME if tag == "article" else PROSE_CHROME if tag in PROSE else CHROME):
             off = True
         self.off = parent.off or off
         self.article = parent.article or tag == "article"
         self.main = parent.main or tag == "main" or found.get("role", "").lower() == "main"
-        self.named = parent.named or bool(names and _MAIN.search(names))
 
     def never(self) -> bool:
         """Whether its texts are never content; an article's header keeps its headings."""
@@ -131,10 +156,10 @@ class Node:
 class Block:
     """A text of a page: the element it stands in, its words joined by blanks, and how much of it is linked."""
 
-    __slots__ = ("node", "parts", "text", "linked")
+    __slots__ = ("node", "parts", "text", "linked", "list")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.text, self.linked = node, [], "", 0
+        self.node, self.parts, self.text, self.linked, self.list = node, [], "", 0, None
 
     def is_link(self) -> bool:
         return self.linked > LINKS * sum(map(len, self.parts))
@@ -208,7 +233,7 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                     hidden[1] += -1 if closing else 1
                     if not hidden[1]:
                         hidden = None
-            elif not closing and found and tag not in VOID_INLINE and (unseen(found) or _INLINE_CHROME.search(f"{found.get('class', '')} {found.get('id', '')}")):
+            elif not closing and found and tag not in VOID_INLINE and (unseen(found) or chrome(f"{found.get('class', '')} {found.get('id', '')}", INLINE_CHROME)):
                 hidden = [tag, 1, node]
             continue
         block = None
@@ -253,117 +278,159 @@ def fold(root: Node) -> str:
     """
     out: list[str] = []
     count = 0
-
-    def visit(nodes: list[Node], depth: int) -> None:
-        nonlocal count
+    stack: list = [[root]]
+    while stack:
+        nodes = stack.pop()
+        if isinstance(nodes, str):
+            out.append(nodes)
+            continue
         for n in nodes:
             n.slot = count
         count += 1
         out.append(nodes[0].label())
-        children = [c for n in nodes for c in n.children]
-        if depth == DEPTH:
-            while children:
-                for c in children:
-                    c.slot = nodes[0].slot
-                children = [x for c in children for x in c.children]
-        if children:
+        runs: list[list[Node]] = []
+        last = None
+        for c in (c for n in nodes for c in n.children):
+            label = c.label()
+            if runs and label == last:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+            last = label
+        if runs:
             out.append("(")
-            run: list[Node] = []
-            last = None
-            for c in children:
-                label = c.label()
-                if run and label != last:
-                    visit(run, depth + 1)
-                    out.append(",")
-                    run = []
-                run.append(c)
-                last = label
-            visit(run, depth + 1)
-            out.append(")")
-
-    visit([root], 0)
+            stack.append(")")
+            for run in reversed(runs[1:]):
+                stack += [run, ","]
+            stack.append(runs[0])
     return "".join(out)
 
 
-def unfold(skeleton: str) -> tuple:
-    """(label, slot, children) of a skeleton."""
-    stack: list[list] = [[]]
-    slot = 0
+def unfold(skeleton: str) -> tuple[list[str], list[list[int]]]:
+    """(labels, children) of a skeleton, by slot."""
+    labels: list[str] = []
+    children: list[list[int]] = []
+    open_: list[int] = []
     for token in re.findall(r"[(),]|[^(),]+", skeleton):
         if token == "(":
-            stack.append([])
+            open_.append(len(labels) - 1)
         elif token == ")":
-            children = stack.pop()
-            stack[-1][-1][2].extend(children)
+            open_.pop()
         elif token != ",":
-            stack[-1].append((token, slot, []))
-            slot += 1
-    return stack[0][0]
-
-
-def _in_order(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
-    """Each child of the left with the next one of its label on the right."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y[0], []).append(j)
-    out, least = [], 0
-    for i, x in enumerate(a):
-        mine = places.get(x[0], [])
-        k = bisect_left(mine, least)
-        if k < len(mine):
-            out.append((i, mine[k]))
-            least = mine[k] + 1
-    return out
-
-
-def tree_matching(a: tuple, b: tuple, cells: int = CELLS) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that match with order and ancestors kept, and the matched (slot, slot).
-
-    Only children of one label are compared. Beyond ``cells`` of work children match in order.
+            if open_:
+                children[open_[-1]].append(len(labels))
+            labels.append(token)
+            children.append([])
+    return labels, children
+
+
+class Matching:
+    """Simple tree matching of two trees of (labels, children by slot): the most nodes that match with order and ancestors kept.
+
+    Subtrees of one shape are compared once, equal ones match whole, and children are aligned a row of the table at a time,
+    so it is exact for trees of any size and depth.
     """
-    left = [cells]
-
-    def matched(x: tuple, y: tuple) -> tuple[int, list[tuple[int, int]]]:
-        if x[0] != y[0]:
-            return 0, []
-        pairs = [(x[1], y[1])]
-        m, n = len(x[2]), len(y[2])
-        left[0] -= m * n
-        if left[0] < 0:
-            for i, j in _in_order(x[2], y[2]):
-                pairs += matched(x[2][i], y[2][j])[1]
-            return len(pairs), pairs
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        found = {}
-        for i in range(1, m + 1):
-            label = x[2][i - 1][0]
-            for j in range(1, n + 1):
-                w = 0
-                if label == y[2][j - 1][0]:
-                    found[i, j] = matched(x[2][i - 1], y[2][j - 1])
-                    w = found[i, j][0]
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-        i, j = m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                pairs += found[i, j][1]
-                i, j = i - 1, j - 1
-        return best[m][n] + 1, pairs
 
-    return matched(a, b)
+    def __init__(self, a: tuple[list[str], list[list[int]]], b: tuple[list[str], list[list[int]]]):
+        self.trees, numbers = (a, b), {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.shapes = []
+        for labels, children in self.trees:
+            shapes = [0] * len(labels)
+            for slot in range(len(labels) - 1, -1, -1):  # children have larger numbers
+                key = labels[slot], tuple(shapes[c] for c in children[slot])
+                if key not in numbers:
+                    numbers[key] = len(self.label)
+                    self.label.append(key[0])
+                    self.kids.append(key[1])
+                    self.size.append(1 + sum(self.size[c] for c in key[1]))
+                shapes[slot] = numbers[key]
+            self.shapes.append(shapes)
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def weight(self, x: int, y: int) -> int:
+        """The most matching nodes of two shapes; 0 if their roots don't match."""
+        return self.size[x] if x == y else self.weights.get((x, y), 0)
+
+    def weigh(self, x: int, y: int) -> None:
+        stack = [(x, y)]
+        while stack:
+            x, y = stack[-1]
+            if x == y or (x, y) in self.weights:
+                stack.pop()
+                continue
+            if self.label[x] != self.label[y]:
+                self.weights[x, y] = 0
+                stack.pop()
+                continue
+            of: dict[str, list[int]] = {}
+            for j in set(self.kids[y]):
+                of.setdefault(self.label[j], []).append(j)
+            todo = [(i, j) for i in set(self.kids[x]) for j in of.get(self.label[i], ()) if i != j and (i, j) not in self.weights]
+            if todo:
+                stack += todo
+                continue
+            self.weights[x, y] = 1 + int(self.scores(self.kids[x], self.kids[y])[-1])
+            stack.pop()
+
+    def scores(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        """The best alignment of all of xs with each beginning of ys."""
+        rows: dict[int, np.ndarray] = {}
+        best = np.zeros(len(ys) + 1, np.int64)
+        for x in xs:
+            if x not in rows:
+                rows[x] = np.array([self.weight(x, y) for y in ys], np.int64)
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[x]))
+        return best
+
+    def aligned(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places that the best alignment pairs, found by halving, so that no table is kept."""
+        out, stack = [], [(0, len(xs), 0, len(ys))]
+        while stack:
+            a, b, c, d = stack.pop()
+            while a < b and c < d and xs[a] == ys[c]:  # equal subtrees at either end belong together
+                out.append((a, c))
+                a, c = a + 1, c + 1
+            while a < b and c < d and xs[b - 1] == ys[d - 1]:
+                b, d = b - 1, d - 1
+                out.append((b, d))
+            if a >= b or c >= d:
+                continue
+            if b - a == 1:
+                weights = [self.weight(xs[a], y) for y in ys[c:d]]
+                if max(weights):
+                    out.append((a, c + weights.index(max(weights))))
+                continue
+            middle = (a + b) // 2
+            before, after = self.scores(xs[a:middle], ys[c:d]), self.scores(xs[middle:b][::-1], ys[c:d][::-1])[::-1]
+            cut = c + int((before + after).argmax())
+            stack += [(a, middle, c, cut), (middle, b, cut, d)]
+        return out
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The matched (slot, slot)."""
+        (_, left), (_, right) = self.trees
+        shapes, others = self.shapes
+        out = []
+        self.weigh(shapes[0], others[0])
+        stack = [(0, 0)] if self.weight(shapes[0], others[0]) else []
+        while stack:
+            x, y = stack.pop()
+            out.append((x, y))
+            xs, ys = left[x], right[y]
+            if shapes[x] == others[y]:
+                stack += zip(xs, ys, strict=True)
+            else:
+                stack += [(xs[i], ys[j]) for i, j in self.aligned(tuple(shapes[i] for i in xs), tuple(others[j] for j in ys))]
+        return out
 
 
 @functools.lru_cache(maxsize=2048)
 def aligned(skeleton: str, reference: str) -> dict[int, int]:
     """slot of the skeleton -> slot of the reference, for the nodes that match."""
-    if skeleton == reference:
-        n = sum(x not in "()," for x in re.findall(r"[(),]|[^(),]+", skeleton))
-        return dict(zip(range(n), range(n), strict=True))
-    return dict(tree_matching(unfold(skeleton), unfold(reference))[1])
+    return dict(Matching(unfold(skeleton), unfold(reference)).pairs())
 
 
 def _hash(text: str) -> int:
@@ -371,28 +438,52 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) or 1
 
 
+def constant_or_menu(root: Node, blocks: list[Block], reference: str, template: frozenset) -> list[bool]:
+    """For each text whether the host's wrapper says that it isn't content."""
+    slots = aligned(fold(root), reference)
+    constant = {(s, h) for s, h, excepted in template if not excepted}
+    menus = {s for s, _, excepted in template if excepted}
+
+    def off(b: Block) -> bool:
+        slot = slots.get(b.node.slot, -1)
+        if slot in menus and not (b.node.article or b.node.main):
+            return True
+        return (slot, EVERY) in constant or (slot, _hash(b.text)) in constant
+
+    return [off(b) for b in blocks]
+
+
+def link_lists(blocks: list[Block]) -> set[int]:
+    """The lists, by identity, all of whose texts are links."""
+    lists: dict[int, bool] = {}
+    for b in blocks:
+        node = b.node
+        while node is not None and node.tag not in ("ul", "ol"):
+            node = node.parent
+        if node is not None:
+            lists[id(node)] = lists.get(id(node), True) and b.is_link()
+            b.list = id(node)
+    return {n for n, links in lists.items() if links}
+
+
 def content(page: str, reference: str | None = None, template: frozenset = frozenset()) -> str:
-    """The page's main text; template: (slot of the reference, hash of the text or ``EVERY``, whether articles are excepted)."""
+    """The page's main text; template: (slot of the reference, hash of the text or ``EVERY``, whether articles are excepted).
+
+    Without a wrapper the page's own marks decide: texts of articles, else of ``main``, else all, without lists of nothing
+    but links if there is other text.
+    """
     root, blocks = parse(page)
+    if reference is not None:
+        off = constant_or_menu(root, blocks, reference, template)
+        return "\n".join(b.text for b, gone in zip(blocks, off, strict=True) if not gone and not b.node.never())
     kept = [b for b in blocks if not b.node.never()]
-    if template and kept:
-        slots = aligned(fold(root), reference)
-        constant = {(s, h) for s, h, excepted in template if not excepted}
-        menus = {s for s, _, excepted in template if excepted}
-
-        def varies(b: Block) -> bool:
-            slot = slots.get(b.node.slot, -1)
-            if slot in menus and not (b.node.article or b.node.main):
-                return False
-            return (slot, EVERY) not in constant and (slot, _hash(b.text)) not in constant
-
-        kept = [b for b in kept if varies(b)]
-    for inside in (lambda n: n.article, lambda n: n.main, lambda n: n.named):
+    for inside in (lambda n: n.article, lambda n: n.main):
         if any(inside(b.node) for b in kept):
             kept = [b for b in kept if inside(b.node)]
             break
     else:
-        kept = [b for b in kept if not (b.is_link() and len(b.text.split()) < 12)]
+        menus = link_lists(kept)
+        kept = [b for b in kept if b.list not in menus] or kept
     return "\n".join(b.text for b in kept)
 
 

@@ -39,28 +39,35 @@ def best(a, b):
 def test_tree_matching():
     rng = random.Random(1)
 
+    def parts(t, labels, children):
+        labels.append(t[0])
+        children.append([])
+        mine = len(labels) - 1
+        for c in t[2]:
+            children[mine].append(len(labels))
+            parts(c, labels, children)
+        return labels, children
+
     def tree(depth):
         return (rng.choice("ab"), 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
 
-    def numbered(t, n):
-        me, children = n[0], []
-        n[0] += 1
-        for c in t[2]:
-            children.append(numbered(c, n))
-        return (t[0], me, children)
-
-    for _ in range(200):
-        a, b = (numbered(tree(3), [0]) for _ in range(2))
-        size, pairs = H.tree_matching(a, b)
-        assert size == best(a, b) and (size == len(pairs) if size else not pairs)
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        left, right = parts(a, [], []), parts(b, [], [])
+        pairs = H.Matching(left, right).pairs()
+        assert len(pairs) == best(a, b) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+        assert all(left[0][x] == right[0][y] for x, y in pairs)
+        for x, y in pairs:  # order and ancestors are kept
+            for u, v in pairs:
+                assert (x < u) == (y < v) or x == u
+                assert (u in left[1][x]) == (v in right[1][y])
 
 
 def test_skeleton():
     root, blocks = H.parse("<div><p>a</p><p>b</p><ul class='x1'><li>c</li></ul><ul class='x2'><li>d<p>e</p></li></ul></div><p>f</p>")
     assert H.fold(root) == "#root(div(p,ul.x(li(p))),p)"
     assert [b.node.slot for b in blocks] == [2, 2, 4, 4, 5, 6]
-    label, slot, children = H.unfold(H.fold(root))
-    assert (label, slot, [c[:2] for c in children]) == ("#root", 0, [("div", 1), ("p", 6)])
+    assert H.unfold(H.fold(root)) == (["#root", "div", "p", "ul.x", "li", "p", "p"], [[1, 6], [2, 3], [], [4], [5], [], []])
     assert H.aligned("#root(div(p))", "#root(div(h1,p),p)") == {0: 0, 1: 1, 2: 3}
 
 
@@ -85,7 +92,78 @@ def test_broken_markup_takes_linear_time():
     assert time.time() - began < 30
     wide = ["#root(" + ",".join(f"{'abcdefgh'[i**k % 7]}(p,q)" for i in range(10_000)) + ")" for k in (2, 3)]
     began = time.time()
-    assert len(H.aligned(*wide)) > 5000 and time.time() - began < 10
+    assert len(H.aligned(*wide)) > 5000 and time.time() - began < 30
+
+
+def test_deep_and_wide_trees_are_matched_exactly():
+    deep = lambda k, tail: "#root" + "".join(f"(d{i % 5}" for i in range(k)) + tail + ")" * k
+    assert len(H.aligned(deep(5000, "(x,y)"), deep(5000, "(y,x,z)"))) == 5002
+    left, right = (f"#root({','.join(x)})" for x in ([f"a{i}" for i in range(3000)] + ["q"], ["q"] + [f"a{i}" for i in range(3000) if i % 3]))
+    assert len(H.aligned(left, right)) == 2001  # by order alone the q's would take all
+
+
+def test_names_say_something_as_a_whole():
+    for open_, close in (("section class='responses-of-cells'", "section"), ("p class='social'", "p"), ("h2 class='notice'", "h2"), ("div class='search-results'", "div"), ("div id='comments-on-methods'", "div")):
+        assert H.content(f"<article><p>a</p><{open_}>kept</{close}></article>") == "a\nkept", open_
+    for open_, close in (("div class='post-comments'", "div"), ("section id='comments'", "section"), ("div class='ad'", "div"), ("div class='cookie-notice x'", "div"), ("p class='ad'", "p"), ("div class='related-posts'", "div"), ("ul class='comment-list'", "ul")):
+        assert H.content(f"<article><p>a</p><{open_}>gone</{close}></article>") == "a", open_
+
+
+def test_nothing_else_is_dropped():
+    assert H.content("<div><a href='/1'>First link</a></div><div><a href='/2'>Second</a></div>") == "First link\nSecond"
+    assert H.content("<ul><li><a href='/1'>First link</a></li><li><a href='/2'>Second</a></li></ul>") == "First link\nSecond"
+    assert H.content('<div class="content"><p>Hello</p></div><div class="post">A</div>') == "Hello\nA"
+
+
+def test_wrapper_equals_a_count_per_host_and_node(spark):
+    """Template entries from the definitions: every page is aligned and every node's texts are counted, a page at a time."""
+    from collections import Counter, defaultdict
+
+    pages = [(r[0], r[1], r[2]) for r in plain_site(30)[0] + site(12) + site(9, "two.example") + site(3, "small.example")] + [plain_site(1)[0][0][:3]] * 4
+    hosts = defaultdict(dict)
+    for _, url, page in pages:
+        root, blocks = H.parse(page)
+        hosts[url.split("/")[2]].setdefault("".join(b.text for b in blocks), (H.fold(root), blocks))
+    want = {}
+    for host, mine in hosts.items():
+        if len(mine) < H.LEAST:
+            continue
+        reference = max(Counter(k for k, _ in mine.values()).items(), key=lambda x: (x[1], x[0]))[0]
+        with_text, kinds, links, having = Counter(), defaultdict(set), Counter(), Counter()
+        for skeleton, blocks in mine.values():
+            slots = H.aligned(skeleton, reference)
+            texts = {(slots[b.node.slot], b.text): b.is_link() for b in blocks if b.node.slot in slots}
+            having.update({s for s, _ in texts})
+            for (s, t), link in texts.items():
+                with_text[s, t] += 1
+                kinds[s].add(t)
+                links[s] += link
+        template = {(s, H._hash(t), False) for (s, t), n in with_text.items() if n >= H.LEAST and n >= H.SHARE * len(mine)}
+        for s, texts in kinds.items():
+            total = sum(with_text[s, t] for t in texts)
+            repeats = having[s] >= H.LEAST and having[s] >= H.SHARE * len(mine) and len(texts) <= H.VARIETY * total
+            if repeats or links[s] > H.LINKS * total:
+                template.add((s, H.EVERY, not repeats))
+        want[host] = (reference, template)
+    got = H.induce(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.host: (r.reference, {tuple(t) for t in r.template}) for r in got} == want and len(got) == 3
+
+
+def test_alignment_decides_without_telling_names(spark):
+    """Sites without articles and names: menus, ever changing links, constant notices and footers go, all else stays."""
+    rng, words = random.Random(9), [f"v{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    pages, texts = [], {}
+    for h in range(3):
+        for i in range(25):
+            own = [say(rng.randint(2, 60)) for _ in range(rng.randint(1, 6))]
+            menu = "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(5))
+            more = "".join(f"<div><a href='/{rng.random()}'>{say(3)}</a></div>" for _ in range(3))
+            body = "".join(f"<p>{x}</p>" for x in own[1:])
+            pages.append((100 * h + i, f"http://site{h}.example/{i}", f"<body><div><ul>{menu}</ul></div><div><b>We use crumbs {h}</b></div><div><h1>{own[0]}</h1><div>{body}</div></div><div><section>{more}</section></div><div>Site {h} says so</div></body>"))
+            texts[100 * h + i] = "\n".join(own)
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == texts
 
 
 def plain_site(n):
