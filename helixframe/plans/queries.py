@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel
+from helixframe.operators import chunks, decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel
 from helixframe.plans import gene_finder
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
@@ -101,6 +101,13 @@ def orf_circular(spark, sf_dir):
     return _scanned(spark, sf_dir, "circ")
 
 
+@query(O.SCAN + "SELECT genome_id, contig_id, strand, frame, starts, types, start, \"end\", len, edge_type, n_gc, n_g2, rstart, rend FROM orfs")
+def orf_chunked(spark, sf_dir):
+    """The ORFs of linear and circular contigs, scanned in chunks of a thousand bases, so that many go across chunks."""
+    found = chunks.find_orfs(document_contigs(spark, sf_dir), 90, 1000)
+    return found.drop("name", "contig_len").withColumn("starts", F.array_join("starts", ",")).withColumn("types", F.array_join("types", ","))
+
+
 def _scanned(spark, sf_dir, which):
     found = orfs.find_orfs(document_contigs(spark, sf_dir).filter(which), 90)
     return found.drop("name", "contig_len").withColumn("starts", F.array_join("starts", ",")).withColumn("types", F.array_join("types", ","))
