@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.models import kept
+
 
 def ends(features: DataFrame) -> DataFrame:
     """With the 5' and 3' coordinates."""
@@ -33,28 +33,34 @@ def matched_predictions(predicted: DataFrame, truth: DataFrame, keys: list[str])
 def greedy_matches(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p, t): predictions in their order each take the first annotated feature that is still free.
 
-    Only features that share an end compete, so a host's pairs, which are few, are dealt with together.
+    A pair is settled as soon as it is the first one left both of its prediction and of its annotated feature: no earlier
+    prediction can take that feature any more. Each round settles all such pairs and leaves out what they use; the first
+    pair left is always one of them. No group of a host is gathered, and rounds go on as long as pairs depend on each other.
     """
-    pairs = candidate_matches(predicted, truth, keys)
-
-    def function(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, served, out = set(), set(), []
-        for p, t in rows[["p", "t"]].sort_values(["p", "t"]).itertuples(index=False):
-            if p not in served and t not in taken:
-                served.add(p)
-                taken.add(t)
-                out.append((*rows[keys].iloc[0], p, t))
-        return pd.DataFrame(out, columns=[*keys, "p", "t"])
+    left, settled = kept(candidate_matches(predicted, truth, keys)), None
+    while not left.isEmpty():
+        of_p, of_t = Window.partitionBy(*keys, "p"), Window.partitionBy(*keys, "t")
+        first = left.withColumn("_t", F.min("t").over(of_p)).withColumn("_p", F.min("p").over(of_t))
+        new = kept(first.filter((F.col("t") == F.col("_t")) & (F.col("p") == F.col("_p"))).drop("_t", "_p"))
+        left = kept(left.join(new.select(*keys, "p"), [*keys, "p"], "left_anti").join(new.select(*keys, "t"), [*keys, "t"], "left_anti"))
+        settled = new if settled is None else settled.unionByName(new)
+    return left if settled is None else settled
 
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(function, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "p", "t"]))
 
+def report(predicted: DataFrame, truth: DataFrame, matches: DataFrame, assembly: str = "assembly", controls: DataFrame | None = None, false_matches: DataFrame | None = None) -> DataFrame:
+    """(assembly, pred, true, true_pos); an assembly without annotation has zeros.
 
-def report(predicted: DataFrame, truth: DataFrame, matches: DataFrame, assembly: str = "assembly") -> DataFrame:
-    """(assembly, pred, true, true_pos); an assembly without annotation has zeros."""
+    With controls, features that were predicted not to be coding, and their own matches, also neg and false_neg.
+    """
     n = lambda df, name: df.groupBy(assembly).agg(F.count("*").alias(name))
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     out = n(predicted, "pred").join(n(truth, "true"), assembly, "left").join(n(matches, "true_pos"), assembly, "left")
-    return out.select(assembly, "pred", F.coalesce("true", F.lit(0)).alias("true"), F.coalesce("true_pos", F.lit(0)).alias("true_pos"))
+    if controls is None:
+        return out.select(assembly, "pred", zero("true"), zero("true_pos"))
+    both = predicted.select(assembly).unionByName(controls.select(assembly)).distinct()
+    out = both.join(n(predicted, "pred"), assembly, "left").join(n(truth, "true"), assembly, "left").join(n(matches, "true_pos"), assembly, "left")
+    out = out.join(n(controls, "neg"), assembly, "left").join(n(false_matches, "false_neg"), assembly, "left")
+    return out.select(assembly, *map(zero, ("pred", "true", "true_pos", "neg", "false_neg")))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -68,5 +74,3 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
         ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
-
-

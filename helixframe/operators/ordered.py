@@ -76,6 +76,30 @@ def weighted_ranges(weights: DataFrame, by: list[str], order: str, weight: str)
     return weights.withColumn("lo", (hi - F.col(weight)) / total).withColumn("hi", hi / total)
 
 
+def uniform(seed: int, *columns: Column | str) -> Column:
+    """A number from 0 up to 1 that follows from a seed and the columns: 52 bits of a digest of their texts."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+def weighted_draws(draws: DataFrame, weights: DataFrame, by: list[str], order: str, weight: str, u: str = "u") -> DataFrame:
+    """The draws with the columns of the row of their group that their number ``u`` falls on, each row as likely as its weight.
+
+    A group's weights are put in a row by ``order``; the row is cut into as many equal buckets as the group has weights, and
+    a draw meets the weights of its bucket alone. So no draw is compared with all of a group, and on average with two.
+    Rows without a positive weight are never drawn; draws of a group without weights are left out.
+    """
+    some = weights.filter(F.col(weight) > 0)
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = some.withColumn("_hi", F.sum(weight).over(upto)).withColumn("_lo", F.col("_hi") - F.col(weight))
+    totals = some.groupBy(*by).agg(F.sum(weight).alias("_total"), F.count("*").alias("_n"))
+    bucket = lambda x: F.least(F.floor(x / F.col("_total") * F.col("_n")), F.col("_n") - 1)
+    ranges = ranges.join(totals, by).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi"))))).drop("_total", "_n")
+    placed = draws.join(totals, by).withColumn("_at", F.col(u) * F.col("_total")).withColumn("_bucket", bucket(F.col("_at"))).drop("_total", "_n")
+    met = placed.join(ranges, [*by, "_bucket"]).filter((F.col("_lo") <= F.col("_at")) & (F.col("_at") < F.col("_hi")))
+    return met.drop("_bucket", "_at", "_lo", "_hi")
+
+
 def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the first in the order."""
     rest = [c for c in rows.columns if c not in keys]

@@ -55,13 +55,17 @@ def kinds(table: str, starts: tuple[str, ...] | None = None) -> np.ndarray:
     return out
 
 
+def _addresses(codes: np.ndarray) -> np.ndarray:
+    """Of the codon at each place; -1 if it is ambiguous."""
+    return np.where((codes[:-2] < 0) | (codes[1:-1] < 0) | (codes[2:] < 0), -1, 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]) if len(codes) > 2 else np.empty(0, np.int64)
+
+
 def _frames(codes: np.ndarray, length: int, circular: bool, table: str, last: bool, only: tuple[str, ...] | None = None) -> Iterator[tuple[int, list[int], list[int], int, bool]]:
     """(frame, starts, types, end, runs off the end) of every stretch that ends in a stop or, on a linear contig, at its end.
 
     The codon at the very end is looked at only with ``last``.
     """
-    codon = np.where((codes[:-2] < 0) | (codes[1:-1] < 0) | (codes[2:] < 0), -1, 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]) if len(codes) > 2 else np.empty(0, np.int64)
-    kind = kinds(table, only)[codon]
+    kind = kinds(table, only)[_addresses(codes)]
     for frame in range(3):
         at = np.arange(frame, max(frame, len(codes) - 3 + last), 3)
         here = kind[at] if len(at) else np.empty(0, np.int64)
@@ -155,6 +159,90 @@ def find_orfs(contigs: DataFrame, minlen: int = 90, table: str = "11", meta: boo
     return out if sequences else out.drop("nt")
 
 
+def stop_sets(codes: tuple[str, ...]) -> np.ndarray:
+    """By codon address: the set of codes in which it is a stop, as bits, and 0 for ambiguous codons at the end."""
+    out = np.zeros(65, np.uint8)
+    for bit, code in enumerate(codes):
+        out[[address(c) for c in stop_codons(code)]] |= 1 << bit
+    return out
+
+
+def scan_codes(seq: str, minlen: int, codes: tuple[str, ...], only: tuple[str, ...], circular: bool = False, complete_only: bool = False) -> Iterator[tuple]:
+    """(strand, start, end, bits, G and C, nucleotides) of the ORFs under several codes, which have the start codons ``only``.
+
+    Codons are looked up once: each has the set of codes that it stops. Along a frame every code waits for its own next
+    stop, and an ORF that is the same under several codes comes once, with all their bits.
+    """
+    length, stops, starts = len(seq), stop_sets(codes), kinds(codes[0], only) >= 0
+    for strand in (0, 1):
+        mine = seq if not strand else seq[::-1].translate(_COMPLEMENT)
+        text = mine * 2 if circular else mine
+        digits = DIGITS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        gc = np.concatenate([[0], np.cumsum((digits == 1) | (digits == 3))])
+        codon = _addresses(digits)
+        found: dict[tuple[int, int], int] = {}
+        for frame in range(3):
+            at = np.arange(frame, max(frame, len(digits) - 3 + complete_only), 3)
+            here = codon[at] if len(at) else np.empty(0, np.int64)
+            which, is_start = stops[here], starts[here]
+            marks = np.nonzero((which > 0) | is_start)[0]
+            waits: list[list[tuple[int, int]]] = [[] if circular or complete_only else [(frame, OPEN5)] for _ in codes]
+            for place, bits, begins in zip(at[marks].tolist(), which[marks].tolist(), is_start[marks].tolist(), strict=True):
+                for bit in range(len(codes)):
+                    mine_ = waits[bit]
+                    if bits >> bit & 1:
+                        _closed(found, mine_, place + 3, bit, minlen, length, circular, complete_only)
+                        waits[bit] = []
+                    elif begins:
+                        if place == frame and mine_ and mine_[0][1] == OPEN5:
+                            mine_.clear()
+                        mine_.append((place, 0))
+            if not circular and not complete_only:
+                for bit in range(len(codes)):
+                    _closed(found, waits[bit], length, bit, minlen, length, circular, complete_only)
+        again = {(end - length, bit) for (_, end), bits in found.items() for bit in range(len(codes)) if circular and end > length and bits >> bit & 1}
+        for (start, end), bits in found.items():
+            for bit in range(len(codes)):
+                if (end, bit) in again:
+                    bits &= ~(1 << bit)
+            if bits:
+                yield strand, start, end, bits, int(gc[end] - gc[start]), text[start:end]
+
+
+def _closed(found: dict, waits: list[tuple[int, int]], end: int, bit: int, minlen: int, length: int, circular: bool, complete_only: bool) -> None:
+    """Add the ORF from one of a code's starts to an end, if it is long enough."""
+    if not waits or circular and waits[0][0] >= length:
+        return
+    places, types = [p for p, _ in waits], [t for _, t in waits]
+    start = places[0] if complete_only else refined(places, types, end, minlen)
+    if end - start >= minlen and (complete_only or end - start <= LONGEST):
+        found[start, end] = found.get((start, end), 0) | 1 << bit
+
+
+def find_orfs_by_code(contigs: DataFrame, codes: tuple[str, ...], minlen: int = 90, only: tuple[str, ...] = ("ATG",), complete_only: bool = False) -> DataFrame:
+    """(genome_id, contig_id, strand, start, end, len, n_gc, codes array<string>, nt) of contigs, scanned once for several codes.
+
+    For each code these are the ORFs of ``find_orfs`` with its table and the start codons ``only``.
+    """
+    fields = [("genome_id", pa.string()), ("contig_id", pa.int64()), *((n, pa.int32()) for n in ("strand", "start", "end", "len", "n_gc")), ("codes", pa.list_(pa.string())), ("nt", pa.string())]
+    named = [[c for bit, c in enumerate(codes) if bits >> bit & 1] for bits in range(1 << len(codes))]
+
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for genome, contig, circ, seq in zip(*(b.column(c).to_pylist() for c in ("genome_id", "contig_id", "circ", "seq")), strict=True):
+                for strand, start, end, bits, n_gc, nt in scan_codes(seq, minlen, codes, only, bool(circ) and not complete_only, complete_only):
+                    rows.append((genome, contig, strand, start, end, end - start, n_gc, named[bits], nt))
+                    if len(rows) >= 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    ready = contigs.filter(F.length("seq") >= minlen).select("genome_id", F.col("contig_id").cast("long").alias("contig_id"), "circ", "seq")
+    return ready.mapInArrow(function, "genome_id string, contig_id long, strand int, start int, end int, len int, n_gc int, codes array<string>, nt string")
+
+
 def around(seq: str):
     """A function that gives the bases from one place to another of a sequence that goes on from its other end."""
     before = BEFORE // len(seq) + 1

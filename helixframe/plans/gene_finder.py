@@ -20,8 +20,6 @@ CODES, TRIED_START = ("11", "16", "4"), ("ATG",)
 SMALL_GENOME = 20_000
 #: ORFs below this score keep their start under the network.
 LEAST_SCORE = 1e-5
-#: Most reading frames of a run.
-MOST_ORFS = 1_000_000
 KEYS = ["genome_id", "contig_id", "strand", "frame", "end"]
 
 
@@ -172,14 +170,22 @@ def genes(scored: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def coding_shares(contigs: DataFrame, coding: dict[int, models.Network], options: Options = Options(), complete_only: bool = False) -> DataFrame:
-    """(genome_id, code, rank, share): the share of a genome's ORF bases that score above a half under each code."""
-    parts = []
-    for rank, code in enumerate(CODES):
-        found = orfs.find_orfs(contigs, options.minlen, code, complete_only=complete_only, context=True, only=TRIED_START).withColumn("gc_cont", orfs.gc_content())
-        scored = initial_scores(found, coding, options)
-        share = F.sum(F.when(F.col("i_score") > 0.5, F.col("len")).otherwise(0)) / F.sum("len")
-        parts.append(scored.groupBy("genome_id").agg(share.alias("share")).select("genome_id", F.lit(code).alias("code"), F.lit(rank).alias("rank"), "share"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(genome_id, code, rank, share): the share of a genome's ORF bases that score above a half under each code.
+
+    Contigs are scanned once for all codes, and an ORF that several have is scored once; only lagging G+C bins, which depend
+    on a code's other ORFs, are found code by code.
+    """
+    found = orfs.find_orfs_by_code(contigs, CODES, options.minlen, TRIED_START, complete_only).withColumn("gc_cont", orfs.gc_content())
+    if options.gc_bin == "lag":
+        each = found.withColumn("code", F.explode("codes"))
+        binned = ordered.lagging_bin(each, ["genome_id", "code"], "gc_cont", ["contig_id", "strand", "end"]).withColumn("codes", F.array("code")).drop("code")
+    else:
+        binned = found.withColumn("bin", gc_bin(F.col("gc_cont")))
+    rows = features.encode(binned.select("genome_id", "len", "codes", "bin", "nt"))
+    scored = models.mlp_scores(rows, coding, "bin").select("genome_id", "len", "score", F.explode("codes").alias("code"))
+    share = F.sum(F.when(F.col("score") > 0.5, F.col("len")).otherwise(0)) / F.sum("len")
+    rank = F.array_position(F.array(*map(F.lit, CODES)), F.col("code")) - 1
+    return scored.groupBy("genome_id", "code").agg(share.alias("share")).select("genome_id", "code", rank.cast("int").alias("rank"), "share")
 
 
 def chosen_codes(contigs: DataFrame, coding: dict[int, models.Network], options: Options = Options()) -> DataFrame:

@@ -18,7 +18,7 @@ _SIDES = """sides AS MATERIALIZED (
   FROM contigs, (VALUES (0), (1)) t(strand), (VALUES (0), (1), (2)) f(frame) WHERE len >= 90)"""
 
 #: Complete ORFs of 90 nt or more, from the first start after a stop to the next stop.
-COMPLETE = f"""WITH {_CONTIGS}, {_SIDES},
+COMPLETE = f"""WITH RECURSIVE {_CONTIGS}, {_SIDES},
 codons AS (
   SELECT contig_id, strand, frame, frame + 3 * (i - 1) AS pos, codon IN ('TAA', 'TAG', 'TGA') AS stop
   FROM (SELECT contig_id, strand, frame, unnest(l) AS codon, generate_subscripts(l, 1) AS i
@@ -215,6 +215,28 @@ truth AS (
   SELECT assembly, host, start + CASE WHEN ord % 3 = 0 THEN 3 ELSE 0 END AS start, "end" + CASE WHEN ord % 9 = 0 THEN 6 ELSE 0 END AS "end", strand, ord FROM predicted WHERE len >= 120) """
 )
 
+#: Greedy matching, one prediction of every host a step.
+GREEDY = """, candidates AS (
+  SELECT p.assembly, p.host, p.len >= 150 AS good, p.ord AS p, t.ord AS t FROM predicted p JOIN truth t ON t.assembly = p.assembly AND t.host = p.host AND t.strand = p.strand AND t.start = p.start
+  UNION SELECT p.assembly, p.host, p.len >= 150, p.ord, t.ord FROM predicted p JOIN truth t ON t.assembly = p.assembly AND t.host = p.host AND t.strand = p.strand AND t."end" = p."end"),
+wants AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY assembly, host, good ORDER BY p) AS r FROM (SELECT assembly, host, good, p, list_sort(list(t)) AS ts FROM candidates GROUP BY ALL)),
+walk AS (
+  SELECT DISTINCT assembly, host, good, 0::BIGINT AS r, []::BIGINT[] AS taken FROM wants
+  UNION ALL
+  SELECT w.assembly, w.host, w.good, n.r, CASE WHEN len(list_filter(n.ts, lambda x: NOT list_contains(w.taken, x))) > 0 THEN list_append(w.taken, list_filter(n.ts, lambda x: NOT list_contains(w.taken, x))[1]) ELSE w.taken END
+  FROM walk w JOIN wants n ON n.assembly = w.assembly AND n.host = w.host AND n.good = w.good AND n.r = w.r + 1),
+matched AS (SELECT assembly, good, sum(n) AS n FROM (SELECT assembly, host, good, max(len(taken)) AS n FROM walk GROUP BY ALL) GROUP BY ALL),
+counts AS (SELECT assembly, count(*) FILTER (len >= 150) AS pred, count(*) FILTER (len < 150) AS neg FROM predicted GROUP BY assembly)
+SELECT c.assembly, pred, coalesce(t.n, 0)::BIGINT AS "true", coalesce(g.n, 0)::BIGINT AS true_pos, neg, coalesce(f.n, 0)::BIGINT AS false_neg
+FROM counts c LEFT JOIN (SELECT assembly, count(*) AS n FROM truth GROUP BY assembly) t USING (assembly)
+LEFT JOIN (SELECT * FROM matched WHERE good) g USING (assembly) LEFT JOIN (SELECT * FROM matched WHERE NOT good) f USING (assembly)"""
+
+DRAWS = """, codon_usage AS (SELECT genome_id, codon, count(*) AS n FROM orf_codons WHERE codon NOT IN ('TAA', 'TAG', 'TGA') GROUP BY ALL),
+ranges AS (SELECT genome_id, codon, sum(n) OVER w - n AS lo, sum(n) OVER w AS hi, sum(n) OVER (PARTITION BY genome_id) AS total FROM codon_usage WINDOW w AS (PARTITION BY genome_id ORDER BY codon ROWS UNBOUNDED PRECEDING)),
+drawn AS (SELECT genome_id, contig_id, strand, "end", ('0x' || substr(md5(concat_ws(':', '42', genome_id, contig_id, strand, "end")), 1, 13))::BIGINT / pow(2, 52) AS u FROM complete)
+SELECT d.genome_id, contig_id, strand, "end", round(u, 9) AS u, codon FROM drawn d JOIN ranges r ON r.genome_id = d.genome_id AND u * total >= lo AND u * total < hi"""
+
 LINES = f""", lines AS (
   SELECT contig_id, idx,
          concat_ws(chr(9), name, 'helixframe', CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END, rstart, rend, printf('%.3f', round_even(t_score, 3)), {_SIGN}, '0', 'ID=' || printf('ORF%06d', idx + 1) || ';partial=00;r_score=' || printf('%.3f', round_even(r_score, 3))) AS gff,

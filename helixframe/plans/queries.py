@@ -295,11 +295,25 @@ def eval_match_semi(spark, sf_dir):
     return matching.matched_predictions(p, t, ["assembly", "host"]).select("assembly", "ord")
 
 
-@query()
+@query(O.MATCH + O.GREEDY)
 def eval_greedy(spark, sf_dir):
-    """Greedy matching depends on the order of what was matched before; tests hold it against a loop."""
+    """The evaluation table: predicted features of 150 nt or more, the shorter ones as controls, each matched greedily."""
     p, t = _features(spark, sf_dir)
-    return matching.report(p, t, matching.greedy_matches(p, t, ["assembly", "host"]))
+    t, keys = models.kept(t), ["assembly", "host"]
+    p, controls = models.kept(p.filter("len >= 150")), models.kept(p.filter("len < 150"))
+    found, false = (matching.greedy_matches(x, t, keys) for x in (p, controls))
+    return matching.report(p, t, found, "assembly", controls, false)
+
+
+@query(O.COMPLETE + O.ORF_CODONS + O.DRAWS)
+def sampled_codons(spark, sf_dir):
+    """A sense codon drawn for each ORF by its genome's codon usage."""
+    found = models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt"))
+    codons = found.select("genome_id", F.explode(S.codons(F.col("nt"))).alias("codon"))
+    usage = codons.filter(F.col("codon").rlike("^[ACGT]{3}$") & ~F.col("codon").isin("TAA", "TAG", "TGA")).groupBy("genome_id", "codon").agg(F.count("*").alias("n"))
+    draws = found.select("genome_id", "contig_id", "strand", "end", ordered.uniform(42, "genome_id", "contig_id", "strand", "end").alias("u"))
+    out = ordered.weighted_draws(draws, usage, ["genome_id"], "codon", "n")
+    return out.select("genome_id", "contig_id", "strand", "end", F.round("u", 9).alias("u"), "codon")
 
 
 def _features(spark, sf_dir):

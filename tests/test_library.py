@@ -147,6 +147,35 @@ def test_matching(spark):
     found = matching.greedy_matches(p, t, keys)
     assert found.count() == want
     assert tuple(matching.report(p, t, found).first()) == ("a", 60, 50, want)
+    assert tuple(matching.report(p, t, found, "assembly", p, found).first()) == ("a", 60, 50, want, 60, want)
+
+
+def test_greedy_matching_of_long_chains(spark):
+    """Each prediction wants the feature before and its own, so that every choice depends on the one before."""
+    schema = "assembly string, host string, start int, end int, strand string, ord int"
+    p = spark.createDataFrame([("a", "h", i, 1000 + i, "+", i) for i in range(7)], schema)
+    t = spark.createDataFrame([("a", "h", i, 1001 + i, "+", i) for i in range(7)], schema)
+    keys = ["assembly", "host"]
+    assert sorted((r.p, r.t) for r in matching.greedy_matches(p, t, keys).collect()) == [(0, 0)] + [(i, i) for i in range(1, 7)]
+    assert matching.greedy_matches(p, t.limit(0), keys).count() == 0
+
+
+def test_weighted_draws(spark):
+    rng = random.Random(6)
+    weights = [(g, i, rng.choice([0, 1, 1, 2, 50, 3000])) for g in "abc" for i in range(40 if g < "c" else 1)] + [("c", 5, 3)]
+    draws = [(g, k, rng.random()) for g in "abcd" for k in range(300)] + [("a", 900, 0.0), ("a", 901, 1 - 2**-52)]
+    got = ordered.weighted_draws(spark.createDataFrame(draws, "g string, k int, u double"), spark.createDataFrame(weights, "g string, i int, w int"), ["g"], "i", "w")
+    want = []
+    for g, k, u in draws:
+        mine = [(i, w) for h, i, w in weights if h == g]
+        at, upto = u * sum(w for _, w in mine), 0
+        for i, w in mine:
+            if upto <= at < upto + w:
+                want.append((g, k, i))
+            upto += w
+    assert sorted((r.g, r.k, r.i) for r in got.collect()) == sorted(want) and len(want) == 902
+    us = [r[0] for r in spark.range(4000).select(ordered.uniform(1, "id")).collect()]
+    assert min(us) >= 0 and max(us) < 1 and abs(sum(us) / 4000 - 0.5) < 0.02 and len(set(us)) == 4000
 
 
 def test_start_model():

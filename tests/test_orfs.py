@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helixframe.functions.alphabet import COMPLEMENT_LETTERS, LETTERS
+from helixframe.operators import orfs
 from helixframe.operators.orfs import scan
 
 
@@ -80,3 +81,18 @@ def test_complete_only():
             codons = [r[12][i : i + 3] for i in range(0, r[6], 3)]
             assert codons[0] in ("ATG", "GTG", "TTG") and codons[-1] in ("TAA", "TAG", "TGA")
             assert not set(codons[:-1]) & {"TAA", "TAG", "TGA"}
+
+
+def test_one_scan_for_several_codes(spark):
+    rng = random.Random(12)
+    rows = [("g", i, bool(i % 2), "".join(rng.choices("ACGTACGTTGAN" if i % 3 else "ATGC", k=rng.choice([80, 400, 901, 1500])))) for i in range(30)]
+    contigs = spark.createDataFrame(rows, "genome_id string, contig_id long, circ boolean, seq string")
+    codes = ("11", "16", "4")
+    for complete_only in (False, True):
+        got = orfs.find_orfs_by_code(contigs, codes, 75, ("ATG",), complete_only).collect()
+        assert len(got) == len({(r.contig_id, r.strand, r.start, r.end) for r in got})
+        for code in codes:
+            want = orfs.find_orfs(contigs, 75, code, complete_only=complete_only, only=("ATG",), sequences=True).collect()
+            mine = sorted((r.contig_id, r.strand, r.start, r.end, r.len, r.n_gc, r.nt) for r in got if code in r.codes)
+            assert mine == sorted((r.contig_id, r.strand, r.start, r.end, r.len, r.n_gc, r.nt) for r in want) and mine
+        assert any(len(r.codes) == 3 for r in got) and any(len(r.codes) == 1 for r in got)
