@@ -37,7 +37,7 @@ complete AS MATERIALIZED (
   FROM (SELECT p.*, genome_id, name, s, len AS contig_len, substr(s, start + 1, "end" - start) AS nt FROM spans p JOIN sides USING (contig_id, strand, frame) WHERE start IS NOT NULL AND "end" - start >= 90)) """
 
 #: All ORFs of 90 nt or more, with open ends and circular contigs.
-SCAN = f"""WITH {_CONTIGS}, {_SIDES},
+SCAN = f"""WITH RECURSIVE {_CONTIGS}, {_SIDES},
 codons AS (
   SELECT contig_id, strand, frame, circ, len, pos, CASE codon WHEN 'ATG' THEN 0 WHEN 'GTG' THEN 1 WHEN 'TTG' THEN 2 ELSE -1 END AS kind
   FROM (SELECT *, frame + 3 * (i - 1) AS pos
@@ -64,10 +64,10 @@ fit AS (SELECT *, "end" - start AS len FROM started WHERE "end" - start BETWEEN
 kept AS (
   SELECT * FROM fit a WHERE NOT EXISTS (SELECT 1 FROM fit b WHERE b.circ AND b.contig_id = a.contig_id AND b.strand = a.strand AND b."end" > b.contig_len AND b."end" - b.contig_len = a."end")),
 orfs AS (
-  SELECT genome_id, k.contig_id, k.strand, k.frame, k.circ, contig_len, array_to_string(ps, ',') AS starts, array_to_string(ks, ',') AS types, start, "end", k.len, edge_type,
+  SELECT genome_id, k.contig_id, name, nt, k.strand, k.frame, k.circ, contig_len, array_to_string(ps, ',') AS starts, array_to_string(ks, ',') AS types, start, "end", k.len, edge_type,
          (length(nt) - length(translate(nt, 'GC', '')))::INT AS n_gc, len(list_filter(regexp_extract_all(nt, '.(.).?', 1), lambda x: x = 'G'))::INT AS n_g2,
          (CASE WHEN k.circ AND r < 0 THEN r + contig_len ELSE r END + 1)::INT AS rstart, (CASE WHEN k.circ AND e > contig_len THEN e - contig_len ELSE e END)::INT AS rend
-  FROM (SELECT f.*, genome_id, substr(s || s, start + 1, f.len) AS nt, CASE f.strand WHEN 0 THEN start ELSE contig_len - "end" END AS r, CASE f.strand WHEN 0 THEN "end" ELSE contig_len - start END AS e
+  FROM (SELECT f.*, genome_id, name, substr(s || s, start + 1, f.len) AS nt, CASE f.strand WHEN 0 THEN start ELSE contig_len - "end" END AS r, CASE f.strand WHEN 0 THEN "end" ELSE contig_len - start END AS e
         FROM kept f JOIN sides USING (contig_id, strand, frame)) k) """
 
 _CODE = ", ".join(f"'{c}': '{a}'" for c, a in zip([x + y + z for x in "TCAG" for y in "TCAG" for z in "TCAG"], "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", strict=True))
@@ -76,12 +76,12 @@ PROTEIN = f""", proteins AS (
   SELECT contig_id, strand, "end", 'M' || substr(array_to_string(list_transform(regexp_extract_all(nt, '...'), lambda c: code[c]), ''), 2) AS protein
   FROM complete, (SELECT MAP {{{_CODE}}} AS code)) """
 
-#: Genes: complete ORFs numbered within a genome by contig, end, strand and start.
+#: Genes: ORFs of linear and circular contigs numbered within a genome by contig, end, strand and start.
 GENES = (
-    COMPLETE
+    SCAN
     + """, genes AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY contig_id, rend, strand, rstart) - 1 AS idx,
-         round(n_gc / len, 6) - 0.4 AS i_score, round(n_gc / len, 6) AS t_score, round(n_g2 * 3 / len, 6) AS r_score FROM complete) """
+  SELECT *, CASE WHEN rstart > rend THEN rstart - contig_len ELSE rstart END AS lo, row_number() OVER (PARTITION BY genome_id ORDER BY contig_id, rend, strand, rstart) - 1 AS idx,
+         round(n_gc / len, 6) - 0.4 AS i_score, round(n_gc / len, 6) AS t_score, round(n_g2 * 3 / len, 6) AS r_score FROM orfs) """
 )
 
 _AXES = "(VALUES ('A', 1, 1, 1), ('C', -1, 1, -1), ('G', 1, -1, -1), ('T', -1, -1, 1))"
@@ -239,17 +239,22 @@ SELECT d.genome_id, contig_id, strand, "end", round(u, 9) AS u, codon FROM drawn
 
 LINES = f""", lines AS (
   SELECT contig_id, idx,
-         concat_ws(chr(9), name, 'helixframe', CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END, rstart, rend, printf('%.3f', round_even(t_score, 3)), {_SIGN}, '0', 'ID=' || printf('ORF%06d', idx + 1) || ';partial=00;r_score=' || printf('%.3f', round_even(r_score, 3))) AS gff,
+         concat_ws(chr(9), name, 'helixframe', CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END, rstart, rend, printf('%.3f', round_even(t_score, 3)), {_SIGN}, '0', 'ID=' || printf('ORF%06d', idx + 1) || ';partial=' || (edge_type >= 5)::INT || (edge_type IN (3, 8))::INT || ';r_score=' || printf('%.3f', round_even(r_score, 3))) AS gff,
          concat_ws(chr(9), name, rstart - 1, rend, printf('ORF%06d', idx + 1), greatest(0, least(1000, trunc(t_score * 1000)::INT)), {_SIGN}) AS bed,
-         '>' || name || ':' || rstart || '..' || rend || '(' || {_SIGN} || ') ID=' || printf('ORF%06d', idx + 1) || ';score=' || printf('%.3f', round_even(t_score, 3)) || ';paritial=00' AS fasta
+         '>' || name || ':' || rstart || '..' || rend || '(' || {_SIGN} || ') ID=' || printf('ORF%06d', idx + 1) || ';score=' || printf('%.3f', round_even(t_score, 3)) || ';paritial=' || (edge_type >= 5)::INT || (edge_type IN (3, 8))::INT AS fasta
   FROM genes) """
 
-LOCATIONS = """, spanned AS (
+def _locations(of: str) -> str:
+    return f""", spanned AS (
   SELECT *, CASE WHEN rstart > rend THEN 'join(' || rstart || '..' || contig_len || ',1..' || rend || ')'
     ELSE CASE WHEN CASE strand WHEN 1 THEN edge_type IN (3, 8) ELSE edge_type >= 5 END THEN '<' ELSE '' END || rstart || '..' ||
-         CASE WHEN CASE strand WHEN 1 THEN edge_type >= 5 ELSE edge_type IN (3, 8) END THEN '>' ELSE '' END || rend END AS span FROM orfs),
+         CASE WHEN CASE strand WHEN 1 THEN edge_type >= 5 ELSE edge_type IN (3, 8) END THEN '>' ELSE '' END || rend END AS span FROM {of}),
 locations AS (SELECT *, CASE strand WHEN 1 THEN 'complement(' || span || ')' ELSE span END AS location FROM spanned) """
 
+
+LOCATIONS = _locations("orfs")
+
+
 def _coding(code: str, stops: str) -> str:
     """The first nine features of the ORFs under a code, from their first ATG on, and whether the network takes them for coding."""
     return f"""
@@ -286,10 +291,11 @@ MLP = """, scaled AS (SELECT contig_id, strand, "end", k, (value - mean) / CASE
 layer AS (SELECT contig_id, strand, "end", greatest(0, sum(CASE WHEN k % 2 = 1 THEN x ELSE -0.5 * x END) / 10 + 0.1) AS a, greatest(0, sum((k % 7 - 3) * x) / 20 - 0.2) AS b, greatest(0, sum(0.25 * x) / 10) AS c FROM scaled GROUP BY ALL)
 SELECT contig_id, strand, "end", round(1 / (1 + exp(-(0.5 * a - b + 0.25 * c + 0.3) / 2)), 6) AS score FROM layer"""
 
-FEATURE_LINES = f"""
-SELECT g.contig_id, idx, md5('     ' || CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END || repeat(' ', 13) || CASE g.strand WHEN 1 THEN 'complement(' || rstart || '..' || rend || ')' ELSE rstart || '..' || rend END
+FEATURE_LINES = f"""{_locations("genes")},
+translated AS (SELECT *, array_to_string(list_transform(regexp_extract_all(nt, '...'), lambda c: code[c]), '') AS p FROM locations, (SELECT MAP {{{_CODE}}} AS code))
+SELECT contig_id, idx, md5('     ' || CASE WHEN i_score >= 0 THEN 'CDS' ELSE 'ORF' END || repeat(' ', 13) || location
   || chr(10) || repeat(' ', 21) || '/locus_tag=' || printf('ORF%06d', idx + 1)
   || chr(10) || repeat(' ', 21) || '/transl_table=11' || chr(10) || repeat(' ', 21) || '/codon_start=1'
   || chr(10) || repeat(' ', 21) || '/note="Derived by protein-coding gene prediction method: helixframe"'
-  || chr(10) || repeat(' ', 21) || '/translation="' || protein || '"') AS digest
-FROM genes g JOIN proteins p ON p.contig_id = g.contig_id AND p.strand = g.strand AND p."end" = g."end" """
+  || chr(10) || repeat(' ', 21) || '/translation="' || CASE WHEN edge_type >= 5 THEN p ELSE 'M' || substr(p, 2) END || '"') AS digest
+FROM translated"""

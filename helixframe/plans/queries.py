@@ -43,7 +43,7 @@ def complete_orfs(spark: SparkSession, sf_dir: str, sequences: bool = False) ->
 
 @query(O.GENES + "SELECT genome_id, contig_id, idx, strand, rstart, rend, len, round(n_gc / len, 6) AS gc FROM genes WHERE len >= 300")
 def top_genes(spark, sf_dir):
-    """The flagship: contigs, both strands, complete ORFs, numbering, and the genes of 300 nt or more."""
+    """The flagship: linear and circular contigs, both strands, ORFs with open ends and across the origin, numbering, and the genes of 300 nt or more."""
     found = genes(spark, sf_dir)
     return found.filter("len >= 300").select("genome_id", "contig_id", "idx", "strand", "rstart", "rend", "len", rounded(orfs.gc_content()).alias("gc"))
 
@@ -120,7 +120,7 @@ def orf_seed_filter(spark, sf_dir):
 
 
 def genes(spark, sf_dir, sequences: bool = False) -> DataFrame:
-    found = complete_orfs(spark, sf_dir, sequences)
+    found = orfs.find_orfs(document_contigs(spark, sf_dir), 90, sequences=sequences)
     numbered = ordered.numbered(found, ["genome_id"], ["contig_id"], ["rend", "strand", "rstart"])
     score = rounded(orfs.gc_content())
     return numbered.withColumn("i_score", score - 0.4).withColumn("t_score", score).withColumn("r_score", rounded(orfs.g2_content()))
@@ -202,16 +202,40 @@ def _codons(spark, sf_dir):
     return found.filter(F.col("codon").rlike("^[ACGT]{3}$")).groupBy("genome_id", "codon").agg(F.count("*").alias("n"))
 
 
-@query(O.GENES + "SELECT a.genome_id, a.contig_id, a.idx AS \"left\", b.idx AS \"right\", least(a.rend, b.rend) - greatest(a.rstart, b.rstart) AS olen FROM genes a JOIN genes b ON a.contig_id = b.contig_id AND a.idx < b.idx AND a.rend > b.rstart AND b.rend > a.rstart WHERE least(a.rend, b.rend) - greatest(a.rstart, b.rstart) >= 60")
+@query(O.GENES + "SELECT a.genome_id, a.contig_id, a.idx AS \"left\", b.idx AS \"right\", least(a.rend, b.rend) - greatest(a.lo, b.lo) AS olen FROM genes a JOIN genes b ON a.contig_id = b.contig_id AND a.idx < b.idx AND a.rend > b.lo AND b.rend > a.lo WHERE least(a.rend, b.rend) - greatest(a.lo, b.lo) >= 60")
 def overlap_pairs(spark, sf_dir):
     return intervals.overlap_pairs(genes(spark, sf_dir), 60)
 
 
-@query(O.GENES + "SELECT genome_id, contig_id, idx FROM genes g WHERE NOT EXISTS (SELECT 1 FROM genes b WHERE b.contig_id = g.contig_id AND b.idx <> g.idx AND least(g.rend, b.rend) - greatest(g.rstart, b.rstart) > 75)")
+@query(O.GENES + "SELECT genome_id, contig_id, idx FROM genes g WHERE NOT EXISTS (SELECT 1 FROM genes b WHERE b.contig_id = g.contig_id AND b.idx <> g.idx AND least(g.rend, b.rend) - greatest(g.lo, b.lo) > 75)")
 def overlap_antijoin(spark, sf_dir):
     return intervals.without_overlaps(genes(spark, sf_dir), 75).select("genome_id", "contig_id", "idx")
 
 
+@query(O.GENES + """SELECT genome_id, pair, olen, "left" = idx AS is_left, contig_id, idx, strand, rstart, rend FROM (
+  SELECT a.genome_id, a.idx AS "left", a.idx || '-' || b.idx AS pair, least(a.rend, b.rend) - greatest(a.lo, b.lo) AS olen, unnest([a.idx, b.idx]) AS idx
+  FROM genes a JOIN genes b ON a.contig_id = b.contig_id AND a.idx < b.idx AND a.rend > b.lo AND b.rend > a.lo WHERE least(a.rend, b.rend) - greatest(a.lo, b.lo) >= 120)
+  JOIN (SELECT genome_id, contig_id, idx, strand, rstart, rend FROM genes) USING (genome_id, idx)""")
+def overlap_report(spark, sf_dir):
+    """Each overlapping pair as two rows with the genes' places."""
+    found = models.kept(genes(spark, sf_dir).select("genome_id", "contig_id", "contig_len", "idx", "strand", "rstart", "rend"))
+    out = gene_finder.overlap_report(found).withColumn("is_left", F.substring_index("pair", "-", 1) == F.col("idx").cast("string"))
+    return out.select("genome_id", "pair", "olen", "is_left", "contig_id", "idx", "strand", "rstart", "rend")
+
+
+@query(O.GENES + "SELECT contig_id, idx, len FROM genes WHERE len >= 180 AND i_score > 0.05 AND edge_type = 0")
+def orf_score_filter(spark, sf_dir):
+    """Closed ORFs of a length with a score above one."""
+    return gene_finder.filtered(genes(spark, sf_dir), 180, 0.05, True).select("contig_id", "idx", "len")
+
+
+@query(O.GENES + "SELECT genome_id, idx, contig_id, len FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY len DESC, idx) AS r FROM genes) WHERE r <= 10")
+def longest_genes(spark, sf_dir):
+    """A top-k report: the ten longest genes of each genome."""
+    found = genes(spark, sf_dir).select("genome_id", "idx", "contig_id", "len", (-F.col("len")).alias("short"))
+    return ordered.limited(found, ["genome_id"], ["short", "idx"], 10).drop("short")
+
+
 @query(O.COMPLETE + O.MERGED + "SELECT contig_id, start, \"end\" FROM merged")
 def interval_merge(spark, sf_dir):
     found = complete_orfs(spark, sf_dir).select("contig_id", (F.col("rstart") - 1).alias("start"), F.col("rend").alias("end"))
@@ -317,7 +341,7 @@ def sampled_codons(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    """Predicted features from the complete ORFs; annotated ones from those of 120 nt or more, every third shifted at its start."""
+    """Predicted features from all ORFs; annotated ones from those of 120 nt or more, every third shifted at its start."""
     g = genes(spark, sf_dir).select(F.col("genome_id").alias("assembly"), S.unversioned(F.concat(F.col("name"), F.lit(".1"))).alias("host"), F.col("rstart").alias("start"), F.col("rend").alias("end"), writers.sign(F.col("strand")).alias("strand"), F.col("idx").alias("ord"), "len")
     moved = F.col("ord") % 3 == 0
     t = g.filter("len >= 120").withColumn("start", F.col("start") + F.when(moved, 3).otherwise(0)).withColumn("end", F.col("end") + F.when(F.col("ord") % 9 == 0, 6).otherwise(0))
@@ -497,7 +521,7 @@ def orf_sequence(spark, sf_dir):
     return complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", F.md5("nt").alias("digest"))
 
 
-@query(O.GENES + O.PROTEIN + O.FEATURE_LINES)
+@query(O.GENES + O.FEATURE_LINES)
 def gbk_feature(spark, sf_dir):
     return genes(spark, sf_dir, True).select("contig_id", "idx", F.md5(writers.genbank_feature()).alias("digest"))
 
