@@ -159,10 +159,16 @@ before AS MATERIALIZED (SELECT genome_id, substr(sss, contig_len + q - 50 + 1, 6
 background AS (
   SELECT genome_id, substr(w, i, 1) AS base FROM (SELECT genome_id, w, unnest(range(1, 65)) AS i FROM before) WHERE substr(w, i, 1) IN ('A', 'C', 'G', 'T')) """
 
-#: Decoys that each contig is to get, all of which are to be sound.
+#: The same as COMPLETE of each source's contigs one behind the other.
+ACCESSIONS = COMPLETE.replace(_CONTIGS, f"""contigs AS MATERIALIZED (
+  SELECT genome_id, contig_id, n_records, genome_id AS name, false AS circ, seq, length(seq)::INT AS len FROM (
+    SELECT source AS genome_id, min(doc_id) AS contig_id, count(*) AS n_records, string_agg(seq, '' ORDER BY doc_id) AS seq
+    FROM (SELECT source, doc_id, {BASES} AS seq FROM documents) WHERE seq <> '' GROUP BY source))""")
+
+#: Decoys that each accession is to get, all of which are to be sound.
 DECOYS = """, frames AS (SELECT contig_id, count(*) AS n FROM complete GROUP BY contig_id),
 room AS (SELECT contig_id, sum(floor((hi - lo) / 90))::BIGINT AS capacity FROM gaps GROUP BY contig_id)
-SELECT c.contig_id, coalesce(n, 0)::BIGINT AS n_orfs,
+SELECT c.genome_id, n_records, len::BIGINT AS merged_len, coalesce(n, 0)::BIGINT AS n_orfs,
        CASE WHEN n IS NULL THEN 0 ELSE least(greatest(20, least(200, round_even(0.05::DOUBLE * n, 0)::BIGINT)), coalesce(capacity, 0)) END::BIGINT AS n_target, true AS within, true AS valid
 FROM contigs c LEFT JOIN frames USING (contig_id) LEFT JOIN room USING (contig_id)"""
 

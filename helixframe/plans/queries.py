@@ -488,16 +488,20 @@ def kmeans_label(spark, sf_dir):
     return models.cluster_labels(rows, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", "i_score")
 
 
-@query(O.COMPLETE + O.MERGED + O.GAPS + O.DECOYS)
+@query(O.ACCESSIONS + O.MERGED + O.GAPS + O.DECOYS)
 def decoy_counts(spark, sf_dir):
-    """How many reading frames each contig has and how many decoys it is to get: a share of them, within bounds and its gaps."""
-    return decoys.insert_decoys(document_contigs(spark, sf_dir)).select("contig_id", F.col("n_orfs").cast("long").alias("n_orfs"), F.col("n_target").cast("long").alias("n_target"), (F.col("n_inserted") <= F.col("n_target")).alias("within"), F.col("valid"))
+    """How many frames each accession, its contigs one behind the other, has and how many decoys it is to get; whether all are sound."""
+    made = decoys.insert_decoys(document_contigs(spark, sf_dir)).manifest
+    return made.select("genome_id", "n_records", "merged_len", "n_orfs", "n_target", (F.col("n_inserted") <= F.col("n_target")).alias("within"), "valid")
 
 
 @query()
 def decoy_manifest(spark, sf_dir):
-    """Decoy genes placed in the gaps of each contig, with their positions' digest; placement is random but seeded."""
-    return decoys.insert_decoys(document_contigs(spark, sf_dir)).drop("seq", "decoys")
+    """Decoys placed in the gaps of each accession, with a digest of their places; placement is random but seeded, and tests hold its rules."""
+    made = decoys.insert_decoys(document_contigs(spark, sf_dir))
+    place = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), "strand")
+    digests = made.decoys.groupBy("genome_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list(place)), ",")).alias("digest"))
+    return made.manifest.join(digests, "genome_id", "left")
 
 
 @query(O.COMPLETE + O.FEATURES + O.digest("(value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END", 4, "feats JOIN (SELECT genome_id, k, avg(value) AS mean, stddev_pop(value) AS sd FROM feats GROUP BY ALL) USING (genome_id, k)"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import gc_bin_label, gc_percent, translate_dna
@@ -162,18 +162,18 @@ def folded(seq: Column, width: int = 70) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
-def write_decoys(decoys: DataFrame, fasta: str, gff: str) -> None:
-    """The sequences with their decoys as FASTA and the decoys' places as GFF3; decoys: of ``insert_decoys``."""
-    name = F.concat_ws("_", "genome_id", F.col("contig_id").cast("string"))
-    head = F.concat(F.lit(">"), name, F.lit(" decoy-augmented sequence"))
-    write_lines(decoys.select("genome_id", "contig_id", F.concat_ws("\n", head, folded(F.col("seq"))).alias("value")), fasta, ["genome_id", "contig_id"])
-    place = F.posexplode(F.filter(F.split("decoys", ";"), lambda x: x != "")).alias("at", "place")
-    rows = decoys.select("genome_id", "contig_id", F.length("seq").alias("size"), name.alias("name"), place)
-    number = lambda i: F.regexp_extract("place", r"^(\d+)\.\.(\d+)\((.)\)$", i)
-    note = F.concat(F.lit("ID=decoy_"), (F.col("at") + 1).cast("string"), F.lit(";Note=synthetic decoy ORF"))
-    line = F.concat_ws("\t", "name", F.lit("Neg_Ctrl"), F.lit("CDS"), number(1), number(2), F.lit("."), number(3), F.lit("0"), note)
-    region = decoys.select("genome_id", "contig_id", F.lit(-1).alias("at"), F.concat_ws(" ", F.lit("##sequence-region"), name, F.lit("1"), F.length("seq").cast("string")).alias("value"))
-    write_lines(region.unionByName(rows.select("genome_id", "contig_id", "at", line.alias("value"))), gff, ["genome_id", "contig_id", "at"], ["##gff-version 3"])
+def write_decoys(made, fasta: str, gff: str) -> None:
+    """Each accession with its decoys as one FASTA record, its contigs one behind the other, and the decoys' places as GFF3.
+
+    made: of ``decoys.insert_decoys``.
+    """
+    head = F.concat(F.lit(">"), "genome_id", F.lit(" with decoys, "), F.col("n_records").cast("string"), F.lit(" contigs in one"))
+    top = made.manifest.select("genome_id", F.lit(-1).cast("long").alias("contig_id"), head.alias("value"))
+    write_lines(top.unionByName(made.contigs.select("genome_id", "contig_id", folded(F.col("seq")).alias("value"))), fasta, ["genome_id", "contig_id"])
+    number = F.row_number().over(Window.partitionBy("genome_id").orderBy("start")).cast("string")
+    line = F.concat_ws("\t", "genome_id", F.lit(PROGRAM), F.lit("CDS"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=decoy_"), number, F.lit(";Note=decoy")))
+    region = made.manifest.select("genome_id", F.lit(-1).alias("start"), F.concat_ws(" ", F.lit("##sequence-region"), "genome_id", F.lit("1"), F.col("merged_len").cast("string")).alias("value"))
+    write_lines(region.unionByName(made.decoys.select("genome_id", "start", line.alias("value"))), gff, ["genome_id", "start"], ["##gff-version 3"])
 
 
 def write_bins(contigs: DataFrame, path: str, low: float = 20, high: float = 80, step: int = 1) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helixframe.functions import sequence as S
 from helixframe.functions.alphabet import genetic_code, stop_codons
-from helixframe.operators import decoys, features, intervals, matching, models, ordered, orfs, startmodel
+from helixframe.operators import features, intervals, matching, models, ordered, orfs, startmodel
 from helixframe.plans import gene_finder
 from helixframe.sources import readers, writers
 from helixframe.streaming.arriving import stream_orfs, write_orfs
@@ -208,14 +208,6 @@ def contigs(spark, n=6, size=6000, seed=4):
     return spark.createDataFrame(rows, "genome_id string, contig_id long, circ boolean, seq string")
 
 
-def test_decoys(spark):
-    c = contigs(spark)
-    before = {r.contig_id: r.seq for r in c.collect()}
-    rows = decoys.insert_decoys(c).collect()
-    again = {r.contig_id: r.digest for r in decoys.insert_decoys(c.repartition(3)).collect()}
-    assert sum(r.n_inserted for r in rows) and all(r.valid and again[r.contig_id] == r.digest and len(r.seq) == len(before[r.contig_id]) for r in rows)
-
-
 def test_gene_finder(spark):
     c = contigs(spark)
     genes = gene_finder.find_genes(c, gene_finder.Options(threshold=0.3))

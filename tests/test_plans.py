@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from helixframe.functions import catalog
-from helixframe.operators import decoys, features, models, networks, ordered, orfs
+from helixframe.operators import features, models, networks, ordered, orfs
 from helixframe.plans import gene_finder
 from helixframe.plans.gene_finder import Options
 from helixframe.sources import readers, writers
@@ -115,12 +115,6 @@ def test_output_formats(spark, contigs, tmp_path):
 
 
 def test_other_sinks(spark, contigs, tmp_path):
-    made = decoys.insert_decoys(contigs).cache()
-    writers.write_decoys(made, str(tmp_path / "fa"), str(tmp_path / "gff"))
-    again = {r.name: r.seq for r in readers.read_contigs(spark, str(tmp_path / "fa"), glob="part-*").collect()}
-    assert again == {f"{r.genome_id}_{r.contig_id}": r.seq for r in made.collect()}
-    features_ = [x for x in lines(tmp_path / "gff") if not x.startswith("#")]
-    assert len(features_) == sum(r.n_inserted for r in made.collect()) and (not features_ or len(features_[0].split("\t")) == 9)
     writers.write_bins(contigs.withColumn("class", F.col("genome_id")), str(tmp_path / "bins"), step=5)
     assert sorted({p.name for p in (tmp_path / "bins").glob("class=*")}) == ["class=g", "class=small"]
     scored = features.encode(orfs.find_orfs(contigs, 90, sequences=True)).withColumn("t_score", F.when(F.col("len") > 300, 0.9).otherwise(0.1))
