@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,14 +74,16 @@ def mlp_scores(rows: DataFrame, network: Network | dict[int, Network], bin_colum
 
 
 def sampled(rows: DataFrame, by: list[str], most: int, sizes: DataFrame | None = None) -> DataFrame:
-    """About ``most`` rows of each larger group, by a hash of all columns, so ``rows`` has to hold a key that tells copies apart.
+    """About ``most`` rows of each larger group, by a hash of the row's key, or of all columns if it has none beside arrays.
 
-    sizes: (by, _n), counted here unless given; it is broadcast, so the rows aren't shuffled to be drawn.
+    sizes: (by, _n), counted here unless given; where it is small it is broadcast, so the rows aren't shuffled to be drawn.
     """
     if sizes is None:
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    chance = F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_003)) / 1_000_003
-    return rows.join(F.broadcast(sizes), by).filter(chance < most / F.col("_n")).drop("_n")
+        sizes = kept(rows.groupBy(*by).agg(F.count("*").alias("_n")))
+    plain = [n for n, kind in rows.dtypes if not kind.startswith("array")]
+    key = plain if set(plain) - {*by, "label"} else rows.columns
+    chance = F.pmod(F.xxhash64(*key), F.lit(1_000_003)) / 1_000_003
+    return rows.join(bounded(sizes), by).filter(chance < most / F.col("_n")).drop("_n")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -99,12 +101,45 @@ def bounded(groups: DataFrame) -> DataFrame:
 
     The groups should be materialised, as their bytes are summed here.
     """
+    return F.broadcast(groups) if stored_bytes(groups) <= BROADCAST_BYTES else groups
+
+
+def stored_bytes(groups: DataFrame) -> int:
+    """About the bytes of the groups' values."""
     size = F.lit(0)
     for f in groups.schema.fields:
         column, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
         size = size + F.coalesce(F.octet_length(column) if kind in ("string", "binary") else 8 * F.size(column) if kind.startswith("array") else F.lit(8), F.lit(8))
-    total = groups.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(groups) if total <= BROADCAST_BYTES else groups
+    return groups.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def with_models(rows: DataFrame, model: DataFrame, by: list[str], names: list[str], function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` of ``function(batch, groups)``; groups: (places, values of ``names`` or None) for each group of the batch.
+
+    Models of ``BROADCAST_BYTES`` at most are sent to each executor once and looked up. Beyond that each row is joined with
+    its group's model by a shuffle. model has one row a group and should be materialised.
+    """
+    small = stored_bytes(model.select(*by, *names)) <= BROADCAST_BYTES
+    table = None
+    if small:
+        found = {tuple(r[: len(by)]): tuple(r[len(by) :]) for r in model.select(*by, *names).collect()}  # bounded above
+        table = rows.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in by), strict=True)):
+                places.setdefault(key, []).append(i)
+            if table is not None:
+                groups = [(at, table.value.get(key)) for key, at in places.items()]
+            else:
+                groups = [(at, tuple(b.column(n)[at[0]].as_py() for n in names) if b.column("_met")[at[0]].as_py() else None) for at in places.values()]
+            yield function(b, groups)
+
+    joined = rows if small else rows.join(model.select(*by, *names, F.lit(True).alias("_met")), by, "left")
+    return joined.mapInArrow(run, schema)
 
 
 def _merged(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -128,13 +163,17 @@ def _mapped(x: np.ndarray, low: np.ndarray, high: np.ndarray, gamma: float) -> n
     return np.cos(x @ directions + phases) * np.sqrt(2 / FOURIER)
 
 
-def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+class OneClass(ValueError):
+    """A group has rows of one label alone."""
+
+
+def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMPLE, strict: bool = False) -> DataFrame:
     """(by, weights, bias, low, high, gamma): a soft-margin classifier with a radial kernel for each group.
 
     rows: by, features, label (1, -1, or null for rows that aren't used) and the row's own key, which draws at most about
     ``sample`` rows of each label. Features are scaled to the ranges of all labelled rows, gamma is 1 / (features * variance);
     the kernel is approached by random Fourier features and the margin found by averaged subgradient steps. A group without
-    both labels has no model.
+    both labels has no model; with ``strict`` one that has a single label raises OneClass.
     """
     labelled = rows.filter("label is not null")
     parts = kept(features.moments(labelled, [*by, "label"]))
@@ -145,6 +184,8 @@ def train_svm(rows: DataFrame, by: list[str], c: float = 1.0, sample: int = SAMP
 
     def function(group: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "weights", "bias", "low", "high", "gamma"]
+        if strict and group["label"].nunique() == 1:
+            raise OneClass(f"{group[by].iloc[0].tolist()}: every labelled row is {group['label'].iloc[0]}")
         if not len(ranges) or group["label"].nunique() < 2:
             return pd.DataFrame(columns=names)
         y, x = group["label"].to_numpy(float), np.stack(group["features"].to_numpy())
@@ -177,21 +218,15 @@ def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
     """The rows with ``features`` replaced by ``score``, the sigmoid of the margin; 0 in groups without a model."""
     fields = [f for f in rows.schema.fields if f.name != "features"]
 
-    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, score = _matrix(b.column("features")), np.zeros(len(b))
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in by), strict=True)):
-                groups.setdefault(key, []).append(i)
-            for at in groups.values():
-                w, bias, low, high, gamma = (b.column(c)[at[0]].as_py() for c in ("weights", "bias", "low", "high", "gamma"))
-                if w is not None:
-                    score[at] = 1 / (1 + np.exp(-(_mapped(x[at], np.array(low), np.array(high), gamma) @ np.array(w) + bias)))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "score"])
+    def function(b: pa.RecordBatch, groups: list) -> pa.RecordBatch:
+        x, score = _matrix(b.column("features")), np.zeros(len(b))
+        for at, found in groups:
+            if found:
+                w, bias, low, high, gamma = found
+                score[at] = 1 / (1 + np.exp(-(_mapped(x[at], np.array(low), np.array(high), gamma) @ np.array(w) + bias)))
+        return pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "score"])
 
-    return rows.join(bounded(model), by, "left").mapInArrow(function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return with_models(rows, model, by, ["weights", "bias", "low", "high", "gamma"], function, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
 def auto_clusters(gc: float, table: str = "11") -> int:
@@ -450,22 +485,16 @@ def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
     model = fitted_clusters(rows, by)
     fields = [f for f in rows.schema.fields if f.name != "features"]
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, score = _matrix(b.column("features")), np.full(len(b), 0.25)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in by), strict=True)):
-                groups.setdefault(key, []).append(i)
-            for at in groups.values():
-                mean, sd, c, coding = (b.column(n)[at[0]].as_py() for n in ("mean", "sd", "centroids", "coding"))
-                if c is not None:
-                    label = nearest((x[at] - np.array(mean)) / np.array(sd), np.array(c).reshape(-1, x.shape[1]))
-                    score[np.array(at)[label == coding]] = 0.75
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
-
-    return rows.join(bounded(model), by, "left").mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
+    def assign(b: pa.RecordBatch, groups: list) -> pa.RecordBatch:
+        x, score = _matrix(b.column("features")), np.full(len(b), 0.25)
+        for at, found in groups:
+            if found:
+                mean, sd, c, coding = found
+                label = nearest((x[at] - np.array(mean)) / np.array(sd), np.array(c).reshape(-1, x.shape[1]))
+                score[np.array(at)[label == coding]] = 0.75
+        return pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
+
+    return with_models(rows, model, by, ["mean", "sd", "centroids", "coding"], assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
 
 
 def heuristic_model(rows: DataFrame, held_out: float = 0.1, seed: int = 42, hidden: int = 100, steps: int = 60):

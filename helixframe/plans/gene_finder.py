@@ -150,16 +150,18 @@ def revised(scored: DataFrame, contigs: DataFrame, options: Options, network: ne
     return large.unionByName(by_network(sized.filter("is_small").drop("is_small")))
 
 
-def refined_scores(scored: DataFrame, up: float = 0.5, down: float = 0.05, floor: float = 1e-5, c: float = 1.0) -> DataFrame:
+def refined_scores(scored: DataFrame, up: float = 0.5, down: float = 0.05, floor: float = 1e-5, c: float = 1.0, strict: bool = False) -> DataFrame:
     """With c_score from each genome's own classifier over features and r_score, trained on ORFs above ``up`` and from ``floor`` to ``down``.
 
-    ORFs whose i_score is below the floor keep a c_score of 0.
+    ORFs whose i_score is below the floor get a c_score of 0, without features. With ``strict`` a genome whose training rows
+    are all of one label raises.
     """
     label = F.when(F.col("i_score") > up, 1).when((F.col("i_score") > floor) & (F.col("i_score") <= down), -1)
-    wide = encoded(scored).withColumn("features", F.concat("features", F.array(F.col("r_score").cast("double"))))
-    model = models.train_svm(wide.select(*KEYS, "features", label.alias("label")), ["genome_id"], c)
+    likely = F.coalesce(F.col("i_score") >= floor, F.lit(False))
+    wide = encoded(scored.filter(likely)).withColumn("features", F.concat("features", F.array(F.col("r_score").cast("double"))))
+    model = models.train_svm(wide.select(*KEYS, "features", label.alias("label")), ["genome_id"], c, strict=strict)
     out = models.svm_scores(wide, model, ["genome_id"]).withColumnRenamed("score", "c_score")
-    return out.withColumn("c_score", F.when(F.col("i_score") >= floor, F.col("c_score")).otherwise(0.0))
+    return out.unionByName(scored.filter(~likely).withColumn("c_score", F.lit(0.0)))
 
 
 def genes(scored: DataFrame, options: Options = Options()) -> DataFrame:

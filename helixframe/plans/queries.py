@@ -155,7 +155,7 @@ def svm_gamma(spark, sf_dir):
 @query(O.COMPLETE + O.FEATURES + O.digest("CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END", 6, "feats JOIN (SELECT genome_id, k, least(1, min(value)) AS lo, greatest(0, max(value)) AS hi FROM feats GROUP BY ALL) USING (genome_id, k)"))
 def minmax_scale(spark, sf_dir):
     """The features of every ORF within the ranges of its genome, as a digest."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt"))
+    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt")))
     stats = features.min_max(features.moments(rows, ["genome_id"]))
     ranges = features.as_array(stats, ["genome_id"], F.col("low"), "low").join(features.as_array(stats, ["genome_id"], F.col("high"), "high"), "genome_id")
     ranges = models.bounded(models.kept(ranges))
@@ -292,8 +292,7 @@ def start_odds(spark, sf_dir):
 @query(O.COMPLETE + O.WINDOWS + O.LOGP + O.PRIORS + O.POSTERIOR + "SELECT contig_id, strand, \"end\", arg_max(j, (score, -j)) AS j, max(score) AS score FROM scores GROUP BY ALL")
 def tis_argmax(spark, sf_dir):
     """The start with the highest posterior under the genome's own start model."""
-    windows, background = _windows(spark, sf_dir)
-    windows = models.kept(windows)
+    windows, background = map(models.kept, _windows(spark, sf_dir))
     tables = models.kept(startmodel.log_probabilities(startmodel.kmer_counts(windows, background, 1), 1))
     odds = models.kept(startmodel.start_odds(startmodel.base_shares(background)))
     scores = startmodel.candidate_scores(windows, tables, odds, 1).withColumn("score", F.round("score", 6))
@@ -449,7 +448,7 @@ def code_table_score(spark, sf_dir):
 @query(O.COMPLETE + O.FEATURES + O.MLP)
 def mlp_score(spark, sf_dir):
     """A network with given weights over all standardised features."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "nt"))
+    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "nt")))
     means = [(r.mean, r.sd) for r in features.moments(rows, []).orderBy("k").collect()]  # a row a feature
     network = models.Network(
         mean=[m for m, _ in means], sd=[s for _, s in means],
@@ -462,7 +461,7 @@ def mlp_score(spark, sf_dir):
 @query()
 def svm_score(spark, sf_dir):
     """Each genome's own model: ORFs of 300 nt or more against short ones; training is numeric and tests hold it."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt"))
+    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt")))
     label = F.when(F.col("len") >= 300, 1).when(F.col("len") < 150, -1)
     model = models.train_svm(rows.withColumn("label", label), ["genome_id"])
     return models.svm_scores(rows, model, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", F.round("score", 4).alias("score"))
@@ -482,7 +481,7 @@ def revised_genes(spark, sf_dir):
 @query()
 def kmeans_label(spark, sf_dir):
     """Coding labels by clustering; the clusters depend on random starts and tests hold their rules."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "n_gc", "n_g2", "nt"))
+    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "n_gc", "n_g2", "nt")))
     trusted = (F.col("len") >= 550) & ((orfs.gc_content() <= 0.57) | (orfs.g2_content() < 0.2 * orfs.gc_content() + 0.12))
     rows = rows.withColumn("is_seed", trusted).withColumn("features", F.slice("features", 46, 144))
     return models.cluster_labels(rows, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", "i_score")
@@ -507,7 +506,7 @@ def decoy_manifest(spark, sf_dir):
 @query(O.COMPLETE + O.FEATURES + O.digest("(value - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END", 4, "feats JOIN (SELECT genome_id, k, avg(value) AS mean, stddev_pop(value) AS sd FROM feats GROUP BY ALL) USING (genome_id, k)"))
 def zscore(spark, sf_dir):
     """The features of every ORF, standardised over its genome's ORFs, as a digest."""
-    rows = features.encode(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt"))
+    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "nt")))
     stats = features.moments(rows, ["genome_id"])
     norms = features.as_array(stats, ["genome_id"], F.col("mean"), "mean").join(features.as_array(stats, ["genome_id"], F.col("sd"), "sd"), "genome_id")
     out = rows.join(models.bounded(models.kept(norms)), "genome_id")
