@@ -497,38 +497,6 @@ def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
     return with_models(rows, model, by, ["mean", "sd", "centroids", "coding"], assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))
 
 
-def heuristic_model(rows: DataFrame, held_out: float = 0.1, seed: int = 42, hidden: int = 100, steps: int = 60):
-    """(fitted pipeline, scored held-out rows) of a network with one hidden layer over the features.
-
-    rows: key columns, features, label (0.0, 1.0). The split is by a hash of the keys, scaling is learnt from the training
-    part alone, and training runs over all of it. The pipeline is stored with ``model.write().save(path)``.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    keys = [c for c in rows.columns if c not in ("features", "label")]
-    part = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < 1000 * held_out
-    ready = rows.select(*keys, "label", part.alias("held"), array_to_vector("features").alias("raw"), F.size("features").alias("width"))
-    first = ready.select("width").first()
-    width = first[0] if first else 1
-    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
-    network = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[width, hidden, 2], maxIter=steps, seed=seed)
-    model = Pipeline(stages=[scaler, network]).fit(ready.filter("not held").drop("width"))
-    return model, model.transform(ready.filter("held"))
-
-
-def train_heuristic(rows: DataFrame, keys: list[str], held_out: float = 0.1, seed: int = 42, path: str | None = None) -> DataFrame:
-    """One row of measures on held-out rows of ``heuristic_model``, which is stored if a path is given."""
-    from helixframe.operators.matching import confusion
-
-    model, scored = heuristic_model(rows.select(*keys, "features", "label"), held_out, seed)
-    if path:
-        model.write().overwrite().save(path)
-    return confusion(scored.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted")), "label", "predicted")
-
-
 def save_model(model: DataFrame, path: str) -> None:
     """Model tables are Parquet, one row a genome."""
     model.write.mode("overwrite").parquet(path)

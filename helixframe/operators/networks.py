@@ -22,6 +22,8 @@ FIRST, ENOUGH = 5, 0.60
 #: Bases of a window before and from its candidate on.
 UP, DOWN = 50, 15
 #: Channels, kernel widths and strides of the convolutions.
+#: They need windows of 47 codons at least; bases of such a window before and from its candidate on.
+UP_WIDE, DOWN_WIDE = 102, 39
 LAYERS = [(9, 32, 7, 2), (32, 48, 5, 2), (48, 64, 5, 2), (64, 96, 3, 1)]
 HIDDEN = 64
 #: A start open at the 5' end moves only from this score on, and never scores less than a half.
@@ -75,10 +77,10 @@ class StartNetwork:
         return softmax(x @ self.out[0].T + self.out[1])[:, self.positive].sum(axis=1)
 
 
-def random_start_network(seed: int, bases: int = 65, layers: list[tuple[int, int, int, int]] | None = None, classes: int = 3) -> StartNetwork:
+def random_start_network(seed: int, bases: int = UP_WIDE + DOWN_WIDE, layers: list[tuple[int, int, int, int]] | None = None, classes: int = 3) -> StartNetwork:
     """Weights drawn by a seed, for layers that fit a window; used where none are given."""
     rng, size, convolutions = np.random.default_rng(seed), bases // 3, []
-    for before, after, width, stride in layers or [(9, 16, 7, 2), (16, 24, 5, 2)]:
+    for before, after, width, stride in layers or LAYERS:
         convolutions.append((rng.normal(0, (before * width) ** -0.5, (after, before, width)), np.zeros(after), stride))
         size = (size - width) // stride + 1
     flat = after * size

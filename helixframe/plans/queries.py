@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import chunks, decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel
+from helixframe.operators import chunks, decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel, trainer
 from helixframe.plans import gene_finder
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
@@ -531,8 +531,8 @@ def gbk_feature(spark, sf_dir):
 
 @query()
 def start_network(spark, sf_dir):
-    """Starts chosen by the convolution network, with weights drawn by a fixed seed, among all of an ORF's starts; tests hold its layers."""
-    windows = startmodel.start_windows(document_contigs(spark, sf_dir))
+    """Starts chosen by the network of four convolutions, with weights drawn by a fixed seed as none are published, among all of an ORF's starts; tests hold its layers."""
+    windows = startmodel.start_windows(document_contigs(spark, sf_dir), up=networks.UP_WIDE, down=networks.DOWN_WIDE)
     scores = networks.start_scores(windows, networks.random_start_network(7))
     best = ordered.early_exit(scores.withColumn("score", F.round("score", 5)), ["contig_id", "strand", "end"], "score", "j", networks.FIRST, networks.ENOUGH)
     return best.select("contig_id", "strand", "end", "j", "score")
@@ -540,7 +540,7 @@ def start_network(spark, sf_dir):
 
 @query()
 def heuristic_training(spark, sf_dir):
-    """A scorer trained to tell long ORFs from short ones, with its measures on the held-out tenth."""
+    """The coding network trained to tell long ORFs from short ones: loss and measures of every epoch, on training and held-out rows; tests hold its gradient."""
     rows = features.encode(complete_orfs(spark, sf_dir, True).select("contig_id", "strand", "end", "len", "nt"))
-    rows = rows.filter("len >= 300 or len < 150").withColumn("label", (F.col("len") >= 300).cast("double"))
-    return models.train_heuristic(rows, ["contig_id", "strand", "end"])
+    rows = models.kept(rows.filter("len >= 300 or len < 150").withColumn("label", (F.col("len") >= 300).cast("double")))
+    return trainer.train_network(rows, ["contig_id", "strand", "end"])[1]

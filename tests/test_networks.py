@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from helixframe.operators import models, networks
 from helixframe.operators.networks import StartNetwork, UnifiedNetwork
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def test_channels():
 
 
 def test_start_scores(spark):
-    network = networks.random_start_network(1)
+    network = networks.random_start_network(1, 65, [(9, 16, 7, 2), (16, 24, 5, 2)])
     assert isinstance(network, StartNetwork)
     windows = ["ACGTN" * 13, "TTGCA" * 13]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(windows)], "i int, window string").repartition(2)
@@ -50,11 +51,7 @@ def test_unified(spark):
     assert math.isclose(got[1], p(0.5) + 0.2) and math.isclose(got[2], p(0.1) + 0.35)
 
 
-def test_heuristic_training(spark, tmp_path):
-    rng = np.random.default_rng(0)
-    rows = [(i, [float(v) for v in rng.normal(3 * (i % 2), 1, 3)], float(i % 2)) for i in range(400)]
-    m = models.train_heuristic(spark.createDataFrame(rows, "i int, features array<double>, label double"), ["i"], 0.3).first()
-    assert m.accuracy > 0.9 and m.tp + m.fp + m.fn + m.tn > 60
+def test_stored_classifier(spark, tmp_path):
     df = spark.createDataFrame([("g", i, [float(i % 7), 1.0], 1 if i % 7 > 3 else -1) for i in range(100)], "g string, i int, features array<double>, label int")
     models.save_model(models.train_svm(df, ["g"]), str(tmp_path / "m"))
     assert models.svm_scores(df, models.load_svm(spark, str(tmp_path / "m")), ["g"]).filter("(score > 0.5) = (label > 0)").count() > 90
@@ -74,3 +71,19 @@ def test_start_network_scores_the_whole_tail(spark, monkeypatch):
     starts = queries.orfs.find_orfs(c, 90, complete_only=True).filter("strand = 0").first().starts
     got = {(r.strand, r.end): r.j for r in queries.start_network(spark, "").collect()}
     assert len(starts) > 10 and len(starts) - 1 in got.values()
+
+
+def test_one_class_raises_where_asked(spark):
+    df = spark.createDataFrame([("g", i, [float(i), 1.0], 1) for i in range(20)] + [("h", i, [float(i), 1.0], 1 if i > 9 else -1) for i in range(20)], "g string, i int, features array<double>, label int")
+    assert [r.g for r in models.train_svm(df, ["g"]).collect()] == ["h"]
+    with pytest.raises(Exception, match="every labelled row is 1"):
+        models.train_svm(df, ["g"], strict=True).collect()
+
+
+def test_models_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame([("gh"[i % 2], i, [float(i % 7), float(i % 3)], 1 if i % 7 > 3 else -1) for i in range(200)] + [("none", 1, [1.0, 1.0], None)], "g string, i int, features array<double>, label int")
+    model = models.train_svm(df, ["g"])
+    scores = lambda: sorted((r.g, r.i, round(r.score, 9)) for r in models.svm_scores(df, model, ["g"]).collect())
+    small = scores()
+    monkeypatch.setattr(models, "BROADCAST_BYTES", 0)
+    assert scores() == small and ("none", 1, 0.0) in small
