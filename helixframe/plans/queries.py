@@ -120,7 +120,7 @@ def orf_seed_filter(spark, sf_dir):
 
 
 def genes(spark, sf_dir, sequences: bool = False) -> DataFrame:
-    found = orfs.find_orfs(document_contigs(spark, sf_dir), 90, sequences=sequences)
+    found = models.kept(orfs.find_orfs(document_contigs(spark, sf_dir), 90, sequences=sequences))
     numbered = ordered.numbered(found, ["genome_id"], ["contig_id"], ["rend", "strand", "rstart"])
     score = rounded(orfs.gc_content())
     return numbered.withColumn("i_score", score - 0.4).withColumn("t_score", score).withColumn("r_score", rounded(orfs.g2_content()))
