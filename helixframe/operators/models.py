@@ -234,35 +234,6 @@ def auto_clusters(gc: float, table: str = "11") -> int:
     return (2 if table == "11" else 3) if gc < 0.28 else 3 if gc < 0.40 else 4 if gc < 0.50 else 5 if gc < 0.60 else 6
 
 
-def kmeans(x: np.ndarray, inits: np.ndarray, k: int, seed: int = 0, restarts: int = RESTARTS) -> tuple[np.ndarray, int]:
-    """(centroids, coding cluster) of the restart with the densest cluster of trusted rows.
-
-    The first centroid is the row nearest the trusted rows' mean, the others are drawn by squared distance; a cluster's
-    density is the square of its trusted rows over its rows, and a restart has to beat the best by a hundredth.
-    """
-    rng = np.random.default_rng(seed)
-    anchor = x[((x - (x[inits].mean(axis=0) if inits.any() else x.mean(axis=0))) ** 2).sum(axis=1).argmin()]
-    best, kept = -1.0, (x[:1], 0)
-    for _ in range(restarts):
-        centroids = [anchor]
-        while len(centroids) < min(k, len(x)):
-            d = np.min([((x - c) ** 2).sum(axis=1) for c in centroids], axis=0)
-            centroids.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-        c = np.array(centroids)
-        for _ in range(STEPS):
-            label = nearest(x, c)
-            new = np.array([x[label == j].mean(axis=0) if (label == j).any() else c[j] for j in range(len(c))])
-            drift, c = np.abs(new - c).max(), new
-            if drift < DRIFT:
-                break
-        label = nearest(x, c)
-        size, trusted = np.bincount(label, minlength=len(c)), np.bincount(label, inits, len(c))
-        density = trusted**2 / np.maximum(size, 1)
-        if density.max() > 1.01 * best:
-            best, kept = float(density.max()), (c, int(density.argmax()))
-    return kept
-
-
 def positive(n: np.ndarray, trusted: np.ndarray, centroids: np.ndarray) -> int:
     """The cluster with the densest trusted rows; among those within a twentieth of the best so far the one nearest the first."""
     best, score, distance = 0, -1.0, np.inf
@@ -350,7 +321,7 @@ def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS) -> DataFrame:
-    """(by, mean, sd, centroids, coding): ``kmeans`` of every group over all its rows, a step of all restarts a pass.
+    """(by, mean, sd, centroids, coding): clusters of every group over all its rows, a step of all restarts a pass.
 
     Each block of rows gives sums by cluster, which are joined by restart, so no task holds a group's rows. The first
     centroid is the row nearest the trusted rows' mean; a draw by squared distance is the largest log of it plus Gumbel noise.

@@ -202,9 +202,3 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         assembly.alias("assembly"), F.regexp_replace("host", r"\.[^.]*$", "").alias("host"), part[0].alias("name"),
         part[1].cast("int").alias("start"), part[2].cast("int").alias("end"), F.substring(part[3], 1, 1).alias("strand"),
     )
-
-
-def first_sources(files: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Of several files for an accession the first in the order."""
-    rest = [c for c in files.columns if c != key]
-    return files.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(key, "_x.*")

@@ -90,13 +90,6 @@ def locus(name: Column, length: Column, circ: Column, date: Column) -> Column:
     return F.concat(name, F.lit(" "), size, F.lit(" bp    DNA"), F.lpad(F.when(circ, "circular").otherwise("  linear"), 13, " "), F.lit(" UNA "), F.upper(F.date_format(date, "dd-MMM-yyyy")))
 
 
-def gff_lines(genes: DataFrame, contigs: DataFrame, table: str, date: Column) -> DataFrame:
-    """(genome_id, contig_ord, line_ord, value): the header of each contig that has a gene, then its genes in order."""
-    head = genes.select("genome_id", "contig_ord").distinct().join(contigs, ["genome_id", "contig_ord"])
-    head = head.select("genome_id", "contig_ord", F.lit(-1).cast("long").alias("line_ord"), F.concat(F.lit("# "), locus(F.col("name"), F.col("len"), F.col("circ"), date)).alias("value"))
-    return head.unionByName(genes.select("genome_id", "contig_ord", F.col("idx").alias("line_ord"), gff_line().alias("value")))
-
-
 def write_lines(lines: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
     """Write lines in order as text; a range partition keeps the order across the files."""
     rows = lines.orderBy(*order).select("value")
