@@ -324,6 +324,10 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
     Of rows that agree in doc_id and text one stays. The documents that go, fewer than those that stay, are taken out by
     an anti-join, so that texts needn't move while the keys of those that go are few.
+
+    Defined cases: texts without a word, null ones too, are alone in their class and stay; a very long text is compared
+    whole; rows without a doc_id have their own places in classes; an empty table gives an empty result; columns of any name
+    and type are handed on.
     """
     own, id_, key = free_names(docs, "own_key", "other_id", "other_key")
     found = materialise(jaccard_join(docs, recall).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "is_kept"))

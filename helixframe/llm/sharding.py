@@ -141,6 +141,10 @@ def digest(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> Da
 
     The map is stored as version 1 at ``path`` (a new folder of the shared one) and read again to place the rows; then it
     is edited for one shard more and stored as version 2, whose shard is ``next_shard``.
+
+    Defined cases: a null text has no bytes, and its size is 1, as that of an empty one; a very long text is one row of its
+    size; repeated rows and doc_ids, null ones too, each have a place; an empty table gives an empty result; columns other
+    than doc_id and text are not read.
     """
     path = path or f"{shared_folder(docs.sparkSession)}/slots-{uuid.uuid4().hex}"
     records = materialise(sized(docs))
