@@ -22,8 +22,8 @@ from helixframe.operators import features
 
 #: Rows of a label that a genome's classifier is fitted on, on average at most; random Fourier features; passes over the sample.
 SAMPLE, FOURIER, PASSES = 4000, 256, 60
-#: Largest and smallest number of clusters; restarts; k-means steps.
-RESTARTS, STEPS, DRIFT = 10, 100, 1e-4
+#: Restarts of the clusters, further ones where all have collapsed, k-means steps, and the largest move of a settled centroid.
+RESTARTS, EXTRA, STEPS, DRIFT = 50, 250, 100, 1e-4
 #: Rows clustered together; bytes up to which models are broadcast.
 BLOCK, BROADCAST_BYTES = 1000, 32 << 20
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
@@ -280,53 +280,93 @@ def _blocks(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     return keyed.join(bounded(stats.select(*by, "mean", "sd")), by).mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", x binary, key binary, seed binary")
 
 
-def _on_blocks(blocks: DataFrame, state: DataFrame, by: list[str], few: bool, function, schema: str) -> DataFrame:
-    """Rows (by, r, ...) that ``function(x, key, seed, r, c)`` gives for each block and each (r, centroids) of its group's state.
+def _on_blocks(blocks: DataFrame, state: DataFrame | list[dict], by: list[str], few: bool, function: Callable, schema: str, add: bool = False) -> DataFrame:
+    """Rows (by, schema) that ``function(x, key, seed, states)`` gives for each block and the rows of its group in ``state``.
 
-    The state is broadcast if its groups are few.
+    A state of few bytes is sent to each executor once; beyond that it is joined by a shuffle. With ``add`` the rows are
+    (r, bytes of doubles) and are added up in each task by group and r, so that the shuffle takes one row each of them.
     """
-    state = state.groupBy(*by).agg(F.collect_list(F.struct("r", "c", "size")).alias("state"))
-    names = [*by, *(x.split()[0] for x in schema.split(", "))]
-    kinds = dict(blocks.dtypes)
+    kinds, names = dict(blocks.dtypes), [*by, *(x.split()[0] for x in schema.split(", "))]
+    table, joined = None, blocks
+    if few:
+        found: dict[tuple, list[dict]] = {}
+        for row in state if isinstance(state, list) else state.toArrow().to_pylist():  # bounded by the caller
+            found.setdefault(tuple(row[k] for k in by), []).append(row)
+        table = blocks.sparkSession.sparkContext.broadcast(found)
+    else:
+        joined = blocks.join(state.groupBy(*by).agg(F.collect_list(F.struct(*(c for c in state.columns if c not in by))).alias("state")), by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: list = []
+        total: dict[tuple, np.ndarray] = {}
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], names=names)
+
+        def sums() -> list[tuple]:
+            rows = [(*name, value.tobytes()) for name, value in total.items()]
+            total.clear()
+            return rows
+
         for b in batches:
+            fields = [*(b.schema.field(k).type for k in by), *(ARROW[t.split()[1]] for t in schema.split(", "))]
             for i in range(len(b)):
-                group = [b.column(k)[i].as_py() for k in by]
+                group = tuple(b.column(k)[i].as_py() for k in by)
+                states = b.column("state")[i].as_py() if table is None else table.value.get(group)
+                if not states:
+                    continue
                 key = np.frombuffer(b.column("key")[i].as_py(), np.int64).view(np.uint64)
                 x = np.frombuffer(b.column("x")[i].as_py(), np.float32).reshape(len(key), -1)
                 seed = np.frombuffer(b.column("seed")[i].as_py(), np.uint8)
-                states = [(s["r"], np.frombuffer(s["c"], np.float64).reshape(-1, x.shape[1])) for s in b.column("state")[i].as_py()]
-                rows = [(*group, *row) for r, c in states for row in function(x, key, seed, r, c)]
-                if rows:
-                    fields = [*(b.schema.field(k).type for k in by), *(ARROW[t.split()[1]] for t in schema.split(", "))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], names=names)
+                rows = list(function(x, key, seed, states))
+                if not add and rows:
+                    yield batch([(*group, *row) for row in rows])
+                for r, value in rows if add else ():
+                    total[*group, r] = total.get((*group, r), 0) + value
+                if sum(v.nbytes for v in total.values()) > BROADCAST_BYTES:
+                    yield batch(sums())
+        if total:
+            yield batch(sums())
 
-    joined = blocks.join(F.broadcast(state) if few else state, by)
     return joined.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", " + schema)
 
 
-def _noise(key: np.ndarray, r: int, j: int) -> np.ndarray:
+def _noise(key: np.ndarray, r: int, draw: int) -> np.ndarray:
     """Gumbel noise of each row, restart and draw, from a hash (the splitmix64 finaliser), so that it doesn't depend on tasks."""
-    z = key + np.uint64((1 + r * 64 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = key + np.uint64((1 + r * 64 + draw) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
     return -np.log(-np.log(((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53))
 
 
+def trials(k: int) -> int:
+    """Candidates drawn for each further centroid of k."""
+    return 2 + int(np.log(k))
+
+
 def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of rows and centroids."""
     return np.maximum(0, (x.astype(float) ** 2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.astype(np.float32).T)
 
 
-def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS) -> DataFrame:
-    """(by, mean, sd, centroids, coding): clusters of every group over all its rows, a step of all restarts a pass.
+def _apart_each(x: np.ndarray, centroids: list[bytes]) -> list[np.ndarray]:
+    """``_apart`` for each of several sets of centroids, by one product of matrices."""
+    sets = [np.frombuffer(c).reshape(-1, x.shape[1]) for c in centroids]
+    return np.split(_apart(x, np.vstack(sets)), np.cumsum([len(c) for c in sets])[:-1], axis=1)
+
+
+def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS, extra: int = EXTRA) -> DataFrame:
+    """(by, mean, sd, centroids, coding, restart, sse): clusters of every group over all its rows, a step of all restarts a pass.
 
     Each block of rows gives sums by cluster, which are joined by restart, so no task holds a group's rows. The first
-    centroid is the row nearest the trusted rows' mean; a draw by squared distance is the largest log of it plus Gumbel noise.
+    centroid is the row nearest the trusted rows' mean. For each further one ``trials`` rows are drawn by squared distance (the
+    largest log of it plus Gumbel noise) and the one that leaves the least sum of squared distances stays; the draws of all
+    restarts take one pass, their sums another. A group of low G+C whose restarts have all ``collapsed`` gets ``extra`` more
+    and takes the first sound one, or the last of all. ``sse`` is the sum of squared distances to
+    the nearest centroids.
     """
-    kinds = dict(rows.dtypes)
+    kinds, spark = dict(rows.dtypes), rows.sparkSession
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in by)
     # n_gc and len are summed with the features, as two more of them
     wide = rows.select(*by, F.coalesce("is_seed", F.lit(False)).alias("is_seed"), F.concat("features", F.array(F.col("n_gc").cast("double"), F.col("len").cast("double"))).alias("features"))
@@ -337,7 +377,12 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
     stats = mean.join(sd, by).join(n, by).join(trusted, by, "left").withColumn("gc", F.element_at("mean", -2) / F.element_at("mean", -1))
     stats = kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
     blocks = kept(_blocks(rows, stats, by))
-    few = 8 * restarts * stats.agg(F.sum(F.size("mean") * 6)).first()[0] <= BROADCAST_BYTES if not stats.isEmpty() else True  # of six centroids at most
+    width = stats.agg(F.max(F.size("mean"))).first()[0] or 0
+    # eight bytes for each feature of six centroids and three tries, at most, of every run
+    few = 8 * 9 * width * restarts * stats.count() <= BROADCAST_BYTES
+
+    def settled(state: DataFrame) -> DataFrame:
+        return spark.createDataFrame(state.toArrow(), state.schema) if few else kept(state)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,108 +390,139 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
             for *group, mean, sd, near, gc, n in zip(*(b.column(c).to_pylist() for c in [*by, "mean", "sd", "trusted", "gc", "n"]), strict=True):
                 mean, sd = np.array(mean), np.array(sd)
                 point = (np.array(mean if near is None else near) - mean) / np.where(sd < 1e-9, 1, sd)
-                out.append((*group, 0, point.tobytes(), min(auto_clusters(gc), n)))
+                out.append((*group, point.tobytes(), min(auto_clusters(gc), n), gc))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*(b.schema.field(k).type for k in by), pa.int32(), pa.binary(), pa.int32()], strict=True)], names=[*by, "r", "c", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*(b.schema.field(k).type for k in by), pa.binary(), pa.int32(), pa.float64()], strict=True)], names=[*by, "c", "size", "gc"])
 
-    def nearest_row(x, key, seed, r, c):
-        d = ((x - c[0]) ** 2).sum(axis=1)
+    def nearest_row(x, key, seed, states):
+        d = ((x - np.frombuffer(states[0]["c"])) ** 2).sum(axis=1)
         i = d.argmin()
-        yield r, float(-d[i]), x[i].astype(float).tobytes()
-
-    def drawn(x, key, seed, r, c):
-        score = np.log(np.maximum(_apart(x, c).min(axis=1), 1e-300)) + _noise(key, r, len(c))
-        i = score.argmax()
-        yield r, float(score[i]), x[i].astype(float).tobytes()
-
-    def best(state, function):
-        parts = _on_blocks(blocks, state, by, few, function, "r int, score double, x binary")
-        return parts.groupBy(*by, "r").agg(F.max_by("x", F.struct("score", "x")).alias("x"))
-
-    start = kept(stats.mapInArrow(anchor, f"{keyed}, r int, c binary, size int"))
-    first = best(start, nearest_row).drop("r").join(start.select(*by, "size"), by)
-    state = kept(first.select(*by, F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r"), F.col("x").alias("c"), "size"))
-    for j in range(1, start.agg(F.max("size")).first()[0] or 0):
-        more = best(state.filter(F.col("size") > j), drawn)
-        state = kept(state.join(more, [*by, "r"], "left").select(*by, "r", F.when(F.col("x").isNull(), F.col("c")).otherwise(F.concat("c", "x")).alias("c"), "size"))
-
-    def sums(x, key, seed, r, c):
-        label = _apart(x, c).argmin(axis=1)
-        one = np.zeros((len(c), len(x)), np.float32)
-        one[label, np.arange(len(x))] = 1
-        yield r, np.hstack([one @ x, one.sum(axis=1)[:, None]]).astype(float).tobytes()
-
-    def moved(group: pd.DataFrame) -> pd.DataFrame:
-        old = group[group["c"].notna()].iloc[0]
-        parts = group.loc[group["sums"].notna(), "sums"]
-        total = np.sum([np.frombuffer(p) for p in parts], axis=0).reshape(int(old["size"]), -1)
-        c = np.frombuffer(old["c"]).reshape(int(old["size"]), -1)
-        new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), c)
-        return pd.DataFrame([[*old[[*by, "r"]], new.tobytes(), int(old["size"]), bool(np.abs(new - c).max() >= DRIFT)]], columns=[*by, "r", "c", "size", "open"])
-
-    state = state.withColumn("open", F.lit(True))
-    for _ in range(steps):
-        running = state.filter("open")
-        if running.isEmpty():
-            break
-        # blocks of a partition are summed before the shuffle
-        parts = _summed(_on_blocks(blocks, running, by, few, sums, "r int, sums binary"), by)
-        both = running.select(*by, "r", "c", "size", F.lit(None).cast("binary").alias("sums")).unionByName(parts, allowMissingColumns=True)
-        new = both.groupBy(*by, "r").applyInPandas(moved, f"{keyed}, r int, c binary, size int, open boolean")
-        state = kept(state.filter("not open").unionByName(new))
-
-    def sizes(x, key, seed, r, c):
-        label = _apart(x, c).argmin(axis=1)
-        for j, (n, t) in enumerate(zip(np.bincount(label, minlength=len(c)), np.bincount(label, seed, len(c)), strict=True)):
-            yield r, j, int(n), int(t)
-
-    counts = _on_blocks(blocks, state, by, few, sizes, "r int, j int, n long, trusted long").groupBy(*by, "r", "j").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
-    counts = counts.groupBy(*by, "r").agg(F.sort_array(F.collect_list(F.struct("j", "n", "trusted"))).alias("x"))
-    rows_of = state.select(*by, "r", "c", "size").join(counts, [*by, "r"]).join(stats.select(*by, "gc"), by)
-    rows_of = rows_of.select(*by, "r", "c", "size", "gc", F.col("x.n").alias("n"), F.col("x.trusted").alias("trusted"))
-
-    def chosen(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("r")
-        sound = [not collapsed(row["gc"], np.array(row["n"]), int(row["size"])) for _, row in group.iterrows()]
-        most, kept = -1.0, None
-        for (_, row), good in zip(group.iterrows(), sound, strict=True):
-            n, trusted = np.array(row["n"]), np.array(row["trusted"])
-            density = (trusted**2 / np.maximum(n, 1)).max()
-            if (good or not any(sound)) and density > 1.01 * most:
-                most, kept = density, row
-        coding = positive(np.array(kept["n"]), np.array(kept["trusted"]), np.frombuffer(kept["c"]).reshape(int(kept["size"]), -1))
-        return pd.DataFrame([[*kept[[*by, "r"]], coding]], columns=[*by, "r", "coding"])
-
-    choice = rows_of.groupBy(*by).applyInPandas(chosen, f"{keyed}, r int, coding int").join(state.select(*by, "r", "c"), [*by, "r"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield float(-d[i]), x[i].astype(float).tobytes()
+
+    def drawn(x, key, seed, states):
+        for s, d in zip(states, _apart_each(x, [s["c"] for s in states]), strict=True):
+            log = np.log(np.maximum(d.min(axis=1), 1e-300))
+            for t in range(trials(s["size"])):
+                score = log + _noise(key, s["r"], 8 * d.shape[1] + t)
+                i = score.argmax()
+                yield s["r"], t, float(score[i]), x[i].astype(float).tobytes()
+
+    def left_over(x, key, seed, states):
+        found, tried = _apart_each(x, [s["c"] for s in states]), _apart_each(x, [s["tries"] for s in states])
+        for s, d, e in zip(states, found, tried, strict=True):
+            yield s["r"], np.minimum(d.min(axis=1)[:, None], e).sum(axis=0)
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = pa.array([np.frombuffer(v).tolist() for v in b.column("c").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in by), c, b.column("coding")], names=[*by, "centroids", "coding"])
+            c = []
+            for old, tries, sums in zip(*(b.column(n).to_pylist() for n in ("c", "tries", "sums")), strict=True):
+                sums = np.frombuffer(sums)
+                c.append(old + np.frombuffer(tries).reshape(len(sums), -1)[sums.argmin()].tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in [*by, "r"]), pa.array(c, pa.binary()), b.column("size"), b.column("gc")], names=[*by, "r", "c", "size", "gc"])
+
+    def added(parts: DataFrame) -> DataFrame:
+        def function(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([[*group[[*by, "r"]].iloc[0], np.sum([np.frombuffer(p) for p in group["sums"]], axis=0).tobytes()]], columns=[*by, "r", "sums"])
+
+        return parts.groupBy(*by, "r").applyInPandas(function, f"{keyed}, r int, sums binary")
+
+    start = settled(stats.mapInArrow(anchor, f"{keyed}, c binary, size int, gc double"))
+    nearest_rows = _on_blocks(blocks, start, by, few, nearest_row, "score double, x binary").groupBy(*by).agg(F.max_by("x", F.struct("score", "x")).alias("c"))
+    first = settled(start.drop("c").join(nearest_rows, by))
+
+    def begun(groups: DataFrame, low: int, high: int) -> DataFrame:
+        """(by, r, c, size, gc): the first centroids of the restarts from low to high."""
+        state = settled(groups.select(*by, F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("r"), "c", "size", "gc"))
+        for j in range(1, groups.agg(F.max("size")).first()[0] or 0):
+            growing = state.filter(F.col("size") > j)
+            picks = _on_blocks(blocks, growing, by, few, drawn, "r int, t int, score double, x binary").groupBy(*by, "r", "t").agg(F.max_by("x", F.struct("score", "x")).alias("x"))
+            picks = picks.groupBy(*by, "r").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("x"))
+            picks = picks.select(*by, "r", F.aggregate(F.col("x.x"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("tries"))
+            tried = settled(growing.join(picks, [*by, "r"]))
+            sums = added(_on_blocks(blocks, tried, by, few, left_over, "r int, sums binary", add=True))
+            grown = tried.join(sums, [*by, "r"]).mapInArrow(taken, f"{keyed}, r int, c binary, size int, gc double")
+            state = settled(state.filter(F.col("size") <= j).unionByName(grown))
+        return state
+
+    def sums(x, key, seed, states):
+        one = np.zeros((len(x), sum(s["size"] for s in states)), np.float32)
+        at = 0
+        for s, d in zip(states, _apart_each(x, [s["c"] for s in states]), strict=True):
+            one[np.arange(len(x)), at + d.argmin(axis=1)] = 1
+            at += s["size"]
+        total = np.hstack([one.T @ x, one.sum(axis=0)[:, None]]).astype(float)
+        at = 0
+        for s in states:
+            yield s["r"], total[at : at + s["size"]].ravel()
+            at += s["size"]
+
+    def moved(row: dict, total: bytes) -> dict:
+        c, total = np.frombuffer(row["c"]).reshape(row["size"], -1), np.frombuffer(total).reshape(row["size"], -1)
+        new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), c)
+        return row | {"c": new.tobytes(), "open": bool(((new - c) ** 2).sum(axis=1).max() >= DRIFT**2)}
 
-    model = choice.select(*by, "c", "coding").mapInArrow(listed, f"{keyed}, centroids array<double>, coding int")
+    def moved_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [moved(row, row.pop("sums")) for row in b.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([f for f in b.schema if f.name != "sums"]))
+
+    def sizes(x, key, seed, states):
+        for s, d in zip(states, _apart_each(x, [s["c"] for s in states]), strict=True):
+            label = d.argmin(axis=1)
+            yield s["r"], np.concatenate([np.bincount(label, minlength=s["size"]), np.bincount(label, seed, s["size"]), [d.min(axis=1).sum()]])
+
+    def wave(groups: DataFrame, low: int, high: int) -> DataFrame:
+        """(by, r, c, size, gc, sums): the settled centroids of the restarts, with rows and trusted rows by cluster and the sse."""
+        state = begun(groups, low, high).withColumn("open", F.lit(True))
+        schema, rows = state.schema, state.toArrow().to_pylist() if few else []
+        state = None if few else kept(state)
+        for _ in range(steps):
+            running = [row for row in rows if row["open"]] if few else state.filter("open")
+            if not running if few else running.isEmpty():
+                break
+            total = added(_on_blocks(blocks, running, by, few, sums, "r int, sums binary", add=True))
+            if few:
+                found = {tuple(row[k] for k in [*by, "r"]): row["sums"] for row in total.toArrow().to_pylist()}
+                rows = [moved(row, found[tuple(row[k] for k in [*by, "r"])]) if row["open"] else row for row in rows]
+            else:
+                new = running.join(total, [*by, "r"]).select(*state.columns, "sums").mapInArrow(moved_rows, state.schema)
+                state = kept(state.filter("not open").unionByName(new))
+        if few:
+            state = spark.createDataFrame([tuple(row[n] for n in schema.names) for row in rows], schema)
+        counts = added(_on_blocks(blocks, state, by, few, sizes, "r int, sums binary", add=True))
+        return settled(state.drop("open").join(counts, [*by, "r"]))
+
+    def chosen(runs: DataFrame, how: str) -> DataFrame:
+        """The best restart of each group by its densest cluster, the first sound one, or the last; none where all have collapsed."""
+        names = [*by, "restart", "centroids", "coding", "sse"]
+
+        def function(group: pd.DataFrame) -> pd.DataFrame:
+            most, kept, out = -1.0, None, []
+            for _, row in group.sort_values("r").iterrows():
+                n, trusted = np.split(np.frombuffer(row["sums"])[:-1], 2)
+                density = (trusted**2 / np.maximum(n, 1)).max()
+                sound = not collapsed(row["gc"], n, int(row["size"]))
+                if how == "last" or sound and (density > 1.01 * most if how == "best" else kept is None):
+                    most, kept = density, (row, n, trusted)
+            if kept:
+                row, n, trusted = kept
+                c = np.frombuffer(row["c"])
+                out.append([*row[[*by, "r"]], c.tolist(), positive(n, trusted, c.reshape(len(n), -1)), float(np.frombuffer(row["sums"])[-1])])
+            return pd.DataFrame(out, columns=names)
+
+        return runs.groupBy(*by).applyInPandas(function, f"{keyed}, restart int, centroids array<double>, coding int, sse double")
+
+    model = settled(chosen(wave(first, 0, restarts), "best"))
+    left = settled(first.join(model, by, "left_anti"))
+    if not left.isEmpty():
+        few = 8 * 9 * width * (extra or 1) * left.count() <= BROADCAST_BYTES
+        runs = wave(left, restarts, restarts + extra) if extra else wave(left, restarts - 1, restarts)
+        model = settled(model.unionByName(chosen(runs, "first")))
+        model = model.unionByName(chosen(runs.join(model.select(*by), by, "left_anti"), "last"))
     sd = F.transform("sd", lambda v: F.when(v < 1e-9, 1.0).otherwise(v)).alias("sd")
     return kept(stats.select(*by, "mean", sd).join(model, by))
 
 
-def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
-    """The parts (by, r, sums) of each partition added up, so that the shuffle takes one row a group, restart and task."""
-
-    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
-        kinds = None
-        for b in batches:
-            kinds = [b.schema.field(k).type for k in by]
-            for *name, value in zip(*(b.column(c).to_pylist() for c in [*by, "r", "sums"]), strict=True):
-                total[tuple(name)] = total.get(tuple(name), 0) + np.frombuffer(value)
-        if total:
-            names = list(zip(*total, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(names, [*kinds, pa.int32()], strict=True)), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=[*by, "r", "sums"])
-
-    kinds = dict(parts.dtypes)
-    return parts.mapInArrow(function, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", r int, sums binary")
-
-
 def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
     """The rows with ``features`` replaced by ``i_score``: 0.75 in the coding cluster of their group, else 0.25.
 
