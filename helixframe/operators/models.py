@@ -376,7 +376,8 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
     n = parts.filter("k = 0").groupBy(*by).agg(F.sum("n").alias("n"))
     stats = mean.join(sd, by).join(n, by).join(trusted, by, "left").withColumn("gc", F.element_at("mean", -2) / F.element_at("mean", -1))
     stats = kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
-    blocks = kept(_blocks(rows, stats, by))
+    # ranges keep a group's blocks in few tasks, which send few sums, and split a large group
+    blocks = kept(kept(_blocks(rows, stats, by)).repartitionByRange(*by, F.xxhash64("key")))
     width = stats.agg(F.max(F.size("mean"))).first()[0] or 0
     # eight bytes for each feature of six centroids and three tries, at most, of every run
     few = 8 * 9 * width * restarts * stats.count() <= BROADCAST_BYTES
@@ -424,6 +425,19 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
         def function(group: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([[*group[[*by, "r"]].iloc[0], np.sum([np.frombuffer(p) for p in group["sums"]], axis=0).tobytes()]], columns=[*by, "r", "sums"])
 
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple, np.ndarray] = {}
+            schema = None
+            for b in batches:
+                schema = b.schema
+                for row in b.to_pylist():
+                    name = tuple(row[k] for k in [*by, "r"])
+                    total[name] = total.get(name, 0) + np.frombuffer(row["sums"])
+            if total:
+                yield pa.RecordBatch.from_pylist([dict(zip([*by, "r"], name, strict=True)) | {"sums": v.tobytes()} for name, v in total.items()], schema)
+
+        if few:  # all sums together are small
+            return parts.repartition(*by, "r").mapInArrow(sums, f"{keyed}, r int, sums binary")
         return parts.groupBy(*by, "r").applyInPandas(function, f"{keyed}, r int, sums binary")
 
     start = settled(stats.mapInArrow(anchor, f"{keyed}, c binary, size int, gc double"))
