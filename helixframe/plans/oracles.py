@@ -172,6 +172,8 @@ SELECT c.genome_id, n_records, len::BIGINT AS merged_len, coalesce(n, 0)::BIGINT
        CASE WHEN n IS NULL THEN 0 ELSE least(greatest(20, least(200, round_even(0.05::DOUBLE * n, 0)::BIGINT)), coalesce(capacity, 0)) END::BIGINT AS n_target, true AS within, true AS valid
 FROM contigs c LEFT JOIN frames USING (contig_id) LEFT JOIN room USING (contig_id)"""
 
+DECOYS_RESUMED = DECOYS.replace("true AS within, true AS valid", "'11' AS transl_table, 'ok' AS status")
+
 #: Two-base words of the windows around every start of each complete ORF.
 WINDOWS = BACKGROUND + """, candidates AS (
   SELECT genome_id, contig_id, strand, "end", len, start, unnest(starts) AS candidate, unnest(range(len(starts)))::INT AS j, s, contig_len FROM complete),

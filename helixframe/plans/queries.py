@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators import chunks, decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel, trainer
-from helixframe.plans import gene_finder
+from helixframe.plans import decoy_batches, gene_finder
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
 from helixframe.sources.contigs import document_contigs
@@ -494,6 +495,16 @@ def decoy_counts(spark, sf_dir):
     return made.select("genome_id", "n_records", "merged_len", "n_orfs", "n_target", (F.col("n_inserted") <= F.col("n_target")).alias("within"), "valid")
 
 
+@query(O.ACCESSIONS + O.MERGED + O.GAPS + O.DECOYS_RESUMED)
+def decoy_resumed(spark, sf_dir):
+    """The manifest of decoys made in batches, of which the first run makes one and a second run the rest."""
+    folder = f"{models.shared_folder(spark)}/decoys-{uuid.uuid4().hex}"
+    contigs = document_contigs(spark, sf_dir)
+    n = contigs.select("genome_id").distinct().count()
+    decoy_batches.run_batches(contigs, folder, size=max(1, -(-n // 2)), most=1)
+    return decoy_batches.run_batches(contigs, folder).select("genome_id", "n_records", "merged_len", "n_orfs", "n_target", "transl_table", "status")
+
+
 @query()
 def decoy_manifest(spark, sf_dir):
     """Decoys placed in the gaps of each accession, with a digest of their places; placement is random but seeded, and tests hold its rules."""

@@ -40,7 +40,7 @@ def values(rows, columns):
     return sorted(tuple(plain(r[columns.index(c)]) for c in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["top_genes", "orf_edges", "orf_circular", "gc_bin_lag", "overlap_pairs", "gaps", "tis_argmax", "gff_lines", "code_table_score", "early_exit", "prefix_sum_sampler", "zscore", "minmax_scale", "mlp_score", "pwm_counts", "start_odds", "record_lengths", "orf_chunked", "eval_greedy", "sampled_codons", "overlap_report", "decoy_counts"])
+@pytest.mark.parametrize("name", ["top_genes", "orf_edges", "orf_circular", "gc_bin_lag", "overlap_pairs", "gaps", "tis_argmax", "gff_lines", "code_table_score", "early_exit", "prefix_sum_sampler", "zscore", "minmax_scale", "mlp_score", "pwm_counts", "start_odds", "record_lengths", "orf_chunked", "eval_greedy", "sampled_codons", "overlap_report", "decoy_counts", "decoy_resumed"])
 def test_against_sql(spark, name):
     import __spark_entry__ as e
 
