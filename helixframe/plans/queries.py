@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import chunks, decoys, features, intervals, matching, models, networks, ordered, orfs, startmodel, trainer
+from helixframe.operators import chunks, decoys, features, intervals, kernel, matching, models, networks, ordered, orfs, startmodel, trainer
 from helixframe.plans import decoy_batches, gene_finder
 from helixframe.plans import oracles as O
 from helixframe.sources import writers
@@ -468,6 +468,16 @@ def svm_score(spark, sf_dir):
     return models.svm_scores(rows, model, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", F.round("score", 4).alias("score"))
 
 
+@query()
+def kernel_score(spark, sf_dir):
+    """Each genome's exact radial classifier on all its labelled rows, ORFs of 300 nt or more against short ones; tests hold it
+    against a plain solver."""
+    rows = models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "nt"))
+    label = F.when(F.col("len") >= 300, 1).when(F.col("len") < 150, -1)
+    model = kernel.train(features.encode(rows.withColumn("label", label).filter("label is not null")), ["genome_id"], strict=False)
+    return kernel.scores(features.encode(rows), model, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", F.round("score", 3).alias("score"))
+
+
 @query()
 def revised_genes(spark, sf_dir):
     """The whole gene-finding plan, its first scores by a network with given weights, with two rounds of starts an order: scores,
