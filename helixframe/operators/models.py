@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import features
@@ -238,7 +238,12 @@ def svm_scores(rows: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
 
 def auto_clusters(gc: float, table: str = "11") -> int:
     """2 to 6 clusters, more for high G+C."""
-    return (2 if table == "11" else 3) if gc < 0.28 else 3 if gc < 0.40 else 4 if gc < 0.50 else 5 if gc < 0.60 else 6
+    return (2 if table == "11" else 3) if gc < 0.28 else 3 if gc < 0.40 else 4 if gc < 0.57 else 5 if gc < 0.626 else 6
+
+
+def auto_long(gc: Column) -> Column:
+    """The least length of the ORFs that are clustered, by the share of G+C of their genome."""
+    return F.when((gc < 0.45) | (gc >= 0.63), 180).otherwise(240)
 
 
 def positive(n: np.ndarray, trusted: np.ndarray, centroids: np.ndarray) -> int:
@@ -363,7 +368,7 @@ def _apart_each(x: np.ndarray, centroids: list[bytes]) -> list[np.ndarray]:
     return np.split(_apart(x, np.vstack(sets)), np.cumsum([len(c) for c in sets])[:-1], axis=1)
 
 
-def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS, extra: int = EXTRA) -> DataFrame:
+def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, steps: int = STEPS, extra: int = EXTRA, clusters: int | None = None, table: str = "11") -> DataFrame:
     """(by, mean, sd, centroids, coding, restart, sse): clusters of every group over all its rows, a step of all restarts a pass.
 
     Each block of rows gives sums by cluster, which are joined by restart, so no task holds a group's rows. The first
@@ -371,20 +376,23 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
     largest log of it plus Gumbel noise) and the one that leaves the least sum of squared distances stays; the draws of all
     restarts take one pass, their sums another. A group of low G+C whose restarts have all ``collapsed`` gets ``extra`` more
     and takes the first sound one, or the last of all. ``sse`` is the sum of squared distances to
-    the nearest centroids.
+    the nearest centroids. Rows have the group's ``genome_gc`` or else it is that of the rows; where they have ``is_long``, only
+    rows for which it holds are clustered, though all give the means and deviations. There are ``clusters`` clusters, if given.
     """
     kinds, spark = dict(rows.dtypes), rows.sparkSession
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in by)
-    # n_gc and len are summed with the features, as two more of them
-    wide = rows.select(*by, F.coalesce("is_seed", F.lit(False)).alias("is_seed"), F.concat("features", F.array(F.col("n_gc").cast("double"), F.col("len").cast("double"))).alias("features"))
-    parts = kept(features.moments(wide, [*by, "is_seed"]))
+    # what gives the group's G+C is summed with the features, as two more of them
+    shares = [F.col("genome_gc"), F.lit(1.0)] if "genome_gc" in rows.columns else [F.col("n_gc").cast("double"), F.col("len").cast("double")]
+    is_long = F.coalesce(F.col("is_long"), F.lit(False)) if "is_long" in rows.columns else F.lit(True)
+    wide = rows.select(*by, F.coalesce("is_seed", F.lit(False)).alias("is_seed"), is_long.alias("is_long"), F.concat("features", F.array(*shares)).alias("features"))
+    parts = kept(features.moments(wide, [*by, "is_seed", "is_long"]))
     mean, sd = features.as_array(_merged(parts, by), by, F.col("mean"), "mean"), features.as_array(_merged(parts, by), by, F.col("sd"), "sd")
-    trusted = features.as_array(parts.filter("is_seed"), by, F.col("mean"), "trusted")
-    n = parts.filter("k = 0").groupBy(*by).agg(F.sum("n").alias("n"))
+    trusted = features.as_array(_merged(parts.filter("is_seed"), by), by, F.col("mean"), "trusted")
+    n = parts.filter("k = 0 and is_long").groupBy(*by).agg(F.sum("n").alias("n"))
     stats = mean.join(sd, by).join(n, by).join(trusted, by, "left").withColumn("gc", F.element_at("mean", -2) / F.element_at("mean", -1))
     stats = kept(stats.select(*by, *(F.slice(c, 1, F.size("mean") - 2).alias(c) for c in ("mean", "sd", "trusted")), "gc", "n"))
     # ranges keep a group's blocks in few tasks, which send few sums, and split a large group
-    blocks = kept(kept(_blocks(rows, stats, by)).repartitionByRange(*by, F.xxhash64("key")))
+    blocks = kept(kept(_blocks(rows.filter(is_long), stats, by)).repartitionByRange(*by, F.xxhash64("key")))
     width = stats.agg(F.max(F.size("mean"))).first()[0] or 0
     # eight bytes for each feature of six centroids and three tries, at most, of every run
     few = 8 * 9 * width * restarts * stats.count() <= BROADCAST_BYTES
@@ -398,7 +406,7 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
             for *group, mean, sd, near, gc, n in zip(*(b.column(c).to_pylist() for c in [*by, "mean", "sd", "trusted", "gc", "n"]), strict=True):
                 mean, sd = np.array(mean), np.array(sd)
                 point = (np.array(mean if near is None else near) - mean) / np.where(sd < 1e-9, 1, sd)
-                out.append((*group, point.tobytes(), min(auto_clusters(gc), n), gc))
+                out.append((*group, point.tobytes(), min(clusters or auto_clusters(gc, table), n), gc))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*(b.schema.field(k).type for k in by), pa.binary(), pa.int32(), pa.float64()], strict=True)], names=[*by, "c", "size", "gc"])
 
@@ -544,13 +552,15 @@ def fitted_clusters(rows: DataFrame, by: list[str], restarts: int = RESTARTS, st
     return kept(stats.select(*by, "mean", sd).join(model, by))
 
 
-def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
+def cluster_labels(rows: DataFrame, by: list[str], clusters: int | None = None, table: str = "11") -> DataFrame:
     """The rows with ``features`` replaced by ``i_score``: 0.75 in the coding cluster of their group, else 0.25.
 
+    Rows for which an ``is_long`` doesn't hold score 0.
+
     rows: by, features, is_seed, n_gc, len and the row's own key. Features are standardised over all rows of the group, and
     all are clustered.
     """
-    model = fitted_clusters(rows, by)
+    model = fitted_clusters(rows, by, clusters=clusters, table=table)
     fields = [f for f in rows.schema.fields if f.name != "features"]
 
     def assign(b: pa.RecordBatch, groups: list) -> pa.RecordBatch:
@@ -560,6 +570,8 @@ def cluster_labels(rows: DataFrame, by: list[str]) -> DataFrame:
                 mean, sd, c, coding = found
                 label = nearest((x[at] - np.array(mean)) / np.array(sd), np.array(c).reshape(-1, x.shape[1]))
                 score[np.array(at)[label == coding]] = 0.75
+        if "is_long" in b.schema.names:
+            score[~np.array(b.column("is_long").fill_null(False).to_pylist(), bool)] = 0
         return pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(score)], names=[*(f.name for f in fields), "i_score"])
 
     return with_models(rows, model, by, ["mean", "sd", "centroids", "coding"], assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "i_score double"]))

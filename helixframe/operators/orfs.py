@@ -262,9 +262,10 @@ def g2_content() -> Column:
     return F.col("n_g2") * 3 / F.col("len")
 
 
-def seeds(orfs: DataFrame, min_len: int = 550, high_gc: float = 0.57) -> DataFrame:
-    """Trusted ORFs: long ones, and with high G+C those with few G at codon position 2."""
-    return orfs.filter((F.col("len") >= min_len) & ((gc_content() <= high_gc) | (g2_content() < 0.2 * gc_content() + 0.12)))
+def seeds(orfs: DataFrame, min_len: int = 550, high_gc: float = 0.57, gc: Column | None = None) -> DataFrame:
+    """Trusted ORFs: long ones, and with high G+C, the ORF's own or ``gc``, those with few G at codon position 2."""
+    gc = gc_content() if gc is None else gc
+    return orfs.filter((F.col("len") >= min_len) & ((gc <= high_gc) | (g2_content() < 0.2 * gc + 0.12)))
 
 
 def span(start: Column, end: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import gc_bin, gc_count
-from helixframe.operators import features, intervals, models, networks, ordered, orfs, startmodel
+from helixframe.operators import features, intervals, kernel, models, networks, ordered, orfs, startmodel
 
 #: Genetic codes that are tried where none is given, in the order that ties go by, and the only start codon meanwhile.
 CODES, TRIED_START = ("11", "16", "4"), ("ATG",)
@@ -38,7 +38,9 @@ class TooManyFound(RuntimeError):
 @dataclass(frozen=True)
 class Options:
     """``reviser`` is counts (k-mer tables), network or none; by default a network, if one is given, for small genomes and
-    metagenomes, and counts for others. ``most_orfs`` bounds a genome's reading frames, if it is given."""
+    metagenomes, and counts for others. ``most_orfs`` bounds a genome's reading frames, if it is given. ``classifier`` is sampled
+    (random features, a bounded sample) or exact (all labelled rows). ``longest`` and ``clusters`` are the least length of the
+    ORFs that are clustered, where no networks are given, and the number of clusters; by default a genome's G+C gives both."""
 
     table: str = "11"
     minlen: int = 90
@@ -50,6 +52,9 @@ class Options:
     reviser: str | None = None
     rounds: int = startmodel.ROUNDS
     most_orfs: int | None = None
+    classifier: str = "sampled"
+    longest: int | None = None
+    clusters: int | None = None
 
     def __post_init__(self):
         if self.minlen < 75:
@@ -58,6 +63,10 @@ class Options:
             raise BadOption("gc_bin is lag or direct")
         if self.reviser not in (None, "counts", "network", "none"):
             raise BadOption("reviser is counts, network or none")
+        if self.classifier not in ("sampled", "exact"):
+            raise BadOption("classifier is sampled or exact")
+        if self.clusters is not None and not 2 <= self.clusters <= 64:
+            raise BadOption("clusters are 2 to 64")
 
 
 def candidates(contigs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -91,15 +100,19 @@ def initial_scores(found: DataFrame, coding: dict[int, models.Network], options:
 
 def trusted_seeds(found: DataFrame, longest: int = 550, most_overlap: int = 75) -> DataFrame:
     """With is_seed: long ORFs, with high G+C those with few G at codon position 2, that overlap no other of them."""
-    long = orfs.seeds(found, longest).select(*KEYS, "rstart", "rend", "contig_len")
+    long = orfs.seeds(found, longest, gc=F.col("genome_gc") if "genome_gc" in found.columns else None).select(*KEYS, "rstart", "rend", "contig_len")
     alone = intervals.without_overlaps(long.withColumn("idx", F.xxhash64("strand", "frame", "end")), most_overlap)
     return found.join(alone.select(*KEYS, F.lit(True).alias("is_seed")), KEYS, "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
 
 
-def seeded_scores(found: DataFrame) -> DataFrame:
-    """With i_score from clustering, for genomes without trained networks."""
-    rows = encoded(models.kept(trusted_seeds(found)))
-    return models.cluster_labels(rows.withColumn("features", F.slice("features", 46, 144)), ["genome_id"]).drop("is_seed")
+def seeded_scores(found: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
+    """With i_score from clustering, for genomes without trained networks: ORFs of a length or more are clustered, others score 0."""
+    gc = F.sum(gc_count(F.col("seq"))) / F.sum(F.length("seq"))
+    genomes = models.bounded(models.kept(contigs.groupBy("genome_id").agg(gc.alias("genome_gc"))))
+    least = models.auto_long(F.col("genome_gc")) if options.longest is None else F.lit(options.longest)
+    rows = encoded(models.kept(trusted_seeds(found.join(genomes, "genome_id")).withColumn("is_long", F.col("len") >= least)))
+    rows = rows.withColumn("features", F.slice("features", 46, 144))
+    return models.cluster_labels(rows, ["genome_id"], options.clusters, options.table).drop("is_seed", "is_long", "genome_gc")
 
 
 def refreshed(found: DataFrame) -> DataFrame:
@@ -150,17 +163,21 @@ def revised(scored: DataFrame, contigs: DataFrame, options: Options, network: ne
     return large.unionByName(by_network(sized.filter("is_small").drop("is_small")))
 
 
-def refined_scores(scored: DataFrame, up: float = 0.5, down: float = 0.05, floor: float = 1e-5, c: float = 1.0, strict: bool = False) -> DataFrame:
+def refined_scores(scored: DataFrame, up: float = 0.5, down: float = 0.05, floor: float = 1e-5, c: float = 1.0, strict: bool = False, exact: bool = False) -> DataFrame:
     """With c_score from each genome's own classifier over features and r_score, trained on ORFs above ``up`` and from ``floor`` to ``down``.
 
     ORFs whose i_score is below the floor get a c_score of 0, without features. With ``strict`` a genome whose training rows
-    are all of one label raises.
+    are all of one label raises. An ``exact`` classifier takes all training rows, others a sample.
     """
     label = F.when(F.col("i_score") > up, 1).when((F.col("i_score") > floor) & (F.col("i_score") <= down), -1)
     likely = F.coalesce(F.col("i_score") >= floor, F.lit(False))
     wide = encoded(scored.filter(likely)).withColumn("features", F.concat("features", F.array(F.col("r_score").cast("double"))))
-    model = models.train_svm(wide.select(*KEYS, "features", label.alias("label")), ["genome_id"], c, strict=strict)
-    out = models.svm_scores(wide, model, ["genome_id"]).withColumnRenamed("score", "c_score")
+    rows = wide.select(*KEYS, "features", label.alias("label"))
+    if exact:
+        scores = kernel.scores(wide, kernel.train(rows, ["genome_id"], c, strict=strict), ["genome_id"])
+    else:
+        scores = models.svm_scores(wide, models.train_svm(rows, ["genome_id"], c, strict=strict), ["genome_id"])
+    out = scores.withColumnRenamed("score", "c_score")
     return out.unionByName(scored.filter(~likely).withColumn("c_score", F.lit(0.0)))
 
 
@@ -217,11 +234,11 @@ def find_genes(contigs: DataFrame, options: Options = Options(), coding: dict[in
             out = out.unionByName(other)
         return out
     found = candidates(contigs, options)
-    first = models.kept(initial_scores(found, coding, options) if coding else seeded_scores(found))
+    first = models.kept(initial_scores(found, coding, options) if coding else seeded_scores(found, contigs, options))
     second = models.kept(revised(first, contigs, options, starts))
     if options.meta and unified:
         return genes(networks.unified_scores(encoded(second), unified), options)
-    return genes(refined_scores(second), options)
+    return genes(refined_scores(second, exact=options.classifier == "exact"), options)
 
 
 def label_genes(contigs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -229,9 +246,9 @@ def label_genes(contigs: DataFrame, options: Options = Options()) -> DataFrame:
 
     i_score becomes c_score less a half, so that its sign tells coding ORFs from others.
     """
-    scored = models.kept(seeded_scores(candidates(contigs, options)))
+    scored = models.kept(seeded_scores(candidates(contigs, options), contigs, options))
     scored = models.kept(starts_by_counts(scored, options))
-    scored = refined_scores(scored, up=0.7, down=0.3, c=0.15)
+    scored = refined_scores(scored, up=0.7, down=0.3, c=0.15, exact=options.classifier == "exact")
     scored = scored.withColumn("i_score", F.col("c_score") - 0.5).withColumn("t_score", F.col("c_score"))
     kept = models.kept(scored.withColumn("nt", orfs.span(F.col("start"), F.col("end"))).drop("ctx"))
     return ordered.numbered(kept, ["genome_id"], ["contig_id"], ["rend", "strand", "rstart"])

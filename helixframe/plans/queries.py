@@ -491,10 +491,14 @@ def revised_genes(spark, sf_dir):
 
 @query()
 def kmeans_label(spark, sf_dir):
-    """Coding labels by clustering; the clusters depend on random starts and tests hold their rules."""
-    rows = features.encode(models.kept(complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "n_gc", "n_g2", "nt")))
-    trusted = (F.col("len") >= 550) & ((orfs.gc_content() <= 0.57) | (orfs.g2_content() < 0.2 * orfs.gc_content() + 0.12))
-    rows = rows.withColumn("is_seed", trusted).withColumn("features", F.slice("features", 46, 144))
+    """Coding labels by clustering the ORFs of a length that their genome's G+C gives, and 0 for shorter ones; the clusters depend on random starts and tests hold their rules."""
+    gc = F.sum(S.gc_count(F.col("seq"))) / F.sum("len")
+    genomes = models.bounded(models.kept(document_contigs(spark, sf_dir).groupBy("genome_id").agg(gc.alias("genome_gc"))))
+    found = complete_orfs(spark, sf_dir, True).select("genome_id", "contig_id", "strand", "end", "len", "n_gc", "n_g2", "nt").join(genomes, "genome_id")
+    rows = features.encode(models.kept(found))
+    high = F.col("genome_gc")
+    trusted = (F.col("len") >= 550) & ((high <= 0.57) | (orfs.g2_content() < 0.2 * high + 0.12))
+    rows = rows.withColumn("is_seed", trusted).withColumn("is_long", F.col("len") >= models.auto_long(high)).withColumn("features", F.slice("features", 46, 144))
     return models.cluster_labels(rows, ["genome_id"]).select("genome_id", "contig_id", "strand", "end", "i_score")
 
 

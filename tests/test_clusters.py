@@ -107,3 +107,17 @@ def test_few_rows_and_none(spark):
     model = {r.genome_id: r for r in models.fitted_clusters(df.drop("_k"), ["genome_id"], restarts=3).collect()}
     assert len(model["one"].centroids) == 2 and len(model["same"].centroids) == 8 and model["same"].sse == 0
     assert models.fitted_clusters(df.drop("_k").limit(0), ["genome_id"], restarts=3).count() == 0
+
+
+def test_long_rows_alone_are_clustered(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (60, 4)), rng.normal(6, 1, (60, 4))])
+    seeds = np.arange(120) < 20
+    whole = rows_of(spark, [("a", x, seeds, 0.45)]).drop("_k")
+    df = whole.withColumn("is_long", F.col("i") % 3 > 0).withColumn("genome_gc", F.lit(0.2))
+    got = {r.i: r.i_score for r in models.cluster_labels(df, ["genome_id"]).collect()}
+    assert {i for i, s in got.items() if s == 0} == {i for i in range(120) if i % 3 == 0}
+    assert {i for i, s in got.items() if s == 0.75} == {i for i in range(60) if i % 3 > 0}  # two clusters, as the genome's own G+C is low
+    three = models.fitted_clusters(df, ["genome_id"], restarts=2, clusters=3).first()
+    assert len(three.centroids) == 12 and len(models.fitted_clusters(df.withColumn("is_long", F.lit(False)), ["genome_id"], restarts=2).collect()) == 0
+    assert np.allclose(three["mean"], x.mean(axis=0))  # all rows give the scale

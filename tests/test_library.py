@@ -197,7 +197,7 @@ def test_models(spark):
     assert np.allclose(network.score(np.array([[3.0, 1.0], [0.0, 1.0]])), [1 / (1 + math.exp(-2)), 0.5])
     df = spark.createDataFrame([(1, [3.0, 1.0]), (2, [3.0, 1.0]), (None, [3.0, 1.0])], "bin int, features array<double>")
     assert {r.bin: r.score is None for r in models.mlp_scores(df, {1: network}, "bin").collect()} == {1: False, 2: True, None: True}
-    assert [models.auto_clusters(g) for g in (0.2, 0.3, 0.45, 0.55, 0.7)] == [2, 3, 4, 5, 6]
+    assert [models.auto_clusters(g) for g in (0.2, 0.3, 0.45, 0.56, 0.57, 0.62, 0.626)] == [2, 3, 4, 4, 5, 5, 6]
 
 
 def contigs(spark, n=6, size=6000, seed=4):
