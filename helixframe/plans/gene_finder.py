@@ -144,8 +144,8 @@ def starts_by_network(scored: DataFrame, network: networks.StartNetwork, options
     return refreshed(scored.withColumn("r_score", r).withColumn("start", start.cast("int")).drop("score", "best"))
 
 
-def revised(scored: DataFrame, contigs: DataFrame, options: Options, network: networks.StartNetwork | None) -> DataFrame:
-    """With starts chosen by the reviser of each genome."""
+def revised(scored: DataFrame, contigs: DataFrame, options: Options, network: networks.StartNetwork | None, start_model: DataFrame | None = None) -> DataFrame:
+    """With starts chosen by the reviser of each genome; a stored start model takes the place of tables that would be trained."""
     kind = options.reviser
     none = lambda rows: rows.withColumn("r_score", F.when(F.col("edge_type") >= 5, 0.5).otherwise(0.0))
     by_network = (lambda rows: starts_by_network(rows, network, options)) if network else none
@@ -156,10 +156,10 @@ def revised(scored: DataFrame, contigs: DataFrame, options: Options, network: ne
     if kind == "network" or kind is None and options.meta:
         return by_network(scored)
     if kind == "counts":
-        return starts_by_counts(scored, options)
+        return starts_by_counts(scored, options, start_model)
     small = contigs.groupBy("genome_id").agg((F.sum(F.length("seq")) <= SMALL_GENOME).alias("is_small"))
     sized = models.kept(scored.join(models.bounded(models.kept(small)), "genome_id"))
-    large = starts_by_counts(sized.filter("not is_small").drop("is_small"), options)
+    large = starts_by_counts(sized.filter("not is_small").drop("is_small"), options, start_model)
     return large.unionByName(by_network(sized.filter("is_small").drop("is_small")))
 
 
@@ -212,12 +212,12 @@ def chosen_codes(contigs: DataFrame, coding: dict[int, models.Network], options:
     return ordered.best_candidate(coding_shares(contigs, coding, options), ["genome_id"], "share", "rank").drop("rank")
 
 
-def find_genes(contigs: DataFrame, options: Options = Options(), coding: dict[int, models.Network] | None = None, starts: networks.StartNetwork | None = None, unified: networks.UnifiedNetwork | None = None) -> DataFrame:
+def find_genes(contigs: DataFrame, options: Options = Options(), coding: dict[int, models.Network] | None = None, starts: networks.StartNetwork | None = None, unified: networks.UnifiedNetwork | None = None, start_model: DataFrame | None = None) -> DataFrame:
     """The whole plan; raises NothingFound where no contig has a reading frame.
 
     Scores come from ``coding`` networks or, without them, from clusters of the genome's own ORFs; then starts are chosen,
     and a genome's own classifier, or in metagenomes the ``unified`` network, gives the last score. With the table "auto"
-    each genome has the code that fits it best, which takes networks.
+    each genome has the code that fits it best, which takes networks. A stored ``start_model`` takes the place of trained ones.
     """
     if options.table == "auto":
         if not coding:
@@ -226,7 +226,7 @@ def find_genes(contigs: DataFrame, options: Options = Options(), coding: dict[in
         parts = []
         for code in sorted(r.code for r in codes.select("code").distinct().collect()):  # three codes at most
             mine = contigs.join(models.bounded(codes.filter(F.col("code") == code).select("genome_id")), "genome_id", "left_semi")
-            parts.append(find_genes(mine, Options(**{**options.__dict__, "table": code}), coding, starts, unified))
+            parts.append(find_genes(mine, Options(**{**options.__dict__, "table": code}), coding, starts, unified, start_model))
         if not parts:
             raise NothingFound(f"no reading frame of {options.minlen} nt")
         out = parts[0]
@@ -235,7 +235,7 @@ def find_genes(contigs: DataFrame, options: Options = Options(), coding: dict[in
         return out
     found = candidates(contigs, options)
     first = models.kept(initial_scores(found, coding, options) if coding else seeded_scores(found, contigs, options))
-    second = models.kept(revised(first, contigs, options, starts))
+    second = models.kept(revised(first, contigs, options, starts, start_model))
     if options.meta and unified:
         return genes(networks.unified_scores(encoded(second), unified), options)
     return genes(refined_scores(second, exact=options.classifier == "exact"), options)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from helixframe.operators import networks, orfs, startmodel
 from helixframe.plans import gene_finder
 from pyspark.sql import functions as F
@@ -130,3 +131,30 @@ def test_network_looks_at_the_tail_where_it_has_to(spark):
         scores = [r.ctx[200 + s - r.starts[0] - 50 : 200 + s - r.starts[0] + 15].count("G") / 65 for s in r.starts]
         used = scores[:5] if max(scores[:5]) >= networks.ENOUGH else scores
         assert r.best == r.starts[int(np.argmax(used))] and math.isclose(r.score, max(used))
+
+
+def test_stored_start_models(spark, tmp_path):
+    from helixframe.operators import models
+
+    def table(order, least=-1.0):
+        return np.full(3 * (startmodel.UP + startmodel.DOWN - order) * 4 ** (order + 1), least).tobytes()
+
+    schema = "genome_id string, pwm binary, markov int, most int, uf double, df double"
+    sound = [("a", table(0), 0, 3, 0.5, 1.5), ("b", table(2), 2, 4, 1.0, 2.0)]
+    startmodel.save_model(spark.createDataFrame(sound, schema), str(tmp_path / "m"))
+    assert sorted(map(tuple, startmodel.load_model(spark, str(tmp_path / "m")).collect())) == sorted((g, bytearray(t), *rest) for g, t, *rest in sound)
+    for i, odd in enumerate([("c", table(1)[:-8], 1, 3, 0.5, 0.5), ("c", table(1), 4, 3, 0.5, 0.5), ("c", table(1, 0.5), 1, 3, 0.5, 0.5), ("c", table(1, float("nan")), 1, 3, 0.5, 0.5), ("c", None, 1, 3, 0.5, 0.5), ("c", table(1), 1, 0, 0.5, 0.5), sound[0]]):
+        startmodel.save_model(spark.createDataFrame([*sound, odd], schema), str(tmp_path / f"m{i}"))
+        with pytest.raises(models.BadModel, match=odd[0]):
+            startmodel.load_model(spark, str(tmp_path / f"m{i}"))
+
+
+def test_records():
+    from helixframe.operators import features
+
+    got = features.encode_records(["ATGAAACCCGG", "", "NNN"])
+    assert got.shape == (3, 189) and got.dtype == np.float32 and not got[1].any()
+    assert np.allclose(got[0], features.zcurve("ATGAAACCCGG", False)) and features.encode_records([]).shape == (0, 189)
+    for odd in ("ATG", b"ATG", 3, ["ATG", None], [b"ATG"]):
+        with pytest.raises(TypeError):
+            features.encode_records(odd)
