@@ -160,3 +160,21 @@ def test_labelling(spark):
     rows = [("g", 1, False, genome(31, 10) + "".join(rng.choices("ACGT", k=3000)))]
     out = gene_finder.label_genes(spark.createDataFrame(rows, "genome_id string, contig_id long, circ boolean, seq string"), Options(rounds=2)).collect()
     assert out and sorted(r.idx for r in out) == list(range(len(out))) and all(-0.5 <= r.i_score == r.t_score - 0.5 <= 0.5 for r in out)
+
+
+def test_refined_scores_of_the_exact_classifier(spark):
+    rng = random.Random(6)
+    scores = (0.9, 0.8, 0.02, 0.03, 0.2, 0.0)
+    rows = [("g", 1, 0, i % 3, i, 0, 300, [0], "".join(rng.choices("ACGT" if scores[i % 6] > 0.5 else "AACCTT", k=450)), scores[i % 6], 0.5) for i in range(60)]
+    schema = "genome_id string, contig_id long, strand int, frame int, end int, start int, len int, starts array<int>, ctx string, i_score double, r_score double"
+    df = spark.createDataFrame(rows, schema).withColumn("end", F.lit(300) + 0 * F.col("end")).withColumn("i", F.monotonically_increasing_id())
+    got = {exact: sorted((r.i, r.i_score, r.c_score) for r in gene_finder.refined_scores(df, exact=exact).collect()) for exact in (False, True)}
+    assert [r[:2] for r in got[True]] == [r[:2] for r in got[False]] and len(got[True]) == 60
+    for _, score, c in got[True]:
+        assert c == 0 if score == 0 else c > 0.5 if score > 0.5 else c < 0.5 if score < 0.1 else 0 < c < 1
+
+
+def test_options_of_classifier_and_clusters():
+    for odd in ({"classifier": "other"}, {"clusters": 1}, {"clusters": 65}):
+        with pytest.raises(gene_finder.BadOption):
+            Options(**odd)
