@@ -10,7 +10,8 @@ made as the target recall needs.
 Within a leaf all pairs of embeddings are compared; what might reach the similarity is joined into candidate classes by
 one edge per text, so the rows made stay in proportion to the texts. A node that is still too full at the last level, or
 of which a part of ``DENSE`` resembles its first text, so that no coordinate would part it, joins all its texts to one
-candidate class. Inside every candidate class the texts are then compared exactly, in blocks of texts of a like size: links
+candidate class. What is joined to texts is joined once for each text, however many nodes of however many runs it stands in.
+Inside every candidate class the texts are then compared exactly, in blocks of texts of a like size: links
 are counted and true classes found from the whole shingle sets. Sets whose sizes differ so far that they can't reach the
 similarity never meet. No link between different texts that a run has found is lost, and copies of a text are never expanded
 into pairs. As every link counts, n texts that resemble each other take n^2 / 2 comparisons; each is sent to n / ``BLOCK``
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MIX, Hashes, batch, bounded, free_names, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, utf8
+from helixframe.llm.common import MIX, Hashes, batch, bounded, free_names, grouped, in_chunks, materialise, mixed, records, runs, shingle_set, sliced, utf8
 from helixframe.llm.graph import components
 
 SIMILARITY = 0.8
@@ -108,11 +110,25 @@ def _roots(n_runs: int):
     return function
 
 
+def at_texts(places: DataFrame, texts: DataFrame, *names: str) -> DataFrame:
+    """The named columns of places (rid, ...) as an array of structs ``places``, with the columns of texts: a row for each text.
+
+    A text of a large group of near copies stands in a node of nearly every run; its embedding is joined once for all of them.
+    """
+    return places.groupBy("rid").agg(F.collect_list(F.struct(*names)).alias("places")).join(texts, "rid")
+
+
+def _places(b: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+    """Row numbers and structs of all places of the batch's texts."""
+    return pc.list_parent_indices(b.column("places")).to_numpy(), pc.list_flatten(b.column("places"))
+
+
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        row, path = _children(b.column("path").to_numpy().view(np.uint64), _matrix(b.column("sig")))
+    for b in sliced(batches):
+        text, nodes = _places(b)
+        row, path = _children(nodes.field("path").to_numpy().view(np.uint64), _matrix(b.column("sig"))[text])
         if len(row):
-            yield _emit(b.column("rid").to_numpy()[row], path)
+            yield _emit(b.column("rid").to_numpy()[text[row]], path)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -134,10 +150,11 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether a text's sketch resembles that of its node's first text."""
-    for b in batches:
-        close = (_bytes(b.column("sketch")) == _bytes(b.column("hub_sketch"))).sum(axis=1) >= LEAST_EQUAL
-        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("rid"), b.column("hub"), pa.array(close.astype("i4"))], names=["path", "rid", "hub", "close"])
+    """For each node of a text whether the text's sketch resembles that of the node's first text."""
+    for b in sliced(batches):
+        text, nodes = _places(b)
+        close = (_bytes(b.column("sketch"))[text] == _bytes(nodes.field("hub_sketch"))).sum(axis=1) >= LEAST_EQUAL
+        yield pa.RecordBatch.from_arrays([nodes.field("path"), pa.array(b.column("rid").to_numpy()[text]), nodes.field("hub"), pa.array(close.astype("i4"))], names=["path", "rid", "hub", "close"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,19 +273,19 @@ def candidate_edges(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         if full.isEmpty():
             break
         hubs = full.groupBy("path").agg(F.min("rid").alias("hub"))
-        hubs = hubs.join(sketches.select(F.col("rid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-        full = full.join(sketches, "rid").join(hubs, "path")
-        full = materialise(full.select("path", "rid", "hub", "sketch", "hub_sketch").mapInArrow(_agreement, "path long, rid long, hub long, close int"))
+        hubs = materialise(hubs.join(sketches.select(F.col("rid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"))
+        full = at_texts(full.join(bounded(hubs), "path"), sketches, "path", "hub", "hub_sketch")
+        full = materialise(full.mapInArrow(_agreement, "path long, rid long, hub long, close int"))
         dense = full.groupBy("path").agg(F.avg("close").alias("part")).withColumn("stays", (F.col("part") >= DENSE) | F.lit(depth == LEVELS))
-        full = full.join(dense, "path")
+        full = full.join(bounded(materialise(dense)), "path")
         edges.append(full.filter("stays and rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct())
-        level = full.filter("not stays").select("path", "rid").join(sigs, "rid").select("rid", "path", "sig").mapInArrow(_descend, "rid long, path long")
+        level = materialise(at_texts(full.filter("not stays"), sigs, "path").mapInArrow(_descend, "rid long, path long"))
     paths = leaves[0]
     for x in leaves[1:]:
         paths = paths.unionByName(x)
     # the runs repeat many leaves; each set of texts is looked at once
     groups = paths.groupBy("path").agg(F.sort_array(F.collect_set("rid")).alias("rids")).groupBy("rids").agg(F.min("path").alias("gid"))
-    members = groups.select("gid", F.explode("rids").alias("rid")).join(sketches, "rid")
+    members = at_texts(groups.select("gid", F.explode("rids").alias("rid")), sketches, "gid").select("rid", "sketch", F.explode("places.gid").alias("gid"))
     out = grouped(members.select("gid", "rid", "sketch"), ["gid"], _sketch, "a long, b long")
     for x in edges:
         out = out.unionByName(x)

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -62,6 +63,40 @@ def test_full_nodes_and_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute(rows)
 
 
+def joined_by_text(spark):
+    """Rows that inner joins by rid have made in this session, by their metrics: execution -> rows."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store, out = spark._jsparkSession.sharedState().statusStore(), defaultdict(int)
+    each = lambda x: (x.apply(i) for i in range(x.size()))
+    for e in each(store.executionsList()):
+        values = store.executionMetrics(e.executionId())
+        for node in each(store.planGraph(e.executionId()).allNodes()):
+            if re.search(r"Join \[rid#\d+L?\], \[rid#\d+L?\], Inner", node.desc()):
+                for m in each(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        out[e.executionId()] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out
+
+
+def test_near_copies_are_joined_once(spark, monkeypatch):
+    """However many runs bring near copies into full nodes, a join makes one row for each text; no link is lost."""
+    monkeypatch.setattr(J, "BUCKET", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(60)] = word()
+        rows.append((i, " ".join([*copy, word()])))
+    before = set(joined_by_text(spark))
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute(rows)
+    made = {k: n for k, n in joined_by_text(spark).items() if k not in before}
+    # at each level one for the full nodes and one for the way down; one for the leaves, one for the candidates' texts
+    assert 0 < sum(made.values()) <= (2 * J.LEVELS + 2) * len(rows)
+
+
 def test_tiles_meet_once():
     """Every pair of texts of a class whose sizes allow the similarity is in exactly one tile, on the right sides."""
     from pyspark.sql import SparkSession
