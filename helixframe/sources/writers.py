@@ -25,8 +25,12 @@ def sign(strand: Column) -> Column:
 
 
 def fixed(value: Column, digits: int = 3) -> Column:
-    """A number with so many decimals; halves go to the even digit, as in C."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """A number with so many decimals; what is a half once the number is scaled goes to the even digit.
+
+    The scaled number is a double, as it is in SQL: 0.5115 times a thousand is just below 511.5 and gives 0.511.
+    """
+    scale = 10.0**digits
+    return F.format_string(f"%.{digits}f", F.rint(value.cast("double") * scale) / scale)
 
 
 def gff_line() -> Column:
