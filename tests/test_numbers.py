@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 HALVES = [0.5075, 0.5115, 0.5095, 0.5005, 0.4135, 0.6775, 0.6825, 2.0125, 2.0325, 2.0475, 1.534499, 0.0005, 0.0, 1.0]
 
 
-@pytest.mark.parametrize(("column", "line"), [("fasta", writers.fasta_header)])
+@pytest.mark.parametrize(("column", "line"), [("fasta", writers.fasta_header), ("gff", writers.gff_line)])
 def test_scores_in_lines_are_rounded_as_in_sql(spark, column, line):
     names = ["contig_id", "idx", "name", "rstart", "rend", "strand", "edge_type", "i_score", "t_score", "r_score"]
     rows = [(i, i, "c", 10, 60, i % 2, 0, t - 0.4, t, r) for i, (t, r) in enumerate((t, r) for t in HALVES for r in HALVES)]
