@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from helixframe.operators import features, orfs
 from helixframe.plans import oracles as O
+from helixframe.plans import queries
 from helixframe.plans.queries import QUERIES
 from helixframe.sources import writers
 from pyspark.sql import functions as F
@@ -81,3 +82,15 @@ def test_frames_of_odd_contigs():
                     elif codon in ("ATG", "GTG", "TTG"):
                         s, k = [*s, p], [*k, ("ATG", "GTG", "TTG").index(codon)]
             assert list(orfs._frames(codes, len(seq), False, "11", last, None, 30)) == want
+
+
+def test_a_genome_of_one_frame_has_its_features_scaled(spark):
+    """Ranges go from 1 or less to 0 or more, so that a single frame's values aren't all alike; an empty one leaves the value as it is."""
+    nt = "ATGAAACCCGGGTTTTAA" * 5
+    rows = spark.createDataFrame([("g", 1, 0, 90, nt)], "genome_id string, contig_id long, strand int, end int, nt string")
+    x = features.zcurve(nt)
+    low, high = np.minimum(1, x), np.maximum(0, x)
+    stats = features.min_max(features.moments(rows, ["genome_id"], "nt"))
+    found = queries._digests(rows, stats, ["low", "high"], lambda v, a, b: np.where(b > a, (v - a) / np.where(b > a, b - a, 1), v), 6).first()
+    want = [v if a == b else (v - a) / (b - a) for v, a, b in zip(x, low, high, strict=True)]
+    assert found.digest == features.digests(np.array([want]), 6)[0]
