@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from helixframe.operators import models, networks
+from helixframe.operators import models, networks, ordered, startmodel
 from helixframe.operators.networks import StartNetwork, UnifiedNetwork
 from pyspark.sql import functions as F
 
@@ -87,3 +87,37 @@ def test_models_beyond_the_broadcast_bound(spark, monkeypatch):
     small = scores()
     monkeypatch.setattr(models, "BROADCAST_BYTES", 0)
     assert scores() == small and ("none", 1, 0.0) in small
+
+
+def test_rounded_scores_are_those_of_exact_ones(monkeypatch):
+    rng, network = np.random.default_rng(2), networks.random_start_network(7)
+    windows = ["".join(rng.choice(list("ACGTN"), 141, p=[0.25, 0.25, 0.25, 0.24, 0.01])) for _ in range(700)]
+    want = np.round(network.score(windows), 5)
+    assert (networks.Rounded(network, 5).score(windows) == want).all()
+    monkeypatch.setattr(networks.StartNetwork, "score_roughly", lambda self, w: self.score(w) + 1e-5)  # too far off
+    assert (networks.Rounded(network, 5).score(windows) == want).all()
+
+
+@pytest.mark.parametrize("enough", [0.6, 0.35, 0.3])
+def test_starts_of_contigs_are_those_of_their_windows(spark, monkeypatch, enough):
+    from helixframe.plans import queries
+
+    rng, network = np.random.default_rng(3), networks.random_start_network(7)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in (60, 95, 400, 3000)] + ["CCC" * 20 + "ATGGCC" * 20 + "TAA" + "CCC" * 20]
+    contigs = spark.createDataFrame([("g", i, s) for i, s in enumerate([*seqs, None])], "genome_id string, contig_id long, seq string")
+    monkeypatch.setattr(queries, "document_contigs", lambda *_: contigs)
+    scores = networks.start_scores(startmodel.start_windows(contigs, up=networks.UP_WIDE, down=networks.DOWN_WIDE), network)
+    keys = ["contig_id", "strand", "end"]
+    want = ordered.early_exit(scores.withColumn("score", F.round("score", 5)), keys, "score", "j", networks.FIRST, enough).select(*keys, "j", "score")
+    monkeypatch.setattr(networks, "ENOUGH", enough)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # rows of a frame go across batches
+    found = sorted(map(tuple, queries.start_network(spark, "").collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted(map(tuple, want.collect())) and len(found) > 10
+
+
+def test_starts_are_chosen_without_a_shuffle(spark):
+    from helixframe.plans import queries
+
+    plan = queries.start_network(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 3
