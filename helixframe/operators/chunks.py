@@ -107,12 +107,16 @@ def _stretches(chunk: tuple, kind_of: np.ndarray, options: tuple) -> Iterator[tu
                 if origin == 0 and not circ and not (len(place) and place[0] == frame and mark[0] >= 0):
                     place, mark = np.append(frame, place), np.append(np.int8(OPEN5), mark)
                 key = genome, contig, name, length, strand, frame
-                stops = np.nonzero(mark == -1)[0].tolist()
-                begin = 0
-                for k, stop in enumerate([*stops, None]):
-                    upto = len(place) if stop is None else stop
-                    i = place[begin:upto]
-                    starts, types = (i + origin).tolist(), mark[begin:upto].tolist()
+                stops = np.nonzero(mark == -1)[0]
+                begins, uptos = np.append(0, stops + 1), np.append(stops, len(place))
+                # of those between two stops, the ones that have a start and may be long enough
+                far = np.append(place[stops] + 3, 0) - np.append(place, 0)[begins]
+                wanted = (uptos > begins) & (far >= (min(options[0], PARTIAL) if options[1] else options[0]))
+                wanted[[0, -1]] = True
+                for k in np.nonzero(wanted)[0].tolist():
+                    stop = int(stops[k]) if k < len(stops) else None
+                    i = place[begins[k] : uptos[k]]
+                    starts, types = (i + origin).tolist(), mark[begins[k] : uptos[k]].tolist()
                     end = None if stop is None else int(place[stop]) + 3
                     if k and stop is not None:
                         if starts and (found := _orf(key, circ, starts, types, gc[i].tolist(), g2[i].tolist(), end + origin, int(gc[end]), int(g2[end]), False, options)):
@@ -123,7 +127,6 @@ def _stretches(chunk: tuple, kind_of: np.ndarray, options: tuple) -> Iterator[tu
                             *key, starts, types, None, None if last else end + origin, *[None] * 6,
                             circ, origin, int(k > 0), int(not last), gc[i].tolist(), g2[i].tolist(), None if last else int(gc[end]), None if last else int(g2[end]), int(gc[own]) if last else 0, int(g2[own]) if last else 0,
                         )
-                    begin = upto + 1
 
 
 def find_orfs_in_chunks(chunks: DataFrame, minlen: int = 90, table: str = "11", meta: bool = False, complete_only: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ START_ODDS = [0.80, 0.15, 0.05]
 DRAWS = 5
 #: Width of the stretches of the axis by which frames meet contigs.
 BIN = 1 << 14
+#: The number of a letter, so low for any but A, C, G and T that its codons have none; codons by number.
+_LETTERS = np.full(256, -1000, np.int64)
+_LETTERS[[ord(c) for c in "ACGT"]] = range(4)
+_CODONS = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
 
 
 @dataclass
@@ -44,8 +49,10 @@ def on_axis(contigs: DataFrame) -> DataFrame:
 
     A genome's contigs that have a base lie behind each other in the order of contig_id, of which each has its own.
     """
-    some = contigs.filter(F.length("seq") > 0).select("genome_id", F.col("contig_id").cast("long").alias("record_id"), F.upper("seq").alias("bases"))
-    short = some.select("genome_id", "record_id", F.length("bases").alias("size"), F.substring("bases", 1, 2).alias("head"), F.expr("right(bases, 2)").alias("tail"))
+    some = contigs.select("genome_id", F.col("contig_id").cast("long").alias("record_id"), F.upper("seq").alias("bases"))
+    # a filter does not go below a number that depends on the task, where it would have Spark make seq once more
+    some = some.withColumn("size", F.length("bases")).withColumn("_task", F.spark_partition_id()).filter((F.col("size") > 0) & (F.col("_task") >= 0)).drop("_task")
+    short = some.select("genome_id", "record_id", "size", F.substring("bases", 1, 2).alias("head"), F.expr("right(bases, 2)").alias("tail"))
     along, genome = Window.partitionBy("genome_id").orderBy("record_id"), Window.partitionBy("genome_id")
     beside = lambda name, step: F.coalesce(F.lag(name, step).over(along), F.lit(""))
     places = short.select(
@@ -78,19 +85,28 @@ def codon_usage(records: DataFrame, found: DataFrame, table: str = "11") -> Data
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter = Counter()
+            ends: Counter = Counter()
+            sense: dict[str, np.ndarray] = {}
             for i in range(len(b)):
                 genome, at, before, bases, after, spans = (b.column(c)[i].as_py() for c in ("genome_id", "at", "before", "bases", "after", "spans"))
                 own = len(bases)
                 forward, backward = bases + after, (before + bases)[::-1].translate(_COMPLEMENT)
-                for s in spans:
-                    strand, lo, hi = s["strand"], s["lo"], s["hi"]
+                for strand, text in enumerate((forward, backward)):
                     # along the strand: the record's first base, and the frame's first and last, from there
-                    first, last = (lo - at, hi - at) if not strand else (at + own - hi, at + own - lo)
-                    text = backward if strand else forward
-                    for p in range(first if first >= 0 else first % 3, min(last, own), 3):
-                        counts[genome, text[p : p + 3], p + 3 == last] += 1
-            rows = [(g, c, stop, n) for (g, c, stop), n in counts.items() if stop or c not in stops and set(c) <= set("ACGT")]
+                    places = [(s["lo"] - at, s["hi"] - at) if not strand else (at + own - s["hi"], at + own - s["lo"]) for s in spans if s["strand"] == strand]
+                    if not places:
+                        continue
+                    code = _LETTERS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                    number = np.append(16 * code[:-2] + 4 * code[1:-1] + code[2:], [-1, -1])
+                    each = []
+                    for first, last in places:
+                        each.append(number[first if first >= 0 else first % 3 : min(last - 3, own) : 3])
+                        if 0 <= last - 3 < own:
+                            ends[genome, text[last - 3 : last]] += 1
+                    n = np.concatenate(each)
+                    sense[genome] = sense.get(genome, 0) + np.bincount(n[n >= 0], minlength=64)
+            rows = [(g, c, True, n) for (g, c), n in ends.items()]
+            rows += [(g, _CODONS[k], False, int(counts[k])) for g, counts in sense.items() for k in np.nonzero(counts)[0].tolist() if _CODONS[k] not in stops]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["genome_id", "codon", "is_stop", "n"])
 

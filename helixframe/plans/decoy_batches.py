@@ -43,9 +43,10 @@ def read_output(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def faults(contigs: DataFrame) -> DataFrame:
     """(genome_id, fault): each accession, and why it can't be worked on, or null. Rows without an accession have no part."""
-    size = F.length("seq")
+    size = F.col("size")
     some = F.when(size > 0, 1)
-    sums = contigs.filter("genome_id is not null").groupBy("genome_id").agg(F.sum(size.cast("long")).alias("size"), F.count(some).alias("n"), F.count_distinct(F.when(size > 0, F.col("contig_id"))).alias("ids"))
+    sized = contigs.filter("genome_id is not null").select("genome_id", "contig_id", F.length("seq").alias("size"))
+    sums = sized.groupBy("genome_id").agg(F.sum(size.cast("long")).alias("size"), F.count(some).alias("n"), F.count_distinct(F.when(size > 0, F.col("contig_id"))).alias("ids"))
     why = F.when(F.coalesce("size", F.lit(0)) == 0, "no sequence").when(F.col("ids") < F.col("n"), "contigs without an id of their own").when(F.col("size") >= 1 << 31, "longer than an axis of 32 bits")
     return sums.select("genome_id", why.alias("fault"))
 
@@ -58,7 +59,7 @@ def run_batches(contigs: DataFrame, folder: str, seed: int = 42, table: str = "1
     """
     spark = contigs.sparkSession
     done = manifest(spark, folder).filter("status = 'ok'")
-    pending = kept(faults(contigs).join(done.select("genome_id"), "genome_id", "left_anti"))
+    pending = kept(faults(contigs.join(done.select("genome_id"), "genome_id", "left_anti")))  # before sequences are made
     n = -(-pending.count() // size)
     for turn in range(n if most is None else min(n, most)):
         part = pending.filter(F.pmod(F.xxhash64("genome_id"), F.lit(n)) == turn)

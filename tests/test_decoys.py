@@ -128,3 +128,11 @@ def test_many_decoys_in_one_gap(spark):
     assert len(g) >= 15 and all(100 <= a and b <= 4000 for a, b in g) and all(a[1] <= b[0] for a, b in zip(g, g[1:], strict=False))
     assert [r.i for r in got if r.genome_id == "h"] in ([1], [2])
     assert decoys.placed(lengths.limit(0), free, 1).count() == 0
+
+
+def test_sequences_are_not_made_once_more_by_a_filter(spark):
+    from helixframe.sources.contigs import document_contigs
+
+    records = decoys.on_axis(document_contigs(spark, "/root/testdata/sf0.001"))
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
